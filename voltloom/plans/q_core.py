@@ -8,7 +8,7 @@ from voltloom.functions.numeric import fixed
 from voltloom.operators import grid, ranks, seq
 from voltloom.plans.fixture_sql import R, with_tables
 from voltloom.plans.registry import Inputs, query
-from voltloom.sources.fixtures import BLOCK
+from voltloom.sources.fixtures import BLOCK, STEPS
 
 CH = ["meter_id", "variable"]
 
@@ -70,7 +70,7 @@ def close_short_gaps(t: Inputs):
     ),
 )
 def robust_stats(t: Inputs):
-    st = ranks.median_mad(t.samples, CH, "value", {"q25": 0.25, "q75": 0.75, "q05": 0.05, "q95": 0.95})
+    st = ranks.median_mad(t.samples, CH, "value", {"q25": 0.25, "q75": 0.75, "q05": 0.05, "q95": 0.95}, STEPS)
     uniq = ranks.modal_value(t.samples, CH, "value").select(*CH, "n_unique")
     return st.join(uniq, CH).select(
         *CH, "n", "n_unique",
