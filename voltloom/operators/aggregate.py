@@ -168,3 +168,46 @@ def log_histogram(df: DataFrame, value: str, decades: float, bins: int) -> DataF
         [(i, edges[i - 1], edges[i]) for i in range(1, len(edges))], "bin int, lo long, hi long"
     )
     return all_bins.join(hits, "bin", "left").na.fill(0, ["n_gaps"])
+
+
+def longest_equal_run(known: DataFrame, keys: Keys, value: str, x: str = "x", block: int = 10_080) -> DataFrame:
+    """Longest stretch of equal consecutive values, over rows that all hold a value.
+
+    Rows are counted within a block; each block then yields its longest inner run and the runs at its
+    two ends, which are joined along the series.
+    """
+    w = Window.partitionBy(*keys, "_blk").orderBy(x)
+    rows = known.withColumn("_blk", F.floor(F.col(x) / block).cast("long"))
+    change = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)
+    rows = rows.withColumn("_new", change).withColumn(
+        "_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    pieces = rows.groupBy(*keys, "_blk", "_run").agg(F.first(value).alias("_v"), F.count("*").alias("_n"))
+    ends = Window.partitionBy(*keys, "_blk").orderBy("_run")
+    edge = F.lag("_run").over(ends).isNull() | F.lead("_run").over(ends).isNull()
+    pieces = pieces.withColumn("_edge", edge)
+    along = Window.partitionBy(*keys).orderBy("_blk", "_run")
+    border = (
+        pieces.filter("_edge")
+        .withColumn("_prev_v", F.lag("_v").over(along))
+        .withColumn("_prev_blk", F.lag("_blk").over(along))
+        .withColumn("_same", F.col("_prev_v").eqNullSafe(F.col("_v")) & (F.col("_prev_blk") < F.col("_blk")))
+        .withColumn("_grp", F.sum(F.when(F.col("_same"), 0).otherwise(1)).over(along))
+        .groupBy(*keys, "_grp")
+        .agg(F.sum("_n").alias("_n"))
+    )
+    every = pieces.filter(~F.col("_edge")).select(*keys, "_n").unionByName(border.select(*keys, "_n"))
+    return every.groupBy(*keys).agg(F.max("_n").alias("longest"))
+
+
+def minmax_scale(df: DataFrame, keys: Keys, value: str, train: Column) -> DataFrame:
+    """Scale by the range of the training rows; a constant column keeps scale 1."""
+    fit = df.filter(train).groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    width = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise(F.col("hi") - F.col("lo"))
+    return df.join(fit, list(keys)).withColumn("scaled", (F.col(value) - F.col("lo")) / width)
+
+
+def minmax_unscale(df: DataFrame, scaled: str, out: str) -> DataFrame:
+    """Inverse of ``minmax_scale`` for rows that carry ``lo`` and ``hi``."""
+    width = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise(F.col("hi") - F.col("lo"))
+    return df.withColumn(out, F.col(scaled) * width + F.col("lo"))

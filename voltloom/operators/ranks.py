@@ -136,3 +136,20 @@ def modal_value(df: DataFrame, keys: Keys, value: str) -> DataFrame:
         F.sum("_c").alias("n_finite"),
         F.count("*").alias("n_unique"),
     )
+
+
+def kneedle(imp: DataFrame, feature: str, weight: str) -> DataFrame:
+    """Cumulative share of features by falling weight and the knee of that curve (first on ties).
+
+    Features are the columns of one table, so their list is small.
+    """
+    w = Window.partitionBy().orderBy(F.desc(weight), feature)
+    whole = Window.partitionBy()
+    out = (
+        imp.withColumn("rank", F.row_number().over(w))
+        .withColumn("n_features", F.count("*").over(whole))
+        .withColumn("cum", F.sum(weight).over(w) / F.sum(weight).over(whole))
+    )
+    lift = F.col("cum") - (F.col("rank") - 1) / F.greatest(F.col("n_features") - 1, F.lit(1))
+    best = F.max_by("rank", F.struct(lift, -F.col("rank"))).over(whole)
+    return out.withColumn("is_knee", F.col("rank") == best)

@@ -157,3 +157,152 @@ def interpolate(df: DataFrame, keys: Keys, value: str, out: str, x: str = "x", b
     return near.withColumn(out, F.coalesce(F.col(value), line, F.col("prev_v"), F.col("next_v"))).drop(
         "prev_x", "prev_v", "next_x", "next_v"
     )
+
+
+def dilate(df: DataFrame, keys: Keys, flag: str, radius: int, out: str, x: str = "x", block: int = BLOCK) -> DataFrame:
+    """True where any row within ``radius`` steps is true."""
+    near = lambda w: F.max(F.col(flag)).over(w.rowsBetween(-radius, radius))
+    return framed(df, keys, {out: near}, radius, radius, x, block)
+
+
+def pad_edges(intervals: DataFrame, keys: Keys, min_run: int = 3, radius: int = 1) -> DataFrame:
+    """Points next to both ends of the intervals of at least ``min_run`` steps, as ``(keys, x)``."""
+    left = F.sequence(F.col("x0") - radius, F.col("x0") - 1)
+    right = F.sequence(F.col("x1") + 1, F.col("x1") + radius)
+    return (
+        intervals.filter(F.col("n") >= min_run)
+        .select(*keys, F.explode(F.concat(left, right)).alias("x"))
+        .filter("x >= 0")
+        .distinct()
+    )
+
+
+def rolling_median(
+    df: DataFrame, keys: Keys, value: str, out: str, half: int = 30, min_n: int = 21, x: str = "x", block: int = BLOCK
+) -> DataFrame:
+    """Centred running median over ``2 half + 1`` rows, NULL below ``min_n`` known values."""
+
+    def build(w):
+        frame = w.rowsBetween(-half, half)
+        return F.when(F.count(value).over(frame) >= min_n, F.percentile(F.col(value), F.lit(0.5)).over(frame))
+
+    return framed(df, keys, {out: build}, half, half, x, block)
+
+
+def time_steps(df: DataFrame, keys: Keys, time: str, slot_hours: int = 24) -> DataFrame:
+    """Seconds between consecutive rows of a series; slots of time are joined through their end rows."""
+    slot = F.floor(F.unix_micros(time) / F.lit(slot_hours * 3_600_000_000)).cast("long")
+    rows = df.filter(F.col(time).isNotNull()).select(*keys, F.unix_micros(time).alias("t"), slot.alias("slot"))
+    w = Window.partitionBy(*keys, "slot").orderBy("t")
+    inside = rows.select(*keys, ((F.col("t") - F.lag("t").over(w)) / F.lit(1e6)).alias("dt"))
+    ends = rows.groupBy(*keys, "slot").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    along = Window.partitionBy(*keys).orderBy("slot")
+    across = ends.select(*keys, ((F.col("lo") - F.lag("hi").over(along)) / F.lit(1e6)).alias("dt"))
+    return inside.unionByName(across).filter("dt is not null")
+
+
+def context_points(segments: DataFrame, keys: Keys, reach: int) -> DataFrame:
+    """The up to ``reach`` steps before and after each segment, as ``(keys, x0, x1, x)``."""
+    left = F.sequence(F.greatest(F.col("x0") - reach, F.lit(0)), F.col("x0") - 1)
+    left = F.when(F.col("x0") > 0, left).otherwise(F.array().cast("array<bigint>"))
+    right = F.sequence(F.col("x1") + 1, F.col("x1") + reach)
+    return segments.select(*keys, "x0", "x1", F.explode(F.concat(left, right)).alias("x"))
+
+
+def windows(df: DataFrame, keys: Keys, columns: Keys, width: int, stride: int = 1, x: str = "x", block: int = BLOCK) -> DataFrame:
+    """Full windows of ``width`` consecutive rows, one array of rows per start."""
+
+    def rows(w):
+        return F.collect_list(F.struct(*columns)).over(w.rowsBetween(0, width - 1))
+
+    out = framed(df, keys, {"window": rows}, 0, width - 1, x, block)
+    return out.filter((F.size("window") == width) & (F.pmod(F.col(x), F.lit(stride)) == 0)).select(
+        *keys, F.col(x).alias("window_idx"), "window"
+    )
+
+
+def unwindow(windowed: DataFrame, keys: Keys, columns: Keys, x: str = "x") -> DataFrame:
+    """Rows back from windows; the copies of a row agree, the one from the earliest window is kept."""
+    rows = windowed.select(*keys, "window_idx", F.posexplode("window").alias("_pos", "_row"))
+    rows = rows.withColumn(x, F.col("window_idx") + F.col("_pos"))
+    return rows.groupBy(*keys, x).agg(F.min_by("_row", "window_idx").alias("_row")).select(
+        *keys, x, *[F.col("_row")[c].alias(c) for c in columns]
+    )
+
+
+def ordinals(instants: DataFrame, x: str = "x", block: int = BLOCK) -> DataFrame:
+    """Zero-based rank of each distinct instant, without sorting them in one place."""
+    one = running(instants.select(x).distinct(), [], {"ordinal": F.lit(1)}, x, block)
+    return one.withColumn("ordinal", (F.col("ordinal") - 1).cast("long"))
+
+
+def chronological_split(ranked: DataFrame, total: DataFrame, train: float = 0.8, valid: float = 0.1) -> DataFrame:
+    """Add ``split`` from the ordinal; borders are truncated to whole rows. ``total`` has one row ``n_total``."""
+    n = F.col("n_total")
+    a = F.floor(n * F.lit(train))
+    b = a + F.floor(n * F.lit(valid))
+    split = F.when(F.col("ordinal") < a, "train").when(F.col("ordinal") < b, "val").otherwise("test")
+    return ranked.crossJoin(F.broadcast(total)).withColumn("split", split).drop("n_total")
+
+
+def direction_changes(df: DataFrame, keys: Keys, value: str, x: str = "x", block: int = BLOCK) -> DataFrame:
+    """Share of interior rows where the direction of a series without holes changes."""
+
+    def turn(w):
+        d1 = F.signum(F.col(value) - F.lag(value).over(w))
+        d0 = F.signum(F.lag(value).over(w) - F.lag(value, 2).over(w))
+        return F.when(d0.isNotNull() & d1.isNotNull(), (d0 != d1).cast("int"))
+
+    flagged = framed(df, keys, {"_turn": turn}, 2, 0, x, block)
+    return flagged.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.sum("_turn") / F.nullif(F.count("_turn"), F.lit(0)), F.lit(0.0)).alias("freq"),
+    )
+
+
+def detrend_runs(df: DataFrame, keys: Keys, value: str, pieces: DataFrame, x: str = "x") -> DataFrame:
+    """Deviation from the chord of each run; ``pieces`` are the runs of known values."""
+    ends = (
+        pieces.join(df.select(*keys, F.col(x).alias("x0"), F.col(value).alias("_v0")), [*keys, "x0"])
+        .join(df.select(*keys, F.col(x).alias("x1"), F.col(value).alias("_v1")), [*keys, "x1"])
+    )
+    points = interval_points(ends, keys, "x0", "x1", "_v0", "_v1", x=x)
+    span = F.nullif(F.col("x1") - F.col("x0"), F.lit(0))
+    chord = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(x) - F.col("x0")) / span
+    return points.join(df, [*keys, x]).withColumn(
+        "dev", F.when(F.col("x1") > F.col("x0"), F.col(value) - chord).otherwise(F.lit(0.0))
+    ).drop("_v0", "_v1")
+
+
+def weighted_line(df: DataFrame, keys: Keys, t, y, w) -> DataFrame:
+    """Weighted least squares line per group; a flat line where time does not vary."""
+    g = df.groupBy(*keys).agg(
+        F.sum(w).alias("sw"), F.sum(w * t).alias("st"), F.sum(w * y).alias("sy"),
+        F.sum(w * t * t).alias("stt"), F.sum(w * t * y).alias("sty"),
+    )
+    var = F.col("stt") - F.col("st") * F.col("st") / F.col("sw")
+    cov = F.col("sty") - F.col("st") * F.col("sy") / F.col("sw")
+    slope = F.when(var > 0, cov / var).otherwise(F.lit(0.0))
+    return g.withColumn("slope", slope).select(
+        *keys, "slope", ((F.col("sy") - F.col("slope") * F.col("st")) / F.col("sw")).alias("intercept")
+    )
+
+
+def stretch(source: DataFrame, keys: Keys, targets: DataFrame, value: str, n_source, x: str = "x") -> DataFrame:
+    """Stretch a hole-free reference ``(keys, j, value)`` of ``n_source`` rows over each target interval.
+
+    ``targets`` hold ``(keys, x0, x1, n)``; each target point reads the two source rows around its
+    fractional position.
+    """
+    pts = targets.withColumn("_len", F.col("x1") - F.col("x0") + 1).withColumn(x, F.explode(F.sequence("x0", "x1")))
+    pos = F.when(
+        F.col("_len") > 1, (F.col(x) - F.col("x0")) / (F.col("_len") - 1) * (n_source - 1)
+    ).otherwise(F.lit(0.0))
+    pts = pts.withColumn("_pos", pos).withColumn("j", F.floor("_pos").cast("long"))
+    up = F.least(F.col("j") + 1, n_source - 1).cast("long")
+    lo = source.select(*keys, "j", F.col(value).alias("_lo"))
+    hi = source.select(*keys, F.col("j").alias("_j1"), F.col(value).alias("_hi"))
+    out = pts.withColumn("_j1", up).join(lo, [*keys, "j"]).join(hi, [*keys, "_j1"])
+    return out.withColumn(
+        "stretched", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.col("j"))
+    ).drop("_lo", "_hi", "_pos", "j", "_j1", "_len")
