@@ -113,6 +113,67 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
+CTES.update({
+    "scored": (
+        ("predictions", "truth"),
+        "select p.model, p.seed, p.output, t.gamma, t.phase, t.x, t.y, p.y_pred from predictions p join truth t"
+        " on t.output = p.output and t.x = p.window_idx + case p.model when 'm12' then 6 else 18 end",
+    ),
+    "load_metrics": (
+        ("scored",),
+        "select *, e_true - e_pred as delta, abs(e_true - e_pred) / (sum(abs(e_true)) over (partition by model, seed) + 1e-9::double) * 100"
+        " as contrib_pct, abs(e_true) >= 1 as active from (select model, seed, output, gamma, phase,"
+        " sum(abs(y_pred - y)) / (sum(abs(y)) + 1e-9::double) * 100 as nae_pct, avg(abs(y_pred - y)) as mae_w,"
+        " sum(y) / 1000.0::double as e_true, sum(y_pred) / 1000.0::double as e_pred from scored group by 1, 2, 3, 4, 5)",
+    ),
+    "system": (
+        ("load_metrics",),
+        "select *, abs(e_pred - e_true) / (abs(e_true) + 1e-9::double) * 100 as erg_pct from (select model, seed,"
+        " coalesce(avg(nae_pct) filter (active), avg(nae_pct)) as nae_mean, sum(e_true) as e_true, sum(e_pred) as e_pred"
+        " from load_metrics group by 1, 2)",
+    ),
+    "parts": (
+        ("dense",),
+        "select meter_id, unnest(['A', 'B', 'C']) as phase, x, coalesce(unnest([p_a, p_b, p_c]), 0) as p from dense",
+    ),
+    "balance": (
+        ("scored", "parts"),
+        "select s.*, r.po, m.mg_real from (select model, phase, x, sum(y) as obs, sum(p) as pred from"
+        " (select model, phase, x, output, any_value(y) as y, avg(y_pred) as p from scored group by 1, 2, 3, 4) group by 1, 2, 3) s"
+        " join (select phase, x, sum(p) as po from parts where meter_id in (2, 4) group by 1, 2) r on r.phase = s.phase and r.x = s.x"
+        " join (select phase, x, sum(p) as mg_real from parts where meter_id = 1 group by 1, 2) m on m.phase = s.phase and m.x = s.x",
+    ),
+    "energies": (
+        ("balance",),
+        "select *, lo - mg as r1_obs, lp - mg as r1_pred, lo + ot - mg as r2_obs, lp + ot - mg as r2_pred from (select model, phase,"
+        " sum(obs + po) / 1000.0::double as mg, sum(po) / 1000.0::double as ot, sum(obs) / 1000.0::double as lo,"
+        " sum(pred) / 1000.0::double as lp, sum(mg_real) / 1000.0::double as mgr from balance group by 1, 2)",
+    ),
+    "budget": (
+        ("scored",),
+        """select *, sqrt(u_met * u_met + u_seed * u_seed + u_sync * u_sync) as u_total from (
+        select model, phase, 0.005::double * avg(e_obs) as u_met, stddev_samp(e0) as u_seed, avg(sqrt((dm * dm + dp * dp) / 2)) as u_sync, avg(e0) as e_res
+        from (select model, seed, phase, e_obs, e0, dp, dm from (
+          select model, seed, phase, abs(sum(o) / 1000.0::double) as e_obs, sum(p - o) / 1000.0::double as e0, sum(o - oa) / 1000.0::double as dp,
+            sum(o - ob) / 1000.0::double as dm from (
+            select s.model, s.seed, s.phase, s.x, s.p, h.o, h.oa, h.ob from
+              (select model, seed, phase, x, sum(y_pred) as p, min(x) over (partition by model) as lo, max(x) over (partition by model) as hi
+               from scored group by 1, 2, 3, 4) s
+            join (select phase, x, o, 0.5 * (o + lead(o) over w) as oa, 0.5 * (lag(o) over w + o) as ob from
+              (select phase, x, sum(y) as o from truth group by 1, 2) window w as (partition by phase order by x)) h
+            on h.phase = s.phase and h.x = s.x where s.x > lo and s.x < hi) group by 1, 2, 3) p1
+          union all select model, seed, 'ABC', sum(e_obs), sum(e0), sum(dp), sum(dm) from (
+          select model, seed, phase, abs(sum(o) / 1000.0::double) as e_obs, sum(p - o) / 1000.0::double as e0, sum(o - oa) / 1000.0::double as dp,
+            sum(o - ob) / 1000.0::double as dm from (
+            select s.model, s.seed, s.phase, s.x, s.p, h.o, h.oa, h.ob from
+              (select model, seed, phase, x, sum(y_pred) as p, min(x) over (partition by model) as lo, max(x) over (partition by model) as hi
+               from scored group by 1, 2, 3, 4) s
+            join (select phase, x, o, 0.5 * (o + lead(o) over w) as oa, 0.5 * (lag(o) over w + o) as ob from
+              (select phase, x, sum(y) as o from truth group by 1, 2) window w as (partition by phase order by x)) h
+            on h.phase = s.phase and h.x = s.x where s.x > lo and s.x < hi) group by 1, 2, 3) group by 1, 2) group by 1, 2)""",
+    ),
+})
+
 
 def add_cte(name: str, needs: tuple[str, ...], body: str) -> None:
     CTES[name] = (needs, body)

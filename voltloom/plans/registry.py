@@ -8,12 +8,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.operators import seq
+from voltloom.operators import balance, evaluate, joins, seq
 from voltloom.session import prepare
 from voltloom.sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULES: dict[str, str] = {}
 
 
 class Inputs:
@@ -67,6 +68,29 @@ class Inputs:
     def conf(self) -> DataFrame:
         return fixtures.confidence(self.samples)
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Predictions beside the truth, shared by the scores, balances and tests."""
+        aligned = joins.align_windows(self.predictions, dict(fixtures.MODELS))
+        return evaluate.score_rows(aligned, self.truth).persist()
+
+    @cached_property
+    def load_metrics(self) -> DataFrame:
+        return evaluate.load_metrics(self.scored, 1.0)
+
+    @cached_property
+    def rest(self) -> DataFrame:
+        """Remaining consumption: power of the component meters per phase and instant."""
+        return fixtures.phase_power(self.dense, fixtures.COMPONENTS, "po")
+
+    @cached_property
+    def main(self) -> DataFrame:
+        return fixtures.phase_power(self.dense, (1,), "mg_real")
+
+    @cached_property
+    def balance(self) -> DataFrame:
+        return balance.series(self.scored, self.rest, self.main)
+
 
 _OPEN: dict[tuple[str, str], Inputs] = {}
 
@@ -85,6 +109,7 @@ def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[Inputs], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
+        MODULES[name] = fn.__module__.rsplit(".", 1)[-1]
         QUERIES[name] = lambda spark, folder: fn(inputs(spark, folder))
         if sql is not None:
             ORACLES[name] = sql

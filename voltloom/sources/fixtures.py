@@ -38,6 +38,9 @@ METERS = (
 MODELS = (("m12", 12), ("m36", 36))
 SEEDS = (1, 2, 3, 4, 5)
 
+# fixed values: component meters of the remaining consumption
+COMPONENTS = (2, 4)
+
 
 def raw_readings(events: DataFrame) -> DataFrame:
     """Readings with every injected defect, NaN cells and repeated rows included."""
@@ -160,3 +163,17 @@ def confidence(long: DataFrame) -> DataFrame:
     filled = seq.interval_points(gaps.withColumn("code", code), keys, "code")
     observed = long.filter("value is not null").select(*keys, "x", F.lit(0).alias("code"))
     return observed.unionByName(filled)
+
+
+def component_power(wide: DataFrame, meters: tuple[int, ...]) -> DataFrame:
+    """``(meter_id, phase, x, p)`` of some meters, missing power counted as zero."""
+    long = wide.filter(F.col("meter_id").isin(list(meters))).unpivot(
+        ["meter_id", "x"], ["p_a", "p_b", "p_c"], "variable", "p"
+    )
+    return long.select(
+        "meter_id", F.upper(F.substring("variable", 3, 1)).alias("phase"), "x", F.coalesce("p", F.lit(0.0)).alias("p")
+    )
+
+
+def phase_power(wide: DataFrame, meters: tuple[int, ...], name: str) -> DataFrame:
+    return component_power(wide, meters).groupBy("phase", "x").agg(F.sum("p").alias(name))
