@@ -48,3 +48,10 @@ def value_bin(v: str | Column, per_octave: int = 1024) -> Column:
     inside = F.floor((a / F.pow(F.lit(2.0), octave) - 1.0) * per_octave)
     code = (octave + F.lit(1100)) * per_octave + inside
     return F.when(a == 0, F.lit(0)).otherwise((F.signum(col(v)) * code).cast("long")).cast("long")
+
+
+def safe_corr(a: str | Column, b: str | Column) -> Column:
+    """Aggregate: Pearson correlation over rows that hold both values, NULL without variance."""
+    both = col(a).isNotNull() & col(b).isNotNull()
+    x, y = F.when(both, col(a)), F.when(both, col(b))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

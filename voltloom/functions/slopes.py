@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def theil_sen(arrays: pd.Series) -> pd.Series:
     """Median slope over all pairs of known values of an array, 0 below two values."""
 

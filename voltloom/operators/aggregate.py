@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltloom.functions import names
-from voltloom.functions.numeric import ratio
+from voltloom.functions.numeric import ratio, safe_corr
 
 Keys = Sequence[str]
 
@@ -34,7 +34,8 @@ def null_inventory(df: DataFrame, columns: Keys) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), *counts).unpivot(["n_rows"], list(columns), "column_name", "n_null")
 
 
-def _gram(y: Column, xs: Sequence[Column]) -> list[tuple[str, Column]]:
+def gram(y: Column, xs: Sequence[Column]) -> list[tuple[str, Column]]:
+    """Named covariance aggregates of a regression, over rows that hold every value."""
     ok = y.isNotNull()
     for x in xs:
         ok = ok & x.isNotNull()
@@ -54,35 +55,35 @@ def r2_multi(df: DataFrame, keys: Keys, y: Column, xs: Sequence[Column], min_n:
     One pass of covariances per group, then elimination on the small matrix as column arithmetic; a
     regressor that the ones before it explain fully is left out.
     """
-    g = _gram(y, xs)
-    out = df.groupBy(*keys).agg(*[c.alias(f"_{n}") for n, c in g])
-    k = len(xs)
+    out = df.groupBy(*keys).agg(*[c.alias(f"_{n}") for n, c in gram(y, xs)])
+    return solve_r2(out, len(xs), min_n).select(*keys, F.col("_n").alias("n"), "r2")
+
+
+def solve_r2(out: DataFrame, k: int, min_n: int = MIN_POINTS) -> DataFrame:
+    """Add ``r2`` to a table that holds the ``gram`` columns with a leading underscore."""
+    for i in range(k):
+        out = out.withColumn(f"_v{i}", F.col(f"_s{i}{i}"))
     for p in range(k):
-        live = F.col(f"_s{p}{p}") > 1e-10 * F.col(f"_v{p}") if p else F.col("_s00") > 0
-        if p == 0:
-            for i in range(k):
-                out = out.withColumn(f"_v{i}", F.col(f"_s{i}{i}"))
-        for i in range(p + 1, k):
-            f = F.when(live, F.col(f"_s{p}{i}") / F.col(f"_s{p}{p}")).otherwise(F.lit(0.0))
-            out = out.withColumn(f"_f{p}{i}", f)
-        for i in range(p + 1, k):
-            for j in range(i, k):
-                out = out.withColumn(f"_s{i}{j}", F.col(f"_s{i}{j}") - F.col(f"_f{p}{i}") * F.col(f"_s{p}{j}"))
+        live = F.col(f"_s{p}{p}") > 1e-10 * F.col(f"_v{p}")
         gain = F.when(live, F.col(f"_sy{p}") * F.col(f"_sy{p}") / F.col(f"_s{p}{p}")).otherwise(F.lit(0.0))
-        out = out.withColumn(f"_g{p}", gain)
+        step = {f"_g{p}": gain}
+        factor = lambda i: F.when(live, F.col(f"_s{p}{i}") / F.col(f"_s{p}{p}")).otherwise(F.lit(0.0))  # noqa: B023, E731
         for i in range(p + 1, k):
-            out = out.withColumn(f"_sy{i}", F.col(f"_sy{i}") - F.col(f"_f{p}{i}") * F.col(f"_sy{p}"))
+            step[f"_sy{i}"] = F.col(f"_sy{i}") - factor(i) * F.col(f"_sy{p}")
+            for j in range(i, k):
+                step[f"_s{i}{j}"] = F.col(f"_s{i}{j}") - factor(i) * F.col(f"_s{p}{j}")
+        out = out.withColumns(step)
     explained = sum((F.col(f"_g{p}") for p in range(k)), F.lit(0.0))
     r2 = F.when((F.col("_n") >= min_n) & (F.col("_syy") > 0), explained / F.nullif(F.col("_syy"), F.lit(0.0)))
-    return out.select(*keys, F.col("_n").alias("n"), r2.alias("r2"))
+    return out.withColumn("r2", r2)
 
 
 def signed_corr(df: DataFrame, keys: Keys, y: Column, x: Column, min_n: int = MIN_POINTS) -> DataFrame:
     """Sign of the correlation, 0 where it is undefined."""
     ok = y.isNotNull() & x.isNotNull()
-    r = F.corr(F.when(ok, y), F.when(ok, x))
+    r = safe_corr(y, x)
     return df.groupBy(*keys).agg(F.count_if(ok).alias("n"), r.alias("r")).withColumn(
-        "sgn", F.when((F.col("n") >= min_n) & F.col("r").isNotNull() & ~F.isnan("r"), F.signum("r")).otherwise(0).cast("int")
+        "sgn", F.when((F.col("n") >= min_n) & F.col("r").isNotNull(), F.signum("r")).otherwise(0).cast("int")
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltloom.functions.numeric import safe_corr
 from voltloom.session import cut_lineage
 
 Keys = Sequence[str]
@@ -60,7 +61,7 @@ def lag_correlation(a: DataFrame, b: DataFrame, value: str, reach: int) -> DataF
     )
     right = b.select(F.col("x").alias("xb"), F.col(value).alias("vb"))
     hit = left.join(right, F.col("xb") == F.col("x") + F.col("lag"))
-    return hit.groupBy("lag").agg(F.count("*").alias("n"), F.corr("va", "vb").alias("r"))
+    return hit.groupBy("lag").agg(F.count("*").alias("n"), safe_corr("va", "vb").alias("r"))
 
 
 def align_windows(predictions: DataFrame, widths: Mapping[str, int]) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltloom.functions import scalars
 from voltloom.functions.numeric import value_bin
@@ -44,7 +45,7 @@ def signed_ranks(df: DataFrame, keys: Sequence[str], diff: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wilcoxon_p(stat: pd.Series, n: pd.Series, tie_sum: pd.Series) -> pd.Series:
     """Two-sided p: exact for up to 50 pairs without ties, normal approximation otherwise."""
     out = []
@@ -64,7 +65,7 @@ def wilcoxon_p(stat: pd.Series, n: pd.Series, tie_sum: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided tail of Student's t by quadrature of the angle density."""
 

@@ -13,7 +13,7 @@ from voltloom.plans.registry import Inputs, query
 from voltloom.sources.fixtures import BLOCK, STEPS
 
 CH = ["meter_id", "variable"]
-ISNULL = F.col("value").isNull()
+
 
 
 @query(
@@ -42,7 +42,7 @@ def longest_const_run(t: Inputs):
     ),
 )
 def dilate_mask(t: Inputs):
-    d = seq.dilate(t.samples.withColumn("m", ISNULL), CH, "m", 3, "d", block=BLOCK)
+    d = seq.dilate(t.samples.withColumn("m", F.col("value").isNull()), CH, "m", 3, "d", block=BLOCK)
     return d.groupBy(*CH).agg(F.count_if("m").alias("n_mask"), F.count_if("d").alias("n_dilated"))
 
 

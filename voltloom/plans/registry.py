@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltloom.operators import balance, evaluate, joins, seq
-from voltloom.session import prepare
+from voltloom.session import prepare, stage
 from voltloom.sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,8 +41,8 @@ class Inputs:
 
     @cached_property
     def dense(self) -> DataFrame:
-        """The common grid, shared by nearly every query; kept while the session lives."""
-        return fixtures.dense(self.gridded).persist()
+        """The common grid, shared by nearly every query and therefore written once per application."""
+        return stage(fixtures.dense(self.gridded))
 
     @cached_property
     def samples(self) -> DataFrame:
@@ -72,7 +72,7 @@ class Inputs:
     def scored(self) -> DataFrame:
         """Predictions beside the truth, shared by the scores, balances and tests."""
         aligned = joins.align_windows(self.predictions, dict(fixtures.MODELS))
-        return evaluate.score_rows(aligned, self.truth).persist()
+        return stage(evaluate.score_rows(aligned, self.truth))
 
     @cached_property
     def load_metrics(self) -> DataFrame:

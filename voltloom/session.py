@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,15 +33,30 @@ def build_session(cores: str = "8", app: str = "voltloom") -> SparkSession:
     return prepare(spark)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for checkpoints and stage tables: ``spark.checkpoint.dir``, or a scratch folder in local tests."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+    """Reliable checkpoint, for the rounds of an iteration."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    A scratch folder is set only where the session names none (local tests).
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a table several steps read and continue from the written one.
+
+    Later plans start at a columnar scan with known size, and a lost executor costs a read, not a recomputation.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
