@@ -119,7 +119,7 @@ def phase_identities(t: Inputs):
         f"""with z as (select meter_id, x, unnest(['A', 'B', 'C']) as phase, unnest([p_a, p_b, p_c]) as p, unnest([q_a, q_b, q_c]) as q, unnest([s_a, s_b, s_c]) as s,
           unnest([cos_a, cos_b, cos_c]) as c, unnest([thdi_a, thdi_b, thdi_c]) as ti, unnest([thdv_a, thdv_b, thdv_c]) as tv, unnest([hrm_i_an_3, hrm_i_bn_3, hrm_i_cn_3]) as hi,
           unnest([hrm_v_an_5, hrm_v_bn_5, hrm_v_cn_5]) as hv, unnest(['v_an', 'v_bn', 'v_cn']) as vn from gridded),
-        g as (select meter_id, phase, quantile_cont(tri, 0.5) as med, count_if(abs(tri) > 0.1)::double / nullif(count(tri), 0) as tri_viol, count_if(p < 0)::double / nullif(count_if(p <> 0), 0) as reverse,
+        g as (select y.meter_id, y.phase, quantile_cont(tri, 0.5) as med, count_if(abs(tri) > 0.1)::double / nullif(count(tri), 0) as tri_viol, count_if(p < 0)::double / nullif(count_if(p <> 0), 0) as reverse,
           count_if(abs(c) > 1)::double / nullif(count(c), 0) as cos_oob, count_if(ti < 0 or tv < 0)::double / count(*) as thd_neg, count_if(hi < 0 or hi > 100 or hv < 0 or hv > 100)::double / count(*) as harm_oob,
           count_if(v.real and (v.value < 1 or v.value > 300))::double / nullif(count_if(v.real), 0) as v_oob
           from (select *, (p * p + q * q - s * s) / nullif(s * s, 0) as tri from z) y join real v on v.meter_id = y.meter_id and v.x = y.x and v.variable = y.vn group by 1, 2)
@@ -188,12 +188,12 @@ def classify_channel(t: Inputs):
 @query(
     "channel_audit",
     with_tables(
-        f"select meter_id, variable, n_real, n_unique, dead, {R('med')} as median, {R('mad')} as mad, case when p_status is null then {R('r2_power', 5)} end as r2_power, case when p_status is null then {R('r2_clock', 6)} end as r2_clock, case when p_status is null then coalesce(sgn, 0)::int else 0 end as sign_s, channel_class from audit",
+        f"select meter_id, variable, n_real, n_unique, dead, {R('med')} as median, {R('mad')} as mad, case when p_status is null then {R('r2_power', 3)} end as r2_power, case when p_status is null then {R('r2_clock', 6)} end as r2_clock, case when p_status is null then coalesce(sgn, 0)::int else 0 end as sign_s, channel_class from audit",
         "audit",
     ),
 )
 def channel_audit(t: Inputs):
-    return full_audit(t).select(*CH, "n_real", "n_unique", "dead", fixed("median").alias("median"), fixed("mad").alias("mad"), fixed("r2_power", 5).alias("r2_power"), fixed("r2_clock", 6).alias("r2_clock"), "sign_s", "channel_class")
+    return full_audit(t).select(*CH, "n_real", "n_unique", "dead", fixed("median").alias("median"), fixed("mad").alias("mad"), fixed("r2_power", 3).alias("r2_power"), fixed("r2_clock", 6).alias("r2_clock"), "sign_s", "channel_class")
 
 
 @query(
