@@ -144,7 +144,7 @@ def dead_or_stuck(t: Inputs):
 
 def power(t: Inputs):
     r = audit.real_rows(t.samples.filter("variable in ('p_a', 'p_b', 'p_c')"))
-    return audit.active_power(r, audit.liveness(r, BLOCK), 1.0, STEPS)
+    return t.kept("power", lambda: audit.active_power(r, audit.liveness(r, BLOCK), 1.0, STEPS))
 
 
 @query(
@@ -172,7 +172,7 @@ def power_reference(t: Inputs):
 
 
 def full_audit(t: Inputs):
-    return audit.channel_audit(rows(t), VARIABLES, 1.0, BLOCK, STEPS)
+    return t.kept("audit", lambda: audit.channel_audit(rows(t), VARIABLES, 1.0, BLOCK, STEPS))
 
 
 @query("own_physics_check", with_tables("select meter_id, variable, coalesce(viol <= 0.02, false) as own_ok from audit where p_status is null", "audit"))

@@ -8,7 +8,6 @@ from voltloom.functions.numeric import fixed, safe_corr
 from voltloom.operators import clean, joins, scope, seq
 from voltloom.plans.fixture_sql import R, add_cte, with_tables
 from voltloom.plans.registry import Inputs, query
-from voltloom.session import stage
 from voltloom.sources.fixtures import BLOCK, STEPS
 
 CH = ["meter_id", "variable"]
@@ -41,7 +40,7 @@ def current_cells(t: Inputs):
 
 
 def prelim(t: Inputs):
-    return stage(scope.prelim_sentinel(current_cells(t), STEPS))
+    return t.kept("prelim", lambda: scope.prelim_sentinel(current_cells(t), STEPS))
 
 
 @query(
@@ -95,7 +94,7 @@ _PAIRS = f"""with k as (select meter_id, x, i_an, i_bn, i_cn from gridded where
     ),
 )
 def duplicate_meters(t: Inputs):
-    p = scope.duplicate_pairs(t.dense, ["i_an", "i_bn", "i_cn"])
+    p = t.kept("pairs", lambda: scope.duplicate_pairs(t.dense, ["i_an", "i_bn", "i_cn"]))
     return p.select("a", "b", "overlap", fixed("union_frac", 6).alias("union_frac"), fixed("corr", 5).alias("corr"), fixed("mag", 5).alias("mag"), "overlapping", "interleaved")
 
 
@@ -109,7 +108,7 @@ def duplicate_meters(t: Inputs):
     ),
 )
 def duplicate_groups(t: Inputs):
-    pairs = stage(scope.duplicate_pairs(t.dense, ["i_an", "i_bn", "i_cn"]))
+    pairs = t.kept("pairs", lambda: scope.duplicate_pairs(t.dense, ["i_an", "i_bn", "i_cn"]))
     rows = t.dense.filter("i_an is not null").select("meter_id", "x", "i_an")
     lead = rows.filter("meter_id = 1").select("x", F.col("i_an").alias("lead"))
     m = rows.join(lead, "x", "left").groupBy("meter_id").agg(fixed(safe_corr("i_an", "lead"), 6).alias("corr_main"), F.count("*").alias("cov"))
@@ -220,10 +219,9 @@ add_cte(
     select meter_id, variable, x from samples where meter_id <> 1 and value is not null and x in (select x from st)""",
 )
 add_cte("mask", ("sentinels", "locked"), "select * from sentinels union select * from locked")
-add_cte(
-    "outliers",
-    ("samples", "mask", "dense"),
-    """with s as (select s.meter_id, s.variable, s.x, s.value, m.x is not null as masked, d.i_an is null as gap from samples s left join mask m on m.meter_id = s.meter_id and m.variable = s.variable and m.x = s.x join dense d on d.meter_id = s.meter_id and d.x = s.x),
+def outlier_sql(mask: str) -> str:
+    """Short extreme events of the samples outside a mask."""
+    return f"""with s as (select s.meter_id, s.variable, s.x, s.value, m.x is not null as masked, d.i_an is null as gap from samples s left join {mask} m on m.meter_id = s.meter_id and m.variable = s.variable and m.x = s.x join dense d on d.meter_id = s.meter_id and d.x = s.x),
       n as (select *, max((masked or gap)::int) over (partition by meter_id, variable order by x rows between 3 preceding and 3 following) = 1 as near from s),
       r as (select *, case when not near then value end as ref from n),
       q as (select meter_id, variable, count(ref) as n, quantile_cont(ref, 0.25) as q1, quantile_cont(ref, 0.5) as med, quantile_cont(ref, 0.75) as q3 from r group by 1, 2 having count(ref) >= 30),
@@ -235,12 +233,16 @@ add_cte(
         from k join g on g.meter_id = k.meter_id and g.variable = k.variable where value is not null and not masked),
       w as (select * from z where value < lo or value > hi or (m1 is not null and m2 is not null and abs(value - m1) / greatest(1.4826 * m2, 0.05 * scale, 1e-9) >= 8 and abs(value - m1) >= greatest(0.03 * scale, 1e-9))),
       i as (select *, x - row_number() over (partition by meter_id, variable order by x) as isle from w)
-    select meter_id, variable, x, value from (select *, count(*) over (partition by meter_id, variable, isle) as run from i) where run <= 5""",
-)
+    select meter_id, variable, x, value from (select *, count(*) over (partition by meter_id, variable, isle) as run from i) where run <= 5"""
+
+
+add_cte("outliers", ("samples", "mask", "dense"), outlier_sql("mask"))
+add_cte("exact_cells", ("flagged",), "select meter_id, variable, x from flagged where exact")
+add_cte("spikes", ("samples", "exact_cells", "dense"), outlier_sql("exact_cells"))
 
 
 def floors(t: Inputs):
-    return clean.global_floors(t.samples)
+    return t.kept("floors", lambda: clean.global_floors(t.samples))
 
 
 @query("alignment_gaps", with_tables("select meter_id, x0, x1, n from gaps where variable = 'i_an'", "gaps"))
@@ -267,27 +269,27 @@ def low_plateau(t: Inputs):
     ),
 )
 def sentinel_mask(t: Inputs):
-    m = clean.sentinel_mask(t.samples, stage(floors(t)), BLOCK, STEPS)
+    m = clean.sentinel_mask(t.samples, floors(t), BLOCK, STEPS)
     return m.groupBy(*CH).agg(F.count_if("exact").alias("n_exact"), F.count_if("low").alias("n_low"), F.count_if("core").alias("n_core"))
 
 
 def nosignal(t: Inputs):
-    return stage(clean.current_sentinel(t.samples, stage(floors(t)), BLOCK, STEPS))
+    return t.kept("nosignal", lambda: clean.current_sentinel(t.samples, floors(t), BLOCK, STEPS))
 
 
 def sentinels(t: Inputs):
-    return stage(clean.propagate(t.samples, nosignal(t), BLOCK))
+    return t.kept("sentinels", lambda: clean.propagate(t.samples, nosignal(t), BLOCK))
 
 
 def masked(t: Inputs):
     own = sentinels(t)
-    return stage(own.unionByName(clean.main_lock(t.samples, own, 1)).distinct())
+    return t.kept("mask", lambda: own.unionByName(clean.main_lock(t.samples, own, 1)).distinct())
 
 
 def points(t: Inputs, mask):
     gap = t.dense.select("meter_id", "x", F.col("i_an").isNull().alias("gap"))
     s = t.samples.join(gap, ["meter_id", "x"])
-    return clean.outliers(s, mask, F.col("gap"), BLOCK, STEPS)
+    return t.kept("outliers", lambda: clean.outliers(s, mask, F.col("gap"), BLOCK, STEPS))
 
 
 @query("sync_current_sentinel", with_tables("select meter_id, x from nosignal", "nosignal"))
@@ -306,19 +308,22 @@ def main_meter_lock(t: Inputs):
     return m.groupBy(*CH).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"))
 
 
-@query("outliers", with_tables("select meter_id, variable, x, value from outliers", "outliers"))
+@query("outliers", with_tables("select meter_id, variable, x, value from spikes", "spikes"))
 def outliers(t: Inputs):
-    return points(t, masked(t))
+    """Against the exact placeholders only, so that the spikes of every meter are in play."""
+    gap = t.dense.select("meter_id", "x", F.col("i_an").isNull().alias("gap"))
+    exact = clean.exact_floor(t.samples, floors(t)).filter("exact").select(*CH, "x")
+    return clean.outliers(t.samples.join(gap, ["meter_id", "x"]), exact, F.col("gap"), BLOCK, STEPS)
 
 
 @query(
     "apply_masks",
     with_tables(
-        f"""select s.meter_id, s.variable, count(value) as n_value, count(case when m.x is null then value end) as n_no_sentinel, count(case when m.x is null and o.x is null then value end) as n_clean,
+        f"""select s.meter_id, s.variable, count(s.value) as n_value, count(case when m.x is null then s.value end) as n_no_sentinel, count(case when m.x is null and o.x is null then s.value end) as n_clean,
         {R('sum(case when m.x is null and o.x is null then s.value end)', 2)} as total from samples s left join mask m on m.meter_id = s.meter_id and m.variable = s.variable and m.x = s.x
         left join (select meter_id, variable, x from outliers) o on o.meter_id = s.meter_id and o.variable = s.variable and o.x = s.x group by 1, 2""",
         "samples", "mask", "outliers",
-    ).replace("count(value)", "count(s.value)").replace("then value end", "then s.value end"),
+    ),
 )
 def apply_masks(t: Inputs):
     m = masked(t)

@@ -357,7 +357,8 @@ def budget(t: Inputs):
         "oa": lambda w: 0.5 * (F.col("o") + F.lead("o").over(w)),
         "ob": lambda w: 0.5 * (F.lag("o").over(w) + F.col("o")),
     }
-    return balance.uncertainty(t.scored, seq.framed(obs, ["phase"], half, 1, 1, block=BLOCK), 1.0)
+    shifted = seq.framed(obs, ["phase"], half, 1, 1, block=BLOCK)
+    return t.kept("budget", lambda: balance.uncertainty(t.scored, shifted, 1.0))
 
 
 _U = ["u_met", "u_seed", "u_sync", "e_res", "u_total"]

@@ -23,6 +23,13 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = prepare(spark)
         self.folder = folder
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A result several queries share, written once per application."""
+        if name not in self._kept:
+            self._kept[name] = stage(build())
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -62,11 +69,13 @@ class Inputs:
 
     @cached_property
     def gaps(self) -> DataFrame:
-        return seq.runs(self.samples, ["meter_id", "variable"], F.col("value").isNull(), block=fixtures.BLOCK)
+        keys = ["meter_id", "variable"]
+        missing = F.col("value").isNull()
+        return self.kept("gaps", lambda: seq.runs(self.samples, keys, missing, block=fixtures.BLOCK))
 
     @cached_property
     def conf(self) -> DataFrame:
-        return fixtures.confidence(self.samples)
+        return self.kept("conf", lambda: fixtures.confidence(self.samples))
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -76,7 +85,7 @@ class Inputs:
 
     @cached_property
     def load_metrics(self) -> DataFrame:
-        return evaluate.load_metrics(self.scored, 1.0)
+        return self.kept("load_metrics", lambda: evaluate.load_metrics(self.scored, 1.0))
 
     @cached_property
     def rest(self) -> DataFrame:
@@ -89,7 +98,7 @@ class Inputs:
 
     @cached_property
     def balance(self) -> DataFrame:
-        return balance.series(self.scored, self.rest, self.main)
+        return self.kept("balance", lambda: balance.series(self.scored, self.rest, self.main))
 
 
 _OPEN: dict[tuple[str, str], Inputs] = {}
