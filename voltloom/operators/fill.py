@@ -18,7 +18,7 @@ from voltloom.functions import scalars
 from voltloom.functions.slopes import theil_sen
 from voltloom.functions.textures import chord_shape, from_chord, two_sided_shape
 from voltloom.operators import joins, ranks, seq
-from voltloom.operators.statistics import mixed
+from voltloom.operators.statistics import adjust, ks_two_sample, mixed, wilcoxon
 from voltloom.session import stage
 
 CH = ["meter_id", "variable"]
@@ -326,3 +326,54 @@ def fill_trace(filled: DataFrame) -> DataFrame:
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds],
         F.count_if("rescaled").alias("n_rescaled"), F.count_if("clipped").alias("n_clipped"),
     )
+
+
+def heldout_windows(samples: DataFrame, size: int, count: int, seed: int) -> DataFrame:
+    """A hash sample of ``count`` windows that are half observed with both neighbours observed.
+
+    Every second tile of ``size`` steps is a candidate, so hidden windows never touch.
+    """
+    known = samples.filter(F.col("value").isNotNull())
+    tile = F.floor(F.col("x") / size).cast("long")
+    dense = known.withColumn("tile", tile).filter("tile % 2 = 1").groupBy(*CH, "tile").agg(F.count("*").alias("n_obs"))
+    dense = dense.filter(F.col("n_obs") >= 0.5 * size).withColumn("x0", F.col("tile") * size).withColumn("x1", F.col("x0") + size - 1)
+    left = known.select(*CH, (F.col("x") + 1).alias("x0"))
+    right = known.select(*CH, (F.col("x") - 1).alias("x1"))
+    ok = dense.join(left, [*CH, "x0"], "left_semi").join(right, [*CH, "x1"], "left_semi")
+    key = mixed(seed, F.lit(size), F.col("meter_id"), F.crc32("variable"), F.col("x0"))
+    return ok.withColumn("_h", key).orderBy("_h", *CH, "x0").limit(count).select(*CH, "x0", "x1", "n_obs")
+
+
+def hide(samples: DataFrame, windows: DataFrame) -> DataFrame:
+    pts = seq.interval_points(windows, CH).withColumn("_hide", F.lit(True))
+    j = samples.join(pts, [*CH, "x"], "left")
+    return j.select(*CH, "x", F.when(F.col("_hide").isNull(), F.col("value")).alias("value"))
+
+
+def fill_scores(truth: DataFrame, filled: DataFrame, windows: DataFrame, method: str) -> DataFrame:
+    """Spread and energy ratios, mean absolute error and distribution distance per hidden window."""
+    pts = seq.interval_points(windows, CH, "x0").join(truth.filter(F.col("value").isNotNull()).select(*CH, "x", F.col("value").alias("t")), [*CH, "x"])
+    j = pts.join(filled.select(*CH, "x", F.col("value").alias("f")), [*CH, "x"])
+    keys = [*CH, "x0"]
+    zero = F.lit(0.0)
+    g = j.groupBy(*keys).agg(
+        (F.stddev_pop("f") / F.nullif(F.stddev_pop("t"), zero)).alias("sd_ratio"), (F.sum("f") / F.nullif(F.sum("t"), zero)).alias("energy_ratio"),
+        F.avg(F.abs(F.col("f") - F.col("t"))).alias("mae"), F.count("*").alias("n"),
+    )
+    both = j.select(*keys, F.explode(F.array(F.struct(F.col("t").alias("v"), F.lit(True).alias("a")), F.struct(F.col("f").alias("v"), F.lit(False).alias("a")))).alias("s"))
+    ks = ks_two_sample(both.select(*keys, "s.v", "s.a"), keys, "v", F.col("a"))
+    return g.join(ks.select(*keys, F.col("d").alias("ks_d"), F.col("p_value").alias("ks_p")), keys).withColumn("method", F.lit(method))
+
+
+def method_tests(scores: DataFrame, a: str, b: str) -> DataFrame:
+    """Paired tests of two methods on the distance of the ratios from one and on the error, adjusted together."""
+    marks = {"sd": F.abs(F.col("sd_ratio") - 1), "energy": F.abs(F.col("energy_ratio") - 1), "mae": F.col("mae")}
+    out = None
+    for name, c in marks.items():
+        one = scores.select(*CH, "x0", "method", c.alias("v"))
+        pair = one.groupBy(*CH, "x0").agg(
+            (F.max(F.when(F.col("method") == a, F.col("v"))) - F.max(F.when(F.col("method") == b, F.col("v")))).alias("diff")
+        )
+        t = wilcoxon(pair.withColumn("metric", F.lit(name)), ["metric"], "diff")
+        out = t if out is None else out.unionByName(t)
+    return adjust(out)

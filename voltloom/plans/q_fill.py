@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voltloom.functions.numeric import fixed
-from voltloom.operators import fill
+from voltloom.operators import fill, seq
 from voltloom.plans.fixture_sql import R, add_cte, with_tables
 from voltloom.plans.registry import Inputs, query
 from voltloom.sources.fixtures import BLOCK, STEPS
@@ -69,3 +69,31 @@ def analog_fill(t: Inputs):
 @query("fill_trace")
 def fill_trace(t: Inputs):
     return fill.fill_trace(filled(t))
+
+
+def hidden(t: Inputs):
+    return t.kept("hidden", lambda: fill.heldout_windows(t.samples.filter("meter_id <> 8"), 12, 50, 7))
+
+
+@query("heldout_windows")
+def heldout_windows(t: Inputs):
+    return hidden(t)
+
+
+def scores(t: Inputs):
+    win = hidden(t)
+    masked = t.kept("masked_samples", lambda: fill.hide(t.samples.join(win.select(*CH).distinct(), CH, "left_semi"), win))
+    line = seq.interpolate(masked, CH, "value", "f", block=BLOCK).select(*CH, "x", F.col("f").alias("value"))
+    own = t.kept("refilled", lambda: fill.analog_fill(masked, BANDS, BLOCK, STEPS))
+    both = fill.fill_scores(t.samples, line, win, "linear").unionByName(fill.fill_scores(t.samples, own, win, "analog"))
+    return t.kept("fill_scores", lambda: both)
+
+
+@query("fill_scores")
+def fill_scores(t: Inputs):
+    return scores(t)
+
+
+@query("fill_method_tests")
+def fill_method_tests(t: Inputs):
+    return fill.method_tests(scores(t), "analog", "linear")
