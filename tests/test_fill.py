@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voltloom.operators import features, fill, repair
+from voltloom.operators import features, fill, fit, repair
 from voltloom.plans.q_fill import BANDS
 from voltloom.streaming.windows import stream_grid
 
@@ -104,3 +104,45 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda d: sorted((r.meter_id, r.start, r.n, r.p_a, r.kwh) for r in d.collect())
     assert key(spark.table("grid_out")) == key(stream_grid(df, ["p_a"], "1 hour", "10 minutes", "p_a"))
+
+
+def test_physical_fit_is_a_bounded_minimum(spark):
+    rng = np.random.default_rng(4)
+    n = 120
+    v, i, c = 220 + rng.normal(0, 3, n), 5 + rng.random(n), 0.8 + 0.1 * rng.random(n)
+    s = v * i
+    cols = {}
+    for ph, scale in (("a", 1.0), ("b", 1.15), ("c", 1.0)):
+        q = s * np.sqrt(1 - c * c) * (1.5 if ph == "c" else 1.0)
+        cols |= {f"v_{ph}n": v, f"i_{ph}n": i, f"p_{ph}": s * c, f"q_{ph}": q, f"s_{ph}": s * scale, f"cos_{ph}": c}
+    rows = [(1, k, *[float(a[k]) for a in cols.values()]) for k in range(n)]
+    df = spark.createDataFrame(rows, "meter_id int, x long, " + ", ".join(f"{k} double" for k in cols))
+    got = {r.phase: r for r in fit.physical_fit(df, 1000).collect()}
+    assert not got["A"].fitted and got["A"].status == "COMPATIBLE"
+
+    def objective(ph, t):
+        V, I, P, Q, S, C = (cols[k.format(p=ph)] for k in ("v_{p}n", "i_{p}n", "p_{p}", "q_{p}", "s_{p}", "cos_{p}"))
+        vt, it, st, qt = t[0] * V + t[1] * np.median(V), t[2] * I + t[3] * np.median(I), t[4] * S, t[5] * Q
+        total = fit.PENALTY * np.sum((np.array(t) - fit.START) ** 2)
+        for r in ((st - vt * it) / S, (P - st * C) / P, (st**2 - P**2 - qt**2) / S**2):
+            a = np.abs(r)
+            total += np.where(a <= fit.DELTA, r * r / 2, fit.DELTA * (a - fit.DELTA / 2)).mean()
+        return total
+
+    for ph in "bc":
+        r = got[ph.upper()]
+        t = np.array([r[k] for k in fit.NAMES])
+        best = objective(ph, t)
+        assert r.fitted and best < objective(ph, np.array(fit.START))
+        for _ in range(300):
+            near = np.clip(t + rng.normal(0, 0.02, 6), fit.LOW, fit.HIGH)
+            assert objective(ph, near) >= best - 1e-5
+
+
+def test_islands_cover_the_hole(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, "p_a", x, None if 80 <= x < 130 or x % 40 == 0 else float(50 + rng.normal())) for x in range(200)]
+    df = spark.createDataFrame(rows, "meter_id int, variable string, x long, value double")
+    hole = spark.createDataFrame([(1, "p_a", 80, 129)], "meter_id int, variable string, x0 long, x1 long")
+    out = {r.x: r.value for r in repair.island_overlap_add(df, hole, 32).collect()}
+    assert sorted(out) == list(range(80, 130)) and all(40 < v < 60 for v in out.values())

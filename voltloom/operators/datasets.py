@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltloom.functions import names, scalars
+from voltloom.operators import seq
 
 # fixed values: gates of the energy preservation check, in percent and kWh
 DEAD_PCT, ALERT_PCT, BLOCK_PCT, NEAR_ZERO_KWH = 99.0, 1.0, 5.0, 1.0
@@ -119,3 +120,14 @@ def one_se_rule(scores: DataFrame) -> DataFrame:
     j = g.crossJoin(F.broadcast(best)).withColumn("within", F.col("mean_nae") <= F.col("_limit")).drop("_limit")
     smallest = F.min(F.when(F.col("within"), F.struct("n_features", "set"))).over(Window.partitionBy())
     return j.withColumn("chosen", F.col("within") & (F.col("set") == smallest["set"]))
+
+
+def split_windows(rows: DataFrame, columns: Sequence[str], train: Column, split: Column, width: int, block: int) -> DataFrame:
+    """Scaled windows that never cross a split border; the scale is fitted on the training rows.
+
+    ``rows(x, *columns)`` is one dense series.
+    """
+    fit = rows.filter(train).agg(*[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns])
+    width_of = lambda c: F.when(F.col(f"_hi_{c}") == F.col(f"_lo_{c}"), F.lit(1.0)).otherwise(F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))
+    scaled = rows.crossJoin(F.broadcast(fit)).select("x", split.alias("split"), *[((F.col(c) - F.col(f"_lo_{c}")) / width_of(c)).alias(c) for c in columns])
+    return seq.windows(scaled, ["split"], list(columns), width, block=block)

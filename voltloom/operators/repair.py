@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voltloom.functions.numeric import safe_corr
 from voltloom.operators import ranks, seq
+from voltloom.operators.statistics import mixed
 from voltloom.session import stage
 
 CH = ["meter_id", "variable"]
@@ -141,3 +143,36 @@ def apply_repair(samples: DataFrame, envelope: DataFrame, first: int, last: int,
     j = out.join(envelope.select(*CH, "lower", "upper"), CH, "left")
     guarded = F.when(F.col("value").isNotNull() & F.col("lower").isNotNull(), F.greatest(F.least("value", "upper"), F.col("lower"))).otherwise(F.col("value"))
     return j.select(*CH, "x", guarded.alias("value"))
+
+
+def island_overlap_add(samples: DataFrame, holes: DataFrame, block: int, seed: int = 42, overlap: float = 0.4, shortest: int = 8, reach: int = 60) -> DataFrame:
+    """Values for the points of ``holes`` from hash-drawn islands of the same channel.
+
+    Islands of at least ``shortest`` values, off their median, are laid over the hole under a raised cosine,
+    each starting ``1 - overlap`` of the former's length later, on the median level of the neighbourhood.
+    """
+    known = samples.filter(F.col("value").isNotNull())
+    isl = seq.runs(known, CH, F.lit(True), shortest, block=block)
+    pts = seq.interval_points(isl, CH, "x0").join(known, [*CH, "x"]).withColumnRenamed("x0", "i0")
+    mid = pts.groupBy(*CH, "i0").agg(F.percentile("value", F.lit(0.5)).alias("_m"))
+    pts = pts.join(mid, [*CH, "i0"]).select(*CH, "i0", (F.col("x") - F.col("i0")).alias("j"), (F.col("value") - F.col("_m")).alias("d"))
+    order = seq.running(isl.select(*CH, F.col("x0").alias("x"), "n"), CH, {"no": F.lit(1)}, block=block)
+    order = order.select(*CH, (F.col("no") - 1).alias("no"), F.col("x").alias("i0"), F.col("n").alias("k"))
+    total = isl.groupBy(*CH).agg(F.count("*").alias("total"))
+    gap = holes.join(total, CH).withColumn("len", F.col("x1") - F.col("x0") + 1)
+    least = max(1, int(shortest * (1 - overlap)))
+    draw = gap.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("len") / least))))
+    pick = mixed(seed, F.col("meter_id"), F.crc32("variable"), F.col("x0"), F.col("c"))
+    draw = draw.withColumn("no", F.pmod(pick, F.col("total"))).join(order, [*CH, "no"])
+    w = Window.partitionBy(*CH, "x0", "x1").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    stride = F.greatest(F.lit(1), F.floor(F.col("k") * (1 - overlap)))
+    draw = draw.withColumn("pos", F.coalesce(F.sum(stride).over(w), F.lit(0))).filter("pos < len")
+    laid = draw.join(pts, [*CH, "i0"]).withColumn("x", F.col("x0") + F.col("pos") + F.col("j")).filter("x <= x1")
+    hann = 0.5 - 0.5 * F.cos(2.0 * math.pi * F.col("j") / (F.col("k") - 1))
+    shape = laid.groupBy(*CH, "x0", "x1", "x").agg(F.sum(hann * F.col("d")).alias("a"), F.sum(hann).alias("w"))
+    near = seq.context_points(holes, CH, reach).join(known, [*CH, "x"])
+    level = near.groupBy(*CH, "x0", "x1").agg(F.percentile("value", F.lit(0.5)).alias("level"))
+    every = seq.interval_points(gap, CH, "x0", "x1")
+    j = every.join(shape, [*CH, "x0", "x1", "x"], "left").join(level, [*CH, "x0", "x1"], "left")
+    value = F.coalesce(F.col("a") / F.when(F.col("w") < 1e-9, F.lit(1.0)).otherwise(F.col("w")), F.lit(0.0)) + F.coalesce("level", F.lit(0.0))
+    return j.select(*CH, "x", value.alias("value"))

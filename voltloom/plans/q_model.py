@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voltloom.functions import names
 from voltloom.functions.numeric import fixed
-from voltloom.operators import features, ranks, repair, seq, statistics
+from voltloom.operators import datasets, features, fit, ranks, repair, seq, statistics
 from voltloom.plans.fixture_sql import R, add_cte, with_tables
 from voltloom.plans.registry import Inputs, query
 from voltloom.sources.fixtures import BLOCK, STEPS, VARIABLES
@@ -218,3 +218,46 @@ def grouped_permutation_importance(t: Inputs):
 def stream_grid_batch(t: Inputs):
     s = stream_grid(t.readings, ["p_a"], "1 hour", "1 hour", "p_a")
     return s.select("meter_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", fixed("p_a").alias("p_a"), fixed("kwh").alias("kwh"))
+
+
+# ---- physical fit, island overlap-add, split windows --------------------------------------------------
+
+
+@query(
+    "relative_residuals",
+    with_tables(
+        f"""with z as (select meter_id, unnest(['A', 'B', 'C']) as phase, unnest([v_an, v_bn, v_cn]) as v, unnest([i_an, i_bn, i_cn]) as i, unnest([p_a, p_b, p_c]) as p, unnest([q_a, q_b, q_c]) as q, unnest([s_a, s_b, s_c]) as s, unnest([cos_a, cos_b, cos_c]) as c from gridded)
+        select meter_id, phase, {R('quantile_cont(abs((s - v * i) / (abs(s) + 1e-9)), 0.5)', 5)} as vi, {R('quantile_cont(abs((p - s * c) / (abs(p) + 1e-9)), 0.5)', 5)} as pcos, {R('quantile_cont(abs((s * s - p * p - q * q) / (s * s + 1e-9)), 0.5)', 5)} as tri from z where s > 0 group by 1, 2""",
+        "gridded",
+    ),
+)
+def relative_residuals(t: Inputs):
+    rows = fit.usable(t.dense.filter("p_a is not null"), STEPS)
+    m = fit.median_residuals(rows, {n: F.lit(v) for n, v in zip(fit.NAMES, fit.START)}, STEPS)
+    return m.select("meter_id", "phase", *[fixed(c, 5).alias(c) for c in ("vi", "pcos", "tri")])
+
+
+@query("physical_fit")
+def physical_fit(t: Inputs):
+    return t.kept("physical_fit", lambda: fit.physical_fit(t.dense.filter("p_a is not null"), STEPS))
+
+
+@query("island_overlap_add")
+def island_overlap_add(t: Inputs):
+    return repair.island_overlap_add(t.samples, t.gaps.filter("n >= 3").select(*CH, "x0", "x1"), BLOCK, shortest=4)
+
+
+@query(
+    "split_windows",
+    with_tables(
+        f"""with f as (select min(p_a) as lo, max(p_a) as hi from (select coalesce(p_a, 0) as p_a, x from dense where meter_id = 1) where x < 576),
+        s as (select x, case when x < 576 then 'train' when x < 648 then 'val' else 'test' end as split, (coalesce(p_a, 0) - lo) / (hi - lo) as v from dense, f where meter_id = 1)
+        select split, x as window_idx, {R('total', 5)} as total from (select *, count(*) over w as n, sum(v) over w as total from s window w as (partition by split order by x rows between current row and 11 following)) where n = 12""",
+        "dense",
+    ),
+)
+def split_windows(t: Inputs):
+    rows = t.dense.filter("meter_id = 1").select("x", F.coalesce("p_a", F.lit(0.0)).alias("p"))
+    split = F.when(F.col("x") < 576, "train").when(F.col("x") < 648, "val").otherwise("test")
+    w = datasets.split_windows(rows, ["p"], F.col("x") < 576, split, 12, BLOCK)
+    return w.select("split", "window_idx", fixed(F.aggregate(F.col("window.p"), F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
