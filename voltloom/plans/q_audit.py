@@ -39,13 +39,21 @@ _COV = ", ".join(
 _DET4 = _det([0, 1, 2, 3])
 _DET3 = _det([1, 2, 3])
 
+add_cte(
+    "ortho",
+    ("gridded",),
+    """with b as (select meter_id, coalesce(regr_slope(p_b, p_a), 0) as b1, coalesce(regr_intercept(p_b, p_a), 0) as b0, coalesce(regr_slope(p_c, p_a), 0) as c1, coalesce(regr_intercept(p_c, p_a), 0) as c0 from gridded group by 1),
+      e as (select g.meter_id, x, p_a, p_b - (b0 + b1 * p_a) as eb, p_c - (c0 + c1 * p_a) as u from gridded g join b on b.meter_id = g.meter_id),
+      d as (select meter_id, coalesce(regr_slope(u, eb), 0) as k from e group by 1)
+    select e.meter_id, x, p_a, eb as p_b, u - k * eb as p_c from e join d on d.meter_id = e.meter_id""",
+)
 add_cte(
     "long_p",
-    ("samples", "gridded"),
-    "select s.meter_id, s.variable, s.x, s.value, g.p_a, g.p_b, g.p_c, case substr(ph, 1, 1) when 'a' then g.s_a when 'b' then g.s_b else g.s_c end as s_ph,"
+    ("samples", "gridded", "ortho"),
+    "select s.meter_id, s.variable, s.x, s.value, o.p_a, o.p_b, o.p_c, case substr(ph, 1, 1) when 'a' then g.s_a when 'b' then g.s_b else g.s_c end as s_ph,"
     " case substr(ph, 1, 1) when 'a' then g.p_a when 'b' then g.p_b else g.p_c end as p_ph, fam from"
     " (select *, regexp_extract(variable, '_([abc])n?(_[0-9]+)?$', 1) as ph, regexp_extract(variable, '^(hrm_[iv]|thd[iv]|cos|[ivpqs])_', 1) as fam from samples where value is not null) s"
-    " join gridded g on g.meter_id = s.meter_id and g.x = s.x",
+    " join gridded g on g.meter_id = s.meter_id and g.x = s.x join ortho o on o.meter_id = s.meter_id and o.x = s.x",
 )
 add_cte(
     "real",
