@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltloom.functions import names, scalars
-from voltloom.functions.numeric import fixed, ratio, share
+from voltloom.functions.numeric import fixed, share
 from voltloom.operators import aggregate, grid, joins, ranks
 from voltloom.plans.fixture_sql import R, with_tables
 from voltloom.plans.registry import Inputs, query
 from voltloom.sources import fixtures, readings
-from voltloom.sources.fixtures import STEPS, VARIABLES
+from voltloom.sources.fixtures import VARIABLES
 
 CH = ["meter_id", "variable"]
 TIME = "cast(time as timestamp_ntz)"
