@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.llm import bpe, linecrf, quality, repair, simhash, toxicity
+from voltloom.llm import bpe, fmindex, linecrf, quality, repair, simhash, suffix, toxicity
 from voltloom.llm.frame import table
 from voltloom.session import shared_dir
 
@@ -67,3 +67,15 @@ def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fmindex.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
