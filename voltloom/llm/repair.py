@@ -14,8 +14,10 @@ Defined results: a null or empty text has only the end id; null ``doc_id`` comes
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from voltloom.llm.bpe import byte_letters
 from voltloom.llm.frame import arrow_schema, texts
 
 BLOCK = 1 << 19
 MIN_PAIRS = 8
 #: A round that shortens a block by less than this share is the last.
 LEAST_GAIN = 0.01
-REMEMBERED = 200_000
+#: Pieces a worker remembers before it starts anew; this bounds memory only.
+REMEMBERED = 400_000
+#: Latin letters, then ASCII punctuation.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+#: What Python takes for white space and the splitter does not.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 NO_ID = np.iinfo(np.int64).min
 FILE = (
     "shard int, block int, start long, n_ids long, terminals int, rules binary, lengths binary, body binary, docs binary, sizes binary"
@@ -93,25 +101,70 @@ def access(rules: np.ndarray, lengths: np.ndarray, body: np.ndarray, terminals:
     return expand(rules, body[first : last + 1], terminals)[low - begin : high - begin]
 
 
+class Pieces:
+    """Ids of the pieces between white space met so far, in one row.
+
+    The file's splitter drops white space and never joins across it. A piece of Latin letters with punctuation behind is two words to it;
+    such words go to the library's model as they are, all other pieces through the library's whole pipeline.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.words: dict[str, list[int]] = {}
+        self.ids, self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def word(self, word: str) -> list[int]:
+        ids = self.words.get(word)
+        if ids is None:
+            shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return ids
+
+    def learn(self, pieces: set[str]) -> None:
+        new = sorted(pieces.difference(self.number))
+        found: list[list[int]] = []
+        odd = []
+        for k, piece in enumerate(new):
+            plain = PLAIN.fullmatch(piece)
+            if plain:
+                letters, behind = plain.groups()
+                found.append(self.word(letters.lower()) + self.word(behind) if behind else self.word(letters.lower()))
+            else:
+                odd.append(k)
+                found.append([])
+        for k, e in zip(odd, self.tokenizer.encode_batch_fast([new[k] for k in odd], add_special_tokens=False), strict=True):
+            found[k] = e.ids
+        self.number.update((w, len(self.size) + k) for k, w in enumerate(new))
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.begin = np.append(self.begin, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), np.int64, int(size.sum())))
+
+    def tokenize(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        pieces = [t.split() if not SEPARATORS.search(t) else re.split("[ \t\r\n]+", t) for t in texts]
+        self.learn(set().union(*pieces))
+        out = []
+        for own in pieces:
+            at = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
+            size = self.size[at]
+            ends = np.cumsum(size)
+            out.append(self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - ends + size, size)])
+        return out
+
+
 @lru_cache(maxsize=2)
-def load(path: str) -> tuple[Tokenizer, dict[str, int], list[np.ndarray]]:
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer, {}, []
-
-
-def tokenize(batch: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text. The file's splitter drops white space and never joins across it, so each different piece is encoded once."""
-    tokenizer, known, ids = load(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-        ids.clear()
-    pieces = [t.translate({9: 32, 10: 32, 13: 32}).split(" ") for t in batch]
-    new = sorted(set().union(*pieces).difference(known)) if pieces else []
-    known.update((w, len(ids) + k) for k, w in enumerate(new))
-    ids.extend(np.array(e.ids, np.int64) for e in tokenizer.encode_batch(new, add_special_tokens=False))
-    return [np.concatenate([ids[known[w]] for w in p]) for p in pieces]
+def load(path: str) -> Pieces:
+    return Pieces(path)
 
 
 def write(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
@@ -121,7 +174,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, done, blocks = TaskContext.get().partitionId(), 0, 0
-        terminals = max(load(vocabulary)[0].get_vocab_size(with_added_tokens=True), end_id + 1)
+        terminals = max(load(vocabulary).terminals, end_id + 1)
         held: list[np.ndarray] = []
         names: list[int] = []
         total = 0
@@ -136,7 +189,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            ids = tokenize(batch.column("text").to_pylist(), vocabulary)
+            ids = load(vocabulary).tokenize(batch.column("text").to_pylist())
             for name, own in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                 held.append(np.append(own, end_id))
                 names.append(NO_ID if name is None else name)
@@ -158,7 +211,7 @@ def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` from the files: ``start`` counts the ids of all documents before."""
     blocks = spark.read.parquet(path)
-    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("own"))  # one row a shard
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("own"))  # a row a shard, and shards are at most the shuffle's partitions
     before = shards.select("shard", (F.sum("own").over(Window.orderBy("shard")) - F.col("own")).alias("base"))
     ddl = "doc_id long, start long, n_tokens long, ids binary"
     schema = arrow_schema(ddl)
@@ -178,4 +231,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     pa.array([data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()),
                 ], schema=schema)
 
-    return blocks.join(before, "shard").select("base", "start", "terminals", "rules", "body", "docs", "sizes").mapInArrow(run, ddl)
+    return blocks.join(F.broadcast(before), "shard").select("base", "start", "terminals", "rules", "body", "docs", "sizes").mapInArrow(run, ddl)
