@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.llm import bpe, fmindex, linecrf, quality, repair, simhash, suffix, toxicity
+from voltloom.llm import bpe, fmindex, hosts, linecrf, quality, repair, simhash, suffix, toxicity
 from voltloom.llm.frame import table
 from voltloom.session import shared_dir
 
@@ -79,3 +79,11 @@ def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query
+def op9_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(table(spark, sf_dir, "pages"), RULES).drop("words")
