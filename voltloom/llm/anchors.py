@@ -269,6 +269,13 @@ def covered(size: int, starts: list[int] | None, ns: list[int] | None, window: i
     return np.cumsum(change)[:size] > 0
 
 
+def rows_with_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Every row, whole, as ``row``, with its text and runs."""
+    row = docs.select(F.struct("*").alias("row"))
+    own = row.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"))
+    return own.withColumn("mark", F.xxhash64("text")).join(found, KEY, "left").select("row", "text", "starts", "ns")
+
+
 def with_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Every row with its id (null again where it was), text and runs."""
     return keyed(docs).join(found, KEY, "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", "starts", "ns")

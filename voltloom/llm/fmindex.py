@@ -12,14 +12,16 @@ rows that share an id but not the text are ordered by a hash of the text; a null
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from voltloom.llm.anchors import Kind, covered, repeated_windows, with_windows
+from voltloom.llm.anchors import Kind, covered, repeated_windows, rows_with_windows, with_windows
 from voltloom.llm.frame import per_batch
 
 WINDOW, GRAM = 20, 8
@@ -136,3 +138,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         return out
 
     return per_batch(with_windows(docs, found), "doc_id long, n_words long, n_removed long, kept string", work)
+
+
+def shortened(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The documents, whole, with the repeated words taken out of ``text``; a text without any stays as it is."""
+    found = repeated_windows(docs, kind(window, gram), SHARD, partial(earlier, window=window))
+    rows = rows_with_windows(docs, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for text, starts, ns in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ns")), strict=True):
+                if starts:
+                    words = text.encode().split()
+                    gone = covered(len(words), starts, ns, window)
+                    kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode())
+                else:
+                    kept.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "kept"])
+
+    schema = rows.select("row", F.lit("").alias("kept")).schema
+    text = F.coalesce("kept", "row.text").alias("text")
+    return rows.mapInArrow(run, schema).select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -74,3 +74,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
     return x ^ (x >> np.uint64(32))
+
+
+def keep_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows, whole, for which ``keep`` says so; it gets ``doc_id`` and ``text`` as ``texts`` gives them."""
+    together = df.select(F.struct("*").alias("row")).select(
+        "row", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text"), F.lit("")).alias("text")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(keep(batch)))], ["row"])
+
+    return together.mapInArrow(run, together.select("row").schema).select("row.*")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltloom.llm.folds import held_out, labelled, unlabelled
-from voltloom.llm.frame import per_batch, texts
+from voltloom.llm.frame import keep_rows, per_batch, texts
 
 SAMPLE = 8000
 THRESHOLD = 0.3
@@ -96,3 +96,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     scored = per_batch(texts(docs), "doc_id long, score double", work)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents, whole, that score at least the threshold."""
+    return keep_rows(docs, lambda batch: model.score(np.stack([features(t) for t in batch.column("text").to_pylist()])) >= THRESHOLD)

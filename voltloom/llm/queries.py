@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.llm import bpe, fmindex, hosts, linecrf, quality, repair, simhash, suffix, toxicity
+from voltloom.llm import anchors, bpe, fmindex, hosts, leaks, linecrf, quality, repair, simhash, suffix, toxicity
 from voltloom.llm.frame import table
 from voltloom.session import shared_dir
 
@@ -87,3 +87,9 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 @query
 def op9_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(table(spark, sf_dir, "pages"), RULES).drop("words")
+
+
+@query
+def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.when(F.col("doc_id") != anchors.NO_ID, F.col("doc_id")).alias("doc_id"), "item_id", "edits", "word_end", "item_words").distinct()

@@ -133,3 +133,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, near: int = NEAR) -> DataFra
 
 def hexadecimal(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def one_of_each(docs: DataFrame, size: int = 3, near: int = NEAR) -> DataFrame:
+    """The documents, whole, without those whose component has a smaller ``doc_id``."""
+    copies = near_duplicates(docs, size, near).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
