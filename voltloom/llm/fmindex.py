@@ -157,6 +157,6 @@ def shortened(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
                     kept.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "kept"])
 
-    schema = rows.select("row", F.lit("").alias("kept")).schema
+    schema = rows.select("row", F.lit(None).cast("string").alias("kept")).schema
     text = F.coalesce("kept", "row.text").alias("text")
     return rows.mapInArrow(run, schema).select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
