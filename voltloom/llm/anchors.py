@@ -10,7 +10,7 @@ segment. Segments meet under their anchor:
    of their windows occur elsewhere;
 4. windows found are collected per document.
 
-An anchor with more than ``CROWD`` classes is asked for window by window under the hash of each whole window, which splits it without
+An anchor with more than ``crowd`` classes is asked for window by window under the hash of each whole window, which splits it without
 losing a pair. Documents are told apart by id and text: rows that repeat both are one document. A null id counts as the largest.
 """
 
@@ -46,6 +46,7 @@ class Kind:
     first_stays: bool
     split: Callable[[bytes], tuple[np.ndarray, Callable[[int, int], bytes]]]
     payload: Callable[[bytes], bytes]
+    crowd: int = CROWD
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def meet(rows: DataFrame, kind: Kind) -> DataFrame:
             for take, done in ((found, True), (asked, False)):
                 if take.any():
                     n = int(take.sum())
-                    values = (np.full(n, done), c["anchor"][take], c["doc_id"][take], c["mark"][take], c["start"][take], c["n"][take], copies[take] > 1, classes[take] > CROWD)
+                    values = (np.full(n, done), c["anchor"][take], c["doc_id"][take], c["mark"][take], c["start"][take], c["n"][take], copies[take] > 1, classes[take] > kind.crowd)
                     yield pa.RecordBatch.from_arrays([pa.array(v).cast(f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
     return rows.repartition("route").sortWithinPartitions("route").mapInArrow(run, ASKED)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltloom.llm.anchors import Kind, covered, repeated_windows, rows_with_windows, with_windows
+from voltloom.llm.anchors import CROWD, Kind, covered, repeated_windows, rows_with_windows, with_windows
 from voltloom.llm.frame import per_batch
 
 WINDOW, GRAM = 20, 8
@@ -119,13 +119,13 @@ def word_numbers(piece: bytes) -> bytes:
     return word_units(piece)[0].tobytes()
 
 
-def kind(window: int, gram: int) -> Kind:
-    return Kind(window, gram, True, word_units, word_numbers)
+def kind(window: int, gram: int, crowd: int = CROWD) -> Kind:
+    return Kind(window, gram, True, word_units, word_numbers, crowd)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (the words that stay, joined by a space) of every row."""
-    found = repeated_windows(docs, kind(window, gram), SHARD, partial(earlier, window=window))
+    found = repeated_windows(docs, kind(window, gram, crowd), SHARD, partial(earlier, window=window))
 
     def work(batch: pa.RecordBatch) -> dict:
         out: dict = {"doc_id": batch.column("doc_id"), "n_words": [], "n_removed": [], "kept": []}
@@ -140,9 +140,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     return per_batch(with_windows(docs, found), "doc_id long, n_words long, n_removed long, kept string", work)
 
 
-def shortened(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def shortened(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """The documents, whole, with the repeated words taken out of ``text``; a text without any stays as it is."""
-    found = repeated_windows(docs, kind(window, gram), SHARD, partial(earlier, window=window))
+    found = repeated_windows(docs, kind(window, gram, crowd), SHARD, partial(earlier, window=window))
     rows = rows_with_windows(docs, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from voltloom.llm.anchors import Kind, covered, repeated_windows, with_windows
+from voltloom.llm.anchors import CROWD, Kind, covered, repeated_windows, with_windows
 from voltloom.llm.frame import mixed, per_batch
 
 WINDOW, GRAM = 200, 64
@@ -146,13 +146,13 @@ def byte_units(data: bytes):
     return mixed(raw.astype(np.uint64) + np.uint64(1)), lambda a, b: data[a:b]
 
 
-def kind(window: int, gram: int) -> Kind:
-    return Kind(window, gram, False, byte_units, bytes)
+def kind(window: int, gram: int, crowd: int = CROWD) -> Kind:
+    return Kind(window, gram, False, byte_units, bytes, crowd)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) of every row; windows have at least ``PERIOD`` bytes."""
-    found = repeated_windows(docs, kind(window, gram), SHARD, partial(elsewhere, window=window))
+    found = repeated_windows(docs, kind(window, gram, crowd), SHARD, partial(elsewhere, window=window))
 
     def work(batch: pa.RecordBatch) -> dict:
         out: dict = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
