@@ -12,7 +12,7 @@ from conftest_llm import odd_rows, prose, small_rows
 
 from voltloom.llm import folds, hosts, linecrf, quality, queries, toxicity
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, MIDDLE, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -147,6 +147,14 @@ def test_levenshtein_automata():
         assert (found[w] and found[w][1]) == near, w
 
 
+def test_stems():
+    lexicon = toxicity.Lexicon(["lowei*", "loser", "lows"])
+    found = lexicon.look_up({"lowei", "loweischaft", "lowe", "loveischaft", "losser", "lows", "lowsy", "loweir"})
+    name = {w: f and (lexicon.terms[f[0]], f[1]) for w, f in found.items()}
+    assert name["lowei"] == name["loweischaft"] == ("lowei*", 0) and name["lows"] == ("lows", 0) and name["losser"] == ("loser", 1)
+    assert name["loweir"] == ("lowei*", 0) and name["lowe"] is name["loveischaft"] is name["lowsy"] is None
+
+
 def test_quotations():
     say = 'He said "you idiot of a man" and left. idiot " x'
     assert toxicity.quoted(say, say.index("idiot"), say.index("idiot") + 5)
@@ -155,10 +163,10 @@ def test_quotations():
 
 
 def test_query_toxicity(spark):
-    own = {r.doc_id: r for r in queries.op8_toxicity(spark, MIDDLE).collect()}
-    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
+    own = {r.doc_id: r for r in queries.op8_toxicity(spark, LARGE).collect()}
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGE}/labels.parquet").collect()}
     rows = [(own[i].predicted, y) for i, y in label.items() if held(i)]
-    assert len(own) == 1000 and np.mean([p == y for p, y in rows]) > 0.95
+    assert len(own) == 10000 and np.mean([p == y for p, y in rows]) > 0.95
     assert sum(p for p, y in rows if not y) == 0
 
 

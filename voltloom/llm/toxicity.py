@@ -1,7 +1,7 @@
 """Toxicity from a learnt lexicon, misspellings included.
 
-The lexicon is learnt from at most ``SAMPLE`` labelled rows: words that far more toxic than clean documents hold, near copies counted
-once. Its words form a trie; their Levenshtein automata (one edit from five letters on, two from nine) run on it together: a state is the
+The lexicon is learnt from at most ``SAMPLE`` labelled rows: words that far more toxic than clean documents hold, in different company.
+A stem that many such words share counts as a term with any ending. The terms form a trie; their Levenshtein automata (one edit from five letters on, two from nine) run on it together: a state is the
 set of trie nodes with the edits spent on the way, made deterministic as texts are read and tabulated. Sorted words share the states of
 their common prefix. A hit inside quotation marks that open before it and close after it, within ``WINDOW`` words, is a quotation; hits
 are summed by (exact or misspelled) x (plain or quoted), and a logistic model weighs them.
@@ -12,23 +12,27 @@ same score; extra columns are left out.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from voltloom.llm.folds import held_out, labelled
 from voltloom.llm.frame import per_batch, texts
+from voltloom.session import stage
 
 SAMPLE = 8000
 THRESHOLD = 0.5
 WINDOW = 12
 #: A lexicon word is in so large a share of the toxic documents and that much likelier there.
-LEAST_SHARE, LEAST_ODDS = 0.02, 20.0
+LEAST_SHARE, LEAST_ODDS, CAUTION = 0.02, 20.0, 3.0
+#: Letters of a stem.
+STEMS = range(3, 9)
 LETTERS = regex.compile(r"[\p{L}\p{M}\p{N}']+")
 OPENING, CLOSING = "\"“„«‘‹", "\"”“»’›"
 #: States and words a worker remembers before it starts anew; this bounds memory only.
@@ -36,7 +40,8 @@ REMEMBERED = 300_000
 
 
 def edits(word: str) -> int:
-    return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+    """A stem, which ends with an asterisk, has to be met as it is."""
+    return 0 if len(word) < 5 or word[-1] == "*" else 1 if len(word) < 9 else 2
 
 
 class Lexicon:
@@ -47,9 +52,10 @@ class Lexicon:
         self.arcs: list[dict[str, int]] = [{}]
         self.term: list[int] = [-1]
         self.room: list[int] = [0]
+        self.open: set[int] = set()
         for k, term in enumerate(self.terms):
             node = 0
-            for letter in term:
+            for letter in term.removesuffix("*"):
                 self.room[node] = max(self.room[node], edits(term))
                 if letter not in self.arcs[node]:
                     self.arcs[node][letter] = len(self.term)
@@ -59,6 +65,8 @@ class Lexicon:
                 node = self.arcs[node][letter]
             self.room[node] = max(self.room[node], edits(term))
             self.term[node] = k
+            if term[-1] == "*":
+                self.open.add(node)
         self.start = self.closed({0: 0})
         self.forget()
 
@@ -83,6 +91,8 @@ class Lexicon:
         for node, e in state:
             if (to := self.arcs[node].get(letter)) is not None and e < spent.get(to, 9) and e <= self.room[to]:
                 spent[to] = e
+            if node in self.open and not e:
+                spent[node] = 0
             if e < self.room[node]:
                 if e + 1 < spent.get(node, 9):
                     spent[node] = e + 1
@@ -131,7 +141,7 @@ def quoted(text: str, start: int, end: int) -> bool:
 
 
 def figures(batch: list[str], lexicon: Lexicon) -> np.ndarray:
-    """Per text: exact plain, misspelled plain, exact quoted, misspelled quoted hits (logarithms), different terms, hits per word."""
+    """Per text: exact plain, misspelled plain, exact quoted, misspelled quoted hits (logarithms), different words hit, hits per word."""
     found = [[(m.group().lower(), m.start(), m.end()) for m in LETTERS.finditer(t)] for t in batch] if len(lexicon.terms) else [[] for _ in batch]
     known = lexicon.look_up({w for words in found for w, _, _ in words})
     out = np.zeros((len(batch), 6))
@@ -141,7 +151,7 @@ def figures(batch: list[str], lexicon: Lexicon) -> np.ndarray:
             if hit := known[w]:
                 row[(2 if quoted(text, a, b) else 0) + (hit[1] > 0)] += 1
                 if hit[1] == 0:
-                    terms.add(hit[0])
+                    terms.add(w)
         row[5] = 10 * row[:2].sum() / max(10, len(words))
         row[:4] = np.log1p(row[:4])
         row[4] = np.log1p(len(terms))
@@ -157,29 +167,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def learn_terms(own: DataFrame) -> list[str]:
-    """Words of a bounded sample that mark toxic documents. Documents with the same least five-word shingle hash count as one."""
+def telling(own: DataFrame, parts: Callable[[str], list[str]], least_variety: int) -> list[Row]:
+    """``part, t`` of the word parts that mark toxic documents: frequent and likely enough there, too much so for chance (the likelihood
+    ratio against the share of toxic documents must outweigh the number of parts looked at), in company of different words before them,
+    which parts from a family of copies are not, and in enough different words."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        kinds, bags = [], []
+        out: dict = {"label": batch.column("label"), "part": [], "before": [], "word": []}
         for text in batch.column("text").to_pylist():
             words = [w.lower() for w in LETTERS.findall(text)]
-            shingles = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
-            kinds.append(min(xxhash.xxh3_64_intdigest(s) for s in shingles) >> 1)
-            bags.append(sorted({w for w in words if len(w) > 2}))
-        return {"kind": kinds, "label": batch.column("label"), "words": bags}
-
-    bags = per_batch(own, "kind long, label int, words array<string>", work)
-    one = bags.groupBy("kind").agg(F.max(F.struct("label", "words")).alias("d")).select("d.*")
-    n = {r.label: r.n for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
+            first = {p: (words[k - 1] if k else "", w) for k, w in reversed(list(enumerate(words))) for p in parts(w)}
+            out["part"].append(list(first))
+            out["before"].append([x for x, _ in first.values()])
+            out["word"].append([w for _, w in first.values()])
+        return out
+
+    n = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
-    if not toxic:
+    if not toxic or not clean:
         return []
-    counts = one.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
-    share = F.col("t") / F.lit(toxic)
-    odds = share / ((F.col("n") - F.col("t") + 0.5) / F.lit(clean + 1.0))
-    few = counts.filter((F.col("t") >= 3) & (share >= LEAST_SHARE) & (odds >= LEAST_ODDS))  # at most its words / LEAST_SHARE terms
-    return sorted(r.word for r in few.select("word").collect())
+    bags = per_batch(own, "label int, part array<string>, before array<string>, word array<string>", work)
+    each = bags.select("label", F.explode(F.arrays_zip("part", "before", "word")).alias("x")).select("label", "x.*")
+    of_toxic = lambda c: F.count_distinct(F.when(F.col("label") == 1, F.col(c)))
+    counts = stage(each.groupBy("part").agg(F.sum("label").alias("t"), F.count("*").alias("n"), of_toxic("before").alias("company"), of_toxic("word").alias("variety")))
+    base, looked = toxic / (toxic + clean), counts.count()
+    clear, share = F.col("n") - F.col("t"), F.col("t") / F.lit(toxic)
+    ratio = F.col("t") * F.log(F.col("t") / (F.col("n") * base)) + F.when(clear > 0, clear * F.log(clear / (F.col("n") * (1 - base)))).otherwise(0.0)
+    few = counts.filter((share >= LEAST_SHARE) & (share / ((clear + 0.5) / (clean + 1.0)) >= LEAST_ODDS) & (ratio >= math.log(max(looked, 1)) + CAUTION))
+    few = few.filter((2 * F.col("company") >= F.col("t")) & (F.col("variety") >= least_variety))
+    return few.select("part", "t").orderBy("part").collect()  # each is in a share of the sample's toxic documents
+
+
+def learn_terms(own: DataFrame) -> list[str]:
+    """Words, and, from all other words, stems (written with an asterisk) that mark toxic documents.
+
+    Of stems that continue each other the longest that is about as frequent as its beginnings stands for all."""
+    words = {r.part for r in telling(own, lambda w: [w] if len(w) > 2 else [], 1)}
+    found = {r.part: r.t for r in telling(own, lambda w: [] if w in words else [w[:k] for k in STEMS if k < len(w)], 3)}
+    whole = [p for p, t in found.items() if not any(q[:-1] == p and 20 * u >= 19 * t for q, u in found.items())]
+    stems = [p for p in whole if not any(p != q and p.startswith(q) for q in whole)]
+    return sorted(words) + [p + "*" for p in sorted(stems)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 1500) -> Model:
