@@ -33,7 +33,7 @@ def by_phase(wide: DataFrame, harmonics: Sequence[str]) -> DataFrame:
     return wide.select("meter_id", "x", F.inline(F.array(*rows)))
 
 
-def phase_consistency(phases: DataFrame, max_rows: int | None) -> DataFrame:
+def phase_consistency(phases: DataFrame) -> DataFrame:
     """Shares of readings that break a physical identity, per meter and phase."""
     r = AUDIT
     p, q, s, v = (F.col(c) for c in ("p", "q", "s", "v"))
@@ -59,7 +59,7 @@ def phase_consistency(phases: DataFrame, max_rows: int | None) -> DataFrame:
     bad = gates[0]
     for c in gates[1:]:
         bad = bad | c
-    med = ranks.quantiles(rows, ["meter_id", "phase"], "tri", {"tri_median": 0.5}, max_rows).drop("n")
+    med = ranks.quantiles(rows, ["meter_id", "phase"], "tri", {"tri_median": 0.5}).drop("n")
     return g.join(med, ["meter_id", "phase"], "left").withColumn("verdict", F.when(bad, "NON_PHYSICAL").otherwise("PHYSICAL"))
 
 
@@ -88,7 +88,7 @@ def liveness(rows: DataFrame, block: int) -> DataFrame:
     return out.withColumn("dead", F.coalesce(dead, F.lit(True)))
 
 
-def active_power(rows: DataFrame, live: DataFrame, step_hours: float, max_rows: int | None, limits: DataFrame | None = None, per_kw: float = 1000.0) -> DataFrame:
+def active_power(rows: DataFrame, live: DataFrame, step_hours: float, limits: DataFrame | None = None, per_kw: float = 1000.0) -> DataFrame:
     """Energy, reverse flow and plausibility of the active power channels.
 
     ``limits(meter_id, phase, p_lim)`` in kW is optional; without it the scale stays unknown.
@@ -102,7 +102,7 @@ def active_power(rows: DataFrame, live: DataFrame, step_hours: float, max_rows:
         share(F.col("value") < 0, F.col("real")).alias("rev_frac"),
         ratio(F.sum(F.when(x < 0, F.abs(x)).otherwise(F.when(x.isNotNull(), F.lit(0.0)))), F.sum(F.abs(x))).alias("rev_energy_frac"),
     )
-    p95 = ranks.quantiles(p.filter("real").withColumn("_a", F.abs("value")), CH, "_a", {"p95_abs": 0.95}, max_rows).drop("n")
+    p95 = ranks.quantiles(p.filter("real").withColumn("_a", F.abs("value")), CH, "_a", {"p95_abs": 0.95}).drop("n")
     out = g.join(p95, CH, "left").join(live, CH).withColumn("phase", F.upper(names.phase_of("variable")))
     rev = F.col("rev_frac")
     sign = (
@@ -177,14 +177,14 @@ def spread_powers(wide: DataFrame) -> DataFrame:
     return out.drop("_b0", "_b1", "_c0", "_c1", "_u", "_k")
 
 
-def channel_audit(wide: DataFrame, variables: Sequence[str], step_hours: float, block: int, max_rows: int | None) -> DataFrame:
+def channel_audit(wide: DataFrame, variables: Sequence[str], step_hours: float, block: int) -> DataFrame:
     """Class of every channel from liveness, own physics and redundancy with the valid powers."""
     side = [f"{q}_{p}" for q in ("p", "s") for p in PHASES]
     kept = spread_powers(wide).select("meter_id", "x", "_e_b", "_e_c", *variables, *[F.col(c).alias(f"_{c}") for c in side])
     long = kept.unpivot(["meter_id", "x", "_e_b", "_e_c", *[f"_{c}" for c in side]], list(variables), "variable", "value")
     rows = real_rows(long)
     live = stage(liveness(rows.select(*CH, "x", "value", "real"), block))  # one row per channel
-    power = stage(active_power(rows, live, step_hours, max_rows))
+    power = stage(active_power(rows, live, step_hours))
     status = power.select("meter_id", "variable", F.col("status").alias("p_status"))
     ok = power.groupBy("meter_id").agg(
         *[F.max(F.when(F.col("variable") == f"p_{p}", F.col("status") == "ACTIVE_POWER_VALID")).alias(f"ok_{p}") for p in PHASES]
@@ -207,7 +207,7 @@ def channel_audit(wide: DataFrame, variables: Sequence[str], step_hours: float,
         *[c.alias(f"_{n}") for n, c in aggregate.gram(F.col("value"), xs)],
     )
     g = aggregate.solve_r2(g, len(xs)).select(*CH, "viol", "_sg", "r2_clock", F.col("r2").alias("r2_power"))
-    stats = ranks.median_mad(rows.select(*CH, "value"), CH, "value", max_rows=max_rows).select(*CH, "median", "mad")
+    stats = ranks.median_mad(rows.select(*CH, "value"), CH, "value").select(*CH, "median", "mad")
     out = live.join(g, CH, "left").join(stats, CH, "left").join(status, CH, "left")
     own_ok = F.coalesce(F.col("viol") <= AUDIT.violation_share, F.lit(False))
     cls = F.when(F.col("p_status").isNotNull(), F.col("p_status")).otherwise(

@@ -47,7 +47,7 @@ def exact_floor(samples: DataFrame, floors: DataFrame) -> DataFrame:
     return j.withColumn("exact", F.coalesce(hit, F.lit(False))).drop("floor_value")
 
 
-def low_plateau(flagged: DataFrame, block: int, max_rows: int | None) -> DataFrame:
+def low_plateau(flagged: DataFrame, block: int) -> DataFrame:
     """Border of the low plateau per channel: the best scored gap between neighbouring values.
 
     Input has the flag ``exact``; channels without a confirmed plateau are absent. Values of a channel are
@@ -55,7 +55,7 @@ def low_plateau(flagged: DataFrame, block: int, max_rows: int | None) -> DataFra
     """
     fam = names.family_of("variable")
     use = flagged.filter(F.col("value").isNotNull() & ~F.col("exact") & ~fam.isin("v", "thdv", "hrm_v", "cos"))
-    st = ranks.quantiles(use, CH, "value", {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}, max_rows)
+    st = ranks.quantiles(use, CH, "value", {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95})
     st = st.filter((F.col("n") >= 30) & ~(fam.isin("p", "q") & (F.col("q50") < 0)))
     st = st.withColumn("scale", F.greatest(F.col("q75") - F.col("q25"), F.col("q95") - F.col("q05"), F.lit(1e-9)))
     r3 = F.bround("value", 3)
@@ -86,16 +86,16 @@ def low_plateau(flagged: DataFrame, block: int, max_rows: int | None) -> DataFra
     return best.join(confirmed, CH, "left_semi")
 
 
-def sentinel_mask(samples: DataFrame, floors: DataFrame, block: int, max_rows: int | None) -> DataFrame:
+def sentinel_mask(samples: DataFrame, floors: DataFrame, block: int) -> DataFrame:
     """Samples with ``exact``, ``low`` and their union ``core``."""
     flagged = exact_floor(samples, floors)
-    low = low_plateau(flagged, block, max_rows)
+    low = low_plateau(flagged, block)
     hit = F.col("value").isNotNull() & ~F.col("exact") & (F.col("value") <= F.col("lower") + 1e-9)
     out = flagged.join(low, CH, "left").withColumn("low", F.coalesce(hit, F.lit(False))).drop("lower")
     return out.withColumn("core", F.col("exact") | F.col("low"))
 
 
-def current_sentinel(samples: DataFrame, floors: DataFrame, block: int, max_rows: int | None) -> DataFrame:
+def current_sentinel(samples: DataFrame, floors: DataFrame, block: int) -> DataFrame:
     """``(meter_id, x)`` without a reading, judged on the three currents of a meter together.
 
     Anchors are steps where a current sits on its floor while all three are known. Anchors less than the
@@ -115,13 +115,13 @@ def current_sentinel(samples: DataFrame, floors: DataFrame, block: int, max_rows
     keys = [*CH, "x0", "x1"]
     inner = seq.interval_points(phases, CH, "x0", "x1").join(known, [*CH, "x"])
     marks = {"q05": 0.05, "q25": 0.25, "med": 0.5, "q75": 0.75, "q95": 0.95}
-    seg = ranks.quantiles(inner, keys, "value", {"q25": 0.25, "med": 0.5, "q75": 0.75}, max_rows)
+    seg = ranks.quantiles(inner, keys, "value", {"q25": 0.25, "med": 0.5, "q75": 0.75})
     near = seq.context_points(phases, CH, r.context).join(known, [*CH, "x"])
     n_near = near.groupBy(*keys).agg(F.count("*").alias("n_near"))
     thin = phases.join(n_near, keys, "left").filter(F.coalesce("n_near", F.lit(0)) < r.min_context).select(*keys)
     rest = thin.join(known, CH).filter((F.col("x") < F.col("x0")) | (F.col("x") > F.col("x1"))).select(*keys, "value")
     ctx = near.join(thin, keys, "left_anti").select(*keys, "value").unionByName(rest)
-    stats = ranks.median_mad(ctx, keys, "value", marks, max_rows).select(
+    stats = ranks.median_mad(ctx, keys, "value", marks).select(
         *keys, *[F.col(c).alias(f"c_{c}") for c in ("n", "mad", *marks) if c != "med"], F.col("median").alias("c_med")
     )
     iqr_c = F.greatest(F.col("c_q75") - F.col("c_q25"), F.lit(0.0))
@@ -137,7 +137,7 @@ def current_sentinel(samples: DataFrame, floors: DataFrame, block: int, max_rows
     whole = seq.interval_points(good, ["meter_id"])
     bare = steps.groupBy("meter_id").agg(F.max(F.col("full") & F.col("hit")).alias("any"), F.max("full").alias("f")).filter("not any and f")
     plain = cur.withColumn("exact", F.lit(False)).join(bare.select("meter_id"), "meter_id", "left_semi")
-    low = low_plateau(plain, block, max_rows)
+    low = low_plateau(plain, block)
     lows = (
         plain.join(low, CH).filter(F.col("value") <= F.col("lower") + 1e-9)
         .groupBy("meter_id", "x").agg(F.count("*").alias("k")).filter("k = 3").select("meter_id", "x")
@@ -170,7 +170,7 @@ def main_lock(samples: DataFrame, mask: DataFrame, main: int) -> DataFrame:
     return samples.filter((F.col("meter_id") != main) & F.col("value").isNotNull()).join(steps, "x", "left_semi").select(*CH, "x")
 
 
-def outliers(samples: DataFrame, mask: DataFrame, gap_flag: Column, block: int, max_rows: int | None) -> DataFrame:
+def outliers(samples: DataFrame, mask: DataFrame, gap_flag: Column, block: int) -> DataFrame:
     """``(meter_id, variable, x, value)`` of short extreme events.
 
     The reference excludes masks, gaps and their surroundings; masked cells are never outliers, but cells
@@ -182,7 +182,7 @@ def outliers(samples: DataFrame, mask: DataFrame, gap_flag: Column, block: int,
     s = s.withColumn("_bad", F.col("masked") | gap_flag)
     s = seq.dilate(s, CH, "_bad", r.forbidden_radius, "_near", block=block)
     s = s.withColumn("ref", F.when(~F.col("_near"), F.col("value")))
-    g = ranks.median_mad(s, CH, "ref", {"q1": 0.25, "q3": 0.75}, max_rows).filter(F.col("n") >= r.min_reference)
+    g = ranks.median_mad(s, CH, "ref", {"q1": 0.25, "q3": 0.75}).filter(F.col("n") >= r.min_reference)
     iqr = F.greatest(F.col("q3") - F.col("q1"), F.lit(0.0))
     g = g.select(
         *CH, F.greatest(iqr, F.col("mad"), F.lit(1e-9)).alias("scale"),

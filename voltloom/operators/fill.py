@@ -272,13 +272,13 @@ def edge_points(gaps: DataFrame, known: DataFrame) -> DataFrame:
     return pts.select(*GAP, "x", F.col("anchor").alias("base"), cand.alias("cand"), kind.alias("kind"), code.alias("code"))
 
 
-def analog_fill(samples: DataFrame, bands: Sequence[tuple], block: int, max_rows: int | None, seed: int = 42, backbone: str = "trend", criteria: str = "multi") -> DataFrame:
+def analog_fill(samples: DataFrame, bands: Sequence[tuple], block: int, seed: int = 42, backbone: str = "trend", criteria: str = "multi") -> DataFrame:
     """Every cell with its filled value, confidence code and kind of fill.
 
     ``backbone="line"`` and ``criteria="freq"`` give the older straight-line, frequency-only method.
     """
     r = RULES
-    stats = ranks.median_mad(samples, CH, "value", max_rows=max_rows).select(*CH, F.col("n").alias("n_obs"), F.col("mad").alias("mad_series"))
+    stats = ranks.median_mad(samples, CH, "value").select(*CH, F.col("n").alias("n_obs"), F.col("mad").alias("mad_series"))
     span = samples.groupBy(*CH).agg(F.min("value").alias("a"), F.max("value").alias("b"), F.stddev_pop("value").alias("sd"))
     margin = r.margin * F.greatest(F.col("b") - F.col("a"), F.col("sd"), F.lit(r.tiny))
     bounds = span.select(*CH, (F.col("a") - margin).alias("lo"), (F.col("b") + margin).alias("hi"))

@@ -46,7 +46,7 @@ def slopes(theta: dict[str, Column]) -> dict[str, dict[int, Column]]:
     }
 
 
-def usable(wide: DataFrame, max_rows: int | None) -> DataFrame:
+def usable(wide: DataFrame) -> DataFrame:
     """One row per reading and phase with every quantity known and S > 0, beside the median magnitudes."""
     parts = [
         F.struct(F.lit(p.upper()).alias("phase"), F.col(f"v_{p}n").alias("v"), F.col(f"i_{p}n").alias("i"),
@@ -55,16 +55,16 @@ def usable(wide: DataFrame, max_rows: int | None) -> DataFrame:
     ]
     rows = wide.select("meter_id", "x", F.inline(F.array(*parts))).dropna().filter("s > 0")
     rows = rows.withColumn("_av", F.abs("v")).withColumn("_ai", F.abs("i"))
-    v = ranks.quantiles(rows, KEYS, "_av", {"med_v": 0.5}, max_rows)
-    i = ranks.quantiles(rows, KEYS, "_ai", {"med_i": 0.5}, max_rows).drop("n")
+    v = ranks.quantiles(rows, KEYS, "_av", {"med_v": 0.5})
+    i = ranks.quantiles(rows, KEYS, "_ai", {"med_i": 0.5}).drop("n")
     return rows.drop("_av", "_ai").join(v.join(i, KEYS), KEYS)
 
 
-def median_residuals(rows: DataFrame, theta: dict[str, Column], max_rows: int | None) -> DataFrame:
+def median_residuals(rows: DataFrame, theta: dict[str, Column]) -> DataFrame:
     """Median absolute residual of each relation per phase."""
     r = rows.select(*KEYS, *[F.abs(c).alias(n) for n, c in residuals(theta).items()])
     long = r.unpivot(KEYS, ["vi", "pcos", "tri"], "term", "r")
-    q = ranks.quantiles(long, [*KEYS, "term"], "r", {"med": 0.5}, max_rows)
+    q = ranks.quantiles(long, [*KEYS, "term"], "r", {"med": 0.5})
     return q.groupBy(*KEYS).pivot("term", ["vi", "pcos", "tri"]).agg(F.first("med"))
 
 
@@ -86,15 +86,15 @@ def _step(theta: pd.Series, grad: pd.Series, curve: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def physical_fit(wide: DataFrame, max_rows: int | None, rounds: int = 12) -> DataFrame:
+def physical_fit(wide: DataFrame, rounds: int = 12) -> DataFrame:
     """Residuals before and after, parameters and status per meter and phase.
 
     Phases that already agree keep the identity. For the others each round joins the small parameter table to
     the readings, averages the robust slopes in one aggregation and takes one step, for all phases together.
     """
-    rows = stage(usable(wide, max_rows))
+    rows = stage(usable(wide))
     fixed_theta = {n: F.lit(v) for n, v in zip(NAMES, START)}
-    before = stage(median_residuals(rows, fixed_theta, max_rows))
+    before = stage(median_residuals(rows, fixed_theta))
     sizes = rows.groupBy(*KEYS).agg(F.count("*").alias("n_real"))
     need = before.join(sizes, KEYS).filter((F.greatest("vi", "pcos", "tri") > COMPATIBLE) & (F.col("n_real") >= MIN_POINTS))
     theta = cut_lineage(need.select(*KEYS, F.array(*[F.lit(v) for v in START]).alias("theta")))
@@ -111,7 +111,7 @@ def physical_fit(wide: DataFrame, max_rows: int | None, rounds: int = 12) -> Dat
             F.array(*[F.avg(c) for c in grad]).alias("g"), F.array(*[F.avg(c) for c in curve]).alias("c")
         )
         theta = cut_lineage(g.select(*KEYS, _step("theta", "g", "c").alias("theta")))
-    moved = median_residuals(rows.join(theta, KEYS), named, max_rows).withColumnsRenamed({c: f"{c}_after" for c in ("vi", "pcos", "tri")})
+    moved = median_residuals(rows.join(theta, KEYS), named).withColumnsRenamed({c: f"{c}_after" for c in ("vi", "pcos", "tri")})
     out = wide.select("meter_id").distinct().withColumn("phase", F.explode(F.array(*[F.lit(p) for p in "ABC"])))
     out = out.join(sizes, KEYS, "left").join(before, KEYS, "left").join(moved, KEYS, "left").join(theta, KEYS, "left")
     out = out.withColumn("fitted", F.col("theta").isNotNull()).withColumn("n_real", F.coalesce("n_real", F.lit(0)))

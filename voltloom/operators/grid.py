@@ -41,16 +41,15 @@ def grid_mean(
     )
 
 
-def calendar(series: DataFrame, keys: Keys, steps: int) -> DataFrame:
-    """Every grid step of every series, generated next to the series keys."""
-    return series.select(*keys).distinct().select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("x")
-    )
+def calendar(df: DataFrame, keys: Keys) -> DataFrame:
+    """Every grid step of every series, from the origin (or the first reading, if that is earlier) to the last reading of all."""
+    span = df.agg(F.least(F.lit(0), F.min("x")).cast("long").alias("_lo"), F.max("x").cast("long").alias("_hi"))  # one row
+    return df.select(*keys).distinct().crossJoin(F.broadcast(span)).select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("x"))
 
 
-def densify(df: DataFrame, keys: Keys, steps: int) -> DataFrame:
+def densify(df: DataFrame, keys: Keys) -> DataFrame:
     """Left join on the full calendar; missing steps become rows of NULL."""
-    return calendar(df, keys, steps).join(df.filter(F.col("x").between(0, steps - 1)), [*keys, "x"], "left")
+    return calendar(df, keys).join(df, [*keys, "x"], "left")
 
 
 def to_long(df: DataFrame, ids: Keys, variables: Sequence[str]) -> DataFrame:

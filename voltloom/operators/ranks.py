@@ -15,8 +15,6 @@ from voltloom.functions.numeric import value_bin
 
 Keys = Sequence[str]
 
-SMALL_GROUP = 1_000_000  # distinct values one aggregation buffer may hold
-
 
 def ordered_counts(df: DataFrame, keys: Keys, value: str) -> DataFrame:
     """``(keys, v, n, before, total)``: multiplicity of each distinct value and rows below it."""
@@ -43,20 +41,11 @@ def ordered_counts(df: DataFrame, keys: Keys, value: str) -> DataFrame:
     )
 
 
-def quantiles(
-    df: DataFrame, keys: Keys, value: str, probs: Mapping[str, float], max_rows: int | None = None
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: Keys, value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles, one column per name of ``probs``, with the row count ``n``.
 
-    ``max_rows`` states a proven bound on the rows of one group (a channel on a grid has one row per
-    step). Up to ``SMALL_GROUP`` the built-in ``percentile`` does it in one pass; otherwise the group is
-    spread over value codes.
+    Equal values are counted before the shuffle; a group of any size is spread over value codes.
     """
-    if max_rows is not None and max_rows <= SMALL_GROUP:
-        known = df.filter(F.col(value).isNotNull())
-        marks = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()]))
-        out = known.groupBy(*keys).agg(F.count("*").alias("n"), marks.alias("_q"))
-        return out.select(*keys, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
@@ -116,12 +105,11 @@ def median_mad(
     keys: Keys,
     value: str,
     probs: Mapping[str, float] | None = None,
-    max_rows: int | None = None,
 ) -> DataFrame:
     """Quantiles plus ``median`` and the scaled median absolute deviation ``mad`` (factor 1.4826)."""
-    q = quantiles(df, keys, value, {**(probs or {}), "median": 0.5}, max_rows)
+    q = quantiles(df, keys, value, {**(probs or {}), "median": 0.5})
     dev = deviations(df.filter(F.col(value).isNotNull()), keys, value, q, "median", "_dev")
-    m = quantiles(dev, keys, "_dev", {"_mad": 0.5}, max_rows)
+    m = quantiles(dev, keys, "_dev", {"_mad": 0.5})
     return q.join(m.select(*keys, (F.col("_mad") * 1.4826).alias("mad")), list(keys))
 
 

@@ -41,11 +41,11 @@ class RepairRules:
 RULES = RepairRules()
 
 
-def fragmented_series(samples: DataFrame, block: int, max_rows: int | None) -> DataFrame:
+def fragmented_series(samples: DataFrame, block: int) -> DataFrame:
     """Island statistics per channel and the verdict ``fragmented``."""
     r = RULES
     isl = seq.runs(samples, CH, F.col("value").isNotNull(), block=block).withColumnRenamed("n", "len")
-    med = ranks.quantiles(isl, CH, "len", {"median_len": 0.5}, max_rows).withColumnRenamed("n", "n_islands")
+    med = ranks.quantiles(isl, CH, "len", {"median_len": 0.5}).withColumnRenamed("n", "n_islands")
     top = isl.groupBy(*CH).agg(F.max("len").alias("longest"))
     miss = samples.groupBy(*CH).agg(F.count("value").alias("n_known"), (F.count_if(F.col("value").isNull()) / F.count("*")).alias("missing"))
     bad = (

@@ -14,12 +14,12 @@ from voltloom.operators import joins, ranks
 CH = ["meter_id", "variable"]
 
 
-def prelim_sentinel(cells: DataFrame, max_rows: int | None) -> DataFrame:
+def prelim_sentinel(cells: DataFrame) -> DataFrame:
     """Rule and sentinel cells per channel from its dominant value and its robust amplitude."""
     r = SCOPE
     known = cells.filter(F.col("value").isNotNull()).withColumn("value", F.bround("value", 6))
     mode = ranks.modal_value(known, CH, "value")
-    amp = ranks.quantiles(cells, CH, "value", {"q01": 0.01, "q99": 0.99}, max_rows).drop("n")
+    amp = ranks.quantiles(cells, CH, "value", {"q01": 0.01, "q99": 0.99}).drop("n")
     out = mode.join(amp, CH).withColumn("amp", F.abs(F.col("q99") - F.col("q01")))
     out = out.withColumn("dominant_frac", F.col("mode_count") / F.col("n_finite"))
     rule = (

@@ -76,9 +76,15 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ("gridded",),
         "select c.meter_id, c.x, "
         + ", ".join(f"g.{v}" for v in VARIABLES)
-        + " from (select meter_id, unnest(range(720)) as x from (select distinct meter_id from gridded)) c"
+        + " from (select meter_id, unnest(range(lo, hi)) as x from (select distinct meter_id from gridded),"
+        " (select least(0, min(x)) as lo, max(x) + 1 as hi from gridded)) c"
         " left join gridded g on g.meter_id = c.meter_id and g.x = c.x",
     ),
+    "span": (
+        ("dense",),
+        "select steps, steps * 8 // 10 as train_end, steps * 9 // 10 as valid_end, steps // 6 as fold, steps - 5 * (steps // 6) as first"
+        " from (select max(x) + 1 as steps from dense)",
+    ),
     "samples": (("dense",), _unpivot("dense")),
     "meter_dim": (
         (),
@@ -92,12 +98,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         " where d.role = 'modeled_loads' and variable in ('p_a', 'p_b', 'p_c')",
     ),
     "predictions": (
-        ("truth",),
+        ("truth", "span"),
         "select model, seed, x - w // 2 as window_idx, output,"
         " y * (1.0::double + (((x * seed + gamma) % 7) - 3) / 100.0::double"
         " + case when model = 'm36' then 0.01::double else 0.0::double end) as y_pred"
         " from truth, (values ('m12', 12), ('m36', 36)) m(model, w), (select unnest([1, 2, 3, 4, 5]) as seed)"
-        " where x - w // 2 between 0 and 720 - w",
+        " where x - w // 2 between 0 and (select steps from span) - w",
     ),
     "gaps": (
         ("samples",),

@@ -10,7 +10,7 @@ from voltloom.functions.numeric import fixed
 from voltloom.operators import audit
 from voltloom.plans.fixture_sql import R, add_cte, with_tables
 from voltloom.plans.registry import Inputs, query
-from voltloom.sources.fixtures import BLOCK, STEPS, VARIABLES
+from voltloom.sources.fixtures import BLOCK, VARIABLES
 
 CH = ["meter_id", "variable"]
 HARMONICS = [v for v in VARIABLES if v.startswith("hrm")]
@@ -137,7 +137,7 @@ def phase_identities(t: Inputs):
     ),
 )
 def phase_consistency(t: Inputs):
-    c = audit.phase_consistency(audit.by_phase(rows(t), HARMONICS), STEPS)
+    c = audit.phase_consistency(audit.by_phase(rows(t), HARMONICS))
     return c.select("meter_id", "phase", *[fixed(k, 6).alias(k) for k in ("tri_median", "tri_viol", "reverse", "harm_oob", "v_oob")], "verdict")
 
 
@@ -152,7 +152,7 @@ def dead_or_stuck(t: Inputs):
 
 def power(t: Inputs):
     r = audit.real_rows(t.samples.filter("variable in ('p_a', 'p_b', 'p_c')"))
-    return t.kept("power", lambda: audit.active_power(r, audit.liveness(r, BLOCK), 1.0, STEPS))
+    return t.kept("power", lambda: audit.active_power(r, audit.liveness(r, BLOCK), 1.0))
 
 
 @query(
@@ -180,7 +180,7 @@ def power_reference(t: Inputs):
 
 
 def full_audit(t: Inputs):
-    return t.kept("audit", lambda: audit.channel_audit(rows(t), VARIABLES, 1.0, BLOCK, STEPS))
+    return t.kept("audit", lambda: audit.channel_audit(rows(t), VARIABLES, 1.0, BLOCK))
 
 
 @query("own_physics_check", with_tables("select meter_id, variable, coalesce(viol <= 0.02, false) as own_ok from audit where p_status is null", "audit"))

@@ -8,7 +8,7 @@ from voltloom.functions.numeric import fixed, safe_corr
 from voltloom.operators import clean, joins, scope, seq
 from voltloom.plans.fixture_sql import R, add_cte, with_tables
 from voltloom.plans.registry import Inputs, query
-from voltloom.sources.fixtures import BLOCK, STEPS
+from voltloom.sources.fixtures import BLOCK
 
 CH = ["meter_id", "variable"]
 CUR = "('i_an', 'i_bn', 'i_cn')"
@@ -40,7 +40,7 @@ def current_cells(t: Inputs):
 
 
 def prelim(t: Inputs):
-    return t.kept("prelim", lambda: scope.prelim_sentinel(current_cells(t), STEPS))
+    return t.kept("prelim", lambda: scope.prelim_sentinel(current_cells(t)))
 
 
 @query(
@@ -51,7 +51,7 @@ def prelim(t: Inputs):
     ),
 )
 def prelim_sentinel(t: Inputs):
-    return scope.prelim_sentinel(current_cells(t), STEPS).withColumn("dominant_frac", fixed("dominant_frac", 6)).withColumn("amp", fixed("amp"))
+    return scope.prelim_sentinel(current_cells(t)).withColumn("dominant_frac", fixed("dominant_frac", 6)).withColumn("amp", fixed("amp"))
 
 
 def quality(t: Inputs):
@@ -257,7 +257,7 @@ def global_floor_values(t: Inputs):
 
 @query("low_plateau", with_tables("select meter_id, variable, lower from plateau", "plateau"))
 def low_plateau(t: Inputs):
-    return clean.low_plateau(clean.exact_floor(t.samples, floors(t)), BLOCK, STEPS)
+    return clean.low_plateau(clean.exact_floor(t.samples, floors(t)), BLOCK)
 
 
 @query(
@@ -269,12 +269,12 @@ def low_plateau(t: Inputs):
     ),
 )
 def sentinel_mask(t: Inputs):
-    m = clean.sentinel_mask(t.samples, floors(t), BLOCK, STEPS)
+    m = clean.sentinel_mask(t.samples, floors(t), BLOCK)
     return m.groupBy(*CH).agg(F.count_if("exact").alias("n_exact"), F.count_if("low").alias("n_low"), F.count_if("core").alias("n_core"))
 
 
 def nosignal(t: Inputs):
-    return t.kept("nosignal", lambda: clean.current_sentinel(t.samples, floors(t), BLOCK, STEPS))
+    return t.kept("nosignal", lambda: clean.current_sentinel(t.samples, floors(t), BLOCK))
 
 
 def sentinels(t: Inputs):
@@ -289,7 +289,7 @@ def masked(t: Inputs):
 def points(t: Inputs, mask):
     gap = t.dense.select("meter_id", "x", F.col("i_an").isNull().alias("gap"))
     s = t.samples.join(gap, ["meter_id", "x"])
-    return t.kept("outliers", lambda: clean.outliers(s, mask, F.col("gap"), BLOCK, STEPS))
+    return t.kept("outliers", lambda: clean.outliers(s, mask, F.col("gap"), BLOCK))
 
 
 @query("sync_current_sentinel", with_tables("select meter_id, x from nosignal", "nosignal"))
@@ -313,7 +313,7 @@ def outliers(t: Inputs):
     """Against the exact placeholders only, so that the spikes of every meter are in play."""
     gap = t.dense.select("meter_id", "x", F.col("i_an").isNull().alias("gap"))
     exact = clean.exact_floor(t.samples, floors(t)).filter("exact").select(*CH, "x")
-    return clean.outliers(t.samples.join(gap, ["meter_id", "x"]), exact, F.col("gap"), BLOCK, STEPS)
+    return clean.outliers(t.samples.join(gap, ["meter_id", "x"]), exact, F.col("gap"), BLOCK)
 
 
 @query(

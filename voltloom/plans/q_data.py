@@ -12,7 +12,7 @@ from voltloom.plans import q_audit, q_clean, q_eval
 from voltloom.plans.fixture_sql import R, add_cte, with_tables
 from voltloom.plans.registry import Inputs, query
 from voltloom.sources import fixtures
-from voltloom.sources.fixtures import BLOCK, STEPS
+from voltloom.sources.fixtures import BLOCK
 
 CH = ["meter_id", "variable"]
 
@@ -160,7 +160,7 @@ def same_load_test(t: Inputs):
     from voltloom.operators import audit
 
     r = audit.real_rows(t.samples.filter("meter_id in (5, 6)")).filter("real")
-    q = ranks.quantiles(r, ["variable", "meter_id"], "value", {"q1": 0.25, "med": 0.5, "q3": 0.75}, STEPS)
+    q = ranks.quantiles(r, ["variable", "meter_id"], "value", {"q1": 0.25, "med": 0.5, "q3": 0.75})
     a = q.filter("meter_id = 5").select("variable", F.col("n").alias("n_a"), F.col("med").alias("ma"), (F.col("q3") - F.col("q1")).alias("ia"))
     b = q.filter("meter_id = 6").select("variable", F.col("n").alias("n_b"), F.col("med").alias("mb"), (F.col("q3") - F.col("q1")).alias("ib"))
     zero = F.lit(0.0)
@@ -230,13 +230,13 @@ def target_validity(t: Inputs):
     "masked_time_folds",
     with_tables(
         """with m as (select t.output, t.x, code = 0 as ok from truth t join conf c on c.meter_id = t.meter_id and c.variable = t.variable and c.x = t.x), f as (select unnest([0, 1, 2, 3, 4]) as fold)
-        select output, fold, count_if(ok and x < 120 + fold * 120) as n_train, count_if(ok and x >= 120 + fold * 120 and x < 240 + fold * 120) as n_valid from m, f group by 1, 2 having n_train >= 50 and n_valid >= 30""",
-        "truth", "conf",
+        select output, f.fold, count_if(ok and x < s.first + f.fold * s.fold) as n_train, count_if(ok and x >= s.first + f.fold * s.fold and x < s.first + (f.fold + 1) * s.fold) as n_valid from m, f, span s group by 1, 2 having n_train >= 50 and n_valid >= 30""",
+        "truth", "conf", "span",
     ),
 )
 def masked_time_folds(t: Inputs):
     m = t.truth.select("output", "meter_id", "variable", "x").join(t.conf, [*CH, "x"]).select("output", "x", (F.col("code") == 0).alias("ok"))
-    return datasets.time_folds(m, STEPS)
+    return datasets.time_folds(m, t.steps)
 
 
 @query(
@@ -305,7 +305,7 @@ def best_model(t: Inputs):
 
 @query("channel_limits", with_tables(f"select meter_id, variable, {R('quantile_cont(value, 0.005)')} as lo, {R('quantile_cont(value, 0.995)')} as hi from samples where value is not null group by 1, 2", "samples"))
 def channel_limits(t: Inputs):
-    q = ranks.quantiles(t.samples, CH, "value", {"lo": 0.005, "hi": 0.995}, STEPS)
+    q = ranks.quantiles(t.samples, CH, "value", {"lo": 0.005, "hi": 0.995})
     return q.select(*CH, fixed("lo").alias("lo"), fixed("hi").alias("hi"))
 
 

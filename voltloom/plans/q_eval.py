@@ -146,16 +146,16 @@ def common_support_nae(t: Inputs):
 @query(
     "null_predictor",
     with_tables(
-        f"""with o as ({_OBS_CTE}), m as (select t.output, quantile_cont(t.y, 0.5) as c from truth t join o on o.output = t.output and o.x = t.x where t.x < 576 group by 1)
+        f"""with o as ({_OBS_CTE}), m as (select t.output, quantile_cont(t.y, 0.5) as c from truth t join o on o.output = t.output and o.x = t.x where t.x < (select train_end from span) group by 1)
         select t.output, {R('any_value(c)')} as constant, {R('sum(abs(c - y)) / (sum(abs(y)) + 1e-9::double) * 100')} as nae
-        from truth t join m on m.output = t.output where t.x >= 648 group by 1""",
-        "truth", "conf",
+        from truth t join m on m.output = t.output where t.x >= (select valid_end from span) group by 1""",
+        "truth", "conf", "span",
     ),
 )
 def null_predictor(t: Inputs):
-    train = t.truth.filter("x < 576").join(observed(t), ["output", "x"])
-    const = ranks.quantiles(train, ["output"], "y", {"y_pred": 0.5}, fixtures.STEPS)
-    test = t.truth.filter("x >= 648").join(const, "output")
+    train = t.truth.filter(F.col("x") < t.train_end).join(observed(t), ["output", "x"])
+    const = ranks.quantiles(train, ["output"], "y", {"y_pred": 0.5})
+    test = t.truth.filter(F.col("x") >= t.valid_end).join(const, "output")
     g = test.groupBy("output").agg(F.first("y_pred").alias("constant"), evaluate.nae().alias("nae"))
     return shown(g, ["output"], ["constant", "nae"])
 
@@ -198,14 +198,13 @@ def leakage_control(t: Inputs):
 @query(
     "confidence_by_split",
     with_tables(
-        "select coalesce(split, 'all') as split, code, count(*) as n from (select code, case when x < 576 then 'train' when x < 648 then 'val' else 'test' end as split from conf) group by grouping sets ((split, code), (code))",
-        "conf",
+        "select coalesce(split, 'all') as split, code, count(*) as n from (select code, case when x < (select train_end from span) then 'train' when x < (select valid_end from span) then 'val' else 'test' end as split from conf) group by grouping sets ((split, code), (code))",
+        "conf", "span",
     ),
 )
 def confidence_by_split(t: Inputs):
-    split = F.when(F.col("x") < 576, "train").when(F.col("x") < 648, "val").otherwise("test")
     return (
-        t.conf.withColumn("s", split).rollup("code", "s").agg(F.count("*").alias("n"), F.grouping("s").alias("g"), F.grouping("code").alias("h"))
+        t.conf.withColumn("s", t.split()).rollup("code", "s").agg(F.count("*").alias("n"), F.grouping("s").alias("g"), F.grouping("code").alias("h"))
         .filter("h = 0").select(F.when(F.col("g") == 1, "all").otherwise(F.col("s")).alias("split"), "code", "n")
     )
 
@@ -410,24 +409,24 @@ _C = ["c_true", "c_pred", "c_error", "delta_pct", "c_yearly"]
     "cost",
     with_tables(
         f"""with c as (select model, seed, sum(e_true) * 0.2::double as c_true, sum(e_pred) * 0.2::double as c_pred, sum(abs(e_true - e_pred)) * 0.2::double as c_error from load_metrics group by 1, 2)
-        select model, seed, {_cols(['c_true', 'c_pred', 'c_error'])}, {R('abs(c_true - c_pred) / (abs(c_true) + 1e-9::double) * 100')} as delta_pct, {R('c_error * 8760.0::double / 720')} as c_yearly from c""",
-        "load_metrics",
+        select model, seed, {_cols(['c_true', 'c_pred', 'c_error'])}, {R('abs(c_true - c_pred) / (abs(c_true) + 1e-9::double) * 100')} as delta_pct, {R('c_error * 8760.0::double / (select steps from span)')} as c_yearly from c""",
+        "load_metrics", "span",
     ),
 )
 def cost(t: Inputs):
-    return shown(balance.cost(t.load_metrics, 720.0), ["model", "seed"], _C)
+    return shown(balance.cost(t.load_metrics, float(t.steps)), ["model", "seed"], _C)
 
 
 @query(
     "cost_by_type",
     with_tables(
         f"""with k as (select model, unnest(['observed', 'predicted', 'balance', 'inferred', 'main_meter']) as kind, unnest([sum(lo), sum(lp), sum(abs(r1_obs)), sum(ot), sum(mg)]) as e from energies group by 1)
-        select model, kind, {R('e')} as e_kwh, {R('e * 0.2::double')} as c_usd, {R('e * 0.2::double * 8760 / 720')} as c_yearly from k""",
-        "energies",
+        select model, kind, {R('e')} as e_kwh, {R('e * 0.2::double')} as c_usd, {R('e * 0.2::double * 8760 / (select steps from span)')} as c_yearly from k""",
+        "energies", "span",
     ),
 )
 def cost_by_type(t: Inputs):
-    c = balance.cost_by_type(balance.energies(t.balance, ["model", "phase"], 1.0), 720.0)
+    c = balance.cost_by_type(balance.energies(t.balance, ["model", "phase"], 1.0), float(t.steps))
     return shown(c, ["model", "kind"], ["e_kwh", "c_usd", "c_yearly"])
 
 

@@ -8,7 +8,7 @@ from voltloom.functions.numeric import fixed
 from voltloom.operators import fill, seq
 from voltloom.plans.fixture_sql import R, add_cte, with_tables
 from voltloom.plans.registry import Inputs, query
-from voltloom.sources.fixtures import BLOCK, STEPS
+from voltloom.sources.fixtures import BLOCK
 
 CH = ["meter_id", "variable"]
 # fixed values: hours per category of the hourly grid and its portions
@@ -58,7 +58,7 @@ def portions(t: Inputs):
 
 
 def filled(t: Inputs):
-    return t.kept("analog", lambda: fill.analog_fill(t.samples, BANDS, BLOCK, STEPS))
+    return t.kept("analog", lambda: fill.analog_fill(t.samples, BANDS, BLOCK))
 
 
 @query("analog_fill")
@@ -84,7 +84,7 @@ def scores(t: Inputs):
     win = hidden(t)
     masked = t.kept("masked_samples", lambda: fill.hide(t.samples.join(win.select(*CH).distinct(), CH, "left_semi"), win))
     line = seq.interpolate(masked, CH, "value", "f", block=BLOCK).select(*CH, "x", F.col("f").alias("value"))
-    own = t.kept("refilled", lambda: fill.analog_fill(masked, BANDS, BLOCK, STEPS))
+    own = t.kept("refilled", lambda: fill.analog_fill(masked, BANDS, BLOCK))
     both = fill.fill_scores(t.samples, line, win, "linear").unionByName(fill.fill_scores(t.samples, own, win, "analog"))
     return t.kept("fill_scores", lambda: both)
 

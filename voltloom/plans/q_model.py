@@ -9,7 +9,7 @@ from voltloom.functions.numeric import fixed
 from voltloom.operators import datasets, features, fit, ranks, repair, seq, statistics
 from voltloom.plans.fixture_sql import R, add_cte, with_tables
 from voltloom.plans.registry import Inputs, query
-from voltloom.sources.fixtures import BLOCK, STEPS, VARIABLES
+from voltloom.sources.fixtures import BLOCK, VARIABLES
 from voltloom.streaming.windows import stream_grid
 
 CH = ["meter_id", "variable"]
@@ -54,7 +54,7 @@ add_cte(
 
 
 def fragged(t: Inputs):
-    return t.kept("fragmented", lambda: repair.fragmented_series(t.samples, BLOCK, STEPS))
+    return t.kept("fragmented", lambda: repair.fragmented_series(t.samples, BLOCK))
 
 
 @query("fragmented_series", with_tables(f"select meter_id, variable, n_islands, {R('median_len')} as median_len, longest, {R('missing', 6)} as missing, fragmented from frag", "frag"))
@@ -108,7 +108,7 @@ def repair_summary(t: Inputs):
 
 @query("apply_repair")
 def apply_repair(t: Inputs):
-    return repair.apply_repair(t.samples, envelope(t), 100, 160, STEPS - 1, BLOCK)
+    return repair.apply_repair(t.samples, envelope(t), 100, 160, t.steps - 1, BLOCK)
 
 
 # ---- features -------------------------------------------------------------------------------------
@@ -117,7 +117,7 @@ def apply_repair(t: Inputs):
 def design(t: Inputs):
     """Main meter quantities beside every target, with the time segment of each row."""
     x = t.dense.filter("meter_id = 1").drop("meter_id")
-    seg = F.floor(F.col("x") / (STEPS // 6)).cast("int")
+    seg = F.floor(F.col("x") / (t.steps // 6)).cast("int")
     return t.truth.select("output", "x", "y").join(x, "x").withColumn("seg", seg)
 
 
@@ -232,14 +232,14 @@ def stream_grid_batch(t: Inputs):
     ),
 )
 def relative_residuals(t: Inputs):
-    rows = fit.usable(t.dense.filter("p_a is not null"), STEPS)
-    m = fit.median_residuals(rows, {n: F.lit(v) for n, v in zip(fit.NAMES, fit.START)}, STEPS)
+    rows = fit.usable(t.dense.filter("p_a is not null"))
+    m = fit.median_residuals(rows, {n: F.lit(v) for n, v in zip(fit.NAMES, fit.START)})
     return m.select("meter_id", "phase", *[fixed(c, 5).alias(c) for c in ("vi", "pcos", "tri")])
 
 
 @query("physical_fit")
 def physical_fit(t: Inputs):
-    return t.kept("physical_fit", lambda: fit.physical_fit(t.dense.filter("p_a is not null"), STEPS))
+    return t.kept("physical_fit", lambda: fit.physical_fit(t.dense.filter("p_a is not null")))
 
 
 @query("island_overlap_add")
@@ -250,14 +250,13 @@ def island_overlap_add(t: Inputs):
 @query(
     "split_windows",
     with_tables(
-        f"""with f as (select min(p_a) as lo, max(p_a) as hi from (select coalesce(p_a, 0) as p_a, x from dense where meter_id = 1) where x < 576),
-        s as (select x, case when x < 576 then 'train' when x < 648 then 'val' else 'test' end as split, (coalesce(p_a, 0) - lo) / (hi - lo) as v from dense, f where meter_id = 1)
+        f"""with f as (select min(p_a) as lo, max(p_a) as hi from (select coalesce(p_a, 0) as p_a, x from dense where meter_id = 1) where x < (select train_end from span)),
+        s as (select x, case when x < (select train_end from span) then 'train' when x < (select valid_end from span) then 'val' else 'test' end as split, (coalesce(p_a, 0) - lo) / (hi - lo) as v from dense, f where meter_id = 1)
         select split, x as window_idx, {R('total', 5)} as total from (select *, count(*) over w as n, sum(v) over w as total from s window w as (partition by split order by x rows between current row and 11 following)) where n = 12""",
-        "dense",
+        "dense", "span",
     ),
 )
 def split_windows(t: Inputs):
     rows = t.dense.filter("meter_id = 1").select("x", F.coalesce("p_a", F.lit(0.0)).alias("p"))
-    split = F.when(F.col("x") < 576, "train").when(F.col("x") < 648, "val").otherwise("test")
-    w = datasets.split_windows(rows, ["p"], F.col("x") < 576, split, 12, BLOCK)
+    w = datasets.split_windows(rows, ["p"], F.col("x") < t.train_end, t.split(), 12, BLOCK)
     return w.select("split", "window_idx", fixed(F.aggregate(F.col("window.p"), F.lit(0.0), lambda a, b: a + b), 5).alias("total"))

@@ -10,7 +10,7 @@ from voltloom.operators import aggregate, ranks, seq
 from voltloom.operators import gaps as gap_ops
 from voltloom.plans.fixture_sql import R, with_tables
 from voltloom.plans.registry import Inputs, query
-from voltloom.sources.fixtures import BLOCK, STEPS
+from voltloom.sources.fixtures import BLOCK
 
 CH = ["meter_id", "variable"]
 
@@ -107,7 +107,7 @@ def context_stats(t: Inputs):
     known = cur.filter("value is not null")
     near = seq.context_points(seg, CH, 48).join(known, [*CH, "x"])
     local = ranks.quantiles(near, [*CH, "x0"], "value", {"m": 0.5}, 96).withColumnsRenamed({"n": "n1", "m": "m1"})
-    whole = ranks.quantiles(known, CH, "value", {"m": 0.5}, STEPS).withColumnsRenamed({"n": "n2", "m": "m2"})
+    whole = ranks.quantiles(known, CH, "value", {"m": 0.5}).withColumnsRenamed({"n": "n2", "m": "m2"})
     j = seg.join(local, [*CH, "x0"], "left").join(whole, CH)
     use = F.coalesce(F.col("n1"), F.lit(0)) >= 30
     return j.select(
@@ -200,15 +200,15 @@ def chronological_split(t: Inputs):
 @query(
     "minmax_scale",
     with_tables(
-        f"""with f as (select meter_id, variable, min(value) as lo, max(value) as hi from samples where x < 576 group by 1, 2)
+        f"""with f as (select meter_id, variable, min(value) as lo, max(value) as hi from samples where x < (select train_end from span) group by 1, 2)
         select s.meter_id, s.variable, x, {R("(value - lo) / case when hi = lo then 1 else hi - lo end", 6)} as scaled from samples s
         join f on f.meter_id = s.meter_id and f.variable = s.variable where value is not null and lo is not null""",
-        "samples",
+        "samples", "span",
     ),
 )
 def minmax_scale(t: Inputs):
     known = t.samples.filter("value is not null")
-    out = aggregate.minmax_scale(known, CH, "value", F.col("x") < 576)
+    out = aggregate.minmax_scale(known, CH, "value", F.col("x") < t.train_end)
     return out.select(*CH, "x", fixed("scaled", 6).alias("scaled"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltloom.operators import balance, evaluate, joins, seq
@@ -51,6 +51,23 @@ class Inputs:
         """The common grid, shared by nearly every query and therefore written once per application."""
         return stage(fixtures.dense(self.gridded))
 
+    @cached_property
+    def steps(self) -> int:
+        """Grid steps from the origin to the last reading."""
+        return self.dense.agg(F.max("x")).first()[0] + 1
+
+    @property
+    def train_end(self) -> int:
+        """Chronological split: the first eight tenths of the steps train, the next tenth validates, the last tests."""
+        return self.steps * 8 // 10
+
+    @property
+    def valid_end(self) -> int:
+        return self.steps * 9 // 10
+
+    def split(self) -> Column:
+        return F.when(F.col("x") < self.train_end, "train").when(F.col("x") < self.valid_end, "val").otherwise("test")
+
     @cached_property
     def samples(self) -> DataFrame:
         return fixtures.samples(self.dense)
@@ -65,7 +82,7 @@ class Inputs:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        return fixtures.predictions(self.truth)
+        return fixtures.predictions(self.truth, self.steps)
 
     @cached_property
     def gaps(self) -> DataFrame:

@@ -10,7 +10,6 @@ from voltloom.operators import grid, seq
 
 PHASES = ("a", "b", "c")
 T0 = "2024-01-01 00:00:00"
-STEPS = 720
 STEP = 3600
 BLOCK = 168  # one week of hours
 FLOOR = 0.196197
@@ -109,7 +108,7 @@ def gridded(rows: DataFrame) -> DataFrame:
 
 
 def dense(wide: DataFrame) -> DataFrame:
-    return grid.densify(wide, ["meter_id"], STEPS)
+    return grid.densify(wide, ["meter_id"])
 
 
 def samples(wide: DataFrame) -> DataFrame:
@@ -139,8 +138,8 @@ def truth(long: DataFrame, dim: DataFrame) -> DataFrame:
     )
 
 
-def predictions(target: DataFrame) -> DataFrame:
-    """Predictions ``(model, seed, window_idx, output, y_pred)`` around the truth."""
+def predictions(target: DataFrame, steps: int) -> DataFrame:
+    """Predictions ``(model, seed, window_idx, output, y_pred)`` around the truth of ``steps`` grid steps."""
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(w).alias("w")) for m, w in MODELS])
     seeds = F.array(*[F.lit(s) for s in SEEDS])
     wobble = F.lit(1.0) + (((F.col("x") * F.col("seed") + F.col("gamma")) % 7) - 3) / F.lit(100.0)
@@ -149,7 +148,7 @@ def predictions(target: DataFrame) -> DataFrame:
         .withColumn("seed", F.explode(seeds))
         .select("*", F.col("_m.model").alias("model"), F.col("_m.w").alias("w"))
         .withColumn("window_idx", F.col("x") - (F.col("w") / 2).cast("long"))
-        .filter((F.col("window_idx") >= 0) & (F.col("window_idx") <= STEPS - F.col("w")))
+        .filter((F.col("window_idx") >= 0) & (F.col("window_idx") <= F.lit(steps) - F.col("w")))
     )
     shift = F.when(F.col("model") == "m36", F.lit(0.01)).otherwise(F.lit(0.0))
     return grown.select("model", "seed", "window_idx", "output", (F.col("y") * (wobble + shift)).alias("y_pred"))
