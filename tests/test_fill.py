@@ -30,7 +30,7 @@ def collect(df):
 
 
 def test_fill_properties_and_partition_invariance(spark, samples):
-    got = collect(fill.analog_fill(samples, BANDS, 64, 300))
+    got = collect(fill.analog_fill(samples, BANDS, 64))
     assert len(got) == 900
     for m in (1, 2):
         obs = [o for (k, _), (o, *_r) in got.items() if k == m and o is not None]
@@ -45,7 +45,7 @@ def test_fill_properties_and_partition_invariance(spark, samples):
     assert got[(1, 120)][2] in (4, 6)
     assert all(got[(3, x)][1] is None for x in range(293))  # seven readings: too few, left alone
     spark.conf.set("spark.sql.shuffle.partitions", "3")
-    again = collect(fill.analog_fill(samples.repartition(5), BANDS, 64, 300))
+    again = collect(fill.analog_fill(samples.repartition(5), BANDS, 64))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert {k: (round(v[1], 6) if v[1] is not None else None, v[2:]) for k, v in got.items()} == {
         k: (round(v[1], 6) if v[1] is not None else None, v[2:]) for k, v in again.items()
@@ -53,7 +53,7 @@ def test_fill_properties_and_partition_invariance(spark, samples):
 
 
 def test_older_method_fills_everything(samples):
-    out = fill.analog_fill(samples.filter("meter_id = 2"), BANDS, 64, 300, backbone="line", criteria="freq")
+    out = fill.analog_fill(samples.filter("meter_id = 2"), BANDS, 64, backbone="line", criteria="freq")
     assert out.filter("value is null").count() == 0
 
 
@@ -117,7 +117,7 @@ def test_physical_fit_is_a_bounded_minimum(spark):
         cols |= {f"v_{ph}n": v, f"i_{ph}n": i, f"p_{ph}": s * c, f"q_{ph}": q, f"s_{ph}": s * scale, f"cos_{ph}": c}
     rows = [(1, k, *[float(a[k]) for a in cols.values()]) for k in range(n)]
     df = spark.createDataFrame(rows, "meter_id int, x long, " + ", ".join(f"{k} double" for k in cols))
-    got = {r.phase: r for r in fit.physical_fit(df, 1000).collect()}
+    got = {r.phase: r for r in fit.physical_fit(df).collect()}
     assert not got["A"].fitted and got["A"].status == "COMPATIBLE"
 
     def objective(ph, t):

@@ -11,9 +11,16 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as entry_module  # noqa: E402
 from check import compare, connect  # noqa: E402
+from voltloom.plans import registry  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+entry_module.queries()  # registers them
+QUERIES, SQL = registry.QUERIES, registry.ORACLES
+#: Random or iterative; tests of their properties are in test_fill.py.
+WITHOUT_SQL = {
+    "analog_fill", "apply_repair", "candidate_sets", "family_ablation", "fill_method_tests", "fill_scores", "fill_trace", "global_importance",
+    "island_overlap_add", "physical_fit", "recursive_feature_ranking",
+}
 
 
 @pytest.fixture(scope="module")
@@ -28,8 +35,18 @@ UNSTABLE_SQL = {"channel_audit"}
 
 @pytest.mark.parametrize(
     "name",
-    [pytest.param(n, marks=pytest.mark.xfail(reason="SQL twin ill-conditioned at sf0.001")) if n in UNSTABLE_SQL else n for n in sorted(QUERIES)],
+    [pytest.param(n, marks=pytest.mark.xfail(reason="SQL twin ill-conditioned at sf0.001")) if n in UNSTABLE_SQL else n for n in sorted(QUERIES) if n in SQL],
 )
 def test_query(spark, duck, name):
     text, ok = compare(spark, duck, FOLDER, name, QUERIES[name], SQL.get(name))
     assert ok, text
+
+
+def test_every_other_query_has_sql():
+    assert set(QUERIES) - set(SQL) == WITHOUT_SQL
+
+
+@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
+def test_runs(spark, name):
+    df = QUERIES[name](spark, FOLDER)
+    assert df.count() >= 0 and df.columns

@@ -18,7 +18,7 @@ from voltloom.functions import scalars
 from voltloom.functions.slopes import theil_sen
 from voltloom.functions.textures import chord_shape, from_chord, two_sided_shape
 from voltloom.operators import joins, ranks, seq
-from voltloom.operators.statistics import adjust, ks_two_sample, mixed, wilcoxon
+from voltloom.operators.statistics import PRIME, adjust, ks_two_sample, mixed, text_code, wilcoxon
 from voltloom.session import stage
 
 CH = ["meter_id", "variable"]
@@ -198,7 +198,7 @@ def pick_fragments(gaps: DataFrame, known: DataFrame, library: DataFrame, seed:
     p = gaps.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, hop)))
     p = p.withColumn("len", F.least("plen", F.col("n") - F.col("pos"))).filter(F.col("len") >= r.min_fragment)
     p = p.join(counts, [*CH, "len"]).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(r.candidates - 1))))
-    draw = mixed(seed, F.col("meter_id"), F.crc32("variable"), F.col("x0"), F.col("pos"), F.col("c"))
+    draw = mixed(seed, F.col("meter_id"), text_code("variable"), F.col("x0"), F.col("pos"), F.col("c"))
     p = p.withColumn("pick", F.pmod(draw, F.col("n_starts"))).join(starts, [*CH, "pick"])
     keys = [*GAP, "pos", "c"]
     cells = p.select(*keys, "len", "sig", "fc", "m_gap", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("x"))
@@ -328,8 +328,8 @@ def fill_trace(filled: DataFrame) -> DataFrame:
     )
 
 
-def heldout_windows(samples: DataFrame, size: int, count: int, seed: int) -> DataFrame:
-    """A hash sample of ``count`` windows that are half observed with both neighbours observed.
+def heldout_windows(samples: DataFrame, size: int, share: float, seed: int) -> DataFrame:
+    """A hash sample, by share, of the windows that are half observed with both neighbours observed.
 
     Every second tile of ``size`` steps is a candidate, so hidden windows never touch.
     """
@@ -340,8 +340,8 @@ def heldout_windows(samples: DataFrame, size: int, count: int, seed: int) -> Dat
     left = known.select(*CH, (F.col("x") + 1).alias("x0"))
     right = known.select(*CH, (F.col("x") - 1).alias("x1"))
     ok = dense.join(left, [*CH, "x0"], "left_semi").join(right, [*CH, "x1"], "left_semi")
-    key = mixed(seed, F.lit(size), F.col("meter_id"), F.crc32("variable"), F.col("x0"))
-    return ok.withColumn("_h", key).orderBy("_h", *CH, "x0").limit(count).select(*CH, "x0", "x1", "n_obs")
+    key = mixed(seed, F.lit(size), F.col("meter_id"), text_code("variable"), F.col("x0"))
+    return ok.filter(key < F.lit(int(share * PRIME))).select(*CH, "x0", "x1", "n_obs")
 
 
 def hide(samples: DataFrame, windows: DataFrame) -> DataFrame:

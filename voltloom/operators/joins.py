@@ -72,7 +72,7 @@ def align_windows(predictions: DataFrame, widths: Mapping[str, int]) -> DataFram
     return predictions.withColumn("x", (F.col("window_idx") + F.floor(width / 2)).cast("long"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)``: smallest id reachable over undirected ``(a, b)`` edges.
 
     Each round takes the smallest label among the neighbours and then jumps to the label's own label,
@@ -81,7 +81,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut_lineage(both)
     labels = cut_lineage(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels.select(F.col("id").alias("b"), "component"), "b")
             .groupBy(F.col("a").alias("id"))
@@ -98,4 +98,3 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         labels = moved.select("id", "component")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")

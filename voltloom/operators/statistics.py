@@ -27,6 +27,15 @@ def mixed(*parts: Column | int) -> Column:
     return h
 
 
+def text_code(name: str) -> Column:
+    """Reproducible integer below ``PRIME`` of a text column, letter by letter."""
+    return F.expr(f"aggregate(sequence(1, length({name})), 7L, (a, i) -> (a * 131 + ascii(substring({name}, i, 1))) % {PRIME}L)")
+
+
+def text_code_sql(name: str) -> str:
+    return f"list_reduce([7::bigint] || list_transform(range(1, length({name}) + 1), lambda i: ascii(substr({name}, i, 1))::bigint), lambda a, b: (a * 131 + b) % {PRIME})"
+
+
 def mixed_sql(*parts: str) -> str:
     h = "99991::bigint"
     for p in parts:

@@ -445,12 +445,13 @@ def cost_uncertainty(t: Inputs):
 
 
 def pair_diffs(t: Inputs):
-    lm = t.load_metrics.select("output", F.concat("model", F.lit("_"), "seed").alias("model"), fixed("nae_pct", 8).alias("nae"))
+    """Differences of models per output; seeds are repetitions and enter by their mean."""
+    lm = t.load_metrics.groupBy("output", "model").agg(F.avg(fixed("nae_pct", 8)).alias("nae")).withColumn("nae", fixed("nae", 8))
     pairs = joins.model_pairs(lm, ["output"], "model", "nae")
     return pairs.withColumn("diff", F.round(F.col("nae_a") - F.col("nae_b"), 8))
 
 
-_DIFFS = f"""lm as (select output, model || '_' || seed as model, {R('nae_pct', 8)} as nae from load_metrics),
+_DIFFS = f"""lm as (select output, model, {R(f"avg({R('nae_pct', 8)})", 8)} as nae from load_metrics group by 1, 2),
   d as (select a.model as model_a, b.model as model_b, a.output, round(a.nae - b.nae, 8) as diff from lm a join lm b on a.output = b.output and a.model < b.model),
   r as (select *, rank() over (partition by model_a, model_b order by abs(diff)) + (count(*) over (partition by model_a, model_b, abs(diff)) - 1) / 2.0::double as rk from d where diff <> 0),
   w as (select model_a, model_b, count(*) as n_used, coalesce(sum(rk) filter (diff > 0), 0) as wp, coalesce(sum(rk) filter (diff < 0), 0) as wm from r group by 1, 2),
@@ -482,19 +483,27 @@ def rank_biserial(t: Inputs):
     with_tables(
         f"""with {_DIFFS}, o as (select *, row_number() over (order by p_value, model_a, model_b) as i, count(*) over () as n from p)
         select model_a, model_b, {R('p_value', 6)} as p_value, {R('least(1.0::double, max((n - i + 1) * p_value) over (order by i))', 6)} as p_holm,
-        {R('least(1.0::double, min(n::double / i * p_value) over (order by i rows between current row and unbounded following))', 6)} as p_bh from o""",
+        {R('least(1.0::double, min(n::double / i * p_value) over (order by i rows between current row and unbounded following))', 6)} as p_bh,
+        p_value < 0.05 as sig, least(1.0::double, max((n - i + 1) * p_value) over (order by i)) < 0.05 as sig_holm from o""",
         "load_metrics",
     ),
 )
 def pairwise_model_tests(t: Inputs):
     w = statistics.adjust(statistics.wilcoxon(pair_diffs(t), ["model_a", "model_b"], "diff"))
-    return shown(w, ["model_a", "model_b"], ["p_value", "p_holm", "p_bh"], 6)
+    w = w.withColumn("sig", F.col("p_value") < 0.05).withColumn("sig_holm", F.col("p_holm") < 0.05)
+    return shown(w, ["model_a", "model_b", "sig", "sig_holm"], ["p_value", "p_holm", "p_bh"], 6)
 
 
-@query("metric_correlation", with_tables(f"with c as (select count(*) as n, corr(nae_mean, erg_pct) as r from system) select n, {R('r', 6)} as r, {R('r * sqrt((n - 2) / (1 - r * r))')} as t_stat from c", "system"))
+# two-sided tail of Student's t for eight degrees of freedom (ten systems): with the angle a = atan(t / sqrt(8)), sin a = r, cos^2 a = 1 - r^2
+_STUDENT_8 = "1 - abs(r) * (1 + (1 - r * r) / 2 + 3 * (1 - r * r) ** 2 / 8 + 5 * (1 - r * r) ** 3 / 16)"
+
+
+@query("metric_correlation", with_tables(f"with c as (select count(*) as n, corr(nae_mean, erg_pct) as r from system) select n, {R('r', 6)} as r, {R('r * sqrt((n - 2) / (1 - r * r))')} as t_stat, {R(_STUDENT_8, 6)} as p_value from c", "system"))
 def metric_correlation(t: Inputs):
     c = evaluate.system_error(t.load_metrics).agg(F.count("*").alias("n"), F.corr("nae_mean", "erg_pct").alias("r"))
-    return c.select("n", fixed("r", 6).alias("r"), fixed(F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))).alias("t_stat"))
+    c = c.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    p = statistics.student_p("t", (F.col("n") - 2).cast("double"))
+    return c.select("n", fixed("r", 6).alias("r"), fixed("t").alias("t_stat"), fixed(p, 6).alias("p_value"))
 
 
 @query(

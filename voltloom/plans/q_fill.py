@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from voltloom.functions.numeric import fixed
 from voltloom.operators import fill, seq
+from voltloom.operators.statistics import PRIME, mixed_sql, text_code_sql
 from voltloom.plans.fixture_sql import R, add_cte, with_tables
 from voltloom.plans.registry import Inputs, query
 from voltloom.sources.fixtures import BLOCK
 
 CH = ["meter_id", "variable"]
+#: Share of the admissible windows that are hidden, by a hash of each.
+SHARE = 0.05
 # fixed values: hours per category of the hourly grid and its portions
 BANDS = [(1, 1, 6, 1), (2, 7, 12, 2), (3, 13, 24, 3), (4, 25, None, 4)]
 
@@ -72,10 +75,20 @@ def fill_trace(t: Inputs):
 
 
 def hidden(t: Inputs):
-    return t.kept("hidden", lambda: fill.heldout_windows(t.samples.filter("meter_id <> 8"), 12, 50, 7))
+    return t.kept("hidden", lambda: fill.heldout_windows(t.samples.filter("meter_id <> 8"), 12, SHARE, 7))
 
 
-@query("heldout_windows")
+@query(
+    "heldout_windows",
+    with_tables(
+        f"""with known as (select meter_id, variable, x from samples where value is not null and meter_id <> 8),
+        w as (select meter_id, variable, x // 12 * 12 as x0, x // 12 * 12 + 11 as x1, count(*) as n_obs from known where x // 12 % 2 = 1 group by 1, 2, 3, 4 having count(*) >= 6)
+        select w.meter_id, w.variable, w.x0, w.x1, w.n_obs from w join known l on l.meter_id = w.meter_id and l.variable = w.variable and l.x = x0 - 1
+        join known r on r.meter_id = w.meter_id and r.variable = w.variable and r.x = x1 + 1
+        where {mixed_sql('7', '12', 'w.meter_id', text_code_sql('w.variable'), 'x0')} < {int(SHARE * PRIME)}""",
+        "samples",
+    ),
+)
 def heldout_windows(t: Inputs):
     return hidden(t)
 

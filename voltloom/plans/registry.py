@@ -118,12 +118,23 @@ class Inputs:
         return self.kept("balance", lambda: balance.series(self.scored, self.rest, self.main))
 
 
-_OPEN: dict[tuple[str, str], Inputs] = {}
+_OPEN: dict[tuple, Inputs] = {}
+
+
+def files_of(spark: SparkSession, folder: str) -> tuple:
+    """Name, size and time of every file of the folder, from the file system that Spark reads it with."""
+    sc = spark.sparkContext
+    top = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    found, out = top.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(top, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def inputs(spark: SparkSession, folder: str) -> Inputs:
-    """The derived tables of a folder, planned once per application."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The derived tables of a folder, planned once per application and state of its files."""
+    key = (spark.sparkContext.applicationId, folder, files_of(spark, folder))
     if key not in _OPEN:
         _OPEN[key] = Inputs(spark, folder)
     return _OPEN[key]
