@@ -29,7 +29,7 @@ from voltloom.llm.frame import arrow_schema, mixed, texts
 from voltloom.session import stage
 
 #: Units (bytes or words) worked on at a time within a task.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Windows of one segment at most; a longer one is cut.
 LONGEST = 512
 CROWD = 20_000

@@ -4,7 +4,7 @@ The merges are compiled, in order, into a deterministic automaton over tokens. I
 gadget of a merge (u, v) -> w copies the state behind u without its v arc, lets u lead to the copy, and adds an arc w to where v led.
 What a path through the finished automaton spells is the tokenization of its bytes, and each text has exactly one path.
 
-A copied state differs from its origin by one arc, so states are kept as that difference: ``cut[u][v]`` is the time at which the v arc
+A copied state differs from its origin by one arc, so states are kept as that difference: ``cut`` of (u, v) is the time at which the v arc
 behind u went, and the state behind a token is the cuts of its right spine, each up to the time its member was merged away. An arc y
 exists there if no member of y's left spine was cut while both lived. ``Automaton.step`` is this transition function, tabulated as it is
 used; texts are split into words first, and a word is entered from the left through a trie of the reversed tokens.
@@ -28,7 +28,7 @@ from voltloom.llm.frame import per_batch, texts
 #: Fixed value: the word pattern of the byte-level tokenizer files.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries a worker remembers before it starts anew; this bounds memory only.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 NEVER = 1 << 40
 
 
@@ -47,9 +47,7 @@ class Automaton:
         self.added = added
         self.born: dict[int, int] = {vocab[c]: -1 for c in letters if c in vocab}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.cut: dict[int, dict[int, int]] = {}
-        self.left: dict[int, list[tuple[int, int]]] = {t: [(t, NEVER)] for t in self.born}
-        self.right: dict[int, list[tuple[int, int]]] = {t: [(t, NEVER)] for t in self.born}
+        self.cut: dict[int, int] = {}
         self.table: dict[int, bool] = {}
         for time, merge in enumerate(merges):
             self.gadget(*(vocab[x] for x in (merge if len(merge) == 2 else merge.split(" "))), vocab["".join(merge) if len(merge) == 2 else merge.replace(" ", "")], time)
@@ -69,17 +67,25 @@ class Automaton:
         """Cut the v arc behind u at this time; the arc w exists if u and v could still follow each other."""
         if u in self.born and v in self.born and w not in self.born and self.follows(u, v):
             self.born[w] = time
-            self.left[w] = [(w, NEVER), *((x, min(end, time)) for x, end in self.left[u])]
-            self.right[w] = [(w, NEVER), *((x, min(end, time)) for x, end in self.right[v])]
-        self.cut.setdefault(u, {})[v] = time
+            self.parts[w] = u, v
+        self.cut[u << 32 | v] = time
+
+    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The token and its outermost parts on a side, each with the time at which it was merged away."""
+        out = [(token, NEVER)]
+        while token in self.parts:
+            end = self.born[token]
+            token = self.parts[token][side]
+            out.append((token, end))
+        return out
 
     def follows(self, a: int, b: int) -> bool:
-        for x, x_end in self.right[a]:
-            if gone := self.cut.get(x):
-                for y, y_end in self.left[b]:
-                    time = gone.get(y)
-                    if time is not None and time < x_end and (time < y_end or time == y_end and x == y):
-                        return False
+        left = self.spine(b, 0)
+        for x, x_end in self.spine(a, 1):
+            for y, y_end in left:
+                time = self.cut.get(x << 32 | y)
+                if time is not None and time < x_end and (time < y_end or time == y_end and x == y):
+                    return False
         return True
 
     def step(self, a: int, b: int) -> bool:
@@ -87,7 +93,7 @@ class Automaton:
         key = a << 32 | b
         known = self.table.get(key)
         if known is None:
-            if len(self.table) > REMEMBERED:
+            if len(self.table) > 2 * REMEMBERED:
                 self.table.clear()
             known = self.table[key] = self.follows(a, b)
         return known
@@ -132,32 +138,50 @@ class Automaton:
         return out
 
 
+class Words:
+    """Ids of words met lately. When there are many, those not met again since the last time go."""
+
+    def __init__(self):
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        out = []
+        for w in words.difference(self.known):
+            ids = self.before.get(w)
+            if ids is None:
+                out.append(w)
+            else:
+                self.known[w] = ids
+        return out
+
+
 @lru_cache(maxsize=2)
-def load(path: str) -> tuple[Automaton, dict[str, bytes], regex.Pattern, regex.Pattern | None]:
+def load(path: str) -> tuple[Automaton, Words, regex.Pattern, regex.Pattern | None]:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     added = {x["content"]: x["id"] for x in spec["added_tokens"]}
     automaton = Automaton(spec["model"]["vocab"], spec["model"]["merges"], added)
     marks = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-    return automaton, {}, regex.compile(SPLIT), marks
+    return automaton, Words(), regex.compile(SPLIT), marks
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
-    automaton, known, split, marks = load(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    known.update((mark, np.array([i], "<u4").tobytes()) for mark, i in automaton.added.items())
+    automaton, words, split, marks = load(path)
     parts = []
     for text in texts:
         if marks is None or not any(mark in text for mark in automaton.added):
             parts.append(split.findall(text))
         else:
             parts.append([w for k, x in enumerate(marks.split(text)) for w in ([x] if k % 2 else split.findall(x))])
-    new = {w.encode(): w for w in set().union(*parts).difference(known)}
-    order = sorted(new)
+    new = {w.encode(): w for w in words.missing(set().union(*parts))}
+    known, order = words.known, sorted(new)
     known.update((new[b], np.array(ids, "<u4").tobytes()) for b, ids in zip(order, automaton.encode(order), strict=True))
-    return [b"".join(map(known.__getitem__, words)) for words in parts]
+    known.update((mark, np.array([i], "<u4").tobytes()) for mark, i in automaton.added.items())
+    return [b"".join(map(known.__getitem__, own)) for own in parts]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -169,14 +193,27 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return per_batch(texts(docs), "doc_id long, ids binary", work)
 
 
+def decode_ids(ids: bytes | None, path: str) -> str:
+    """The labels of the arcs in a row, read as UTF-8. Ids without a label are left out, null ids are none."""
+    label = load(path)[0].label
+    return b"".join([label.get(i, b"") for i in np.frombuffer(ids or b"", "<u4").tolist()]).decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids, text``: the labels of the arcs in a row, read as UTF-8. Ids without a label are left out, null ids are none."""
+    """``doc_id, ids, text`` of encoded rows."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        label = load(path)[0].label
-        out = []
-        for ids in batch.column("ids").to_pylist():
-            out.append(b"".join([label.get(i, b"") for i in np.frombuffer(ids or b"", "<u4").tolist()]).decode("utf-8", "replace"))
-        return {"doc_id": batch.column("doc_id"), "ids": batch.column("ids"), "text": out}
+        ids = batch.column("ids")
+        return {"doc_id": batch.column("doc_id"), "ids": ids, "text": [decode_ids(x, path) for x in ids.to_pylist()]}
 
     return per_batch(encoded.select("doc_id", "ids"), "doc_id long, ids binary, text string", work)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``decode(encode(docs))`` in one pass, so that a task needs one worker with one automaton."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        ids = encode_texts(batch.column("text").to_pylist(), path)
+        return {"doc_id": batch.column("doc_id"), "ids": ids, "text": [decode_ids(x, path) for x in ids]}
+
+    return per_batch(texts(docs), "doc_id long, ids binary, text string", work)

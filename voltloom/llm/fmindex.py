@@ -26,7 +26,7 @@ from voltloom.llm.frame import per_batch
 
 WINDOW, GRAM = 20, 8
 #: Bytes of word numbers (eight a word) that make a shard.
-SHARD = 4 << 20
+SHARD = 2 << 20
 
 
 class Wavelet:

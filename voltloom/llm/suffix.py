@@ -22,7 +22,7 @@ from voltloom.llm.anchors import CROWD, Kind, covered, repeated_windows, with_wi
 from voltloom.llm.frame import mixed, per_batch
 
 WINDOW, GRAM = 200, 64
-SHARD = 4 << 20
+SHARD = 2 << 20
 ROOT = 8
 PERIOD = ROOT * ROOT
 #: Suffixes sorted at a time.
