@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from voltloom.plans.registry import inputs
 from voltloom.sources import readings
 
 
@@ -35,3 +36,17 @@ def test_predictions_and_sets(spark, tmp_path):
     w = spark.createDataFrame([("train", [[1.0]])], "split string, window array<array<double>>")
     readings.write_windows(w, str(tmp_path / "w"))
     assert spark.read.parquet(str(tmp_path / "w")).select(F.col("split")).first()[0] == "train"
+
+
+def test_calendar_follows_the_data(spark, tmp_path):
+    """A reading on day 45 is on the grid, and so are the hours before it."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    late = events.limit(1).selectExpr("event_id", "timestamp_ntz'2024-02-14 05:10:00' as ts", "user_id", "event_type", "value", "props") if dict(events.dtypes)["ts"] == "timestamp_ntz" else events.limit(1).withColumn("ts", F.lit("2024-02-14 05:10:00").cast("timestamp"))
+    events.unionByName(late.select(events.columns)).write.parquet(str(tmp_path / "events.parquet"))
+    t = inputs(spark, str(tmp_path))
+    last = 44 * 24 + 5
+    assert t.steps == last + 1 and t.train_end == (last + 1) * 8 // 10
+    assert t.dense.filter(F.col("x") == last).filter("v_an is not null").count() >= 1
+    assert t.dense.groupBy("meter_id").count().select("count").distinct().collect()[0][0] == last + 1
+    events.write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    assert inputs(spark, str(tmp_path)) is not t

@@ -237,8 +237,8 @@ def texture(fragments: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def range_guard(points: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Shrink the deviation of each gap from its level until it fits the observed range; cut what remains."""
-    j = points.join(bounds, CH)
+    """Shrink the deviation of each gap from its level, which is cut to the observed range first, until it fits; cut what remains."""
+    j = points.join(bounds, CH).withColumn("base", F.greatest(F.least("base", "hi"), F.col("lo")))
     d = F.col("cand") - F.col("base")
     room = F.when(d > 1e-12, (F.col("hi") - F.col("base")) / d).when(d < -1e-12, (F.col("lo") - F.col("base")) / d)
     scale = j.groupBy(*GAP).agg(F.min(room).alias("_s"))
@@ -357,7 +357,7 @@ def fill_scores(truth: DataFrame, filled: DataFrame, windows: DataFrame, method:
     keys = [*CH, "x0"]
     zero = F.lit(0.0)
     g = j.groupBy(*keys).agg(
-        (F.stddev_pop("f") / F.nullif(F.stddev_pop("t"), zero)).alias("sd_ratio"), (F.sum("f") / F.nullif(F.sum("t"), zero)).alias("energy_ratio"),
+        (F.stddev_pop("f") / F.nullif(F.stddev_pop("t"), zero)).alias("sd_ratio"), ((F.sum(F.abs("f")) + 1e-12) / (F.sum(F.abs("t")) + 1e-12)).alias("energy_ratio"),
         F.avg(F.abs(F.col("f") - F.col("t"))).alias("mae"), F.count("*").alias("n"),
     )
     both = j.select(*keys, F.explode(F.array(F.struct(F.col("t").alias("v"), F.lit(True).alias("a")), F.struct(F.col("f").alias("v"), F.lit(False).alias("a")))).alias("s"))

@@ -86,18 +86,20 @@ def _step(theta: pd.Series, grad: pd.Series, curve: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def physical_fit(wide: DataFrame, rounds: int = 12) -> DataFrame:
+def physical_fit(wide: DataFrame, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
     """Residuals before and after, parameters and status per meter and phase.
 
     Phases that already agree keep the identity. For the others each round joins the small parameter table to
-    the readings, averages the robust slopes in one aggregation and takes one step, for all phases together.
+    the readings, averages the robust slopes in one aggregation and takes one step, for all phases together. A phase
+    whose largest step is below the tolerance is done and leaves; one that is not after the last round is marked ``NOT_CONVERGED``.
     """
     rows = stage(usable(wide))
     fixed_theta = {n: F.lit(v) for n, v in zip(NAMES, START)}
     before = stage(median_residuals(rows, fixed_theta))
     sizes = rows.groupBy(*KEYS).agg(F.count("*").alias("n_real"))
     need = before.join(sizes, KEYS).filter((F.greatest("vi", "pcos", "tri") > COMPATIBLE) & (F.col("n_real") >= MIN_POINTS))
-    theta = cut_lineage(need.select(*KEYS, F.array(*[F.lit(v) for v in START]).alias("theta")))
+    moving = cut_lineage(need.select(*KEYS, F.array(*[F.lit(v) for v in START]).alias("theta")))
+    settled = None
     named = {n: F.col("theta")[i] for i, n in enumerate(NAMES)}
     res, der = residuals(named), slopes(named)
     weight = {k: F.when(F.abs(r) <= DELTA, F.lit(1.0)).otherwise(F.lit(DELTA) / F.abs(r)) for k, r in res.items()}
@@ -107,10 +109,17 @@ def physical_fit(wide: DataFrame, rounds: int = 12) -> DataFrame:
         sum((weight[k] * d[a] * d[b] for k, d in der.items() if a in d and b in d), zero) for a in range(6) for b in range(a, 6)
     ]
     for _ in range(rounds):
-        g = rows.join(theta, KEYS).groupBy(*KEYS, "theta").agg(
+        g = rows.join(moving, KEYS).groupBy(*KEYS, "theta").agg(
             F.array(*[F.avg(c) for c in grad]).alias("g"), F.array(*[F.avg(c) for c in curve]).alias("c")
         )
-        theta = cut_lineage(g.select(*KEYS, _step("theta", "g", "c").alias("theta")))
+        went = F.array_max(F.zip_with("theta", "next", lambda a, b: F.abs(a - b)))
+        after = cut_lineage(g.withColumn("next", _step("theta", "g", "c")).select(*KEYS, F.col("next").alias("theta"), (went < tolerance).alias("converged")))
+        done = after.filter("converged")
+        settled = done if settled is None else settled.unionByName(done)
+        moving = after.filter("not converged").drop("converged")
+        if moving.isEmpty():
+            break
+    theta = settled.unionByName(moving.withColumn("converged", F.lit(False)))
     moved = median_residuals(rows.join(theta, KEYS), named).withColumnsRenamed({c: f"{c}_after" for c in ("vi", "pcos", "tri")})
     out = wide.select("meter_id").distinct().withColumn("phase", F.explode(F.array(*[F.lit(p) for p in "ABC"])))
     out = out.join(sizes, KEYS, "left").join(before, KEYS, "left").join(moved, KEYS, "left").join(theta, KEYS, "left")
@@ -120,7 +129,7 @@ def physical_fit(wide: DataFrame, rounds: int = 12) -> DataFrame:
     worst = F.greatest(*[F.coalesce(f"{c}_after", c) for c in ("vi", "pcos", "tri")])
     out = out.withColumn("distance", dist).withColumn("worst_after", worst)
     status = (
-        F.when(F.col("n_real") < MIN_POINTS, "DEAD_OR_INSUFFICIENT").when(F.col("worst_after") > INCOMPATIBLE, "INCOMPATIBLE_PERSISTENT")
+        F.when(F.col("n_real") < MIN_POINTS, "DEAD_OR_INSUFFICIENT").when(F.col("fitted") & ~F.coalesce("converged", F.lit(True)), "NOT_CONVERGED").when(F.col("worst_after") > INCOMPATIBLE, "INCOMPATIBLE_PERSISTENT")
         .when((F.col("worst_after") <= COMPATIBLE) & (F.col("distance") <= DISTANCE), "COMPATIBLE").otherwise("ALERT")
     )
-    return out.select(*KEYS, "n_real", "vi", "pcos", "tri", "fitted", *[F.col("theta")[i].alias(n) for i, n in enumerate(NAMES)], "distance", "worst_after", status.alias("status"))
+    return out.select(*KEYS, "n_real", "vi", "pcos", "tri", "fitted", *[F.col("theta")[i].alias(n) for i, n in enumerate(NAMES)], "distance", "worst_after", F.coalesce("converged", F.lit(True)).alias("converged"), status.alias("status"))

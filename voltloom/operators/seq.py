@@ -276,16 +276,13 @@ def detrend_runs(df: DataFrame, keys: Keys, value: str, pieces: DataFrame, x: st
 
 def weighted_line(df: DataFrame, keys: Keys, t, y, w) -> DataFrame:
     """Weighted least squares line per group; a flat line where time does not vary."""
-    g = df.groupBy(*keys).agg(
-        F.sum(w).alias("sw"), F.sum(w * t).alias("st"), F.sum(w * y).alias("sy"),
-        F.sum(w * t * t).alias("stt"), F.sum(w * t * y).alias("sty"),
-    )
-    var = F.col("stt") - F.col("st") * F.col("st") / F.col("sw")
-    cov = F.col("sty") - F.col("st") * F.col("sy") / F.col("sw")
-    slope = F.when(var > 0, cov / var).otherwise(F.lit(0.0))
-    return g.withColumn("slope", slope).select(
-        *keys, "slope", ((F.col("sy") - F.col("slope") * F.col("st")) / F.col("sw")).alias("intercept")
-    )
+    rows = df.withColumns({"_t": t.cast("double"), "_y": y.cast("double"), "_w": w.cast("double")})
+    total = F.sum("_w")
+    means = rows.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("_t")) / total).alias("_tm"), (F.sum(F.col("_w") * F.col("_y")) / total).alias("_ym"))
+    dt, dy = F.col("_t") - F.col("_tm"), F.col("_y") - F.col("_ym")  # centred first: raw squares of large times lose their digits
+    g = rows.join(means, list(keys)).groupBy(*keys, "_tm", "_ym").agg(F.sum(F.col("_w") * dt * dt).alias("_var"), F.sum(F.col("_w") * dt * dy).alias("_cov"))
+    slope = F.when(F.col("_var") > 0, F.col("_cov") / F.col("_var")).otherwise(F.lit(0.0))
+    return g.withColumn("slope", slope).select(*keys, "slope", (F.col("_ym") - F.col("slope") * F.col("_tm")).alias("intercept"))
 
 
 def stretch(source: DataFrame, keys: Keys, targets: DataFrame, value: str, n_source, x: str = "x") -> DataFrame:

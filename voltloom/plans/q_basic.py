@@ -48,9 +48,10 @@ def read_readings(t: Inputs):
     ),
 )
 def drop_exact_duplicates(t: Inputs):
-    n_in = t.raw.groupBy("meter_id").agg(F.count("*").alias("n_in"))
-    n_out = t.readings.groupBy("meter_id").agg(F.count("*").alias("n_out"))
-    return n_in.join(n_out, "meter_id").withColumn("n_dup", F.col("n_in") - F.col("n_out"))
+    clean = fixtures.cleaned(t.raw)
+    different = clean.groupBy(*clean.columns).agg(F.count("*").alias("n"))
+    per = different.groupBy("meter_id").agg(F.sum("n").alias("n_in"), F.count("*").alias("n_out"))
+    return per.withColumn("n_dup", F.col("n_in") - F.col("n_out"))
 
 
 @query(

@@ -95,10 +95,14 @@ def raw_readings(events: DataFrame) -> DataFrame:
     )
 
 
+def cleaned(raw: DataFrame) -> DataFrame:
+    """Readings with NULL as the only missing value."""
+    return raw.select("meter_id", "time", "k", *[missing_to_null(v).alias(v) for v in VARIABLES])
+
+
 def readings(raw: DataFrame) -> DataFrame:
-    """Distinct readings with NULL as the only missing value."""
-    clean = raw.select("meter_id", "time", "k", *[missing_to_null(v).alias(v) for v in VARIABLES])
-    return clean.dropDuplicates()
+    """Distinct cleaned readings."""
+    return cleaned(raw).dropDuplicates()
 
 
 def gridded(rows: DataFrame) -> DataFrame:
@@ -125,7 +129,7 @@ def truth(long: DataFrame, dim: DataFrame) -> DataFrame:
     phase = F.upper(F.substring("variable", 3, 1))
     return (
         long.filter(F.col("variable").isin("p_a", "p_b", "p_c"))
-        .join(F.broadcast(loads), "meter_id")
+        .join(loads, "meter_id")
         .select(
             F.concat(F.lit("G"), F.col("gamma_id"), F.lit("_"), phase).alias("output"),
             F.col("gamma_id").alias("gamma"),
