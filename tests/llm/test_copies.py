@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -214,3 +215,12 @@ def test_segments_cover_each_window_once():
     found = anchors.segments(units, np.array([0, 15, 150, len(units)]), kind)
     seen = sorted((t, s + k) for t, s, n in zip(found["text"], found["start"], found["n"], strict=True) for k in range(n))
     assert seen == [(1, k) for k in range(116)] + [(2, k) for k in range(len(units) - 150 - 19)]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_twins(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    found = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in found.description]
+    assert sorted(found.fetchall()) == sorted(tuple(r[n] for n in names) for r in queries.QUERIES[name](spark, SMALL).collect())

@@ -9,12 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.llm import anchors, bpe, fmindex, hosts, leaks, linecrf, quality, repair, simhash, suffix, toxicity
+from voltloom.llm import anchors, bpe, fmindex, hosts, leaks, linecrf, oracles, quality, repair, simhash, suffix, toxicity
 from voltloom.llm.frame import table
 from voltloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_fm_index": oracles.REPEATED_WORDS, "op6_suffix_array": oracles.REPEATED_BYTES}
 
 END_ID = 2
 
