@@ -23,9 +23,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component, over five-word shingles."""
+    """The document with the smallest id of each SimHash component, over five-word shingles of similarity 0.8 or more."""
     ready(spark)
-    return simhash.one_of_each(docs, size=5)
+    return simhash.one_of_each(docs, size=5, similarity=0.8)
 
 
 def said_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,35 +12,46 @@ repeat a ``doc_id`` are one document with, possibly, several fingerprints; extra
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltloom.llm.components import components
-from voltloom.llm.frame import arrow_schema, per_batch, texts
+from voltloom.llm.frame import arrow_schema, mixed, per_batch, texts
 from voltloom.session import stage
 
 NEAR = 3
 CROWD = 512
+#: Bits of the fingerprints that tell a share of similar shingles, and of a block of theirs.
+WIDE, BLOCK = 1024, 20
+STRETCH = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 BITS = np.array([[v >> k & 1 for k in range(8)] for v in range(256)], np.int64)
 
 
-def fingerprint(text: str, size: int) -> int:
-    """As a signed number. ``bytes.lower`` and ``bytes.split`` know A-Z and the ASCII white space only."""
+def spans(text: str, size: int) -> list[bytes]:
+    """Word shingles as bytes, repeats included; a shorter text is one shingle, one without words has none."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
     size = min(size, len(words))
+    return [joined[a:b] for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str, size: int) -> int:
+    """As a signed number. ``bytes.lower`` and ``bytes.split`` know A-Z and the ASCII white space only."""
+    shingles = spans(text, size)
+    if not shingles:
+        return 0
     digest = xxhash.xxh64_intdigest
-    spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], 42) for a, b in spans], "<u8").view(np.uint8).reshape(-1, 8)
+    hashes = np.array([digest(x, 42) for x in shingles], "<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(hashes[:, k], minlength=256) @ BITS for k in range(8)])
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
@@ -131,11 +142,67 @@ def near_duplicates(docs: DataFrame, size: int = 3, near: int = NEAR) -> DataFra
     return prints.join(placed, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def hexadecimal(fp: str = "fp"):
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+def wide_bits(text: str, size: int) -> np.ndarray:
+    """``WIDE`` fingerprint bits over the different shingles: each hash is stretched to as many bits."""
+    hashes = np.fromiter({xxhash.xxh64_intdigest(x, 42) for x in spans(text, size)}, np.uint64)
+    ones = np.zeros((WIDE // 8, 8))
+    with np.errstate(over="ignore"):
+        for k in range(0, len(hashes), 2048):
+            long = mixed(hashes[k : k + 2048, None] + STRETCH).view(np.uint8).astype(np.int64)
+            counts = np.bincount((long + 256 * np.arange(WIDE // 8)).ravel(), minlength=32 * WIDE).reshape(WIDE // 8, 256)
+            ones += counts.astype(float) @ BITS.astype(float)
+    return (2 * ones > len(hashes)).ravel()
+
 
+def differing(similarity: float) -> int:
+    """Bits in which sets of that Jaccard similarity are expected to differ, and one standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
 
-def one_of_each(docs: DataFrame, size: int = 3, near: int = NEAR) -> DataFrame:
+
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """``doc_id, component_id`` over documents whose word shingles are similar, which differ in many more bits than ``NEAR``.
+
+    Fingerprints have ``WIDE`` bits. A block is ``BLOCK`` sampled bits; there are so many blocks that a pair at the threshold shares one with
+    the wished recall. Under a block's value the classes stand in the order of their first 64 bits, and each is compared with the one
+    before it and with the first, so that a crowd costs a row each and never all its pairs; other blocks order it anew. What is close in
+    the first 64 bits is verified on all of them.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** BLOCK))
+    places = np.random.default_rng(11).permuted(np.tile(np.arange(WIDE), (n, 1)), axis=1)[:, :BLOCK]
+    limit, first_limit = differing(similarity), round(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        bits = np.stack([wide_bits(t, size) for t in batch.column("text").to_pylist()])
+        keys = bits[:, places] @ (1 << np.arange(BLOCK))
+        words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+        return {"doc_id": batch.column("doc_id"), "wide": list(words), "keys": list(keys)}
+
+    prints = stage(per_batch(texts(docs).filter("doc_id is not null"), "doc_id long, wide array<long>, keys array<int>", work))
+    classes = stage(prints.groupBy("wide").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
+    keyed = classes.select("id", F.col("wide")[0].alias("lead"), F.posexplode("keys").alias("block", "key"))
+    order = Window.partitionBy("block", "key").orderBy("lead", "id")
+    beside = keyed.select("id", "lead", *[f(c).over(order).alias(f"{n}_{c}") for n, f in (("before", F.lag), ("first", F.first)) for c in ("id", "lead")])
+    close = lambda c: F.bit_count(F.col("lead").bitwiseXOR(F.col(c))) <= first_limit
+    pairs = beside.filter(close("before_lead")).select(F.col("before_id").alias("a"), F.col("id").alias("b")).unionByName(
+        beside.filter(close("first_lead")).select(F.col("first_id").alias("a"), F.col("id").alias("b"))
+    )
+    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wide = classes.select("id", "wide")
+    both = pairs.join(wide.toDF("a", "wide_a"), "a").join(wide.toDF("b", "wide_b"), "b")
+    apart = sum((F.bit_count(F.col("wide_a")[k].bitwiseXOR(F.col("wide_b")[k])) for k in range(WIDE // 64)), F.lit(0))
+    copies = prints.join(classes.select("wide", "id"), "wide").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    found = components(both.filter(apart <= limit).select("a", "b").unionByName(copies))
+    ids = prints.select("doc_id").distinct()
+    return ids.join(found, ids.doc_id == found.id, "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, whole, without those whose component has a smaller ``doc_id``."""
-    copies = near_duplicates(docs, size, near).filter("doc_id <> component_id").select("doc_id").distinct()
+    copies = similar(docs, size, similarity).filter("doc_id <> component_id").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def hexadecimal(fp: str = "fp"):
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
