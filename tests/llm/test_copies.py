@@ -224,3 +224,23 @@ def test_sql_twins(spark, name):
     found = con.execute(queries.ORACLES[name])
     names = [c[0] for c in found.description]
     assert sorted(found.fetchall()) == sorted(tuple(r[n] for n in names) for r in queries.QUERIES[name](spark, SMALL).collect())
+
+
+def test_similar_documents(spark):
+    """Pairs above the threshold meet, others stay apart, and exact copies of copies are one group."""
+    draw, texts = random.Random(9), []
+    for k in range(40):
+        words = prose(500 + k, draw.randint(60, 300)).split()
+        texts.append(" ".join(words))
+        for share in (0.002, 0.01, 0.015, 0.2):
+            other = [prose(draw.randrange(10**6), 1) if draw.random() < share else w for w in words]
+            texts.append(" ".join(other))
+    texts += texts[:3]
+    sets = [set(simhash.spans(t, 5)) for t in texts]
+    own = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(texts)) for b in range(a)}
+    near = [p for p, j in likeness.items() if j >= 0.82]
+    assert len(near) > 100 and np.mean([own[a] == own[b] for a, b in near]) >= 0.98
+    apart = [p for p, j in likeness.items() if j < 0.3]
+    assert not any(own[a] == own[b] for a, b in apart)
+    assert all(own[len(texts) - 3 + k] == own[k] for k in range(3))
