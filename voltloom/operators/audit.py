@@ -182,7 +182,7 @@ def channel_audit(wide: DataFrame, variables: Sequence[str], step_hours: float,
     side = [f"{q}_{p}" for q in ("p", "s") for p in PHASES]
     kept = spread_powers(wide).select("meter_id", "x", "_e_b", "_e_c", *variables, *[F.col(c).alias(f"_{c}") for c in side])
     long = kept.unpivot(["meter_id", "x", "_e_b", "_e_c", *[f"_{c}" for c in side]], list(variables), "variable", "value")
-    rows = real_rows(long)
+    rows = stage(real_rows(long))  # read by the four passes below
     live = stage(liveness(rows.select(*CH, "x", "value", "real"), block))  # one row per channel
     power = stage(active_power(rows, live, step_hours))
     status = power.select("meter_id", "variable", F.col("status").alias("p_status"))
