@@ -75,15 +75,15 @@ def train(positive: np.ndarray, unmarked: np.ndarray, prior: float, rounds: int
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def work(batch: pa.RecordBatch) -> dict:
         rows = batch.column("text").to_pylist()
-        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": [features(t) for t in rows]}
+        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": [features(t).tobytes() for t in rows]}
 
-    ddl = "doc_id long, label int, x array<float>"
+    ddl = "doc_id long, label int, x binary"
     marked = per_batch(labelled(docs, labels, "quality", sample), ddl, work)
     other = per_batch(unlabelled(docs, sample).withColumn("label", F.lit(-1)), ddl, work)
     rows = sorted(marked.unionByName(other).collect(), key=lambda r: (r.doc_id, r.label, r.x))  # at most twice ``sample`` rows
     shares = [r.label > 0 for r in rows if r.label >= 0]
     prior = min(0.98, max(0.02, float(np.mean(shares)))) if shares else 0.5
-    take = lambda ok: np.array([r.x for r in rows if ok(r.label)], float).reshape(-1, 256 + EXTRA)
+    take = lambda ok: np.frombuffer(b"".join(r.x for r in rows if ok(r.label)), np.float32).astype(float).reshape(-1, 256 + EXTRA)
     return train(take(lambda y: y > 0), take(lambda y: y < 0), prior)
 
 
