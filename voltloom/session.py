@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and not sc.master.startswith("local"):
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc._jsc.sc().getCheckpointDir().get()
