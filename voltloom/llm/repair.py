@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from voltloom.llm.bpe import byte_letters
 from voltloom.llm.frame import arrow_schema, texts
@@ -34,9 +35,12 @@ MIN_PAIRS = 8
 #: A round that shortens a block by less than this share is the last.
 LEAST_GAIN = 0.01
 #: Pieces a worker remembers before it starts anew; this bounds memory only.
-REMEMBERED = 200_000
-#: Latin letters, then ASCII punctuation.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+REMEMBERED = 250_000
+#: Words that go to the model in one text.
+AT_ONCE = 4096
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: ASCII punctuation.
+BEHIND = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
 #: What Python takes for white space and the splitter does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 NO_ID = np.iinfo(np.int64).min
@@ -101,11 +105,29 @@ def access(rules: np.ndarray, lengths: np.ndarray, body: np.ndarray, terminals:
     return expand(rules, body[first : last + 1], terminals)[low - begin : high - begin]
 
 
+class Rows:
+    """Ids of numbered things, in one row."""
+
+    def __init__(self):
+        self.ids, self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.begin = np.append(self.begin, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.ids = np.append(self.ids, ids)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these, in a row, and how many each has."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[numbers] - ends + size, size)], size
+
+
 class Pieces:
-    """Ids of the pieces between white space met so far, in one row.
+    """Ids of the pieces between white space met so far.
 
-    The file's splitter drops white space and never joins across it. A piece of Latin letters with punctuation behind is two words to it;
-    such words go to the library's model as they are, all other pieces through the library's whole pipeline.
+    The file's splitter drops white space and never joins across it. A piece of Latin letters with ASCII punctuation behind is two words to
+    it; such words go, many at a time, to the library's model without normalizer and splitter; all other pieces go through everything.
     """
 
     def __init__(self, path: str):
@@ -113,53 +135,55 @@ class Pieces:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
         self.letters = {b: c for c, b in byte_letters().items()}
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.ids, self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return ids
-
-    def learn(self, pieces: set[str]) -> None:
-        new = sorted(pieces.difference(self.number))
-        found: list[list[int]] = []
-        odd = []
-        for k, piece in enumerate(new):
-            plain = PLAIN.fullmatch(piece)
-            if plain:
-                letters, behind = plain.groups()
-                found.append(self.word(letters.lower()) + self.word(behind) if behind else self.word(letters.lower()))
+        self.words: dict[str, int] = {"": 0}
+        self.pieces, self.parts = Rows(), Rows()
+        self.parts.add(np.zeros(0, np.int64), np.zeros(1, np.int64))
+
+    def learn(self, new: list[str]) -> None:
+        words, fresh, pairs, odd = self.words, [], [], []
+
+        def numbered(word: str) -> int:
+            k = words.get(word)
+            if k is None:
+                k = words[word] = len(words)
+                fresh.append(word)
+            return k
+
+        for piece in new:
+            word = piece.rstrip(BEHIND)
+            if word.isalpha() and (word.isascii() or LATIN.fullmatch(word)):
+                pairs += numbered(word.lower()), numbered(piece[len(word) :])
             else:
-                odd.append(k)
-                found.append([])
-        for k, e in zip(odd, self.tokenizer.encode_batch_fast([new[k] for k in odd], add_special_tokens=False), strict=True):
-            found[k] = e.ids
-        self.number.update((w, len(self.size) + k) for k, w in enumerate(new))
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.begin = np.append(self.begin, len(self.ids) + np.cumsum(size) - size)
-        self.size = np.append(self.size, size)
-        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), np.int64, int(size.sum())))
+                pairs += 0, 0
+                odd.append(len(pairs) // 2 - 1)
+        for k in range(0, len(fresh), AT_ONCE):
+            own = fresh[k : k + AT_ONCE]
+            shown = " ".join([w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())) for w in own])
+            e = self.bare.encode(shown, add_special_tokens=False)
+            self.parts.add(np.array(e.ids, np.int64), np.bincount(np.array(e.word_ids, np.int64), minlength=len(own)))
+        ids, size = self.parts.take(np.array(pairs, np.int64))
+        size = size.reshape(-1, 2).sum(1)
+        whole = np.ones(len(new), bool)
+        whole[odd] = False
+        self.pieces.add(ids, size[whole])
+        encoded = self.tokenizer.encode_batch_fast([new[k] for k in odd], add_special_tokens=False)
+        self.pieces.add(np.fromiter(chain.from_iterable(e.ids for e in encoded), np.int64), np.array([len(e.ids) for e in encoded], np.int64))
+        order = [*np.flatnonzero(whole).tolist(), *odd]
+        self.number.update((new[k], n) for n, k in enumerate(order, len(self.number)))
 
     def tokenize(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > REMEMBERED:
             self.forget()
         pieces = [t.split() if not SEPARATORS.search(t) else re.split("[ \t\r\n]+", t) for t in texts]
-        self.learn(set().union(*pieces))
-        out = []
-        for own in pieces:
-            at = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
-            size = self.size[at]
-            ends = np.cumsum(size)
-            out.append(self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - ends + size, size)])
-        return out
+        self.learn(list(set().union(*pieces).difference(self.number)))
+        return [self.pieces.take(np.fromiter(map(self.number.__getitem__, own), np.int64, len(own)))[0] for own in pieces]
 
 
 @lru_cache(maxsize=2)
