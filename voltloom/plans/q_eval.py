@@ -549,5 +549,5 @@ def cells(t: Inputs):
 )
 def cluster_bootstrap(t: Inputs):
     reps = statistics.cluster_bootstrap(cells(t), 2000)
-    q = ranks.quantiles(reps, [], "mean_delta", {"lo": 0.025, "hi": 0.975}, 2000)
+    q = ranks.quantiles(reps, [], "mean_delta", {"lo": 0.025, "hi": 0.975})
     return q.select(fixed("lo").alias("lo"), fixed("hi").alias("hi"), "n")
