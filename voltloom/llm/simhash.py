@@ -165,8 +165,8 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: flo
 
     Fingerprints have ``WIDE`` bits. A block is ``BLOCK`` sampled bits; there are so many blocks that a pair at the threshold shares one with
     the wished recall. Under a block's value the classes stand in the order of their first 64 bits, and each is compared with the one
-    before it and with the first, so that a crowd costs a row each and never all its pairs; other blocks order it anew. What is close in
-    the first 64 bits is verified on all of them.
+    before it, so that a crowd costs a row each and never all its pairs; it meets again under other blocks. What is close in the first
+    64 bits is verified on all of them.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** BLOCK))
@@ -183,12 +183,9 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: flo
     classes = stage(prints.groupBy("wide").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
     keyed = classes.select("id", F.col("wide")[0].alias("lead"), F.posexplode("keys").alias("block", "key"))
     order = Window.partitionBy("block", "key").orderBy("lead", "id")
-    beside = keyed.select("id", "lead", *[f(c).over(order).alias(f"{n}_{c}") for n, f in (("before", F.lag), ("first", F.first)) for c in ("id", "lead")])
-    close = lambda c: F.bit_count(F.col("lead").bitwiseXOR(F.col(c))) <= first_limit
-    pairs = beside.filter(close("before_lead")).select(F.col("before_id").alias("a"), F.col("id").alias("b")).unionByName(
-        beside.filter(close("first_lead")).select(F.col("first_id").alias("a"), F.col("id").alias("b"))
-    )
-    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    beside = keyed.select("id", "lead", F.lag("id").over(order).alias("before"), F.lag("lead").over(order).alias("lead_before"))
+    close = beside.filter(F.bit_count(F.col("lead").bitwiseXOR(F.col("lead_before"))) <= first_limit)
+    pairs = close.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).distinct()
     wide = classes.select("id", "wide")
     both = pairs.join(wide.toDF("a", "wide_a"), "a").join(wide.toDF("b", "wide_b"), "b")
     apart = sum((F.bit_count(F.col("wide_a")[k].bitwiseXOR(F.col("wide_b")[k])) for k in range(WIDE // 64)), F.lit(0))
