@@ -244,3 +244,24 @@ def test_similar_documents(spark):
     apart = [p for p, j in likeness.items() if j < 0.3]
     assert not any(own[a] == own[b] for a, b in apart)
     assert all(own[len(texts) - 3 + k] == own[k] for k in range(3))
+
+
+def edited(words, seed, share):
+    """The words, with single words exchanged until five-word shingles of that similarity stay."""
+    draw, out = random.Random(seed), list(words)
+    base = set(simhash.spans(" ".join(words), 5))
+    for k in draw.sample(range(len(words)), len(words)):
+        kept, out[k] = out[k], f"new{seed}x{k}"
+        now = set(simhash.spans(" ".join(out), 5))
+        if len(base & now) < share * len(base | now):
+            out[k] = kept
+            break
+    return " ".join(out)
+
+
+def test_star_of_similar_documents(spark):
+    """Copies that are like their original only are all found, however many there are."""
+    words = prose(77, 250).split()
+    texts = [edited(words, k, 0.8) for k in range(1500)] + [" ".join(words)]
+    own = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert np.mean([own[k] == own[1500] for k in range(1500)]) >= 0.97

@@ -27,6 +27,10 @@ from voltloom.session import stage
 
 NEAR = 3
 CROWD = 512
+#: Classes under a block's value that meet pair by pair at once.
+FEW = 8
+#: Classes of a larger crowd that one row holds.
+TILE = 2048
 #: Bits of the fingerprints that tell a share of similar shingles, and of a block of theirs.
 WIDE, BLOCK = 1024, 20
 STRETCH = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -142,9 +146,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, near: int = NEAR) -> DataFra
     return prints.join(placed, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def wide_bits(text: str, size: int) -> np.ndarray:
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """Hashes of the different shingles, ascending."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in spans(text, size)), np.uint64))
+
+
+def wide_bits(hashes: np.ndarray) -> np.ndarray:
     """``WIDE`` fingerprint bits over the different shingles: each hash is stretched to as many bits."""
-    hashes = np.fromiter({xxhash.xxh64_intdigest(x, 42) for x in spans(text, size)}, np.uint64)
     ones = np.zeros((WIDE // 8, 8))
     with np.errstate(over="ignore"):
         for k in range(0, len(hashes), 2048):
@@ -154,43 +162,113 @@ def wide_bits(text: str, size: int) -> np.ndarray:
     return (2 * ones > len(hashes)).ravel()
 
 
-def differing(similarity: float) -> int:
-    """Bits in which sets of that Jaccard similarity are expected to differ, and one standard deviation."""
+def differing(bits: int, similarity: float, deviations: float) -> int:
+    """Bits of so many in which sets of that Jaccard similarity are expected to differ, and standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
+    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+
+
+def across(roots: np.ndarray, tiles: np.ndarray, prints: np.ndarray, limit: int, nearest: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Places of pairs within ``limit`` bits whose components differ: all, or each member's nearest and whether there are more.
+
+    Where there are two tiles, pairs within one are left to the row of that tile alone.
+    """
+    values, at, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    rows, two = np.flatnonzero(at != counts.argmax()), tiles.min() < tiles.max()
+    out, more = [], False
+    for some in np.array_split(rows, -(-len(rows) // 128)) if len(rows) else ():
+        apart = np.zeros((len(some), len(roots)), np.int16)
+        for k in range(prints.shape[1]):
+            apart += np.bitwise_count(prints[some, k, None] ^ prints[None, :, k])
+        good = (apart <= limit) & (at[some, None] != at)
+        if two:
+            good &= tiles[some, None] != tiles
+        if nearest:
+            hit = good.any(axis=1)
+            best = np.where(good, apart, 32767).argmin(axis=1)
+            out += zip(some[hit].tolist(), best[hit].tolist())
+            more |= bool((good.sum(axis=1) > 1).any())
+        else:
+            i, j = np.nonzero(good)
+            out += zip(some[i].tolist(), j.tolist())
+    return out, more
+
+
+def crowd_pairs(members: DataFrame, wide: DataFrame, limit: int, nearest: bool) -> DataFrame:
+    """``(a, b, block, key)``: candidates between components of ``(id, root, block, key)``; where more are left, a row of the key without ids.
+
+    A key of one component has none. A larger one is cut into tiles of about ``TILE`` classes, and every two tiles meet in a row.
+    """
+    several = members.groupBy("block", "key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    tiled = members.join(several, ["block", "key"]).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    tiled = tiled.withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) as int)")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    tiled = tiled.join(wide, "id").groupBy("block", "key", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"))
+    met = tiled.agg(F.collect_list(F.struct("id", "root", "tile", "wide")).alias("m"))
+    met = met.select("block", "key", *[F.col(f"m.{c}").alias(c) for c in ("id", "root", "tile")], F.flatten("m.wide").alias("wide"))
+    ddl = "a long, b long, block int, key int"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, roots, tiles, prints = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("id", "root", "tile", "wide"))
+                found, more = across(roots, tiles, prints.view(np.uint64).reshape(len(ids), -1), limit, nearest)
+                a = [min(ids[i], ids[j]) for i, j in found] + [None] * more
+                b = [max(ids[i], ids[j]) for i, j in found] + [None] * more
+                at = {c: [batch.column(c)[k].as_py()] * len(a) for c in ("block", "key")}
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b, **at}, schema=schema)
+
+    return met.mapInArrow(run, ddl)
 
 
 def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """``doc_id, component_id`` over documents whose word shingles are similar, which differ in many more bits than ``NEAR``.
 
     Fingerprints have ``WIDE`` bits. A block is ``BLOCK`` sampled bits; there are so many blocks that a pair at the threshold shares one with
-    the wished recall. Under a block's value the classes stand in the order of their first 64 bits, and each is compared with the one
-    before it, so that a crowd costs a row each and never all its pairs; it meets again under other blocks. What is close in the first
-    64 bits is verified on all of them.
+    the wished recall. All classes under a block's value meet. Up to ``FEW`` do so pair by pair on their first 64 bits. In a larger crowd each first
+    meets the one before it in the order of these bits, then its nearest in another component, and at last all that other components
+    still hold, so that a crowd of like documents costs about a row each and one of unlike documents its close pairs.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** BLOCK))
     places = np.random.default_rng(11).permuted(np.tile(np.arange(WIDE), (n, 1)), axis=1)[:, :BLOCK]
-    limit, first_limit = differing(similarity), round(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
+    limit, first_limit = differing(WIDE, similarity, 1), differing(64, similarity, 4)
 
     def work(batch: pa.RecordBatch) -> dict:
-        bits = np.stack([wide_bits(t, size) for t in batch.column("text").to_pylist()])
+        sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+        bits = np.stack([wide_bits(x) for x in sets])
         keys = bits[:, places] @ (1 << np.arange(BLOCK))
         words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-        return {"doc_id": batch.column("doc_id"), "wide": list(words), "keys": list(keys)}
+        same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+        return {"doc_id": batch.column("doc_id"), "same": same, "wide": list(words), "keys": list(keys)}
 
-    prints = stage(per_batch(texts(docs).filter("doc_id is not null"), "doc_id long, wide array<long>, keys array<int>", work))
-    classes = stage(prints.groupBy("wide").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
-    keyed = classes.select("id", F.col("wide")[0].alias("lead"), F.posexplode("keys").alias("block", "key"))
-    order = Window.partitionBy("block", "key").orderBy("lead", "id")
-    beside = keyed.select("id", "lead", F.lag("id").over(order).alias("before"), F.lag("lead").over(order).alias("lead_before"))
-    close = beside.filter(F.bit_count(F.col("lead").bitwiseXOR(F.col("lead_before"))) <= first_limit)
-    pairs = close.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).distinct()
+    prints = stage(per_batch(texts(docs).filter("doc_id is not null"), "doc_id long, same binary, wide array<long>, keys array<int>", work))
+    classes = stage(prints.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("wide").alias("wide"), F.first("keys").alias("keys")))
     wide = classes.select("id", "wide")
+    keyed = classes.select("id", F.col("wide")[0].alias("lead"), F.posexplode("keys").alias("block", "key"))
+    group = Window.partitionBy("block", "key")
+    beside = keyed.select(
+        "id", "lead", "block", "key", F.count("*").over(group).alias("n"),
+        F.collect_list(F.struct("id", "lead")).over(group.orderBy("lead", "id").rowsBetween(1 - FEW, -1)).alias("before"),
+    ).filter("n > 1")
+    beside = beside.withColumn("before", F.when(F.col("n") > FEW, F.slice("before", F.greatest(F.size("before"), F.lit(1)), 1)).otherwise(F.col("before")))
+    beside = beside.withColumn("before", F.filter("before", lambda x: F.bit_count(x["lead"].bitwiseXOR(F.col("lead"))) <= first_limit)["id"])
+    met = stage(beside.drop("lead").filter((F.col("n") > FEW) | (F.size("before") > 0)))
+    pairs = met.select("id", F.explode("before").alias("other")).filter("id <> other")
+    pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     both = pairs.join(wide.toDF("a", "wide_a"), "a").join(wide.toDF("b", "wide_b"), "b")
     apart = sum((F.bit_count(F.col("wide_a")[k].bitwiseXOR(F.col("wide_b")[k])) for k in range(WIDE // 64)), F.lit(0))
-    copies = prints.join(classes.select("wide", "id"), "wide").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    found = components(both.filter(apart <= limit).select("a", "b").unionByName(copies))
+    tried = stage(both.filter(apart <= limit).select("a", "b").distinct())
+    copies = prints.join(classes.select("same", "id"), "same").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    linked = stage(tried.unionByName(copies))
+    found, crowd = components(linked), met.filter(F.col("n") > FEW).select("id", "block", "key")
+    for nearest in (True, False):
+        members = crowd.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        close = stage(crowd_pairs(members, wide, limit, nearest))
+        fresh = stage(close.filter("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        linked = stage(linked.unionByName(fresh))
+        tried, found = tried.unionByName(fresh), components(linked)
+        crowd = crowd.join(close.filter("a is null").select("block", "key").distinct(), ["block", "key"], "left_semi")
     ids = prints.select("doc_id").distinct()
     return ids.join(found, ids.doc_id == found.id, "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 
