@@ -265,3 +265,17 @@ def test_star_of_similar_documents(spark):
     texts = [edited(words, k, 0.8) for k in range(1500)] + [" ".join(words)]
     own = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert np.mean([own[k] == own[1500] for k in range(1500)]) >= 0.97
+
+
+def test_similar_only_if_the_shingles_are(spark):
+    """On either side of the threshold."""
+    texts, right = [], []
+    for k in range(150):
+        words = prose(900 + k, 300).split()
+        texts += [" ".join(words), edited(words, k, 0.8 if k % 2 else 0.775)]
+        a, b = (set(simhash.spans(t, 5)) for t in texts[-2:])
+        right.append(len(a & b) / len(a | b) >= 0.8)
+    assert sum(right) == 75
+    own = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    met = np.array([own[2 * k] == own[2 * k + 1] for k in range(150)])
+    assert not met[~np.array(right)].any() and met[right].mean() >= 0.94

@@ -221,18 +221,43 @@ def crowd_pairs(members: DataFrame, wide: DataFrame, limit: int, nearest: bool)
     return met.mapInArrow(run, ddl)
 
 
+def alike(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of the different pairs ``(a, b)`` of ids, those whose texts have shingle sets of that Jaccard similarity or more."""
+    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    known = texts(docs).join(asked, "doc_id", "left_semi").distinct()
+    both = pairs.join(known.toDF("a", "text_a"), "a").join(known.toDF("b", "text_b"), "b")
+    schema = arrow_schema("a long, b long")
+
+    def run(batches):
+        for batch in batches:
+            seen: dict = {}
+            keep = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                x, y = (batch.column(c)[k].as_py() for c in ("text_a", "text_b"))
+                for t in (x, y):
+                    if t not in seen:
+                        seen[t] = shingle_set(t, size)
+                x, y = seen[x], seen[y]
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep[k] = same >= similarity * (len(x) + len(y) - same)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], schema=schema)
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """``doc_id, component_id`` over documents whose word shingles are similar, which differ in many more bits than ``NEAR``.
 
     Fingerprints have ``WIDE`` bits. A block is ``BLOCK`` sampled bits; there are so many blocks that a pair at the threshold shares one with
-    the wished recall. All classes under a block's value meet. Up to ``FEW`` do so pair by pair on their first 64 bits. In a larger crowd each first
+    the wished recall. Fingerprints only propose: a pair within three standard deviations becomes a link if the shingle sets themselves are
+    similar. All classes under a block's value meet. Up to ``FEW`` do so pair by pair on their first 64 bits. In a larger crowd each first
     meets the one before it in the order of these bits, then its nearest in another component, and at last all that other components
     still hold, so that a crowd of like documents costs about a row each and one of unlike documents its close pairs.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** BLOCK))
     places = np.random.default_rng(11).permuted(np.tile(np.arange(WIDE), (n, 1)), axis=1)[:, :BLOCK]
-    limit, first_limit = differing(WIDE, similarity, 1), differing(64, similarity, 4)
+    limit, first_limit = differing(WIDE, similarity, 3), differing(64, similarity, 4)
 
     def work(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
@@ -260,13 +285,13 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: flo
     apart = sum((F.bit_count(F.col("wide_a")[k].bitwiseXOR(F.col("wide_b")[k])) for k in range(WIDE // 64)), F.lit(0))
     tried = stage(both.filter(apart <= limit).select("a", "b").distinct())
     copies = prints.join(classes.select("same", "id"), "same").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    linked = stage(tried.unionByName(copies))
+    linked = stage(alike(tried, docs, size, similarity).unionByName(copies))
     found, crowd = components(linked), met.filter(F.col("n") > FEW).select("id", "block", "key")
     for nearest in (True, False):
         members = crowd.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
         close = stage(crowd_pairs(members, wide, limit, nearest))
         fresh = stage(close.filter("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        linked = stage(linked.unionByName(fresh))
+        linked = stage(linked.unionByName(alike(fresh, docs, size, similarity)))
         tried, found = tried.unionByName(fresh), components(linked)
         crowd = crowd.join(close.filter("a is null").select("block", "key").distinct(), ["block", "key"], "left_semi")
     ids = prints.select("doc_id").distinct()
