@@ -9,12 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.llm import anchors, bpe, fmindex, hosts, leaks, linecrf, oracles, quality, repair, simhash, suffix, toxicity
+from voltloom.llm import anchors, bpe, exchange, fmindex, hosts, leaks, linecrf, manifest, negatives, oracles, quality, repair, simhash, suffix, toxicity
 from voltloom.llm.frame import table
 from voltloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES = {"op3_fm_index": oracles.REPEATED_WORDS, "op6_suffix_array": oracles.REPEATED_BYTES}
+ORACLES = {
+    "op3_fm_index": oracles.REPEATED_WORDS, "op6_suffix_array": oracles.REPEATED_BYTES, "op11_hard_negatives": oracles.HARD_NEGATIVES,
+    "op12_merkle_manifest": oracles.MERKLE, "op13_exact_exchange": oracles.EXACT,
+}
 
 END_ID = 2
 
@@ -93,3 +96,19 @@ def op9_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.when(F.col("doc_id") != anchors.NO_ID, F.col("doc_id")).alias("doc_id"), "item_id", "edits", "word_end", "item_words").distinct()
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(negatives.known(table(spark, sf_dir, "embeddings"), label))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), manifest.without_newlines())
+
+
+@query
+def op13_exact_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchange.exact_duplicates(table(spark, sf_dir, "documents"))
