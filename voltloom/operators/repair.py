@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltloom.functions.numeric import safe_corr
-from voltloom.operators import ranks, seq
+from voltloom.operators import gram, ranks, seq
 from voltloom.operators.statistics import mixed
 from voltloom.session import stage
 
@@ -55,38 +56,71 @@ def fragmented_series(samples: DataFrame, block: int) -> DataFrame:
     return med.join(top, CH).join(miss, CH).withColumn("fragmented", bad)
 
 
-def donor_ranking(samples: DataFrame, targets: DataFrame, min_corr: float = RULES.donor_corr) -> DataFrame:
+def donor_ranking(samples: DataFrame, targets: DataFrame, block: int, min_corr: float = RULES.donor_corr) -> DataFrame:
     """Donors of each target channel with correlation and linear fit, ranked by ``|r|`` then id, both falling.
 
-    Channels are paired by variable on the channel table; the values of a pair meet on ``(variable, donor, x)``.
+    The sums of a pair come from blocked matrix products of its variable's meters (``gram``), not from its steps. Spreads are tested,
+    and correlations that agree to nine decimals tie.
     """
     r = RULES
-    known = samples.filter(F.col("value").isNotNull())
-    cover = samples.groupBy(*CH).agg((F.count("value") / F.count("*")).alias("cov")).filter(F.col("cov") >= r.donor_coverage)
-    donors = cover.select(F.col("meter_id").alias("donor"), "variable")
-    pairs = targets.select(*CH).join(donors, "variable").filter("donor <> meter_id")
-    src = known.select(F.col("meter_id").alias("donor"), "variable", "x", F.col("value").alias("d"))
-    both = pairs.join(known, CH).join(src, ["donor", "variable", "x"])
-    g = both.groupBy(*CH, "donor").agg(
-        F.count("*").alias("n"), F.stddev_pop("value").alias("s1"), F.stddev_pop("d").alias("s2"), safe_corr("value", "d").alias("r"),
-        F.regr_slope("value", "d").alias("a"), F.regr_intercept("value", "d").alias("b"),
-    )
-    ok = g.filter((F.col("n") >= r.donor_common) & (F.col("s1") >= 1e-9) & (F.col("s2") >= 1e-9) & (F.abs("r") >= min_corr))
-    # donors of one channel are meters; correlations equal to nine decimals tie
-    w = Window.partitionBy(*CH).orderBy(F.desc(F.round(F.abs("r"), 9)), F.desc("donor"))
-    return ok.withColumn("rank", F.row_number().over(w)).select(*CH, "donor", "n", "r", "a", "b", "rank")
-
-
-def donor_cascade(samples: DataFrame, ranking: DataFrame, main: int) -> DataFrame:
-    """Missing cells of the targets predicted by the best donor that has a value, where the main meter reads."""
-    known = samples.filter(F.col("value").isNotNull())
-    holes = samples.filter(F.col("value").isNull()).join(ranking.select(*CH).distinct(), CH).select(*CH, "x")
-    live = known.filter(F.col("meter_id") == main).select("variable", "x")
-    src = known.select(F.col("meter_id").alias("donor"), "variable", "x", F.col("value").alias("d"))
-    cand = holes.join(live, ["variable", "x"], "left_semi").join(ranking, CH).join(src, ["donor", "variable", "x"])
-    return cand.groupBy(*CH, "x").agg(
-        F.min_by(F.col("a") * F.col("d") + F.col("b"), "rank").alias("recon"), F.min_by("donor", "rank").alias("donor")
-    )
+    own = samples.join(targets.select("variable").distinct(), "variable", "left_semi")
+    meters = samples.select("meter_id").distinct().count()
+    sums = gram.products(gram.tiled(own, block, meters), block)
+    low = own.groupBy(*CH).agg(F.min("value").alias("low"), (F.count("value") / F.count("*")).alias("known"))
+    turned = sums.select("variable", F.col("b").alias("a"), F.col("a").alias("b"), "n", F.col("sb").alias("sa"), F.col("sa").alias("sb"), F.col("sbb").alias("saa"), F.col("saa").alias("sbb"), "sab")
+    both = gram.fitted(sums.select(turned.columns).unionByName(turned))
+    both = both.withColumnsRenamed({"a": "meter_id", "b": "donor"}).withColumn("meter_id", F.col("meter_id").cast("int")).withColumn("donor", F.col("donor").cast("int"))
+    both = both.join(targets.select(*CH), CH, "left_semi").join(low.select(*CH, "low"), CH)
+    g = both.join(low.select(F.col("meter_id").alias("donor"), "variable", F.col("low").alias("donor_low"), "known"), ["donor", "variable"])
+    ok = (F.col("n") >= r.donor_common) & (F.col("known") >= r.donor_coverage) & (F.col("sd_a") >= 1e-9) & (F.col("sd_b") >= 1e-9) & (F.abs("r") >= min_corr)
+    slope = F.col("cov") / (F.col("sd_b") * F.col("sd_b"))
+    g = g.filter(ok).withColumn("a", slope)
+    level = F.col("low") + F.col("sa") / F.col("n") - F.col("a") * (F.col("donor_low") + F.col("sb") / F.col("n"))
+    w = Window.partitionBy(*CH).orderBy(F.desc(F.round(F.abs("r"), 9)), F.desc("donor"))  # a row a meter
+    return g.withColumn("b", level).withColumn("rank", F.row_number().over(w)).select(*CH, "donor", F.col("n").cast("long").alias("n"), "r", "a", "b", "rank")
+
+
+CASCADE = "variable string, meter_id int, x long, recon double, donor int, rank int"
+CASCADE_ARROW = pa.schema([
+    ("variable", pa.string()), ("meter_id", pa.int32()), ("x", pa.int64()), ("recon", pa.float64()), ("donor", pa.int32()), ("rank", pa.int32())
+])
+
+
+def donor_cascade(samples: DataFrame, ranking: DataFrame, main: int, block: int) -> DataFrame:
+    """Missing cells of the targets predicted by the best donor that has a value, where the main meter reads.
+
+    Targets and donors of a variable meet as the matrices of a time block: a tile of donors answers each hole of a target once.
+    """
+    meters = samples.select("meter_id").distinct().count()
+    own = samples.join(ranking.select("variable").distinct(), "variable", "left_semi")
+    tiles = stage(gram.tiled(own, block, meters))
+    span = own.groupBy("variable").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    tile = lambda c: F.pmod(F.xxhash64(c), F.lit(-(-meters // gram.TILE))).cast("int")
+    wanted = ranking.groupBy("variable", tile("meter_id").alias("a_tile"), tile("donor").alias("b_tile")).agg(
+        F.sort_array(F.collect_list(F.struct("meter_id", "rank", "donor", "a", "b"))).alias("wanted")
+    ).join(span, "variable")
+
+    def work(row: dict, a: gram.Tile, b: gram.Tile) -> dict | None:
+        at = [{int(m): k for k, m in enumerate(t.ids)} for t in (a, b)]
+        out: dict[str, list] = {c: [] for c in CASCADE_ARROW.names[1:]}
+        steps = row["blk"] * block + np.arange(block)
+        inside = (steps >= row["first"]) & (steps <= row["last"])
+        left: dict[int, np.ndarray] = {}
+        for w in row["wanted"]:
+            m, j = w["meter_id"], at[1].get(w["donor"])
+            if j is None:
+                continue
+            open_ = left.setdefault(m, inside & (a.mask[at[0][m]] == 0) if m in at[0] else inside.copy())
+            hit = np.flatnonzero(open_ & (b.mask[j] > 0))
+            open_[hit] = False
+            for c, v in zip(out, (m, steps[hit], w["a"] * b.raw[j, hit] + w["b"], w["donor"], w["rank"]), strict=True):
+                out[c].append(np.broadcast_to(v, hit.shape))
+        return {c: np.concatenate(v) for c, v in out.items()} if out["x"] else None
+
+    got = gram.meet(tiles, CASCADE, CASCADE_ARROW, work, block, wanted, both=True)
+    live = samples.filter((F.col("meter_id") == main) & F.col("value").isNotNull()).select("variable", "x")
+    best = got.groupBy(*CH, "x").agg(F.min_by(F.struct("recon", "donor"), "rank").alias("m"))
+    return best.join(live, ["variable", "x"], "left_semi").select(*CH, "x", "m.recon", "m.donor")
 
 
 def reference_envelope(samples: DataFrame, first: int, last: int) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from voltloom.config import SCOPE
 from voltloom.functions.numeric import safe_corr
-from voltloom.operators import joins, ranks
+from voltloom.operators import gram, joins, ranks
+from voltloom.session import stage
 
 CH = ["meter_id", "variable"]
 
@@ -77,50 +78,37 @@ def decide(quality: DataFrame, main: Sequence[int], candidates: Sequence[int], k
     return q.withColumn("verdict", verdict).withColumn("process", F.col("verdict").isin("force_keep", "main", "candidate")).drop("_top", "role")
 
 
-def meter_pairs(ids: DataFrame, max_meters: int) -> DataFrame:
-    """Every pair ``a < b`` of a checked, small list of meters."""
-    n = ids.count()
-    if n > max_meters:
-        raise ValueError(f"{n} meters in one comparison; split the scope by site (limit {max_meters})")
-    whole = ids.agg(F.sort_array(F.collect_set("meter_id")).alias("ids"))
-    first = whole.select("ids", F.posexplode("ids").alias("i", "a"))
-    return first.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"))
+def every_pair(meters: DataFrame, n: int) -> DataFrame:
+    """Every pair ``a < b`` of the report, dealt out by tiles, so that no task holds more than two tiles of meters."""
+    tiles = -(-n // gram.TILE)
+    own = F.pmod(F.xxhash64("meter_id"), F.lit(tiles)).cast("int")
+    all_tiles = F.explode(F.sequence(F.lit(0), F.lit(max(tiles, 1) - 1)))
+    left = meters.select(F.col("meter_id").alias("a"), own.alias("ta"), all_tiles.alias("tb"))
+    right = meters.select(F.col("meter_id").alias("b"), own.alias("tb"), all_tiles.alias("ta"))
+    return left.join(right, ["ta", "tb"]).filter("a < b").select("a", "b")
 
 
-def duplicate_pairs(wide: DataFrame, currents: Sequence[str], max_meters: int = 1000) -> DataFrame:
-    """Similarity of every meter pair of one scope: overlapping (A) or interleaved (B) duplicates.
+def duplicate_pairs(wide: DataFrame, currents: Sequence[str], block: int) -> DataFrame:
+    """Similarity of all meters of one scope by pairs: overlapping (A) or interleaved (B) duplicates.
 
-    The pair list comes from the meter table, whose size is checked; rows meet on ``(a, b, x)``, so no step
-    or meter gathers its rows in one place. Medians of a pair are bounded by the steps of one series.
+    Overlap, correlation and median magnitudes come from blocked matrix products (``gram``): a pair never meets step by step.
     """
     r = SCOPE
-    known = None
-    for c in currents:
-        known = F.col(c).isNotNull() if known is None else known & F.col(c).isNotNull()
-    rows = wide.filter(known).select("meter_id", "x", *currents)
-    per = rows.groupBy("meter_id").agg(F.count("*").alias("n"))
-    top = per.agg(F.max("n").alias("n_ref"))
-    per = per.crossJoin(F.broadcast(top)).withColumn("cov", F.col("n") / F.col("n_ref"))
-    a = per.select(F.col("meter_id").alias("a"), F.col("n").alias("na"), F.col("cov").alias("cov_a"), "n_ref")
-    b = per.select(F.col("meter_id").alias("b"), F.col("n").alias("nb"), F.col("cov").alias("cov_b"))
-    pairs = meter_pairs(rows.select("meter_id").distinct(), max_meters)
-    left = rows.select(F.col("meter_id").alias("a"), "x", *[F.col(c).alias(f"a_{c}") for c in currents])
-    right = rows.select(F.col("meter_id").alias("b"), "x", *[F.col(c).alias(f"b_{c}") for c in currents])
-    both = pairs.join(left, "a").join(right, ["b", "x"])
-    seen = both.groupBy("a", "b").agg(
-        F.count("*").alias("overlap"),
-        *[safe_corr(f"a_{c}", f"b_{c}").alias(f"r_{c}") for c in currents],
-        *[F.percentile(F.abs(f"a_{c}"), F.lit(0.5)).alias(f"ma_{c}") for c in currents],
-        *[F.percentile(F.abs(f"b_{c}"), F.lit(0.5)).alias(f"mb_{c}") for c in currents],
-    )
-    j = pairs.join(a, "a").join(b, "b").join(seen, ["a", "b"], "left").na.fill(0, ["overlap"])
-    mags = F.array_compact(F.array(*[
-        F.abs(F.col(f"ma_{c}") - F.col(f"mb_{c}")) / F.nullif(F.greatest(f"ma_{c}", f"mb_{c}"), F.lit(0.0)) for c in currents
-    ]))
-    rs = F.array_compact(F.array(*[F.col(f"r_{c}") for c in currents]))
-    mean = lambda arr, empty: F.when(F.size(arr) > 0, F.aggregate(arr, F.lit(0.0), lambda s, v: s + v) / F.size(arr)).otherwise(F.lit(empty))
+    rows = wide.dropna(subset=list(currents)).select(F.col("meter_id").cast("int").alias("meter_id"), "x", *currents)
+    per = stage(rows.groupBy("meter_id").agg(F.count("*").alias("n")))
+    meters = per.count()
+    tiles = stage(gram.tiled(rows.unpivot(["meter_id", "x"], list(currents), "variable", "value"), block, meters))
+    sums = stage(gram.fitted(gram.products(tiles, block, classes=True)))
     tested = F.col("overlap") >= r.min_overlap
-    j = j.withColumn("corr", F.when(tested, mean(rs, 0.0))).withColumn("mag", F.when(tested, mean(mags, 1.0)))
+    middle = gram.medians(tiles, sums.filter(F.col("n") >= r.min_overlap), block, meters)
+    apart = F.abs(F.col("ma") - F.col("mb")) / F.nullif(F.greatest("ma", "mb"), F.lit(0.0))
+    mags = middle.groupBy("a", "b").agg(F.avg(apart).alias("m"))
+    seen = sums.groupBy("a", "b").agg(F.max("n").cast("long").alias("overlap"), F.avg("r").alias("r")).join(mags, ["a", "b"], "left")
+    cover = per.crossJoin(F.broadcast(per.agg(F.max("n").alias("n_ref")))).withColumn("cov", F.col("n") / F.col("n_ref"))
+    j = every_pair(per, meters).join(seen, ["a", "b"], "left").na.fill(0, ["overlap"])
+    j = j.join(cover.select(F.col("meter_id").alias("a"), F.col("n").alias("na"), F.col("cov").alias("cov_a"), "n_ref"), "a")
+    j = j.join(cover.select(F.col("meter_id").alias("b"), F.col("n").alias("nb"), F.col("cov").alias("cov_b")), "b")
+    j = j.withColumn("corr", F.when(tested, F.coalesce("r", F.lit(0.0)))).withColumn("mag", F.when(tested, F.coalesce("m", F.lit(1.0))))
     union = (F.col("na") + F.col("nb") - F.col("overlap")) / F.col("n_ref")
     over = F.coalesce((F.col("corr") >= r.corr) & (F.col("mag") <= r.magnitude_tol), F.lit(False))
     inter = (
@@ -130,6 +118,22 @@ def duplicate_pairs(wide: DataFrame, currents: Sequence[str], max_meters: int =
     return j.select("a", "b", "overlap", "corr", "mag", union.alias("union_frac"), over.alias("overlapping"), inter.alias("interleaved"))
 
 
+def main_correlation(wide: DataFrame, currents: Sequence[str], main: int) -> DataFrame:
+    """``meter_id, corr_main, cov``: mean correlation of the currents with the main meter over at least so many common steps.
+
+    The main meter itself has 1; only rows with all currents count.
+    """
+    r = SCOPE
+    rows = wide.dropna(subset=list(currents)).select("meter_id", "x", *currents)
+    lead = rows.filter(F.col("meter_id") == main).select("x", *[F.col(c).alias(f"lead_{c}") for c in currents])
+    flat = lambda c: F.when((F.stddev_pop(c) > 1e-12) & (F.stddev_pop(f"lead_{c}") > 1e-12), safe_corr(c, f"lead_{c}"))
+    both = rows.join(lead, "x").groupBy("meter_id").agg(F.count("*").alias("common"), *[flat(c).alias(f"r_{c}") for c in currents])
+    rs = F.array_compact(F.array(*[F.col(f"r_{c}") for c in currents]))
+    mean = F.when((F.col("common") >= r.min_overlap) & (F.size(rs) > 0), F.aggregate(rs, F.lit(0.0), lambda s, v: s + v) / F.size(rs))
+    own = rows.groupBy("meter_id").agg(F.count("*").alias("cov")).join(both, "meter_id", "left")
+    return own.select("meter_id", F.when(F.col("meter_id") == main, 1.0).otherwise(mean).alias("corr_main"), "cov")
+
+
 def duplicate_groups(meters: DataFrame, pairs: DataFrame, main: Sequence[int]) -> DataFrame:
     """Component of each meter and whether it stays: best correlation to the main meter, coverage, lowest id.
 

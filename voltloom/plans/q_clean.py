@@ -94,7 +94,7 @@ _PAIRS = f"""with k as (select meter_id, x, i_an, i_bn, i_cn from gridded where
     ),
 )
 def duplicate_meters(t: Inputs):
-    p = t.kept("pairs", lambda: scope.duplicate_pairs(t.dense, ["i_an", "i_bn", "i_cn"]))
+    p = t.kept("pairs", lambda: scope.duplicate_pairs(t.dense, ["i_an", "i_bn", "i_cn"], BLOCK))
     return p.select("a", "b", "overlap", fixed("union_frac", 6).alias("union_frac"), fixed("corr", 5).alias("corr"), fixed("mag", 5).alias("mag"), "overlapping", "interleaved")
 
 
@@ -102,17 +102,18 @@ def duplicate_meters(t: Inputs):
     "duplicate_groups",
     with_tables(
         f"""{_PAIRS}, e as (select least(a, b) as lo, greatest(a, b) as hi from p where tested and coalesce(r, 0) >= 0.999 and m <= 0.05),
-        m as (select n.meter_id, corr(g.i_an, q.i_an) as c, any_value(n.n) as n from n left join k g on g.meter_id = n.meter_id left join k q on q.meter_id = 1 and q.x = g.x group by 1)
-        select m.meter_id, coalesce(e.lo, m.meter_id) as component, case when e.lo is null and not exists (select 1 from e where e.lo = m.meter_id) then 1 else 2 end as members, e.lo is null as kept from m left join e on e.hi = m.meter_id""",
+        c as (select g.meter_id, count(*) as common, corr(g.i_an, q.i_an) as c1, corr(g.i_bn, q.i_bn) as c2, corr(g.i_cn, q.i_cn) as c3 from k g join k q on q.meter_id = 1 and q.x = g.x group by 1),
+        m as (select n.meter_id, case when n.meter_id = 1 then 1 when common >= 200 then list_avg(list_filter([c1, c2, c3], lambda v: isfinite(v))) end as corr_main from n left join c on c.meter_id = n.meter_id)
+        select m.meter_id, coalesce(e.lo, m.meter_id) as component, case when e.lo is null and not exists (select 1 from e where e.lo = m.meter_id) then 1 else 2 end as members, e.lo is null as kept,
+          floor(corr_main * 1000000 + 0.50031) / 1000000 as corr_main from m left join e on e.hi = m.meter_id""",
         "gridded",
     ),
 )
 def duplicate_groups(t: Inputs):
-    pairs = t.kept("pairs", lambda: scope.duplicate_pairs(t.dense, ["i_an", "i_bn", "i_cn"]))
-    rows = t.dense.filter("i_an is not null").select("meter_id", "x", "i_an")
-    lead = rows.filter("meter_id = 1").select("x", F.col("i_an").alias("lead"))
-    m = rows.join(lead, "x", "left").groupBy("meter_id").agg(fixed(safe_corr("i_an", "lead"), 6).alias("corr_main"), F.count("*").alias("cov"))
-    return scope.duplicate_groups(m, pairs, [1])
+    pairs = t.kept("pairs", lambda: scope.duplicate_pairs(t.dense, ["i_an", "i_bn", "i_cn"], BLOCK))
+    m = scope.main_correlation(t.dense, ["i_an", "i_bn", "i_cn"], 1)
+    m = t.kept("main_correlation", lambda: m.withColumn("corr_main", fixed("corr_main", 6)))
+    return scope.duplicate_groups(m, pairs, [1]).join(m.select("meter_id", "corr_main"), "meter_id")
 
 
 @query(

@@ -63,7 +63,7 @@ def fragmented_series(t: Inputs):
 
 
 def donors(t: Inputs):
-    return t.kept("donors", lambda: repair.donor_ranking(t.samples, fragged(t).filter("fragmented"), 0.02))
+    return t.kept("donors", lambda: repair.donor_ranking(t.samples, fragged(t).filter("fragmented"), BLOCK, 0.02))
 
 
 @query("donor_ranking", with_tables(f"select meter_id, variable, donor, n, {R('r', 6)} as r, rank from donors", "donors"))
@@ -81,7 +81,7 @@ def donor_ranking(t: Inputs):
     ),
 )
 def donor_cascade(t: Inputs):
-    return repair.donor_cascade(t.samples, donors(t), 1).select(*CH, "x", "donor", fixed("recon", 3).alias("recon"))
+    return repair.donor_cascade(t.samples, donors(t), 1, BLOCK).select(*CH, "x", "donor", fixed("recon", 3).alias("recon"))
 
 
 def envelope(t: Inputs):

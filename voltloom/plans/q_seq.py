@@ -106,7 +106,7 @@ def context_stats(t: Inputs):
     seg = t.gaps.filter("n >= 6 and variable in ('i_an', 'i_bn', 'i_cn')").select(*CH, "x0", "x1")
     known = cur.filter("value is not null")
     near = seq.context_points(seg, CH, 48).join(known, [*CH, "x"])
-    local = ranks.quantiles(near, [*CH, "x0"], "value", {"m": 0.5}, 96).withColumnsRenamed({"n": "n1", "m": "m1"})
+    local = ranks.quantiles(near, [*CH, "x0"], "value", {"m": 0.5}).withColumnsRenamed({"n": "n1", "m": "m1"})
     whole = ranks.quantiles(known, CH, "value", {"m": 0.5}).withColumnsRenamed({"n": "n2", "m": "m2"})
     j = seg.join(local, [*CH, "x0"], "left").join(whole, CH)
     use = F.coalesce(F.col("n1"), F.lit(0)) >= 30
