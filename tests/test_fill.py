@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voltloom.operators import features, fill, fit, repair
+from voltloom.operators import features, fill, fit, repair, seq
 from voltloom.plans.q_fill import BANDS
 from voltloom.streaming.windows import stream_grid
 
@@ -57,14 +57,66 @@ def test_older_method_fills_everything(samples):
     assert out.filter("value is null").count() == 0
 
 
-def test_fragment_starts_offer_each_admissible_start(spark):
-    lib = spark.createDataFrame([(1, "p_a", 0, 4, 5), (1, "p_a", 10, 12, 3)], "meter_id int, variable string, x0 long, x1 long, n long")
-    starts, counts = fill.fragment_starts(lib)
-    room = {r.len: r.n_starts for r in counts.collect()}
-    order = [r.start for r in starts.orderBy("pick").collect()]
-    for length in (1, 2, 3, 4, 5):
-        want = [x for a, b in ((0, 4), (10, 12)) for x in range(a, b + 1) if b - x + 1 >= length]
-        assert sorted(order[: room[length]]) == want
+def test_fragment_index_offers_each_admissible_start(spark):
+    runs = [(1, "p_a", 0, 4, 5), (1, "p_a", 10, 11, 2), (1, "p_a", 100, 399, 300), (1, "p_a", 500, 507, 8), (2, "p_a", 7, 12, 6)]
+    library = spark.createDataFrame(runs, "meter_id int, variable string, x0 long, x1 long, n long")
+    lengths = spark.createDataFrame([(1, "p_a", 6), (1, "p_a", 3), (2, "p_a", 6), (2, "p_a", 7)], "meter_id int, variable string, len long")
+    index = fill.fragment_index(library, lengths, 64)
+    draws = spark.range(700).selectExpr("id as draw").crossJoin(lengths)
+    found = {}
+    for r in fill.select_starts(draws, index).collect():
+        found.setdefault((r.meter_id, r.len), {}).setdefault(r.pick, set()).add(r.start)
+    for m, k in ((1, 6), (1, 3), (2, 6)):
+        right = {s for i, _, a, b, _ in runs if i == m for s in range(a, b - k + 2)}
+        own = found[m, k]
+        assert all(len(s) == 1 for s in own.values()) and len(own) == len(right)
+        assert {x for s in own.values() for x in s} == right
+    assert (2, 7) not in found  # no run is long enough
+
+
+@pytest.mark.parametrize("block", [16, 64, 1000])
+def test_half_step_scan_across_blocks(spark, block):
+    draw = np.random.default_rng(block)
+    rows, right = [], {}
+    for m in range(1, 6):
+        known = draw.random(500) < (0.5 + 0.1 * m if m < 5 else 2)
+        known[100 : 100 + 60 * m] = True
+        seen = known & (draw.random(500) < 0.9)
+        rows += [(m, "p_a", x, float(x) if known[x] else None, "obs" if seen[x] else "micro" if known[x] else None) for x in range(500)]
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], known.astype(int), [0]])))
+        for plen in (3, 7, 10, 16):
+            right[m, plen] = 0
+            for a, b in zip(edge[::2], edge[1::2]):
+                p = a
+                while p + plen <= b:
+                    good = seen[p : p + plen].mean() >= 0.85
+                    right[m, plen] += good
+                    p += plen if good else max(1, plen // 2)
+    df = spark.createDataFrame(rows, "meter_id int, variable string, x long, value double, origin string")
+    need = spark.createDataFrame([(m, "p_a", p) for m, p in right], "meter_id int, variable string, plen long")
+    tables = fill.scan_tables(seq.arrays(df, fill.CH, ["value", "origin"], block=block), need, block)
+    assert {(r.meter_id, r.plen): r.cap for r in fill.capacity(tables).collect()} == right
+
+
+def test_cut_takes_pieces_over_block_borders(spark):
+    df = spark.range(100).selectExpr("1 as m", "id as x", "if(id % 7 = 0, null, id * 2) as v").repartition(4)
+    blocks = seq.arrays(df, ["m"], ["v"], block=8)
+    pieces = [(1, 0, 0), (2, 5, 30), (3, 95, 140), (4, 8, 15), (5, 9, 8), (6, 120, 130)]
+    got = {r.id: r.v for r in seq.cut(spark.createDataFrame([(1, *p) for p in pieces], "m int, id int, a long, b long"), ["m", "id"], ["m"], blocks, "v", 8).collect()}
+    assert got == {i: [None if x % 7 == 0 else 2 * x for x in range(a, min(b, 99) + 1)] for i, a, b in pieces if a <= min(b, 99)}
+
+
+def test_edges_are_tiled_by_remainder(spark):
+    values = [None] * 9 + [1.0, 4.0, None, 2.0, 7.0, 5.0] + [3.0] * 10 + [None] * 4
+    df = spark.createDataFrame([(1, "p_a", x, v, "obs" if v is not None else None) for x, v in enumerate(values)], "meter_id int, variable string, x long, value double, origin string")
+    gaps = fill.portions(fill.bordered_gaps(df, 8), BANDS)
+    got = {r.x: (r.cand, r.kind) for r in fill.edge_points(gaps, df, 8).collect()}
+    src = [v for v in values[9:18] if v is not None]
+    tiled = [src[o % len(src)] for o in range(9)]
+    for o in range(9):
+        assert got[o] == (pytest.approx(1.0 + tiled[o] - (tiled[0] + (tiled[-1] - tiled[0]) * o / 8)), "analog")
+    assert [got[x] for x in range(25, 29)] == [(3.0, "edge")] * 4  # a flat stretch has no texture
+    assert 11 not in got  # an inner gap is none of these
 
 
 def test_repair_keeps_the_envelope(spark):

@@ -11,10 +11,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltloom.functions import scalars
+from voltloom.functions.numeric import fixed
 from voltloom.functions.slopes import theil_sen
 from voltloom.functions.textures import chord_shape, from_chord, two_sided_shape
 from voltloom.operators import joins, ranks, seq
@@ -23,6 +26,9 @@ from voltloom.session import stage
 
 CH = ["meter_id", "variable"]
 GAP = [*CH, "x0", "x1"]
+FLAGS = ["edge_risk", "regime", "low_conf"]
+#: Numbers of starts that one bucket of a fragment index spans.
+STRIDE = 64
 
 
 @dataclass(frozen=True)
@@ -53,6 +59,8 @@ class FillRules:
     support_reuse: int = 5
     tiny: float = 1e-9
     min_context: int = 4
+    texture_length: int = 6
+    texture_draws: int = 64
 
 
 RULES = FillRules()
@@ -81,20 +89,42 @@ def fragment_library(known: DataFrame, block: int) -> DataFrame:
     return seq.runs(known, CH, F.col("value").isNotNull(), RULES.min_fragment, block=block)
 
 
-def fragment_starts(library: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every possible start, numbered by falling room after it, and the number of starts per needed length.
+def fragment_index(library: DataFrame, lengths: DataFrame, block: int) -> DataFrame:
+    """Where the starts of fragments of each wanted length ``(channel, len)`` stand: rank and select by runs.
 
-    Starts with room for a length are exactly the first of that numbering, so one uniform number picks a
-    fragment of any length; longer runs weigh by the starts they offer.
+    A run with room for a length offers ``n - len + 1`` starts, which are numbered along the series; a row holds the numbers ``[low, high)``
+    of one run under one bucket of ``STRIDE`` numbers, beside the channel's ``n_starts``. No start has a row of its own, and the running
+    totals are stitched from blocks.
     """
-    pts = seq.interval_points(library, CH, "x1").withColumn("room", F.col("x1") - F.col("x") + 1)
-    sizes = pts.groupBy(*CH, "room").agg(F.count("*").alias("c"))
-    down = Window.partitionBy(*CH).orderBy(F.desc("room"))
-    upto = sizes.select(*CH, "room", F.sum("c").over(down).alias("n_starts"), (F.sum("c").over(down) - F.col("c")).alias("_off"))
-    same = Window.partitionBy(*CH, "room").orderBy("x")
-    numbered = pts.withColumn("_i", F.row_number().over(same)).join(upto, [*CH, "room"])
-    starts = numbered.select(*CH, (F.col("_off") + F.col("_i") - 1).alias("pick"), F.col("x").alias("start"))
-    return starts, upto.select(*CH, F.col("room").alias("len"), "n_starts")
+    room = library.join(lengths, CH).filter(F.col("n") >= F.col("len")).withColumn("w", F.col("n") - F.col("len") + 1)
+    total = room.groupBy(*CH, "len").agg(F.sum("w").alias("n_starts"))
+    along = seq.running(room.select(*CH, "len", "x0", "w"), [*CH, "len"], {"high": F.col("w")}, "x0", block)
+    along = along.select(*CH, "len", F.col("x0").alias("run0"), (F.col("high") - F.col("w")).alias("low"), "high").join(total, [*CH, "len"])
+    buckets = F.sequence(F.floor(F.col("low") / STRIDE), F.floor((F.col("high") - 1) / STRIDE))
+    return along.withColumn("bucket", F.explode(buckets))
+
+
+def select_starts(draws: DataFrame, index: DataFrame) -> DataFrame:
+    """``draws`` (channel, len, draw) with the step ``start`` at which the drawn fragment begins; lengths nowhere available are left out."""
+    counts = index.select(*CH, "len", "n_starts").distinct()
+    numbered = draws.join(counts, [*CH, "len"]).withColumn("pick", F.pmod("draw", "n_starts"))
+    numbered = numbered.withColumn("bucket", F.floor(F.col("pick") / STRIDE))
+    met = numbered.join(index.drop("n_starts"), [*CH, "len", "bucket"]).filter((F.col("pick") >= F.col("low")) & (F.col("pick") < F.col("high")))
+    return met.withColumn("start", F.col("run0") + F.col("pick") - F.col("low")).drop("bucket", "low", "high", "run0", "n_starts", "draw")
+
+
+def series_texture(library: DataFrame, blocks: DataFrame, seed: int, block: int) -> DataFrame:
+    """``s_amp, s_freq`` per channel: medians of spread and turning share over drawn fragments, off their chords; 0 without any."""
+    r = RULES
+    channels = blocks.select(*CH).distinct()
+    asked = channels.withColumn("len", F.lit(r.texture_length).cast("long"))
+    draws = asked.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(r.texture_draws - 1))))
+    draws = draws.withColumn("draw", mixed(seed, F.col("meter_id"), text_code("variable"), F.col("no")))
+    found = select_starts(draws, fragment_index(library, asked, block))
+    pieces = found.select(*CH, "no", F.col("start").alias("a"), (F.col("start") + r.texture_length - 1).alias("b"))
+    frag = seq.cut(pieces, [*CH, "no"], CH, blocks, "value", block).withColumn("shape", chord_shape("value"))
+    mid = frag.groupBy(*CH).agg(F.percentile("shape.sd", F.lit(0.5)).alias("s_amp"), F.percentile("shape.freq", F.lit(0.5)).alias("s_freq"))
+    return channels.join(mid, CH, "left").na.fill(0.0, ["s_amp", "s_freq"])
 
 
 def portions(gaps: DataFrame, bands: Sequence[tuple]) -> DataFrame:
@@ -105,17 +135,20 @@ def portions(gaps: DataFrame, bands: Sequence[tuple]) -> DataFrame:
     return g.withColumn("plen", F.greatest(F.lit(RULES.min_fragment), F.ceil(F.col("n") / F.col("portions"))).cast("long"))
 
 
-def level_parameters(gaps: DataFrame, known: DataFrame, channel_mad: DataFrame) -> DataFrame:
-    """Per inner gap: lateral medians, spreads and slopes, closing values, near shape and risk flags."""
+def level_parameters(gaps: DataFrame, blocks: DataFrame, channel_mad: DataFrame, block: int) -> DataFrame:
+    """Per inner gap: lateral medians, spreads and slopes, closing values, near shape and risk flags.
+
+    Both contexts are cut from the block arrays next to the gap.
+    """
     r = RULES
-    pts = seq.context_points(gaps.select(*CH, "x0", "x1"), CH, r.lateral).join(known.select(*CH, "x", "value"), [*CH, "x"])
-    side = lambda left: F.sort_array(F.collect_list(F.when((F.col("x") < F.col("x0")) == F.lit(left), F.struct("x", "value"))))
-    ctx = pts.groupBy(*GAP).agg(side(True).alias("L"), side(False).alias("R"))  # at most 600 rows a side
-    near_l = F.filter("L", lambda e: e["x"] >= F.col("x0") - r.near)["value"]
-    near_r = F.filter("R", lambda e: e["x"] <= F.col("x1") + r.near)["value"]
-    ctx = ctx.select(
-        *GAP, F.col("L")["value"].alias("l"), F.col("R")["value"].alias("r"), near_l.alias("nl"), near_r.alias("nr")
-    )
+    side = lambda k, a, b: gaps.select(*GAP, F.lit(k).alias("side"), a.alias("a"), b.alias("b"))
+    left = side(0, F.greatest(F.col("x0") - r.lateral, F.lit(0)), F.col("x0") - 1)
+    right = side(1, F.col("x1") + 1, F.col("x1") + r.lateral)
+    parts = seq.cut(left.unionByName(right), [*GAP, "side"], CH, blocks, "value", block)
+    # arrays of at most 600 steps a side
+    ctx = parts.groupBy(*GAP).agg(*[F.max(F.when(F.col("side") == k, F.col("value"))).alias(c) for k, c in enumerate("LR")])
+    near_l, near_r = F.slice("L", -F.least(F.size("L"), F.lit(r.near)), r.near), F.slice("R", 1, r.near)
+    ctx = ctx.select(*GAP, *[F.array_compact(c).alias(n) for c, n in (("L", "l"), ("R", "r"), (near_l, "nl"), (near_r, "nr"))])
     mid = lambda c: F.when(F.size(c) > 0, _median(c))
     ctx = ctx.withColumn("m_l", mid(F.col("l"))).withColumn("m_r", mid(F.col("r")))
     spread = lambda c, m: 1.4826 * mid(F.transform(F.col(c), lambda e: F.abs(e - F.col(m)))) + r.tiny
@@ -167,55 +200,123 @@ def level_curve(params: DataFrame, line: bool = False) -> DataFrame:
     return pts.withColumn("base", F.when(F.col("wide"), curve).otherwise(straight))
 
 
-def supported(gaps: DataFrame, known: DataFrame, library: DataFrame, block: int) -> DataFrame:
+SCANNED = "meter_id int, variable string, plen long, blk long, inner int, through boolean, leave int, counts array<int>, exits array<int>"
+
+
+def scanned(known: np.ndarray, observed: np.ndarray, size: int, plen: int, continued: bool) -> tuple[int, bool, int, list[int], list[int]]:
+    """What the half-step scan with windows of ``plen`` does in a block of ``size`` steps, for every state in which it may enter.
+
+    ``known`` and ``observed`` go on for ``plen`` steps after the block. A run that begins inside is scanned from there: ``inner`` counts its
+    windows, ``leave`` is the offset in the next block at which the scan of the last one goes on (-1: not at all). For a run that comes from the
+    block before, ``counts`` and ``exits`` say the same for each offset of entry; ``through`` means that it is also the one that leaves.
+    """
+    whole = np.append(known, np.zeros(max(0, size + plen - len(known)), bool))
+    total = np.append(0, np.cumsum(np.append(observed, np.zeros(len(whole) - len(observed), bool))))
+    at = np.arange(size)
+    holes = np.append(np.flatnonzero(~whole), len(whole))
+    room = holes[np.searchsorted(holes, at)] - at  # known steps from here
+    share = (total[at + plen] - total[at]) / plen
+    step = np.where(share >= RULES.support_share, plen, max(1, plen // 2))
+    hit, fits = share >= RULES.support_share, room >= plen
+    first = np.flatnonzero(whole[:size] & ~np.append(continued, whole[: size - 1]))
+    p = np.append(first, np.arange(plen) if continued else [])
+    p = p.astype(np.int64)
+    count = np.zeros(len(p), np.int64)
+    while True:
+        own = np.flatnonzero(p < size)
+        own = own[(p[own] >= 0) & fits[np.minimum(p[own], size - 1)]] if len(own) else own
+        if not len(own):
+            break
+        count[own] += hit[p[own]]
+        p[own] += step[p[own]]
+    exits = np.where(p >= size, p - size, -1)
+    n, leaves = len(first), bool(whole[size - 1] and len(whole) > size and whole[size])
+    through = leaves and continued and not (~whole[:size]).any()
+    leave = int(exits[n - 1]) if leaves and not through and n else -1
+    return int(count[:n].sum()), through, leave, count[n:].tolist(), exits[n:].tolist()
+
+
+def scan_tables(blocks: DataFrame, need: DataFrame, block: int) -> DataFrame:
+    """The transition table of every (channel, block, portion length) of ``blocks`` (value, origin arrays)."""
+    own = blocks.select(*CH, "_blk", F.transform("value", lambda v: v.isNotNull()).alias("k"), F.transform("origin", lambda o: o.eqNullSafe(F.lit("obs"))).alias("o"))
+    plens = need.groupBy(*CH).agg(F.sort_array(F.collect_set("plen")).alias("plens"))
+    reach = F.array_max("plens").cast("int")
+    after = own.select(*CH, (F.col("_blk") - 1).alias("_blk"), F.col("k").alias("k1"), F.col("o").alias("o1"))
+    before = own.select(*CH, (F.col("_blk") + 1).alias("_blk"), F.element_at("k", -1).alias("continued"))
+    met = own.join(plens, CH).join(after, [*CH, "_blk"], "left").join(before, [*CH, "_blk"], "left")
+    met = met.select(*CH, "_blk", "k", "o", "plens", F.slice("k1", 1, reach).alias("k1"), F.slice("o1", 1, reach).alias("o1"), F.coalesce("continued", F.lit(False)).alias("continued"))
+    schema = pa.schema([
+        ("meter_id", pa.int32()), ("variable", pa.string()), ("plen", pa.int64()), ("blk", pa.int64()), ("inner", pa.int32()), ("through", pa.bool_()),
+        ("leave", pa.int32()), ("counts", pa.list_(pa.int32())), ("exits", pa.list_(pa.int32())),
+    ])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                known, seen = np.array(r["k"] + (r["k1"] or []), bool), np.array(r["o"] + (r["o1"] or []), bool)
+                size = len(r["k"])
+                for plen in r["plens"]:
+                    some = scanned(known[: size + plen], seen[: size + plen], size, plen, bool(r["continued"] and r["k"][0]))
+                    rows.append((r["meter_id"], r["variable"], plen, r["_blk"], *some))
+            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows) if rows else [()] * len(schema.names))), schema=schema)
+
+    return met.mapInArrow(run, SCANNED)
+
+
+def capacity(tables: DataFrame) -> DataFrame:
+    """``cap`` per (channel, plen): the transition tables composed along the series."""
+    chain = tables.groupBy(*CH, "plen").agg(F.sort_array(F.collect_list(F.struct("blk", "inner", "through", "leave", "counts", "exits"))).alias("t"))
+    zero = F.struct(F.lit(-1).alias("at"), F.lit(0).cast("long").alias("cap"))
+
+    def step(acc, e):
+        came = (acc["at"] >= 0) & (F.size(e["counts"]) > 0)
+        more = F.when(came, F.get(e["counts"], acc["at"])).otherwise(F.lit(0))
+        at = F.when(e["through"], F.when(came, F.get(e["exits"], acc["at"])).otherwise(F.lit(-1))).otherwise(e["leave"])
+        return F.struct(at.alias("at"), (acc["cap"] + e["inner"] + more).cast("long").alias("cap"))
+
+    return chain.select(*CH, "plen", F.aggregate("t", zero, step)["cap"].alias("cap"))
+
+
+def supported(gaps: DataFrame, blocks: DataFrame, block: int) -> DataFrame:
     """Gaps whose portion length fits often enough into mostly observed stretches.
 
-    Stretches are cut into tiles from their start; the observed share of a tile is the difference of two
-    running counts, so the work is one row per tile.
+    Every run of known values is scanned from its start: a window with enough observed steps counts and is passed, any other is left by half
+    its length. The scan is sequential along a run; blocks do it for every state of entry, and their tables are composed.
     """
     r = RULES
-    need = gaps.select(*CH, "plen").distinct()
-    count = seq.running(known.select(*CH, "x", (F.col("origin") == "obs").cast("int").alias("_f")), CH, {"cum": F.coalesce("_f", F.lit(0))}, block=block)
-    tiles = library.join(need, CH).filter(F.col("n") >= F.col("plen"))
-    tiles = tiles.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / F.col("plen")).cast("long") - 1)))
-    tiles = tiles.select(*CH, "plen", (F.col("x0") + F.col("k") * F.col("plen")).alias("a"))
-    at = count.select(*CH, F.col("x").alias("a"), (F.col("cum") - F.coalesce("_f", F.lit(0))).alias("before"))
-    till = count.select(*CH, F.col("x").alias("b"), F.col("cum").alias("upto"))
-    tiles = tiles.withColumn("b", F.col("a") + F.col("plen") - 1).join(at, [*CH, "a"]).join(till, [*CH, "b"])
-    cap = tiles.groupBy(*CH, "plen").agg(
-        F.count_if((F.col("upto") - F.col("before")) / F.col("plen") >= r.support_share).alias("cap")
-    )
+    cap = capacity(scan_tables(blocks, gaps.select(*CH, "plen").distinct(), block))
     j = gaps.join(cap, [*CH, "plen"], "left").withColumn("cap", F.coalesce("cap", F.lit(0)))
     reuse = F.ceil(F.col("n") / F.col("plen")) / F.greatest("cap", F.lit(1))
     return j.withColumn("supported", (F.col("cap") >= r.support_min) & (reuse <= r.support_reuse))
 
 
-def pick_fragments(gaps: DataFrame, known: DataFrame, library: DataFrame, seed: int, freq_only: bool = False) -> DataFrame:
-    """Best of eight drawn fragments per portion, as deviations from their chord."""
+def pick_fragments(gaps: DataFrame, blocks: DataFrame, library: DataFrame, seed: int, block: int, freq_only: bool = False) -> DataFrame:
+    """Best of eight drawn fragments per portion with its ``cost`` and its deviations from the chord; ties go to the earlier draw."""
     r = RULES
-    starts, counts = fragment_starts(library)
     hop = F.greatest(F.lit(1), F.floor(F.col("plen") / 2)).cast("long")
     p = gaps.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, hop)))
     p = p.withColumn("len", F.least("plen", F.col("n") - F.col("pos"))).filter(F.col("len") >= r.min_fragment)
-    p = p.join(counts, [*CH, "len"]).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(r.candidates - 1))))
-    draw = mixed(seed, F.col("meter_id"), text_code("variable"), F.col("x0"), F.col("pos"), F.col("c"))
-    p = p.withColumn("pick", F.pmod(draw, F.col("n_starts"))).join(starts, [*CH, "pick"])
-    keys = [*GAP, "pos", "c"]
-    cells = p.select(*keys, "len", "sig", "fc", "m_gap", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("x"))
-    cells = cells.join(known.select(*CH, "x", "value"), [*CH, "x"])
-    frag = cells.groupBy(*keys, "len", "sig", "fc", "m_gap").agg(F.sort_array(F.collect_list(F.struct("x", "value")))["value"].alias("frag"))
-    frag = frag.withColumn("shape", chord_shape("frag")).withColumn("slope", theil_sen("frag"))
+    p = p.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(r.candidates - 1))))
+    p = p.withColumn("draw", mixed(seed, F.col("meter_id"), text_code("variable"), F.col("x0"), F.col("pos"), F.col("c")))
+    drawn = stage(select_starts(p.select(*GAP, "pos", "len", "c", "sig", "fc", "m_gap", "draw"), fragment_index(library, p.select(*CH, "len").distinct(), block)))
+    ids = [*CH, "start", "len"]  # a fragment that several portions drew is cut and measured once
+    pieces = drawn.select(*ids).distinct().withColumn("a", F.col("start")).withColumn("b", F.col("start") + F.col("len") - 1)
+    frag = seq.cut(pieces, ids, CH, blocks, "value", block)
+    frag = stage(frag.withColumn("shape", chord_shape("value")).withColumn("slope", theil_sen("value")))
+    rise = F.element_at("value", -1) - F.element_at("value", 1)
+    measured = frag.select(*ids, F.col("shape.freq").alias("f"), F.col("shape.sd").alias("sd"), "slope", rise.alias("rise"))
+    j = drawn.join(measured, ids)
     eps = F.col("sig") + r.tiny
-    rise = F.element_at("frag", -1) - F.element_at("frag", 1)
-    cost = F.abs(F.col("shape.freq") - F.col("fc"))
+    cost = F.abs(F.col("f") - F.col("fc"))
     if not freq_only:
         cost = (
-            r.w_freq * cost + r.w_amp * F.abs(F.col("shape.sd") - F.col("sig")) / eps
+            r.w_freq * cost + r.w_amp * F.abs(F.col("sd") - F.col("sig")) / eps
             + r.w_slope * F.abs(F.col("slope") - F.col("m_gap")) * F.col("len") / eps
-            + r.w_level * F.abs(rise - F.col("m_gap") * F.col("len")) / eps
+            + r.w_level * F.abs(F.col("rise") - F.col("m_gap") * F.col("len")) / eps
         )
-    best = frag.withColumn("cost", cost).groupBy(*GAP, "pos", "len").agg(F.min_by("frag", F.struct("cost", "c")).alias("frag"))
-    return best.withColumn("dev", from_chord("frag")).drop("frag")
+    best = j.groupBy(*GAP, "pos", "len").agg(F.min(F.struct(fixed(cost, 6).alias("cost"), "c", "start")).alias("m")).select(*GAP, "pos", "len", "m.cost", "m.start")
+    return best.join(frag.select(*ids, from_chord("value").alias("dev")), ids)
 
 
 def texture(fragments: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -245,31 +346,42 @@ def range_guard(points: DataFrame, bounds: DataFrame) -> DataFrame:
     s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_s", F.lit(1.0))))
     out = j.join(scale, GAP).withColumn("scale", s)
     y = F.col("base") + F.col("scale") * d
-    return out.withColumn("y", F.greatest(F.least(y, F.col("hi")), F.col("lo"))).withColumn("clipped", (y < F.col("lo")) | (y > F.col("hi")))
+    room = 1e-9 * (F.col("hi") - F.col("lo"))  # the point that sets the scale lies on the bound, but for rounding
+    clipped = (y < F.col("lo") - room) | (y > F.col("hi") + room)
+    return out.withColumn("clipped", clipped).withColumn("y", F.greatest(F.least(y, F.col("hi")), F.col("lo")))
 
 
-def edge_points(gaps: DataFrame, known: DataFrame) -> DataFrame:
-    """Leading and trailing gaps: the neighbouring stretch, tiled, off its chord, on the border value."""
+def edge_points(gaps: DataFrame, known: DataFrame, block: int) -> DataFrame:
+    """Leading and trailing gaps: the neighbouring stretch, tiled, off its chord, on the border value.
+
+    The known values of a channel carry ordinals stitched from blocks. The stretch of a gap is a range of ordinals, and a point of the gap reads
+    the one that its offset leaves modulo their number; neither needs an order over the gap.
+    """
     r = RULES
     g = gaps.filter(F.col("vb").isNull() != F.col("va").isNull()).withColumn("anchor", F.coalesce("va", "vb"))
     lead = F.col("vb").isNull()
-    a = F.when(lead, F.col("x1") + 1).otherwise(F.greatest(F.lit(0), F.col("x0") - F.col("n")))
-    b = F.when(lead, F.col("x1") + F.col("n")).otherwise(F.col("x0") - 1)
-    src = g.select(*GAP, "n", F.explode(F.sequence(a, b)).alias("x")).join(known.select(*CH, "x", "value"), [*CH, "x"])
-    order = Window.partitionBy(*GAP).orderBy("x")
-    src = src.withColumn("j", (F.row_number().over(order) - 1).cast("long"))
-    size = src.groupBy(*GAP, "n").agg(F.count("*").alias("m"), F.stddev_pop("value").alias("sd"), F.min_by("value", "x").alias("f0"))
-    tail = src.select(*GAP, F.col("j").alias("_jl"), F.col("value").alias("f1"))
-    size = size.withColumn("_jl", F.pmod(F.col("n") - 1, F.col("m"))).join(tail, [*GAP, "_jl"]).drop("_jl", "n")
-    pts = g.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("o", F.col("x") - F.col("x0")).join(size, GAP, "left")
-    rich = (F.col("m") >= r.min_fragment) & (F.col("sd") > r.tiny)
-    pts = pts.withColumn("rich", F.coalesce(rich, F.lit(False))).withColumn("j", F.when(F.col("rich"), F.pmod(F.col("o"), F.col("m"))))
-    pts = pts.join(src.select(*GAP, "j", F.col("value").alias("v")), [*GAP, "j"], "left")
+    g = g.withColumn("a", F.when(lead, F.col("x1") + 1).otherwise(F.greatest(F.lit(0), F.col("x0") - F.col("n"))))
+    g = g.withColumn("b", F.when(lead, F.col("x1") + F.col("n")).otherwise(F.col("x0") - 1))
+    solid = known.filter("value is not null").select(*CH, "x", "value").join(g.select(*CH).distinct(), CH, "left_semi")
+    solid = stage(seq.running(solid, CH, {"no": F.lit(1)}, block=block).select(*CH, "x", "value", "no"))
+    src = solid.join(g.select(*GAP, "n", "a", "b"), CH).filter(F.col("x").between(F.col("a"), F.col("b")))  # one gap at either end
+    size = src.groupBy(*GAP, "n").agg(F.count("*").alias("m"), F.stddev_pop("value").alias("sd"), F.min("no").alias("no0"), F.min_by("value", "x").alias("f0"))
+    size = size.withColumn("last_no", F.col("no0") + F.pmod(F.col("n") - 1, F.col("m")))
+    tail = solid.select(*CH, F.col("no").alias("last_no"), F.col("value").alias("f1"))
+    size = size.join(tail, [*CH, "last_no"]).drop("last_no", "n")
+    pts = g.drop("a", "b").withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("o", F.col("x") - F.col("x0")).join(size, GAP, "left")
+    rich = F.coalesce((F.col("m") >= r.min_fragment) & (F.col("sd") > r.tiny), F.lit(False))
+    pts = pts.withColumn("rich", rich).withColumn("no", F.when(F.col("rich"), F.col("no0") + F.pmod(F.col("o"), F.col("m"))))
+    pts = pts.join(solid.select(*CH, "no", F.col("value").alias("v")), [*CH, "no"], "left")
     chord = F.col("f0") + (F.col("f1") - F.col("f0")) * F.col("o") / F.greatest(F.col("n") - 1, F.lit(1))
     cand = F.when(F.col("rich") & (F.col("n") >= 2), F.col("anchor") + F.col("v") - chord).otherwise(F.col("anchor"))
     kind = F.when(F.col("rich"), "analog").otherwise("edge")
     code = scalars.confidence_code("category", F.lit(False))
-    return pts.select(*GAP, "x", F.col("anchor").alias("base"), cand.alias("cand"), kind.alias("kind"), code.alias("code"))
+    none = F.lit(False)
+    return pts.select(
+        *GAP, "x", F.col("anchor").alias("base"), cand.alias("cand"), kind.alias("kind"), code.alias("code"),
+        none.alias("edge_risk"), none.alias("regime"), none.alias("low_conf"),
+    )
 
 
 def analog_fill(samples: DataFrame, bands: Sequence[tuple], block: int, seed: int = 42, backbone: str = "trend", criteria: str = "multi") -> DataFrame:
@@ -277,54 +389,76 @@ def analog_fill(samples: DataFrame, bands: Sequence[tuple], block: int, seed: in
 
     ``backbone="line"`` and ``criteria="freq"`` give the older straight-line, frequency-only method.
     """
+    p = fill_plan(samples, bands, block, seed, backbone, criteria)
+    return filled_cells(samples, p, fill_points(p, backbone == "line"))
+
+
+def fill_points(p: dict, line: bool = False) -> DataFrame:
+    """Every point of every gap with its guarded value ``y``, kind, code and flags."""
+    curve = level_curve(p["params"], line).join(p["texture"], [*GAP, "o"], "left")
+    code = F.when(F.col("bare"), 6).otherwise(scalars.confidence_code("category", "low_conf"))
+    kind = F.when(F.col("bare"), "unsupported").when(F.col("tex").isNotNull(), "analog").otherwise("interp")
+    body = curve.select(
+        *GAP, "x", "base", (F.col("base") + F.coalesce("tex", F.lit(0.0))).alias("cand"), kind.alias("kind"), code.alias("code"), *FLAGS,
+    )
+    return range_guard(body.unionByName(edge_points(p["gaps"], p["known"], p["block"])), p["live"].select(*CH, "lo", "hi"))
+
+
+def filled_cells(samples: DataFrame, p: dict, points: DataFrame) -> DataFrame:
+    made = points.select(*CH, "x", "y", "kind", "code", "scale", "clipped", *FLAGS)
+    known = p["known"].select(*CH, "x", F.col("value").alias("k"), "origin")
+    j = samples.withColumnRenamed("value", "observed").join(known, [*CH, "x"], "left").join(made, [*CH, "x"], "left")
+    return j.select(
+        *CH, "x", "observed", F.coalesce("observed", "k", "y").alias("value"),
+        F.when(F.col("observed").isNotNull(), 0).when(F.col("origin") == "micro", 1).otherwise(F.coalesce("code", F.lit(5))).cast("byte").alias("code"),
+        F.when(F.col("observed").isNotNull(), "observed").when(F.col("origin") == "micro", "interp").otherwise(F.coalesce("kind", F.lit("unfilled"))).alias("kind"),
+        F.coalesce(F.col("scale") < 0.999999, F.lit(False)).alias("rescaled"), F.coalesce("clipped", F.lit(False)).alias("clipped"),
+        *[F.coalesce(c, F.lit(False)).alias(c) for c in FLAGS],
+    )
+
+
+def live_channels(samples: DataFrame) -> DataFrame:
+    """Channels with enough readings: their median deviation and the range a filled value may take."""
     r = RULES
     stats = ranks.median_mad(samples, CH, "value").select(*CH, F.col("n").alias("n_obs"), F.col("mad").alias("mad_series"))
     span = samples.groupBy(*CH).agg(F.min("value").alias("a"), F.max("value").alias("b"), F.stddev_pop("value").alias("sd"))
     margin = r.margin * F.greatest(F.col("b") - F.col("a"), F.col("sd"), F.lit(r.tiny))
     bounds = span.select(*CH, (F.col("a") - margin).alias("lo"), (F.col("b") + margin).alias("hi"))
-    live = stage(stats.filter(F.col("n_obs") >= r.min_obs).join(bounds, CH))
+    return stats.filter(F.col("n_obs") >= r.min_obs).join(bounds, CH)
+
+
+def fill_plan(samples: DataFrame, bands: Sequence[tuple], block: int, seed: int = 42, backbone: str = "trend", criteria: str = "multi") -> dict:
+    """The parts of a fill: ``known`` (micro-filled cells), ``blocks`` (its arrays), ``gaps``, ``library``, ``live``, ``params`` (a row for each inner
+    gap), ``picks`` (a fragment for each portion) and ``texture`` (a value for each textured point)."""
+    r = RULES
+    live = stage(live_channels(samples))
     use = samples.join(live.select(*CH), CH, "left_semi")
     known = stage(micro_fill(use, bordered_gaps(use, block)))
+    blocks = stage(seq.arrays(known, CH, ["value", "origin"], block=block))
     gaps = stage(portions(bordered_gaps(known, block), bands))
     library = stage(fragment_library(known, block))
-    solid = known.filter("value is not null")
     inner = gaps.filter("vb is not null and va is not null")
-    params = level_parameters(inner, solid, live.select(*CH, "mad_series"))
-    params = supported(params, known, library, block)
-    short = bands[0][2]
-    plain = (F.col("n") > short) & ~F.col("supported")
-    rich = (F.col("shape.n") >= r.min_context) & (F.col("shape.sd") > r.tiny)
+    params = level_parameters(inner, blocks, live.select(*CH, "mad_series"), block)
+    params = supported(params, blocks, block).join(series_texture(library, blocks, seed, block), CH)
+    rich = (F.coalesce("shape.n", F.lit(0)) >= r.min_context) & (F.col("shape.sd") > r.tiny)
     params = stage(
-        params.withColumn("bare", plain)
-        .withColumn("sig", F.when(rich, F.col("shape.sd")).otherwise(F.col("mad_series")))
-        .withColumn("fc", F.when(rich, F.col("shape.freq")).otherwise(F.lit(0.5)))
-        .withColumn("amp", F.when(rich, F.col("shape.sd") * scalars.k_of_length("n")).otherwise(F.col("mad_series")))
+        params.withColumn("bare", (F.col("n") > bands[0][2]) & ~F.col("supported"))
+        .withColumn("sig", F.when(rich, F.col("shape.sd")).otherwise(F.col("s_amp")))
+        .withColumn("fc", F.when(rich, F.col("shape.freq")).otherwise(F.col("s_freq")))
+        .withColumn("amp", F.when(rich, F.col("shape.sd") * scalars.k_of_length("n")).otherwise(F.col("s_amp")))
         .withColumn("m_gap", (F.col("va") - F.col("vb")) / (F.col("n") + 1))
     )
     textured = params.filter(~F.col("bare") & (F.col("amp") > r.tiny))
-    frags = pick_fragments(textured, solid, library, seed, criteria == "freq")
-    tex = texture(frags, textured)
-    curve = level_curve(params, backbone == "line").join(tex, [*GAP, "o"], "left")
-    code = F.when(F.col("bare"), 6).otherwise(scalars.confidence_code("category", "low_conf"))
-    kind = F.when(F.col("bare"), "unsupported").when(F.col("tex").isNotNull(), "analog").otherwise("interp")
-    body = curve.select(*GAP, "x", "base", (F.col("base") + F.coalesce("tex", F.lit(0.0))).alias("cand"), kind.alias("kind"), code.alias("code"))
-    made = range_guard(body.unionByName(edge_points(gaps, solid)), live.select(*CH, "lo", "hi"))
-    made = made.select(*CH, "x", "y", "kind", "code", "scale", "clipped")
-    j = samples.withColumnRenamed("value", "observed").join(known.select(*CH, "x", F.col("value").alias("k"), "origin"), [*CH, "x"], "left").join(made, [*CH, "x"], "left")
-    return j.select(
-        *CH, "x", "observed", F.coalesce("observed", "k", "y").alias("value"),
-        F.when(F.col("observed").isNotNull(), 0).when(F.col("origin") == "micro", 1).otherwise(F.coalesce("code", F.lit(5))).cast("byte").alias("code"),
-        F.when(F.col("observed").isNotNull(), "observed").when(F.col("origin") == "micro", "interp").otherwise(F.coalesce("kind", F.lit("unfilled"))).alias("kind"),
-        F.coalesce(F.col("scale") < 0.999999, F.lit(False)).alias("rescaled"), F.coalesce("clipped", F.lit(False)).alias("clipped"),
-    )
+    picks = stage(pick_fragments(textured, blocks, library, seed, block, criteria == "freq"))
+    return {"block": block, "known": known, "blocks": blocks, "gaps": gaps, "library": library, "live": live, "params": params, "picks": picks, "texture": stage(texture(picks, textured))}
 
 
 def fill_trace(filled: DataFrame) -> DataFrame:
-    """Cells per kind of fill and channel."""
+    """Cells per kind of fill and channel, and cells in gaps with each risk flag."""
     kinds = ("observed", "analog", "interp", "edge", "unsupported", "unfilled")
     return filled.groupBy(*CH).agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds],
-        F.count_if("rescaled").alias("n_rescaled"), F.count_if("clipped").alias("n_clipped"),
+        F.count_if("rescaled").alias("n_rescaled"), F.count_if("clipped").alias("n_clipped"), *[F.count_if(c).alias(f"n_{c}") for c in FLAGS],
     )
 
 

@@ -303,3 +303,24 @@ def stretch(source: DataFrame, keys: Keys, targets: DataFrame, value: str, n_sou
     return out.withColumn(
         "stretched", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.col("j"))
     ).drop("_lo", "_hi", "_pos", "j", "_j1", "_len")
+
+
+def arrays(df: DataFrame, keys: Keys, columns: Keys, x: str = "x", block: int = BLOCK) -> DataFrame:
+    """One row for each (series, block) of a dense axis: the columns as arrays over the block's steps, NULL where nothing is known."""
+    rows = with_block(df.select(*keys, x, *columns), x, block).groupBy(*keys, "_blk")
+    rows = rows.agg(F.sort_array(F.collect_list(F.struct(x, *columns))).alias("_rows"))
+    return rows.select(*keys, "_blk", *[F.col("_rows")[c].alias(c) for c in columns])
+
+
+def cut(pieces: DataFrame, ids: Keys, keys: Keys, blocks: DataFrame, column: str, block: int = BLOCK) -> DataFrame:
+    """``(ids, column)``: the values from step ``a`` to ``b`` of every piece ``(ids, a, b)`` as one array.
+
+    A piece meets the one or few block rows it touches, not its steps; empty pieces have no row. ``ids`` hold the series keys.
+    """
+    touched = F.sequence(F.floor(F.col("a") / block), F.floor(F.col("b") / block))
+    met = pieces.filter("a <= b").select(*ids, "a", "b", F.explode(touched).alias("_blk")).join(blocks.select(*keys, "_blk", column), [*keys, "_blk"])
+    first = F.greatest(F.col("a") - F.col("_blk") * block, F.lit(0))
+    last = F.least(F.col("b") - F.col("_blk") * block, F.lit(block - 1))
+    part = F.slice(column, (first + 1).cast("int"), (last - first + 1).cast("int"))
+    whole = met.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("_blk", part.alias("_part")))).alias("_parts"))
+    return whole.select(*ids, F.flatten("_parts._part").alias(column))

@@ -29,6 +29,7 @@ add_cte(
     "select s.meter_id, s.variable, s.x, coalesce(s.value, g.vb + (g.va - g.vb) * (s.x - g.x0 + 1) / (g.n + 1)) as value, case when s.value is not null then 'obs' when g.n is not null then 'micro' end as origin"
     " from samples s left join bordered g on g.meter_id = s.meter_id and g.variable = s.variable and s.x between g.x0 and g.x1 and g.n <= 2 and g.vb is not null and g.va is not null",
 )
+from voltloom.plans import fill_sql  # noqa: E402, F401 - its tables build on the two above
 
 
 def known(t: Inputs):
@@ -60,16 +61,75 @@ def portions(t: Inputs):
     return fill.portions(t.gaps, BANDS).select(*CH, "x0", "n", "portions", "plen")
 
 
+def plan(t: Inputs):
+    if "plan" not in t.__dict__:
+        t.plan = fill.fill_plan(t.samples, BANDS, BLOCK)
+    return t.plan
+
+
+@query("gap_supported", with_tables("select meter_id, variable, x0, n, plen, cap, supported from params", "params"))
+def gap_supported(t: Inputs):
+    return plan(t)["params"].select(*CH, "x0", "n", "plen", "cap", "supported")
+
+
+@query("gap_flags", with_tables(f"select meter_id, variable, x0, n, {R('mad')} as mad, edge_risk, regime, low_conf from flags", "flags"))
+def gap_flags(t: Inputs):
+    p = plan(t)["params"]
+    mad = F.greatest(F.coalesce("shape.mad", F.lit(0.0)), "mad_series", F.lit(fill.RULES.tiny))
+    return p.select(*CH, "x0", "n", fixed(mad).alias("mad"), "edge_risk", "regime", "low_conf")
+
+
+@query("series_texture", with_tables(f"select meter_id, variable, {R('s_amp')} as s_amp, {R('s_freq')} as s_freq from textures", "textures"))
+def series_texture(t: Inputs):
+    p = plan(t)
+    s = fill.series_texture(p["library"], p["blocks"], 42, BLOCK)
+    return s.select(*CH, fixed("s_amp").alias("s_amp"), fixed("s_freq").alias("s_freq"))
+
+
+@query("pick_fragment", with_tables("select meter_id, variable, x0, pos, len, start, cost from picks", "picks"))
+def pick_fragment(t: Inputs):
+    return plan(t)["picks"].select(*CH, "x0", "pos", "len", "start", "cost")
+
+
+@query("texture", with_tables(f"select meter_id, variable, x0, o, {R('tex')} as tex from laid", "laid"))
+def texture(t: Inputs):
+    return plan(t)["texture"].select(*CH, "x0", "o", fixed("tex").alias("tex"))
+
+
+@query("backbone", with_tables(f"select meter_id, variable, x0, x, {R('base')} as base from levels", "levels"))
+def backbone(t: Inputs):
+    return fill.level_curve(plan(t)["params"]).select(*CH, "x0", "x", fixed("base").alias("base"))
+
+
+@query("edge_fill", with_tables(f"select meter_id, variable, x0, x, rich, {R('cand')} as cand from edges", "edges"))
+def edge_fill(t: Inputs):
+    p = plan(t)
+    e = fill.edge_points(p["gaps"], p["known"], BLOCK)
+    return e.select(*CH, "x0", "x", (F.col("kind") == "analog").alias("rich"), fixed("cand").alias("cand"))
+
+
+@query("range_guard", with_tables(f"select meter_id, variable, x0, x, {R('y')} as y, {R('scale')} as scale, clipped from made", "made"))
+def range_guard(t: Inputs):
+    return fill.fill_points(plan(t)).select(*CH, "x0", "x", fixed("y").alias("y"), fixed("scale").alias("scale"), "clipped")
+
+
 def filled(t: Inputs):
-    return t.kept("analog", lambda: fill.analog_fill(t.samples, BANDS, BLOCK))
+    return t.kept("analog", lambda: fill.filled_cells(t.samples, plan(t), fill.fill_points(plan(t))))
 
 
-@query("analog_fill")
+@query("analog_fill", with_tables(f"select meter_id, variable, x, observed, {R('value')} as value, code, kind, rescaled, clipped, edge_risk, regime, low_conf from filled", "filled"))
 def analog_fill(t: Inputs):
-    return filled(t)
+    return filled(t).withColumn("value", fixed("value"))
 
 
-@query("fill_trace")
+@query(
+    "fill_trace",
+    with_tables(
+        "select meter_id, variable, " + ", ".join(f"count_if(kind = '{k}') as n_{k}" for k in ("observed", "analog", "interp", "edge", "unsupported", "unfilled"))
+        + ", " + ", ".join(f"count_if({c}) as n_{c}" for c in ("rescaled", "clipped", "edge_risk", "regime", "low_conf")) + " from filled group by 1, 2",
+        "filled",
+    ),
+)
 def fill_trace(t: Inputs):
     return fill.fill_trace(filled(t))
 
