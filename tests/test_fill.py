@@ -198,3 +198,39 @@ def test_islands_cover_the_hole(spark):
     hole = spark.createDataFrame([(1, "p_a", 80, 129)], "meter_id int, variable string, x0 long, x1 long")
     out = {r.x: r.value for r in repair.island_overlap_add(df, hole, 32).collect()}
     assert sorted(out) == list(range(80, 130)) and all(40 < v < 60 for v in out.values())
+
+
+def test_defragment_chains_donors_and_islands(spark):
+    rng = np.random.default_rng(4)
+    base = 20 + np.sin(np.arange(400) / 9) + rng.normal(0, 0.1, 400)
+    main = rng.normal(0, 1, 400)
+    main[300:320] = np.nan
+    donor = base * 2 + 1
+    donor[100:140] = np.nan
+    target = base.copy()
+    target[np.arange(400) % 4 == 0] = np.nan
+    target[100:140] = np.nan
+    lonely = rng.normal(0, 1, 400)
+    lonely[np.arange(400) % 3 == 0] = np.nan
+    rows = [(m, "p_a", x, None if math.isnan(v[x]) else float(v[x])) for m, v in enumerate((main, donor, target, lonely), 1) for x in range(400)]
+    df = spark.createDataFrame(rows, "meter_id int, variable string, x long, value double").repartition(3)
+    got = {(r.meter_id, r.x): (r.value, r.origin) for r in repair.defragment(df, 1, 64).collect()}
+    assert {m for m, _ in got} == {3, 4} and {o for (m, _), (_, o) in got.items() if m == 4} == {"observed", "no_donor"}
+    for x in range(400):
+        v, origin = got[3, x]
+        if not math.isnan(target[x]):
+            assert (v, origin) == (target[x], "observed")
+        elif math.isnan(main[x]):
+            assert (v, origin) == (None, "none")
+        elif not math.isnan(donor[x]):
+            assert origin == "donor" and v == pytest.approx(base[x], abs=1e-6)
+        else:
+            assert origin == "islands" and 17 < v < 23
+
+
+def test_island_overlap_add_over_a_hole_longer_than_a_block(spark):
+    values = [float(x % 5) for x in range(40)] + [None] * 100 + [2.0] * 3
+    df = spark.createDataFrame([(1, "p_a", x, v) for x, v in enumerate(values)], "meter_id int, variable string, x long, value double")
+    holes = spark.createDataFrame([(1, "p_a", 40, 139)], "meter_id int, variable string, x0 long, x1 long")
+    one, other = ({r.x: r.value for r in repair.island_overlap_add(df, holes, b).collect()} for b in (16, 500))
+    assert one.keys() == set(range(40, 140)) and one == pytest.approx(other)

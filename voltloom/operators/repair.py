@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltloom.operators import gram, ranks, seq
-from voltloom.operators.statistics import mixed
+from voltloom.operators.statistics import mixed, text_code
 from voltloom.session import stage
 
 CH = ["meter_id", "variable"]
@@ -182,31 +182,70 @@ def apply_repair(samples: DataFrame, envelope: DataFrame, first: int, last: int,
 def island_overlap_add(samples: DataFrame, holes: DataFrame, block: int, seed: int = 42, overlap: float = 0.4, shortest: int = 8, reach: int = 60) -> DataFrame:
     """Values for the points of ``holes`` from hash-drawn islands of the same channel.
 
-    Islands of at least ``shortest`` values, off their median, are laid over the hole under a raised cosine,
-    each starting ``1 - overlap`` of the former's length later, on the median level of the neighbourhood.
+    Islands of at least ``shortest`` values, off their median, are laid over the hole under a raised cosine, each starting ``1 - overlap`` of
+    the former's length later, on the median level of the neighbourhood. Islands and neighbourhoods are cut from block arrays; the places
+    of the draws are running totals stitched from blocks, so a hole of any length is spread.
     """
     known = samples.filter(F.col("value").isNotNull())
-    isl = seq.runs(known, CH, F.lit(True), shortest, block=block)
-    pts = seq.interval_points(isl, CH, "x0").join(known, [*CH, "x"]).withColumnRenamed("x0", "i0")
-    mid = pts.groupBy(*CH, "i0").agg(F.percentile("value", F.lit(0.5)).alias("_m"))
-    pts = pts.join(mid, [*CH, "i0"]).select(*CH, "i0", (F.col("x") - F.col("i0")).alias("j"), (F.col("value") - F.col("_m")).alias("d"))
+    blocks = stage(seq.arrays(samples, CH, ["value"], block=block))
+    isl = stage(seq.runs(known, CH, F.lit(True), shortest, block=block))
+    pieces = isl.select(*CH, F.col("x0").alias("i0"), F.col("x0").alias("a"), F.col("x1").alias("b"))
+    shapes = seq.cut(pieces, [*CH, "i0"], CH, blocks, "value", block)
+    shapes = shapes.select(*CH, "i0", F.transform("value", lambda v: v - middle("value")).alias("dev"))
     order = seq.running(isl.select(*CH, F.col("x0").alias("x"), "n"), CH, {"no": F.lit(1)}, block=block)
     order = order.select(*CH, (F.col("no") - 1).alias("no"), F.col("x").alias("i0"), F.col("n").alias("k"))
     total = isl.groupBy(*CH).agg(F.count("*").alias("total"))
-    gap = holes.join(total, CH).withColumn("len", F.col("x1") - F.col("x0") + 1)
+    gap = holes.join(total, CH, "left").withColumn("len", F.col("x1") - F.col("x0") + 1)
     least = max(1, int(shortest * (1 - overlap)))
-    draw = gap.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("len") / least))))
-    pick = mixed(seed, F.col("meter_id"), F.crc32("variable"), F.col("x0"), F.col("c"))
+    draw = gap.filter("total > 0").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("len") / least))))
+    pick = mixed(seed, F.col("meter_id"), text_code("variable"), F.col("x0"), F.col("c"))
     draw = draw.withColumn("no", F.pmod(pick, F.col("total"))).join(order, [*CH, "no"])
-    w = Window.partitionBy(*CH, "x0", "x1").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     stride = F.greatest(F.lit(1), F.floor(F.col("k") * (1 - overlap)))
-    draw = draw.withColumn("pos", F.coalesce(F.sum(stride).over(w), F.lit(0))).filter("pos < len")
-    laid = draw.join(pts, [*CH, "i0"]).withColumn("x", F.col("x0") + F.col("pos") + F.col("j")).filter("x <= x1")
+    draw = seq.running(draw.withColumn("stride", stride), [*CH, "x0", "x1"], {"upto": F.col("stride")}, "c", block)
+    draw = draw.withColumn("pos", F.col("upto") - F.col("stride")).filter("pos < len")
+    laid = draw.join(shapes, [*CH, "i0"]).select(*CH, "x0", "x1", "k", "pos", F.posexplode("dev").alias("j", "d"))
+    laid = laid.withColumn("x", F.col("x0") + F.col("pos") + F.col("j")).filter("x <= x1")
     hann = 0.5 - 0.5 * F.cos(2.0 * math.pi * F.col("j") / (F.col("k") - 1))
     shape = laid.groupBy(*CH, "x0", "x1", "x").agg(F.sum(hann * F.col("d")).alias("a"), F.sum(hann).alias("w"))
-    near = seq.context_points(holes, CH, reach).join(known, [*CH, "x"])
-    level = near.groupBy(*CH, "x0", "x1").agg(F.percentile("value", F.lit(0.5)).alias("level"))
+    side = lambda k, a, b: holes.select(*CH, "x0", "x1", F.lit(k).alias("side"), a.alias("a"), b.alias("b"))
+    near = side(0, F.greatest(F.col("x0") - reach, F.lit(0)), F.col("x0") - 1).unionByName(side(1, F.col("x1") + 1, F.col("x1") + reach))
+    near = seq.cut(near, [*CH, "x0", "x1", "side"], CH, blocks, "value", block).groupBy(*CH, "x0", "x1")
+    level = near.agg(F.array_compact(F.flatten(F.collect_list("value"))).alias("near"))
+    level = level.select(*CH, "x0", "x1", F.when(F.size("near") > 0, middle("near")).alias("level"))
     every = seq.interval_points(gap, CH, "x0", "x1")
     j = every.join(shape, [*CH, "x0", "x1", "x"], "left").join(level, [*CH, "x0", "x1"], "left")
     value = F.coalesce(F.col("a") / F.when(F.col("w") < 1e-9, F.lit(1.0)).otherwise(F.col("w")), F.lit(0.0)) + F.coalesce("level", F.lit(0.0))
     return j.select(*CH, "x", value.alias("value"))
+
+
+def middle(column: str) -> Column:
+    """Median of an array without NULL."""
+    order, n = F.array_sort(column), F.size(column)
+    return (F.get(order, F.floor((n - 1) / 2).cast("int")) + F.get(order, F.floor(n / 2).cast("int"))) / 2.0
+
+
+def defragment(samples: DataFrame, main: int, block: int, seed: int = 42, min_corr: float = RULES.donor_corr) -> DataFrame:
+    """Cells of the fragmented channels with ``value`` and where it is from: ``observed``, ``donor``, ``islands``, ``none`` or ``no_donor``.
+
+    Holes are filled only where the main meter reads: by the best donor that has a value, then by islands of what is known by then. A
+    channel without a donor is left alone.
+    """
+    broken = stage(fragmented_series(samples, block).filter("fragmented").select(*CH))
+    ranking = stage(donor_ranking(samples, broken, block, min_corr))
+    helped = ranking.select(*CH).distinct()
+    own = samples.join(broken, CH, "left_semi")
+    given = donor_cascade(samples, ranking, main, block).select(*CH, "x", "recon")
+    cells = own.join(helped.withColumn("helped", F.lit(True)), CH, "left").join(given, [*CH, "x"], "left")
+    cells = stage(cells.select(*CH, "x", F.col("value").alias("observed"), F.coalesce("value", "recon").alias("value"), F.coalesce("helped", F.lit(False)).alias("helped")))
+    live = samples.filter((F.col("meter_id") == main) & F.col("value").isNotNull()).select("variable", "x")
+    rest = cells.filter("helped and value is null").join(live, ["variable", "x"], "left_semi")
+    holes = seq.runs(rest, CH, F.lit(True), block=block).select(*CH, "x0", "x1")
+    current = cells.filter("helped").select(*CH, "x", "value")
+    with_islands = seq.runs(current, CH, F.col("value").isNotNull(), 8, block=block).select(*CH).distinct()
+    made = island_overlap_add(current, stage(holes.join(with_islands, CH, "left_semi")), block, seed).withColumnRenamed("value", "laid")
+    j = cells.join(made, [*CH, "x"], "left")
+    kind = (
+        F.when(F.col("observed").isNotNull(), "observed").when(F.col("value").isNotNull(), "donor").when(F.col("laid").isNotNull(), "islands")
+        .when(F.col("helped"), "none").otherwise("no_donor")
+    )
+    return j.select(*CH, "x", F.coalesce("value", "laid").alias("value"), kind.alias("origin"))

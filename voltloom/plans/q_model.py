@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voltloom.functions import names
 from voltloom.functions.numeric import fixed
 from voltloom.operators import datasets, features, fit, ranks, repair, seq, statistics
-from voltloom.plans.fixture_sql import R, add_cte, with_tables
+from voltloom.plans.fixture_sql import CTES, R, add_cte, with_tables
 from voltloom.plans.registry import Inputs, query
 from voltloom.sources.fixtures import BLOCK, VARIABLES
 from voltloom.streaming.windows import stream_grid
@@ -27,14 +27,18 @@ add_cte(
     (select meter_id, variable, count(*) as n_islands, quantile_cont(n, 0.5) as median_len, max(n) as longest from islands group by 1, 2) i
     join (select meter_id, variable, count(value) as n_known, count_if(value is null)::double / count(*) as missing from samples group by 1, 2) m on m.meter_id = i.meter_id and m.variable = i.variable)""",
 )
+# meter 7, the twin of meter 6, without every fourth step: a fragmented channel with a donor
+add_cte("broken", ("samples",), "select meter_id, variable, x, case when meter_id = 7 and x % 4 = 0 then null else value end as value from samples")
+add_cte("broken_islands", ("broken",), CTES["islands"][1].replace("from samples", "from broken"))
+add_cte("broken_frag", ("broken", "broken_islands"), CTES["frag"][1].replace("from islands", "from broken_islands").replace("from samples", "from broken"))
 add_cte(
     "donors",
-    ("samples", "frag"),
+    ("broken", "broken_frag"),
     """select *, row_number() over (partition by meter_id, variable order by round(abs(r), 9) desc, donor desc) as rank from (
     select a.meter_id, a.variable, b.meter_id as donor, count(*) as n, corr(a.value, b.value) as r, regr_slope(a.value, b.value) as sl, regr_intercept(a.value, b.value) as ic, stddev_pop(a.value) as s1, stddev_pop(b.value) as s2
-    from samples a join frag f on f.meter_id = a.meter_id and f.variable = a.variable and f.fragmented join samples b on b.variable = a.variable and b.x = a.x and b.meter_id <> a.meter_id
-    join (select meter_id, variable from frag where missing <= 0.45) c on c.meter_id = b.meter_id and c.variable = b.variable where a.value is not null and b.value is not null group by 1, 2, 3)
-    where n >= 100 and s1 >= 1e-9 and s2 >= 1e-9 and abs(r) >= 0.02""",
+    from broken a join broken_frag f on f.meter_id = a.meter_id and f.variable = a.variable and f.fragmented join broken b on b.variable = a.variable and b.x = a.x and b.meter_id <> a.meter_id
+    join (select meter_id, variable from broken_frag where missing <= 0.45) c on c.meter_id = b.meter_id and c.variable = b.variable where a.value is not null and b.value is not null group by 1, 2, 3)
+    where n >= 100 and s1 >= 1e-9 and s2 >= 1e-9 and abs(r) >= 0.5""",
 )
 add_cte(
     "envelope",
@@ -53,6 +57,54 @@ add_cte(
 )
 
 
+add_cte(
+    "cascade",
+    ("broken", "donors"),
+    """select h.meter_id, h.variable, h.x, k.donor, sl * s.value + ic as recon from broken h join donors k on k.meter_id = h.meter_id and k.variable = h.variable
+      join broken s on s.meter_id = k.donor and s.variable = h.variable and s.x = h.x and s.value is not null
+      join broken m on m.meter_id = 1 and m.variable = h.variable and m.x = h.x and m.value is not null where h.value is null
+      qualify row_number() over (partition by h.meter_id, h.variable, h.x order by k.rank) = 1""",
+)
+add_cte(
+    "defrag_cells",
+    ("broken", "broken_frag", "donors", "cascade"),
+    """select s.meter_id, s.variable, s.x, s.value as observed, coalesce(s.value, c.recon) as value, d.meter_id is not null as helped from broken s
+      join broken_frag f on f.meter_id = s.meter_id and f.variable = s.variable and f.fragmented left join (select distinct meter_id, variable from donors) d on d.meter_id = s.meter_id and d.variable = s.variable
+      left join cascade c on c.meter_id = s.meter_id and c.variable = s.variable and c.x = s.x""",
+)
+add_cte("defrag_now", ("defrag_cells",), "select meter_id, variable, x, value from defrag_cells where helped")
+add_cte(
+    "defrag_holes",
+    ("defrag_now", "broken"),
+    """select meter_id, variable, min(x) as x0, max(x) as x1 from (select n.*, n.x - row_number() over (partition by n.meter_id, n.variable order by n.x) as g from defrag_now n
+      join broken m on m.meter_id = 1 and m.variable = n.variable and m.x = n.x and m.value is not null where n.value is null) group by meter_id, variable, g""",
+)
+add_cte("wide_gaps", ("gaps",), "select meter_id, variable, x0, x1 from gaps where n >= 3")
+
+
+def _islands(name: str, cells: str, holes: str, bare: bool) -> None:
+    """Overlap-add of drawn islands over holes; ``bare`` holes of channels without islands are kept at their level."""
+    on = lambda a, b: f"{a}.meter_id = {b}.meter_id and {a}.variable = {b}.variable"
+    add_cte(
+        name,
+        (cells, holes),
+        f"""with isl as (select *, row_number() over (partition by meter_id, variable order by i0) - 1 as no, count(*) over (partition by meter_id, variable) as total from (
+        select meter_id, variable, min(x) as i0, count(*) as k, median(value) as mid from (select *, x - row_number() over (partition by meter_id, variable order by x) as g from {cells} where value is not null) group by meter_id, variable, g having count(*) >= 8)),
+      gap as (select h.*, t.total, x1 - x0 + 1 as len from {holes} h {'left ' if bare else ''}join (select distinct meter_id, variable, total from isl) t on {on('t', 'h')}),
+      draw as (select g.*, c, {statistics.mixed_sql('42', 'g.meter_id', statistics.text_code_sql('g.variable'), 'g.x0', 'c')} % total as no from (select *, unnest(range(ceil(len / 4.0::double)::bigint + 1)) as c from gap where total > 0) g),
+      put as (select d.*, i.i0, i.k, i.mid, sum(greatest(1, floor(i.k * 0.6::double))) over (partition by d.meter_id, d.variable, d.x0 order by c) - greatest(1, floor(i.k * 0.6::double)) as pos from draw d join isl i on {on('i', 'd')} and i.no = d.no),
+      laid as (select p.*, s.x - i0 as j, s.value - mid as d, (p.x0 + pos + s.x - i0)::bigint as x from put p join {cells} s on {on('s', 'p')} and s.x between i0 and i0 + k - 1 where pos < len),
+      shape as (select meter_id, variable, x0, x, sum(h * d) as a, sum(h) as w from (select *, 0.5 - 0.5 * cos(2 * pi() * j / (k - 1)) as h from laid where x <= x1) group by 1, 2, 3, 4),
+      near as (select g.meter_id, g.variable, g.x0, median(s.value) as level from gap g join {cells} s on {on('s', 'g')} and (s.x between g.x0 - 60 and g.x0 - 1 or s.x between g.x1 + 1 and g.x1 + 60) where s.value is not null group by 1, 2, 3)
+      select e.meter_id, e.variable, e.x, coalesce(a / case when w < 1e-9 then 1 else w end, 0) + coalesce(level, 0) as value from (select *, unnest(range(x0, x1 + 1)) as x from gap) e
+      left join shape s on {on('s', 'e')} and s.x0 = e.x0 and s.x = e.x left join near n on {on('n', 'e')} and n.x0 = e.x0""",
+    )
+
+
+_islands("laid_islands", "samples", "wide_gaps", True)
+_islands("laid_rest", "defrag_now", "defrag_holes", False)
+
+
 def fragged(t: Inputs):
     return t.kept("fragmented", lambda: repair.fragmented_series(t.samples, BLOCK))
 
@@ -62,8 +114,13 @@ def fragmented_series(t: Inputs):
     return fragged(t).select(*CH, "n_islands", fixed("median_len").alias("median_len"), "longest", fixed("missing", 6).alias("missing"), "fragmented")
 
 
+def broken(t: Inputs):
+    """Samples in which meter 7, the twin of meter 6, has lost every fourth step."""
+    return t.samples.withColumn("value", F.when((F.col("meter_id") != 7) | (F.col("x") % 4 != 0), F.col("value")))
+
+
 def donors(t: Inputs):
-    return t.kept("donors", lambda: repair.donor_ranking(t.samples, fragged(t).filter("fragmented"), BLOCK, 0.02))
+    return t.kept("donors", lambda: repair.donor_ranking(broken(t), repair.fragmented_series(broken(t), BLOCK).filter("fragmented"), BLOCK))
 
 
 @query("donor_ranking", with_tables(f"select meter_id, variable, donor, n, {R('r', 6)} as r, rank from donors", "donors"))
@@ -74,14 +131,12 @@ def donor_ranking(t: Inputs):
 @query(
     "donor_cascade",
     with_tables(
-        f"""select meter_id, variable, x, donor, {R('sl * d + ic', 3)} as recon from (select h.meter_id, h.variable, h.x, k.donor, sl, ic, s.value as d, row_number() over (partition by h.meter_id, h.variable, h.x order by k.rank) as rn
-        from samples h join donors k on k.meter_id = h.meter_id and k.variable = h.variable join samples s on s.meter_id = k.donor and s.variable = h.variable and s.x = h.x and s.value is not null
-        join samples m on m.meter_id = 1 and m.variable = h.variable and m.x = h.x and m.value is not null where h.value is null) where rn = 1""",
-        "samples", "donors",
+        f"select meter_id, variable, x, donor, {R('recon', 3)} as recon from cascade",
+        "cascade",
     ),
 )
 def donor_cascade(t: Inputs):
-    return repair.donor_cascade(t.samples, donors(t), 1, BLOCK).select(*CH, "x", "donor", fixed("recon", 3).alias("recon"))
+    return repair.donor_cascade(broken(t), donors(t), 1, BLOCK).select(*CH, "x", "donor", fixed("recon", 3).alias("recon"))
 
 
 def envelope(t: Inputs):
@@ -242,9 +297,22 @@ def physical_fit(t: Inputs):
     return t.kept("physical_fit", lambda: fit.physical_fit(t.dense.filter("p_a is not null")))
 
 
-@query("island_overlap_add")
+@query("island_overlap_add", with_tables(f"select meter_id, variable, x, {R('value')} as value from laid_islands", "laid_islands"))
 def island_overlap_add(t: Inputs):
-    return repair.island_overlap_add(t.samples, t.gaps.filter("n >= 3").select(*CH, "x0", "x1"), BLOCK, shortest=4)
+    got = repair.island_overlap_add(t.samples, t.gaps.filter("n >= 3").select(*CH, "x0", "x1"), BLOCK)
+    return got.select(*CH, "x", fixed("value").alias("value"))
+
+
+@query(
+    "defragment",
+    with_tables(
+        f"""select c.meter_id, c.variable, c.x, {R('coalesce(value, l.laid)')} as value, case when observed is not null then 'observed' when value is not null then 'donor' when l.laid is not null then 'islands'
+        when helped then 'none' else 'no_donor' end as origin from defrag_cells c left join (select meter_id, variable, x, value as laid from laid_rest) l on l.meter_id = c.meter_id and l.variable = c.variable and l.x = c.x""",
+        "defrag_cells", "laid_rest",
+    ),
+)
+def defragment(t: Inputs):
+    return repair.defragment(broken(t), 1, BLOCK).withColumn("value", fixed("value"))
 
 
 @query(
