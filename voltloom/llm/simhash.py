@@ -194,6 +194,13 @@ def across(roots: np.ndarray, tiles: np.ndarray, prints: np.ndarray, limit: int,
     return out, more
 
 
+def rooted(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    """``crowd`` (id, block, key) with each class's component: its many rows and the one of its root meet under the id, once."""
+    marks = found.select("id", F.lit(None).cast("int").alias("block"), F.lit(None).cast("int").alias("key"), "root")
+    both = crowd.withColumn("root", F.lit(None).cast("long")).unionByName(marks)
+    return both.withColumn("root", F.coalesce(F.max("root").over(Window.partitionBy("id")), "id")).filter("block is not null")
+
+
 def crowd_pairs(members: DataFrame, wide: DataFrame, limit: int, nearest: bool) -> DataFrame:
     """``(a, b, block, key)``: candidates between components of ``(id, root, block, key)``; where more are left, a row of the key without ids.
 
@@ -288,7 +295,7 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: flo
     linked = stage(alike(tried, docs, size, similarity).unionByName(copies))
     found, crowd = components(linked), met.filter(F.col("n") > FEW).select("id", "block", "key")
     for nearest in (True, False):
-        members = crowd.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        members = rooted(crowd, found)
         close = stage(crowd_pairs(members, wide, limit, nearest))
         fresh = stage(close.filter("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         linked = stage(linked.unionByName(alike(fresh, docs, size, similarity)))
