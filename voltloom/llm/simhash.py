@@ -31,6 +31,8 @@ CROWD = 512
 FEW = 8
 #: Classes of a larger crowd that one row holds.
 TILE = 2048
+#: Crowds in which a class meets its neighbour before components are known.
+CHAINS = 4
 #: Bits of the fingerprints that tell a share of similar shingles, and of a block of theirs.
 WIDE, BLOCK = 1024, 20
 STRETCH = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -258,7 +260,7 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: flo
     Fingerprints have ``WIDE`` bits. A block is ``BLOCK`` sampled bits; there are so many blocks that a pair at the threshold shares one with
     the wished recall. Fingerprints only propose: a pair within three standard deviations becomes a link if the shingle sets themselves are
     similar. All classes under a block's value meet. Up to ``FEW`` do so pair by pair on their first 64 bits. In a larger crowd each first
-    meets the one before it in the order of these bits, then its nearest in another component, and at last all that other components
+    meets the one before it in the order of these bits (in a few of its crowds), then its nearest in another component, and at last all that other components
     still hold, so that a crowd of like documents costs about a row each and one of unlike documents its close pairs.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -286,7 +288,10 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: flo
     beside = beside.withColumn("before", F.when(F.col("n") > FEW, F.slice("before", F.greatest(F.size("before"), F.lit(1)), 1)).otherwise(F.col("before")))
     beside = beside.withColumn("before", F.filter("before", lambda x: F.bit_count(x["lead"].bitwiseXOR(F.col("lead"))) <= first_limit)["id"])
     met = stage(beside.drop("lead").filter((F.col("n") > FEW) | (F.size("before") > 0)))
-    pairs = met.select("id", F.explode("before").alias("other")).filter("id <> other")
+    few = met.filter(F.col("n") <= FEW).select("id", F.explode("before").alias("other"))
+    # of its crowds a class meets its neighbour in the first ``CHAINS``; what these leave apart meets in the rounds below
+    chained = met.filter((F.col("n") > FEW) & (F.size("before") > 0)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("block", F.get("before", F.lit(0)).alias("other")))).alias("m"))
+    pairs = few.unionByName(chained.select("id", F.explode(F.slice("m.other", 1, CHAINS)).alias("other"))).filter("id <> other")
     pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     both = pairs.join(wide.toDF("a", "wide_a"), "a").join(wide.toDF("b", "wide_b"), "b")
     apart = sum((F.bit_count(F.col("wide_a")[k].bitwiseXOR(F.col("wide_b")[k])) for k in range(WIDE // 64)), F.lit(0))
