@@ -51,7 +51,7 @@ def low_plateau(flagged: DataFrame, block: int) -> DataFrame:
     """Border of the low plateau per channel: the best scored gap between neighbouring values.
 
     Input has the flag ``exact``; channels without a confirmed plateau are absent. Values of a channel are
-    counted before they are ordered, and a channel holds at most one value per grid step.
+    counted first and ordered by value codes, so no channel is ordered in one task.
     """
     fam = names.family_of("variable")
     use = flagged.filter(F.col("value").isNotNull() & ~F.col("exact") & ~fam.isin("v", "thdv", "hrm_v", "cos"))
@@ -64,13 +64,8 @@ def low_plateau(flagged: DataFrame, block: int) -> DataFrame:
         F.count_if(F.col("value") <= r3 + 1e-9).alias("c_low"),
         F.count_if(F.col("value") >= r3 - 1e-9).alias("c_up"),
     )
-    w = Window.partitionBy(*CH).orderBy("lower")
-    g = (
-        g.withColumn("before", F.sum("c").over(w) - F.col("c"))
-        .withColumn("gap", F.lead("lower").over(w) - F.col("lower"))
-        .withColumn("next_c", F.lead("c").over(w)).withColumn("next_up", F.lead("c_up").over(w))
-        .join(st.select(*CH, "n", "scale"), CH)
-    )
+    g = ranks.beside(g, CH, "lower", "c", ["lower", "c", "c_up"]).join(st.select(*CH, "n", "scale"), CH)
+    g = g.withColumns({"gap": F.col("next.lower") - F.col("lower"), "next_c": F.col("next.c"), "next_up": F.col("next.c_up")})
     n_low = F.col("before") + F.col("c_low")
     n_up = F.col("n") - F.col("before") - F.col("c") - F.col("next_c") + F.col("next_up")
     share = n_low / F.col("n")

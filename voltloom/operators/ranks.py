@@ -41,6 +41,22 @@ def ordered_counts(df: DataFrame, keys: Keys, value: str) -> DataFrame:
     )
 
 
+def beside(counts: DataFrame, keys: Keys, value: str, count: str, columns: Sequence[str]) -> DataFrame:
+    """Of distinct values with their counts: rows ``before`` each and, as ``next``, the columns of the next larger value.
+
+    Values are ordered inside a value code only; the first value and the rows of each code are stitched along the codes of a group, which
+    are few, so no group is ordered in one task.
+    """
+    own = counts.withColumn("_bin", value_bin(value))
+    inside, along = Window.partitionBy(*keys, "_bin").orderBy(value), Window.partitionBy(*keys).orderBy("_bin")
+    row = F.struct(*columns)
+    borders = own.groupBy(*keys, "_bin").agg(F.min_by(row, value).alias("_first"), F.sum(count).alias("_rows"))
+    borders = borders.select(*keys, "_bin", F.lead("_first").over(along).alias("_after"), (F.sum("_rows").over(along) - F.col("_rows")).alias("_off"))
+    own = own.withColumn("_next", F.lead(row).over(inside)).withColumn("_cum", F.sum(count).over(inside) - F.col(count))
+    j = own.join(borders, [*keys, "_bin"])
+    return j.withColumn("next", F.coalesce("_next", "_after")).withColumn("before", F.col("_cum") + F.col("_off")).drop("_bin", "_next", "_after", "_cum", "_off")
+
+
 def quantiles(df: DataFrame, keys: Keys, value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles, one column per name of ``probs``, with the row count ``n``.
 

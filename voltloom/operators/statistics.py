@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -174,16 +174,36 @@ def cluster_bootstrap(cells: DataFrame, replicates: int, seed: int = 1) -> DataF
     return reps.join(cells, ["load_no", "seed_no"]).groupBy("b").agg(F.avg("delta").alias("mean_delta"))
 
 
-def shuffled_column(df: DataFrame, ordinal: str, total: int | Column, columns: Sequence[str], rep: int) -> DataFrame:
-    """Replace columns by their values at another row, through an affine bijection of the ordinals.
+def permuted(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], reps: int) -> DataFrame:
+    """Rows ``(keys, ordinal, n_all, columns, ...)`` once for each repetition ``rep``, with the struct ``other`` of the columns at another row.
 
-    ``ordinal`` runs from 0 to ``total - 1``. The multiplier is prime and larger than any table's small
-    divisors; a total it divides would repeat rows, so such a total moves on to the next prime.
+    The other row is an affine bijection of the ordinals of its series, so every repetition is a permutation; all columns and groups of columns
+    of a repetition share it, which makes one join of all shuffles.
     """
-    # fixed values: multipliers of the bijection
-    n = F.lit(total).cast("long") if isinstance(total, int) else total.cast("long")
+    # fixed values: multipliers of the bijection; a total that the first divides takes the second
+    n = F.col("n_all").cast("long")
     step = F.when(n % 7919 == 0, F.lit(104_729)).otherwise(F.lit(7_919)).cast("long")
-    target = F.pmod(F.col(ordinal).cast("long") * step + F.lit(1_299_709 * (rep + 1)), n)
-    src = df.select(F.col(ordinal).alias("_to"), *[F.col(c).alias(f"_s_{c}") for c in columns])
-    out = df.withColumn("_to", target).join(src, "_to").drop("_to", *columns)
-    return out.withColumnsRenamed({f"_s_{c}": c for c in columns})
+    draws = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    draws = draws.withColumn("_to", F.pmod(F.col("ordinal").cast("long") * step + F.lit(1_299_709) * (F.col("rep") + 1), n))
+    other = rows.select(*keys, F.col("ordinal").alias("_to"), F.struct(*columns).alias("other"))
+    return draws.join(other, [*keys, "_to"]).drop("_to")
+
+
+def permutation_importance(
+    rows: DataFrame, keys: Sequence[str], groups: Mapping[str, Sequence[str]], predict: Mapping[str, Callable[[Callable[[str], Column]], Column]], truth: Mapping[str, str], reps: int
+) -> DataFrame:
+    """``grp, importance, sd``: rise of the aggregate error when the columns of a group are shuffled as a block.
+
+    ``predict`` gives each output as an expression of columns, ``truth`` its true column; the error is the absolute sum of what is wrong over
+    the absolute sum of what is true, in per cent, over all series and outputs. One join serves all groups, outputs and repetitions.
+    """
+    columns = sorted({c for cols in groups.values() for c in cols})
+    shuffled = permuted(rows, keys, columns, reps)
+    total = lambda get: sum((F.sum(f(get)) for f in predict.values()), F.lit(0.0))
+    real = sum((F.sum(c) for c in truth.values()), F.lit(0.0))
+    sums = [total(lambda c, cols=cols: F.col("other")[c] if c in cols else F.col(c)).alias(f"_g{k}") for k, cols in enumerate(groups.values())]
+    err = lambda c: F.abs(F.col(c) - F.col("_real")) / F.abs(F.col("_real")) * 100.0
+    per = shuffled.groupBy("rep").agg(*sums, total(F.col).alias("_plain"), real.alias("_real"))
+    cells = F.array(*[F.struct(F.lit(name).alias("grp"), (err(f"_g{k}") - err("_plain")).alias("d")) for k, name in enumerate(groups)])
+    per = per.select(F.explode(cells).alias("c")).select("c.*")
+    return per.groupBy("grp").agg(F.avg("d").alias("importance"), F.stddev_samp("d").alias("sd"))

@@ -51,20 +51,20 @@ gain = "case when n <= 60 then 1.16 " + " ".join(
 long = r.texture_length
 
 add_cte(
-    "live",
+    "alive",
     ("samples",),
     f"""select {CHAN}, mad_series, lo - m as lo, hi + m as hi from (select *, {r.margin} * greatest(hi - lo, sd, 1e-9) as m from (
       select {CHAN}, count(value) as n_obs, min(value) as lo, max(value) as hi, stddev_pop(value) as sd, 1.4826 * mad(value) as mad_series from samples group by 1, 2) where n_obs >= {r.min_obs})""",
 )
 add_cte(
     "mgaps",
-    ("micro", "live"),
+    ("micro", "alive"),
     f"""select g.*, a.value as vb, b.value as va, case when n <= 6 then 1 when n <= 12 then 2 when n <= 24 then 3 else 4 end as category, greatest({r.min_fragment}, ceil(n / k))::bigint as plen from (
       select *, greatest(case when n <= 6 then 1 when n <= 12 then 2 when n <= 24 then 3 else 4 end, case when n > 360 then ceil(n / 120.0) else 0 end)::double as k from (
-      select {CHAN}, min(x) as x0, max(x) as x1, count(*) as n from (select m.*, x - row_number() over (partition by m.meter_id, m.variable order by x) as g from micro m join live l on {same('l', 'm')} where value is null) group by {CHAN}, g)) g
+      select {CHAN}, min(x) as x0, max(x) as x1, count(*) as n from (select m.*, x - row_number() over (partition by m.meter_id, m.variable order by x) as g from micro m join alive l on {same('l', 'm')} where value is null) group by {CHAN}, g)) g
       left join micro a on {same('a', 'g')} and a.x = g.x0 - 1 left join micro b on {same('b', 'g')} and b.x = g.x1 + 1""",
 )
-add_cte("series", ("micro", "live"), f"select m.meter_id, m.variable, list(value order by x) as v, list(coalesce(origin = 'obs', false) order by x) as seen from micro m join live l on {same('l', 'm')} group by 1, 2")
+add_cte("series", ("micro", "alive"), f"select m.meter_id, m.variable, list(value order by x) as v, list(coalesce(origin = 'obs', false) order by x) as seen from micro m join alive l on {same('l', 'm')} group by 1, 2")
 add_cte(
     "library",
     ("micro",),
@@ -87,10 +87,10 @@ add_cte(
 )
 add_cte(
     "near_shape",
-    ("context", "live"),
+    ("context", "alive"),
     f"""select *, greatest(case when len(d) > 0 then 1.4826 * list_median(list_transform(d, lambda e: abs(e - list_median(d)))) else 0 end, mad_series, 1e-9) as mad from (
       select c.meter_id, c.variable, x0, x1, n, plen, category, vb, va, mad_series, {slopes('nl')} as b_l, {slopes('nr')} as b_r,
-      (case when len(nl) >= 2 then {off_chord('nl')} else [] end) || (case when len(nr) >= 2 then {off_chord('nr')} else [] end) as d from context c join live s on {same('s', 'c')})""",
+      (case when len(nl) >= 2 then {off_chord('nl')} else [] end) || (case when len(nr) >= 2 then {off_chord('nr')} else [] end) as d from context c join alive s on {same('s', 'c')})""",
 )
 add_cte(
     "flags",
@@ -182,22 +182,22 @@ add_cte(
 )
 add_cte(
     "made",
-    ("params", "levels", "laid", "edges", "live"),
+    ("params", "levels", "laid", "edges", "alive"),
     f"""with b as (select l.meter_id, l.variable, l.x0, l.x, l.base, l.base + coalesce(t.tex, 0) as cand, case when p.bare then 'unsupported' when t.tex is not null then 'analog' else 'interp' end as kind,
         case when p.bare then 6 when p.category <= 1 then 1 when p.category >= 4 then 4 when p.low_conf then 3 else 2 end as code, p.edge_risk, p.regime, p.low_conf
         from levels l join params p on {same('p', 'l', 'x0')} left join laid t on {same('t', 'l', 'x0', 'o')}
         union all select {CHAN}, x0, x, base, cand, case when rich then 'analog' else 'edge' end, case when category <= 1 then 1 when category >= 4 then 4 else 2 end, false, false, false from edges),
-      c as (select b.* exclude (base), greatest(least(base, hi), lo) as base, lo, hi from b join live l on {same('l', 'b')}),
+      c as (select b.* exclude (base), greatest(least(base, hi), lo) as base, lo, hi from b join alive l on {same('l', 'b')}),
       s as (select *, greatest(0, least(1, coalesce(min(case when cand - base > 1e-12 then (hi - base) / (cand - base) when cand - base < -1e-12 then (lo - base) / (cand - base) end) over (partition by {CHAN}, x0), 1))) as scale from c),
       y as (select *, base + scale * (cand - base) as y from s)
       select * exclude (y), greatest(least(y, hi), lo) as y, y < lo - 1e-9 * (hi - lo) or y > hi + 1e-9 * (hi - lo) as clipped from y""",
 )
 add_cte(
-    "filled",
-    ("samples", "micro", "made", "live"),
+    "refilled",
+    ("samples", "micro", "made", "alive"),
     f"""select s.meter_id, s.variable, s.x, s.value as observed, coalesce(s.value, case when l.lo is not null then m.value end, y) as value,
       (case when s.value is not null then 0 when l.lo is not null and m.origin = 'micro' then 1 else coalesce(code, 5) end)::tinyint as code,
       case when s.value is not null then 'observed' when l.lo is not null and m.origin = 'micro' then 'interp' else coalesce(kind, 'unfilled') end as kind,
       coalesce(scale < 0.999999, false) as rescaled, coalesce(clipped, false) as clipped, coalesce(edge_risk, false) as edge_risk, coalesce(regime, false) as regime, coalesce(low_conf, false) as low_conf
-      from samples s join micro m on {same('m', 's', 'x')} left join made d on {same('d', 's', 'x')} left join live l on {same('l', 's')}""",
+      from samples s join micro m on {same('m', 's', 'x')} left join made d on {same('d', 's', 'x')} left join alive l on {same('l', 's')}""",
 )

@@ -182,6 +182,8 @@ CTES.update({
 
 
 def add_cte(name: str, needs: tuple[str, ...], body: str) -> None:
+    if name in CTES:
+        raise ValueError(f"table {name} defined twice")
     CTES[name] = (needs, body)
 
 

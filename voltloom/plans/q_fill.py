@@ -117,7 +117,7 @@ def filled(t: Inputs):
     return t.kept("analog", lambda: fill.filled_cells(t.samples, plan(t), fill.fill_points(plan(t))))
 
 
-@query("analog_fill", with_tables(f"select meter_id, variable, x, observed, {R('value')} as value, code, kind, rescaled, clipped, edge_risk, regime, low_conf from filled", "filled"))
+@query("analog_fill", with_tables(f"select meter_id, variable, x, observed, {R('value')} as value, code, kind, rescaled, clipped, edge_risk, regime, low_conf from refilled", "refilled"))
 def analog_fill(t: Inputs):
     return filled(t).withColumn("value", fixed("value"))
 
@@ -126,8 +126,8 @@ def analog_fill(t: Inputs):
     "fill_trace",
     with_tables(
         "select meter_id, variable, " + ", ".join(f"count_if(kind = '{k}') as n_{k}" for k in ("observed", "analog", "interp", "edge", "unsupported", "unfilled"))
-        + ", " + ", ".join(f"count_if({c}) as n_{c}" for c in ("rescaled", "clipped", "edge_risk", "regime", "low_conf")) + " from filled group by 1, 2",
-        "filled",
+        + ", " + ", ".join(f"count_if({c}) as n_{c}" for c in ("rescaled", "clipped", "edge_risk", "regime", "low_conf")) + " from refilled group by 1, 2",
+        "refilled",
     ),
 )
 def fill_trace(t: Inputs):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltloom.functions import names
@@ -217,50 +218,56 @@ def partition_audit(t: Inputs):
     )
 
 
-_PERM = """with b as (select v_an, i_an, cos_a, p_a, row_number() over (order by x) - 1 as o, count(*) over () as n from gridded where meter_id = 3),
-  r as (select unnest(range(5)) as rep), e0 as (select abs(sum(v_an * i_an * cos_a) - sum(p_a)) / abs(sum(p_a)) * 100 as e from b),
-  j as (select rep, b.p_a, b.v_an, b.i_an, b.cos_a, s.v_an as sv, s.i_an as si, s.cos_a as sc from r, b join b s on s.o = (b.o * case when b.n % 7919 = 0 then 104729 else 7919 end + 1299709 * (rep + 1)) % b.n)"""
+FACTORS = [f"{c}_{p}{n}" for p in "abc" for c, n in (("v", "n"), ("i", "n"), ("cos", ""))]
+FAMILIES = {"voltage": [f"v_{p}n" for p in "abc"], "current": [f"i_{p}n" for p in "abc"], "cosine": [f"cos_{p}" for p in "abc"], "load": [c for c in FACTORS if c[0] != "v"]}
+
+
+def _perm_sql(groups: dict[str, list[str]], more: str) -> str:
+    """Importance of groups for the model ``v * i * cos`` of every meter and phase; the shuffle is the bijection of ordinals."""
+    known = ", ".join(f"coalesce({c}, 0) as {c}" for c in [*FACTORS, "p_a", "p_b", "p_c"])
+    model = lambda cols: " + ".join("(" + " * ".join(f"{'s' if c in cols else 'b'}.{c}" for c in (f"v_{p}n", f"i_{p}n", f"cos_{p}")) + ")" for p in "abc")
+    sums = ", ".join(f"sum({model(cols)})" for cols in groups.values())
+    return f"""with b as (select meter_id, {known}, row_number() over (partition by meter_id order by x) - 1 as o, count(*) over (partition by meter_id) as n from gridded),
+      j as (select rep, sum(b.p_a + b.p_b + b.p_c) as y, sum({model([])}) as plain, unnest({list(groups)}) as grp, unnest([{sums}]) as s
+        from (select unnest(range(5)) as rep), b join b s on s.meter_id = b.meter_id and s.o = (b.o * case when b.n % 7919 = 0 then 104729 else 7919 end + 1299709 * (rep + 1)) % b.n group by rep),
+      d as (select grp, (abs(s - y) - abs(plain - y)) / abs(y) * 100 as d from j), i as (select grp, avg(d) as importance, stddev_samp(d) as sd from d group by 1) {more}"""
 
 
 def importance(t: Inputs, groups: dict[str, list[str]]):
-    """Rise of the aggregate error of the model ``v * i * cos`` when the columns of a group are shuffled as a block."""
-    d = t.dense.filter("meter_id = 3 and p_a is not null").select("x", "v_an", "i_an", "cos_a", "p_a")
-    total = d.agg(F.count("*").alias("n_all"))
-    d = t.kept("perm_rows", lambda: d.join(seq.ordinals(d.select("x"), block=BLOCK), "x").crossJoin(F.broadcast(total)))
-    err = F.abs(F.sum(F.col("v_an") * F.col("i_an") * F.col("cos_a")) - F.sum("p_a")) / F.abs(F.sum("p_a")) * 100.0
-    out = None
-    for name, cols in groups.items():
-        for rep in range(5):
-            one = statistics.shuffled_column(d, "ordinal", F.col("n_all"), cols, rep).agg(err.alias("e"))
-            one = one.select(F.lit(name).alias("grp"), F.lit(rep).alias("rep"), "e")
-            out = one if out is None else out.unionByName(one)
-    base = d.agg(err.alias("e0"))
-    g = out.groupBy("grp").agg(F.avg("e").alias("m"), F.stddev_samp("e").alias("sd")).crossJoin(F.broadcast(base))
-    return g.select("grp", fixed(F.col("m") - F.col("e0")).alias("importance"), fixed("sd").alias("sd"))
+    def rows():
+        columns = [*FACTORS, "p_a", "p_b", "p_c"]
+        known = t.gridded.select("meter_id", "x", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
+        total = known.groupBy("meter_id").agg(F.count("*").alias("n_all"))
+        return seq.running(known, ["meter_id"], {"no": F.lit(1)}, block=BLOCK).withColumn("ordinal", F.col("no") - 1).drop("no").join(total, "meter_id")
 
+    predict = {p: lambda get, p=p: get(f"v_{p}n") * get(f"i_{p}n") * get(f"cos_{p}") for p in "abc"}
+    return statistics.permutation_importance(t.kept("perm_rows", rows), ["meter_id"], groups, predict, {p: f"p_{p}" for p in "abc"}, 5)
 
-@query(
-    "permutation_importance",
-    with_tables(
-        f"""{_PERM}, e as (select rep, unnest(['v_an', 'i_an', 'cos_a']) as grp, unnest([abs(sum(sv * i_an * cos_a) - sum(p_a)) / abs(sum(p_a)) * 100, abs(sum(v_an * si * cos_a) - sum(p_a)) / abs(sum(p_a)) * 100, abs(sum(v_an * i_an * sc) - sum(p_a)) / abs(sum(p_a)) * 100]) as e from j group by 1)
-        select grp, {R('avg(e.e) - any_value(e0.e)')} as importance, {R('stddev_samp(e.e)')} as sd from e, e0 group by 1""",
-        "gridded",
-    ),
-)
+
+@query("permutation_importance", with_tables(_perm_sql({c: [c] for c in FACTORS}, f"select grp, {R('importance')} as importance, {R('sd')} as sd from i"), "gridded"))
 def permutation_importance(t: Inputs):
-    return importance(t, {"v_an": ["v_an"], "i_an": ["i_an"], "cos_a": ["cos_a"]})
+    return importance(t, {c: [c] for c in FACTORS}).select("grp", fixed("importance").alias("importance"), fixed("sd").alias("sd"))
+
+
+@query("grouped_permutation_importance", with_tables(_perm_sql(FAMILIES, f"select grp, {R('importance')} as importance, {R('sd')} as sd from i"), "gridded"))
+def grouped_permutation_importance(t: Inputs):
+    return importance(t, FAMILIES).select("grp", fixed("importance").alias("importance"), fixed("sd").alias("sd"))
 
 
 @query(
-    "grouped_permutation_importance",
+    "importance_top",
     with_tables(
-        f"""{_PERM}, e as (select rep, unnest(['voltage', 'load']) as grp, unnest([abs(sum(sv * i_an * cos_a) - sum(p_a)) / abs(sum(p_a)) * 100, abs(sum(v_an * si * sc) - sum(p_a)) / abs(sum(p_a)) * 100]) as e from j group by 1)
-        select grp, {R('avg(e.e) - any_value(e0.e)')} as importance, {R('stddev_samp(e.e)')} as sd from e, e0 group by 1""",
+        _perm_sql({c: [c] for c in FACTORS}, f", r as (select *, row_number() over (order by {R('importance')} desc, grp) as rank from i) select rank, grp as feature, {R('importance')} as importance, {R('100 * greatest(importance, 0) / (select sum(greatest(importance, 0)) from i)')} as share_pct from r where rank <= 15"),
         "gridded",
     ),
 )
-def grouped_permutation_importance(t: Inputs):
-    return importance(t, {"voltage": ["v_an"], "load": ["i_an", "cos_a"]})
+def importance_top(t: Inputs):
+    """The fifteen features that matter most, and their share of all that matters."""
+    i = importance(t, {c: [c] for c in FACTORS})
+    top = Window.partitionBy().orderBy(F.desc(fixed("importance")), "grp")  # one row a feature
+    whole = F.sum(F.greatest("importance", F.lit(0.0))).over(Window.partitionBy())
+    ranked = i.select(F.row_number().over(top).alias("rank"), F.col("grp").alias("feature"), fixed("importance").alias("importance"), fixed(100 * F.greatest("importance", F.lit(0.0)) / whole).alias("share_pct"))
+    return ranked.filter("rank <= 15")
 
 
 # ---- stream extension on a table ---------------------------------------------------------------------

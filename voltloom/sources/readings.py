@@ -27,10 +27,11 @@ def read_readings(spark: SparkSession, path: str, variables: Sequence[str]) -> D
     return rows.select(parse_time("time").alias("time"), "meter_id", *cells)
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet or CSV by suffix."""
+def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Parquet or CSV by suffix. A CSV with a given schema is read once; without, its columns are text."""
     if path.endswith(".csv"):
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        reader = spark.read.option("header", True)
+        return (reader.schema(schema) if schema is not None else reader).csv(path)
     return spark.read.parquet(path)
 
 
