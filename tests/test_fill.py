@@ -234,3 +234,24 @@ def test_island_overlap_add_over_a_hole_longer_than_a_block(spark):
     holes = spark.createDataFrame([(1, "p_a", 40, 139)], "meter_id int, variable string, x0 long, x1 long")
     one, other = ({r.x: r.value for r in repair.island_overlap_add(df, holes, b).collect()} for b in (16, 500))
     assert one.keys() == set(range(40, 140)) and one == pytest.approx(other)
+
+
+def test_gram_is_pairwise_complete(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3))
+    y = 3 * x[:, 0] - 2 * x[:, 2] + 0.01 * rng.normal(size=400)
+    x[rng.random((400, 3)) < 0.4] = np.nan
+    rows = [("G", k * 6 // 400, *[None if math.isnan(v) else float(v) for v in x[k]], float(y[k])) for k in range(400)]
+    df = spark.createDataFrame(rows, "output string, seg int, f1 double, f2 double, f3 double, y double").repartition(3)
+    g = features.gram(df, ["f1", "f2", "f3"], "y").toPandas()
+    whole = np.column_stack([x, y])
+    for i in range(4):
+        for j in range(i, 4):
+            both = np.isfinite(whole[:, i]) & np.isfinite(whole[:, j])
+            r = g[(g.i == i + 1) & (g.j == j + 1)][["n", "a", "b", "s"]].sum()
+            assert r.tolist() == pytest.approx([both.sum(), whole[both, i].sum(), whole[both, j].sum(), (whole[both, i] * whole[both, j]).sum()])
+    ranked = {r.feature: r for r in features.recursive_ranking(features.gram(df, ["f1", "f2", "f3"], "y"), ["f1", "f2", "f3"], drop=1).collect()}
+    assert [f for f in sorted(ranked, key=lambda f: ranked[f]["rank"])] == ["f1", "f3", "f2"]  # a row in five is complete
+    plain = features.family_ablation(df, ["f1", "f2", "f3"], "y", {"all": ["f1", "f2", "f3"], "none": []}, 5)
+    nae = {r.config: r.nae for r in plain.collect()}
+    assert nae["all"] < nae["none"]

@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GRAM = "output string, seg int, i int, j int, s double"
+GRAM = "output string, seg int, i int, j int, n double, a double, b double, s double"
 
 
 def gram(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Sums of products of ``(1, features, target)`` per output and time segment, as ``(output, seg, i, j, s)``.
+    """Pairwise complete sums over ``(features, target)`` per output and time segment, as ``(output, seg, i <= j, n, a, b, s)``.
 
-    Every task adds its rows up before the shuffle, so only matrices travel.
+    Of every two columns: rows that know both, the sums of either over them, and the sum of products. A missing cell costs the pairs of its
+    column and not its row. Every task adds its rows up before the shuffle, so only matrices travel.
     """
     cols = [*features, target]
 
@@ -23,21 +24,45 @@ def gram(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
         total: dict = {}
         for b in batches:
             for key, part in b.groupby(["output", "seg"]):
-                m = np.column_stack([np.ones(len(part)), part[cols].to_numpy(float)])
-                total[key] = total.get(key, 0.0) + m.T @ m
+                v = part[cols].to_numpy(float)
+                known = np.isfinite(v)
+                v, k = np.where(known, v, 0.0), known.astype(float)
+                total[key] = total.get(key, 0.0) + np.stack([k.T @ k, v.T @ k, k.T @ v, v.T @ v])
         for (output, seg), g in total.items():
-            i, j = np.triu_indices(g.shape[0])
-            yield pd.DataFrame({"output": output, "seg": seg, "i": i, "j": j, "s": g[i, j]})
-
-    rows = df.select("output", "seg", *cols).dropna()
-    return rows.mapInPandas(add, GRAM).groupBy("output", "seg", "i", "j").agg(F.sum("s").alias("s"))
+            i, j = np.triu_indices(g.shape[1])
+            n, a, b_, s = (m[i, j] for m in g)
+            yield pd.DataFrame({"output": output, "seg": seg, "i": i + 1, "j": j + 1, "n": n, "a": a, "b": b_, "s": s})
+
+    rows = df.select("output", "seg", *cols)
+    return rows.mapInPandas(add, GRAM).groupBy("output", "seg", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "s")])
+
+
+def _sums(g: pd.DataFrame) -> np.ndarray:
+    """The sums as four full matrices, row 0 left free; sums of several segments are their sums."""
+    k = int(g["j"].max()) + 1
+    out = np.zeros((4, k, k))
+    i, j = g["i"].to_numpy(), g["j"].to_numpy()
+    off = i != j
+    for m, c in enumerate("nabs"):
+        v = g[c].to_numpy()
+        np.add.at(out[m], (i, j), v)
+        np.add.at(out[{1: 2, 2: 1}.get(m, m)], (j[off], i[off]), v[off])
+    return out
+
+
+def _moments(sums: np.ndarray) -> np.ndarray:
+    """Products of ``(1, columns)`` as a complete table of the target's rows would have them: means of each column, covariances of each pair."""
+    n, a, b, s = sums
+    known = np.maximum(np.diag(n), 1.0)
+    mean = np.diag(a) / known
+    pair = np.maximum(n, 1.0)
+    m = np.where(n > 0, s / pair - (a / pair) * (b / pair), 0.0) + np.outer(mean, mean)
+    m[0, 1:], m[1:, 0], m[0, 0] = mean[1:], mean[1:], 1.0
+    return m * n[-1, -1]
 
 
 def _matrix(g: pd.DataFrame) -> np.ndarray:
-    n = int(g["j"].max()) + 1
-    m = np.zeros((n, n))
-    np.add.at(m, (g["i"].to_numpy(), g["j"].to_numpy()), g["s"].to_numpy())
-    return m + np.triu(m, 1).T
+    return _moments(_sums(g))
 
 
 def _solve(m: np.ndarray, use: Sequence[int]) -> np.ndarray:
@@ -63,13 +88,14 @@ def recursive_ranking(grams: DataFrame, features: Sequence[str], folds: int = 5,
     k = len(features)
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        segs = {s: _matrix(g) for s, g in pdf.groupby("seg")}
-        whole = sum(segs.values())
+        sums = {s: _sums(g) for s, g in pdf.groupby("seg")}
+        segs = {s: _moments(m) for s, m in sums.items()}
+        whole = _moments(sum(sums.values()))
         use, sizes, order = list(range(1, k + 1)), [], []
         while use:
             err = []
             for f in range(folds):
-                train = sum((m for s, m in segs.items() if s <= f), np.zeros_like(whole))
+                train = _moments(sum((m for s, m in sums.items() if s <= f), np.zeros((4, k + 2, k + 2))))
                 valid = segs.get(f + 1)
                 if valid is None or train[0, 0] < 10:
                     continue
@@ -126,16 +152,16 @@ def family_ablation(df: DataFrame, features: Sequence[str], target: str, configs
         for name, use in plans.items():
             c = np.zeros(k + 1)
             c[[0, *use]] = _solve(m, use)
-            rows.append((pdf["output"].iloc[0], name, c.tolist()))
-        return pd.DataFrame(rows, columns=["output", "config", "coef"])
+            rows.append((pdf["output"].iloc[0], name, c.tolist(), (m[0, : k + 1] / max(m[0, 0], 1.0)).tolist()))
+        return pd.DataFrame(rows, columns=["output", "config", "coef", "mean"])
 
     train = gram(df.filter(F.col("seg") < train_segs), features, target)
-    coef = train.groupBy("output").applyInPandas(fit, "output string, config string, coef array<double>")
-    test = df.filter(F.col("seg") >= train_segs).dropna(subset=[*features, target])
+    coef = train.groupBy("output").applyInPandas(fit, "output string, config string, coef array<double>, mean array<double>")
+    test = df.filter((F.col("seg") >= train_segs) & F.col(target).isNotNull())
     j = test.join(coef, "output")
     pred = F.col("coef")[0]
     for f, i in pos.items():
-        pred = pred + F.col("coef")[i] * F.col(f)
+        pred = pred + F.col("coef")[i] * F.coalesce(F.col(f), F.col("mean")[i])  # what is missing is the column's mean in training
     return j.groupBy("output", "config").agg(
         (F.sum(F.abs(pred - F.col(target))) / (F.sum(F.abs(target)) + 1e-9) * 100.0).alias("nae")
     )

@@ -257,7 +257,7 @@ def grouped_permutation_importance(t: Inputs):
 @query(
     "importance_top",
     with_tables(
-        _perm_sql({c: [c] for c in FACTORS}, f", r as (select *, row_number() over (order by {R('importance')} desc, grp) as rank from i) select rank, grp as feature, {R('importance')} as importance, {R('100 * greatest(importance, 0) / (select sum(greatest(importance, 0)) from i)')} as share_pct from r where rank <= 15"),
+        _perm_sql({c: [c] for c in FACTORS}, f", r as (select *, row_number() over (order by {R('importance')} desc, grp) as rank from i) select rank, grp as feature, {R('importance')} as importance, {R('100 * greatest(importance, 0) / nullif((select sum(greatest(importance, 0)) from i), 0)')} as share_pct from r where rank <= 15"),
         "gridded",
     ),
 )
@@ -265,7 +265,7 @@ def importance_top(t: Inputs):
     """The fifteen features that matter most, and their share of all that matters."""
     i = importance(t, {c: [c] for c in FACTORS})
     top = Window.partitionBy().orderBy(F.desc(fixed("importance")), "grp")  # one row a feature
-    whole = F.sum(F.greatest("importance", F.lit(0.0))).over(Window.partitionBy())
+    whole = F.nullif(F.sum(F.greatest("importance", F.lit(0.0))).over(Window.partitionBy()), F.lit(0.0))
     ranked = i.select(F.row_number().over(top).alias("rank"), F.col("grp").alias("feature"), fixed("importance").alias("importance"), fixed(100 * F.greatest("importance", F.lit(0.0)) / whole).alias("share_pct"))
     return ranked.filter("rank <= 15")
 
