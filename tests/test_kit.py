@@ -121,11 +121,25 @@ def test_theil_sen_and_p_values(spark):
     assert got == pytest.approx([0.05, 1.0], abs=1e-4)
 
 
-def test_shuffled_column_is_a_permutation(spark):
-    for n in (1, 7, 40, 7919):
-        df = spark.range(n).select(F.col("id").alias("o"), (F.col("id") * 2).alias("v"))
-        out = statistics.shuffled_column(df, "o", n, ["v"], 1)
-        assert sorted(r.v for r in out.collect()) == [2 * i for i in range(n)]
+def test_permuted_rows_are_permutations(spark):
+    rows = [(k, o, n, float(o), float(-o)) for k, n in ((1, 10), (2, 7919), (3, 1)) for o in range(n)]
+    df = spark.createDataFrame(rows, "k int, ordinal long, n_all long, v double, w double")
+    got = statistics.permuted(df, ["k"], ["v", "w"], 2).collect()
+    assert len(got) == 2 * len(rows)
+    for k, n in ((1, 10), (2, 7919), (3, 1)):
+        for rep in (0, 1):
+            own = [r for r in got if r.k == k and r.rep == rep]
+            assert sorted(r.other.v for r in own) == list(map(float, range(n))) and all(r.other.w == -r.other.v for r in own)
+            assert n == 1 or any(r.other.v != r.v for r in own)
+
+
+def test_permutation_importance_of_one_join(spark):
+    rows = [(1, o, 50, float(o % 7), float(o % 5), float(o % 7) * 2) for o in range(50)]
+    df = spark.createDataFrame(rows, "k int, ordinal long, n_all long, a double, b double, y double")
+    predict = {"y": lambda get: get("a") * (1 + get("b") * 0)}
+    got = {r.grp: r for r in statistics.permutation_importance(df, ["k"], {"a": ["a"], "b": ["b"]}, predict, {"y": "y"}, 3).collect()}
+    assert got.keys() == {"a", "b"} and got["b"].importance == 0.0 and got["a"].importance == pytest.approx(0.0)  # a sum over all rows is kept
+
 
 
 def test_import_needs_no_session():
