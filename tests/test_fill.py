@@ -255,3 +255,28 @@ def test_gram_is_pairwise_complete(spark):
     plain = features.family_ablation(df, ["f1", "f2", "f3"], "y", {"all": ["f1", "f2", "f3"], "none": []}, 5)
     nae = {r.config: r.nae for r in plain.collect()}
     assert nae["all"] < nae["none"]
+
+
+def test_heldout_sizes_are_series_of_their_own(spark, samples):
+    win = fill.heldout_windows(samples, (3, 12), 1.0, 7).cache()
+    rows = win.collect()
+    truth = {(r.meter_id, r.x): r.value for r in samples.collect()}
+    for r in rows:
+        assert r.x1 - r.x0 + 1 == r.size and r.x0 // r.size % 2 == 1 and r.n_obs >= r.size / 2
+        assert truth[r.meter_id, r.x0 - 1] is not None and truth[r.meter_id, r.x1 + 1] is not None
+        assert r.n_obs == sum(truth[r.meter_id, x] is not None for x in range(r.x0, r.x1 + 1))
+    masked = {(r.meter_id, r.variable, r.x): r.value for r in fill.hide(samples, win).collect()}
+    gone = {(r.meter_id, f"p_a@{r.size}", x) for r in rows for x in range(r.x0, r.x1 + 1)}
+    assert {v for _, v, _ in masked} == {"p_a@3", "p_a@12"}
+    assert all(v == (None if k in gone else truth[k[0], k[2]]) for k, v in masked.items())
+
+
+def test_scores_of_a_perfect_and_a_flat_fill(spark, samples):
+    win = fill.heldout_windows(samples, (12,), 1.0, 7)
+    named = samples.withColumn("variable", F.lit("p_a@12"))
+    same = fill.fill_scores(samples, named, win, "same").collect()
+    assert all(r.sd_ratio == pytest.approx(1) and r.freq_ratio in (None, 1.0) and r.mae == 0 and r.ks_d == 0 for r in same)
+    flat = fill.fill_scores(samples, named.withColumn("value", F.lit(5.0)), win, "flat")
+    assert all(r.sd_ratio == pytest.approx(0) and r.freq_ratio in (None, 0.0) and r.ks_d == 1 for r in flat.collect())
+    tests = {r.metric: r for r in fill.method_tests(flat.unionByName(fill.fill_scores(samples, named, win, "same")), "flat", "same").collect()}
+    assert tests.keys() == {"sd", "freq", "energy", "mae"} and all(r.mean_diff > 0 and r.p_holm >= r.p_value for r in tests.values())

@@ -18,7 +18,7 @@ entry_module.queries()  # registers them
 QUERIES, SQL = registry.QUERIES, registry.ORACLES
 #: Random or iterative; tests of their properties are in test_fill.py.
 WITHOUT_SQL = {
-    "apply_repair", "candidate_sets", "family_ablation", "fill_method_tests", "fill_scores", "global_importance", "physical_fit",
+    "apply_repair", "candidate_sets", "family_ablation", "fill_method_tests", "fill_score_summary", "fill_scores", "global_importance", "physical_fit",
     "recursive_feature_ranking",
 }
 

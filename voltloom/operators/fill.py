@@ -462,52 +462,81 @@ def fill_trace(filled: DataFrame) -> DataFrame:
     )
 
 
-def heldout_windows(samples: DataFrame, size: int, share: float, seed: int) -> DataFrame:
-    """A hash sample, by share, of the windows that are half observed with both neighbours observed.
+def heldout_windows(samples: DataFrame, sizes: Sequence[int], share: float, seed: int) -> DataFrame:
+    """A hash sample, by share, of the windows of each size that are half observed with both neighbours observed, as ``(size, channel, x0, x1, n_obs)``.
 
-    Every second tile of ``size`` steps is a candidate, so hidden windows never touch.
+    Every second tile of ``size`` steps is a candidate, so hidden windows of a size never touch.
     """
-    known = samples.filter(F.col("value").isNotNull())
-    tile = F.floor(F.col("x") / size).cast("long")
-    dense = known.withColumn("tile", tile).filter("tile % 2 = 1").groupBy(*CH, "tile").agg(F.count("*").alias("n_obs"))
-    dense = dense.filter(F.col("n_obs") >= 0.5 * size).withColumn("x0", F.col("tile") * size).withColumn("x1", F.col("x0") + size - 1)
+    known = samples.filter(F.col("value").isNotNull()).select(*CH, "x")
+    sized = known.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes]))).withColumn("tile", F.floor(F.col("x") / F.col("size")).cast("long"))
+    dense = sized.filter("tile % 2 = 1").groupBy("size", *CH, "tile").agg(F.count("*").alias("n_obs"))
+    dense = dense.filter(F.col("n_obs") >= 0.5 * F.col("size")).withColumn("x0", F.col("tile") * F.col("size")).withColumn("x1", F.col("x0") + F.col("size") - 1)
     left = known.select(*CH, (F.col("x") + 1).alias("x0"))
     right = known.select(*CH, (F.col("x") - 1).alias("x1"))
     ok = dense.join(left, [*CH, "x0"], "left_semi").join(right, [*CH, "x1"], "left_semi")
-    key = mixed(seed, F.lit(size), F.col("meter_id"), text_code("variable"), F.col("x0"))
-    return ok.filter(key < F.lit(int(share * PRIME))).select(*CH, "x0", "x1", "n_obs")
+    key = mixed(seed, F.col("size"), F.col("meter_id"), text_code("variable"), F.col("x0"))
+    return ok.filter(key < F.lit(int(share * PRIME))).select("size", *CH, "x0", "x1", "n_obs")
+
+
+def virtual(name: str = "variable", size: str = "size") -> Column:
+    """A channel's name as one of the series of a held-out proof: one for each size."""
+    return F.concat(F.col(name), F.lit("@"), F.col(size).cast("string"))
 
 
 def hide(samples: DataFrame, windows: DataFrame) -> DataFrame:
-    pts = seq.interval_points(windows, CH).withColumn("_hide", F.lit(True))
-    j = samples.join(pts, [*CH, "x"], "left")
+    """Each channel once for every size it has windows of, as a series of its own, without the values of these windows."""
+    pts = seq.interval_points(windows.withColumn("variable", virtual()), CH).withColumn("_hide", F.lit(True))
+    each = samples.join(windows.select(*CH, "size").distinct(), CH).withColumn("variable", virtual()).select(*CH, "x", "value")
+    j = each.join(pts, [*CH, "x"], "left")
     return j.select(*CH, "x", F.when(F.col("_hide").isNull(), F.col("value")).alias("value"))
 
 
+SCORES = ("sd_ratio", "freq_ratio", "energy_ratio", "mae", "ks_p")
+
+
 def fill_scores(truth: DataFrame, filled: DataFrame, windows: DataFrame, method: str) -> DataFrame:
-    """Spread and energy ratios, mean absolute error and distribution distance per hidden window."""
-    pts = seq.interval_points(windows, CH, "x0").join(truth.filter(F.col("value").isNotNull()).select(*CH, "x", F.col("value").alias("t")), [*CH, "x"])
-    j = pts.join(filled.select(*CH, "x", F.col("value").alias("f")), [*CH, "x"])
-    keys = [*CH, "x0"]
+    """Spread, frequency and energy ratios, mean absolute error and distribution distance per hidden window ``(size, channel, x0)``.
+
+    ``filled`` holds the series that ``hide`` made.
+    """
+    pts = seq.interval_points(windows, CH, "size", "x0").join(truth.filter(F.col("value").isNotNull()).select(*CH, "x", F.col("value").alias("t")), [*CH, "x"])
+    own = filled.select("meter_id", F.col("variable").alias("series"), "x", F.col("value").alias("f"))
+    j = pts.withColumn("series", virtual()).join(own, ["meter_id", "series", "x"]).drop("series")
+    keys = ["size", *CH, "x0"]
     zero = F.lit(0.0)
+    line = lambda c: F.sort_array(F.collect_list(F.struct("x", c)))[c]  # noqa: E731 - at most a window
     g = j.groupBy(*keys).agg(
         (F.stddev_pop("f") / F.nullif(F.stddev_pop("t"), zero)).alias("sd_ratio"), ((F.sum(F.abs("f")) + 1e-12) / (F.sum(F.abs("t")) + 1e-12)).alias("energy_ratio"),
-        F.avg(F.abs(F.col("f") - F.col("t"))).alias("mae"), F.count("*").alias("n"),
+        F.avg(F.abs(F.col("f") - F.col("t"))).alias("mae"), F.count("*").alias("n"), line("t").alias("_t"), line("f").alias("_f"),
     )
+    g = g.withColumn("freq_ratio", turning("_f") / F.nullif(turning("_t"), zero)).drop("_t", "_f")
     both = j.select(*keys, F.explode(F.array(F.struct(F.col("t").alias("v"), F.lit(True).alias("a")), F.struct(F.col("f").alias("v"), F.lit(False).alias("a")))).alias("s"))
     ks = ks_two_sample(both.select(*keys, "s.v", "s.a"), keys, "v", F.col("a"))
     return g.join(ks.select(*keys, F.col("d").alias("ks_d"), F.col("p_value").alias("ks_p")), keys).withColumn("method", F.lit(method))
 
 
+def turning(values: str) -> Column:
+    """Share of the inner values of a short array at which its direction changes."""
+    n = F.size(values)
+    sign = lambda i: F.signum(F.get(values, i) - F.get(values, i - 1))
+    inner = F.sequence(F.lit(1), n - 2)
+    return F.when(n < 3, 0.0).otherwise(F.size(F.filter(inner, lambda i: sign(i + 1) != sign(i))) / (n - 2))
+
+
+def score_summary(scores: DataFrame) -> DataFrame:
+    """Quantiles of every score per size and method, and the share of windows whose distribution differs at five per cent."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("v")) for c in SCORES]))
+    long = scores.select("size", "method", cells.alias("c")).select("size", "method", "c.score", "c.v")
+    q = ranks.quantiles(long, ["size", "method", "score"], "v", {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
+    unlike = scores.groupBy("size", "method").agg(F.avg((F.col("ks_p") < 0.05).cast("double")).alias("differing"))
+    return q.join(unlike, ["size", "method"])
+
+
 def method_tests(scores: DataFrame, a: str, b: str) -> DataFrame:
-    """Paired tests of two methods on the distance of the ratios from one and on the error, adjusted together."""
-    marks = {"sd": F.abs(F.col("sd_ratio") - 1), "energy": F.abs(F.col("energy_ratio") - 1), "mae": F.col("mae")}
-    out = None
-    for name, c in marks.items():
-        one = scores.select(*CH, "x0", "method", c.alias("v"))
-        pair = one.groupBy(*CH, "x0").agg(
-            (F.max(F.when(F.col("method") == a, F.col("v"))) - F.max(F.when(F.col("method") == b, F.col("v")))).alias("diff")
-        )
-        t = wilcoxon(pair.withColumn("metric", F.lit(name)), ["metric"], "diff")
-        out = t if out is None else out.unionByName(t)
-    return adjust(out)
+    """Paired tests of two methods on the distance of the ratios from one and on the error, adjusted within each size."""
+    marks = {"sd": F.abs(F.col("sd_ratio") - 1), "freq": F.abs(F.col("freq_ratio") - 1), "energy": F.abs(F.col("energy_ratio") - 1), "mae": F.col("mae")}
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("v")) for n, c in marks.items()]))
+    long = scores.select("size", *CH, "x0", "method", cells.alias("c")).select("size", *CH, "x0", "method", "c.metric", "c.v")
+    of = lambda m: F.max(F.when(F.col("method") == m, F.col("v")))
+    pair = long.groupBy("size", *CH, "x0", "metric").agg((of(a) - of(b)).alias("diff"))
+    return adjust(wilcoxon(pair, ["size", "metric"], "diff"), family=["size"])

@@ -14,6 +14,8 @@ from voltloom.sources.fixtures import BLOCK
 CH = ["meter_id", "variable"]
 #: Share of the admissible windows that are hidden, by a hash of each.
 SHARE = 0.05
+#: Steps of the windows of the held-out proof.
+SIZES = (3, 6, 12, 24)
 # fixed values: hours per category of the hourly grid and its portions
 BANDS = [(1, 1, 6, 1), (2, 7, 12, 2), (3, 13, 24, 3), (4, 25, None, 4)]
 
@@ -135,17 +137,17 @@ def fill_trace(t: Inputs):
 
 
 def hidden(t: Inputs):
-    return t.kept("hidden", lambda: fill.heldout_windows(t.samples.filter("meter_id <> 8"), 12, SHARE, 7))
+    return t.kept("hidden", lambda: fill.heldout_windows(t.samples, SIZES, SHARE, 7))
 
 
 @query(
     "heldout_windows",
     with_tables(
-        f"""with known as (select meter_id, variable, x from samples where value is not null and meter_id <> 8),
-        w as (select meter_id, variable, x // 12 * 12 as x0, x // 12 * 12 + 11 as x1, count(*) as n_obs from known where x // 12 % 2 = 1 group by 1, 2, 3, 4 having count(*) >= 6)
-        select w.meter_id, w.variable, w.x0, w.x1, w.n_obs from w join known l on l.meter_id = w.meter_id and l.variable = w.variable and l.x = x0 - 1
-        join known r on r.meter_id = w.meter_id and r.variable = w.variable and r.x = x1 + 1
-        where {mixed_sql('7', '12', 'w.meter_id', text_code_sql('w.variable'), 'x0')} < {int(SHARE * PRIME)}""",
+        f"""with known as (select meter_id, variable, x, size from samples, (select unnest({list(SIZES)}) as size) where value is not null),
+        w as (select size, meter_id, variable, x // size * size as x0, x // size * size + size - 1 as x1, count(*) as n_obs from known where x // size % 2 = 1 group by 1, 2, 3, 4, 5 having count(*) >= 0.5 * size)
+        select w.size, w.meter_id, w.variable, w.x0, w.x1, w.n_obs from w join known l on l.size = w.size and l.meter_id = w.meter_id and l.variable = w.variable and l.x = x0 - 1
+        join known r on r.size = w.size and r.meter_id = w.meter_id and r.variable = w.variable and r.x = x1 + 1
+        where {mixed_sql('7', 'w.size', 'w.meter_id', text_code_sql('w.variable'), 'x0')} < {int(SHARE * PRIME)}""",
         "samples",
     ),
 )
@@ -154,12 +156,14 @@ def heldout_windows(t: Inputs):
 
 
 def scores(t: Inputs):
-    win = hidden(t)
-    masked = t.kept("masked_samples", lambda: fill.hide(t.samples.join(win.select(*CH).distinct(), CH, "left_semi"), win))
-    line = seq.interpolate(masked, CH, "value", "f", block=BLOCK).select(*CH, "x", F.col("f").alias("value"))
-    own = t.kept("refilled", lambda: fill.analog_fill(masked, BANDS, BLOCK))
-    both = fill.fill_scores(t.samples, line, win, "linear").unionByName(fill.fill_scores(t.samples, own, win, "analog"))
-    return t.kept("fill_scores", lambda: both)
+    def build():
+        win = hidden(t)
+        masked = t.kept("masked_samples", lambda: fill.hide(t.samples, win))
+        line = seq.interpolate(masked, CH, "value", "f", block=BLOCK).select(*CH, "x", F.col("f").alias("value"))
+        own = t.kept("heldout_filled", lambda: fill.analog_fill(masked, BANDS, BLOCK))
+        return fill.fill_scores(t.samples, line, win, "linear").unionByName(fill.fill_scores(t.samples, own, win, "analog"))
+
+    return t.kept("fill_scores", build)
 
 
 @query("fill_scores")
@@ -167,6 +171,11 @@ def fill_scores(t: Inputs):
     return scores(t)
 
 
+@query("fill_score_summary")
+def fill_score_summary(t: Inputs):
+    return fill.score_summary(scores(t))
+
+
 @query("fill_method_tests")
 def fill_method_tests(t: Inputs):
     return fill.method_tests(scores(t), "analog", "linear")
