@@ -116,7 +116,10 @@ def run_metrics(t: Inputs):
     )
 
 
-_CATALOG = ("nation", "customer", "orders", "lineitem", "events", "part", "supplier")
+_CATALOG = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels",
+    "conversations",
+)
 
 
 @query(
