@@ -122,12 +122,14 @@ def one_se_rule(scores: DataFrame) -> DataFrame:
     return j.withColumn("chosen", F.col("within") & (F.col("set") == smallest["set"]))
 
 
-def split_windows(rows: DataFrame, columns: Sequence[str], train: Column, split: Column, width: int, block: int) -> DataFrame:
-    """Scaled windows that never cross a split border; the scale is fitted on the training rows.
+def split_windows(
+    rows: DataFrame, keys: Sequence[str], columns: Sequence[str], train: Column, split: Column, width: int, block: int
+) -> DataFrame:
+    """Scaled windows that never cross a split border; the scale of a series is fitted on its training rows.
 
-    ``rows(x, *columns)`` is one dense series.
+    ``rows(keys, x, *columns)`` are dense series.
     """
-    fit = rows.filter(train).agg(*[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns])
+    fit = rows.filter(train).groupBy(*keys).agg(*[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns])
     width_of = lambda c: F.when(F.col(f"_hi_{c}") == F.col(f"_lo_{c}"), F.lit(1.0)).otherwise(F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))
-    scaled = rows.crossJoin(F.broadcast(fit)).select("x", split.alias("split"), *[((F.col(c) - F.col(f"_lo_{c}")) / width_of(c)).alias(c) for c in columns])
-    return seq.windows(scaled, ["split"], list(columns), width, block=block)
+    scaled = rows.join(fit, list(keys)).select(*keys, "x", split.alias("split"), *[((F.col(c) - F.col(f"_lo_{c}")) / width_of(c)).alias(c) for c in columns])
+    return seq.windows(scaled, [*keys, "split"], list(columns), width, block=block)

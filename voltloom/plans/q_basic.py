@@ -723,13 +723,13 @@ def pseudo_meter(t: Inputs):
     "component_count",
     with_tables(
         f"""select c, count(*) as n_steps, {R('sum(p)', 3)} as power from (select x, count(distinct meter_id) as c, sum(p_a + p_b + p_c) as p
-        from gridded where meter_id in (3, 4, 5, 6) and i_an > 0.5 group by 1) group by 1""",
-        "gridded",
+        from gridded where i_an > 0.5 and meter_id not in (select meter_id from meter_dim where role = 'm_g_input') group by 1) group by 1""",
+        "gridded", "meter_dim",
     ),
 )
 def component_count(t: Inputs):
-    d = t.dense.filter("meter_id in (3, 4, 5, 6)")
-    out = aggregate.component_count(d, F.col("i_an") > 0.5, F.col("p_a") + F.col("p_b") + F.col("p_c"))
+    main = t.meter_dim.filter("role = 'm_g_input'").select("meter_id")
+    out = aggregate.component_count(t.dense.join(F.broadcast(main), "meter_id", "left_anti"), F.col("i_an") > 0.5, F.col("p_a") + F.col("p_b") + F.col("p_c"))
     return out.select("c", "n_steps", fixed("power", 3).alias("power"))
 
 

@@ -325,13 +325,13 @@ def defragment(t: Inputs):
 @query(
     "split_windows",
     with_tables(
-        f"""with f as (select min(p_a) as lo, max(p_a) as hi from (select coalesce(p_a, 0) as p_a, x from dense where meter_id = 1) where x < (select train_end from span)),
-        s as (select x, case when x < (select train_end from span) then 'train' when x < (select valid_end from span) then 'val' else 'test' end as split, (coalesce(p_a, 0) - lo) / (hi - lo) as v from dense, f where meter_id = 1)
-        select split, x as window_idx, {R('total', 5)} as total from (select *, count(*) over w as n, sum(v) over w as total from s window w as (partition by split order by x rows between current row and 11 following)) where n = 12""",
-        "dense", "span",
+        f"""with c as (select meter_id, variable, x, coalesce(value, 0) as v from samples), f as (select meter_id, variable, min(v) as lo, max(v) as hi from c where x < (select train_end from span) group by 1, 2),
+        s as (select c.meter_id, c.variable, x, case when x < (select train_end from span) then 'train' when x < (select valid_end from span) then 'val' else 'test' end as split, (v - lo) / case when hi = lo then 1 else hi - lo end as v from c join f on f.meter_id = c.meter_id and f.variable = c.variable)
+        select meter_id, variable, split, x as window_idx, {R('total', 5)} as total from (select *, count(*) over w as n, sum(v) over w as total from s window w as (partition by meter_id, variable, split order by x rows between current row and 11 following)) where n = 12""",
+        "samples", "span",
     ),
 )
 def split_windows(t: Inputs):
-    rows = t.dense.filter("meter_id = 1").select("x", F.coalesce("p_a", F.lit(0.0)).alias("p"))
-    w = datasets.split_windows(rows, ["p"], F.col("x") < t.train_end, t.split(), 12, BLOCK)
-    return w.select("split", "window_idx", fixed(F.aggregate(F.col("window.p"), F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
+    rows = t.samples.select(*CH, "x", F.coalesce("value", F.lit(0.0)).alias("v"))
+    w = datasets.split_windows(rows, CH, ["v"], F.col("x") < t.train_end, t.split(), 12, BLOCK)
+    return w.select(*CH, "split", "window_idx", fixed(F.aggregate(F.col("window.v"), F.lit(0.0), lambda a, b: a + b), 5).alias("total"))

@@ -62,14 +62,13 @@ def pad_run_edges(t: Inputs):
     "rolling_median",
     with_tables(
         f"""select meter_id, variable, x, {R('med')} as med from (select *, case when count(value) over w >= 21 then
-        quantile_cont(value, 0.5) over w end as med from samples where variable in ('i_an', 'p_a', 'v_an')
+        quantile_cont(value, 0.5) over w end as med from samples
         window w as (partition by meter_id, variable order by x rows between 30 preceding and 30 following)) where med is not null""",
         "samples",
     ),
 )
 def rolling_median(t: Inputs):
-    s = t.samples.filter("variable in ('i_an', 'p_a', 'v_an')")
-    return seq.rolling_median(s, CH, "value", "med", block=BLOCK).filter("med is not null").select(
+    return seq.rolling_median(t.samples, CH, "value", "med", block=BLOCK).filter("med is not null").select(
         *CH, "x", fixed("med").alias("med")
     )
 
@@ -90,7 +89,7 @@ def infer_step(t: Inputs):
 @query(
     "context_stats",
     with_tables(
-        f"""with seg as (select * from gaps where n >= 6 and variable in ('i_an', 'i_bn', 'i_cn')),
+        f"""with seg as (select * from gaps where n >= 6),
         c as (select g.meter_id, g.variable, g.x0, count(*) as n, quantile_cont(s.value, 0.5) as med from seg g join samples s
           on s.meter_id = g.meter_id and s.variable = g.variable and (s.x between g.x0 - 48 and g.x0 - 1 or s.x between g.x1 + 1 and g.x1 + 48)
           where s.value is not null group by 1, 2, 3),
@@ -102,9 +101,8 @@ def infer_step(t: Inputs):
     ),
 )
 def context_stats(t: Inputs):
-    cur = t.samples.filter("variable in ('i_an', 'i_bn', 'i_cn')")
-    seg = t.gaps.filter("n >= 6 and variable in ('i_an', 'i_bn', 'i_cn')").select(*CH, "x0", "x1")
-    known = cur.filter("value is not null")
+    seg = t.gaps.filter("n >= 6").select(*CH, "x0", "x1")
+    known = t.samples.filter("value is not null")
     near = seq.context_points(seg, CH, 48).join(known, [*CH, "x"])
     local = ranks.quantiles(near, [*CH, "x0"], "value", {"m": 0.5}).withColumnsRenamed({"n": "n1", "m": "m1"})
     whole = ranks.quantiles(known, CH, "value", {"m": 0.5}).withColumnsRenamed({"n": "n2", "m": "m2"})
@@ -136,12 +134,12 @@ def cumulative_importance(t: Inputs):
     "cumulative_energy",
     with_tables(
         f"""select meter_id, x, {R('sum(coalesce(p_a, 0)) over (partition by meter_id order by x) / 1000.0::double')} as kwh
-        from dense where meter_id in (1, 3)""",
+        from dense""",
         "dense",
     ),
 )
 def cumulative_energy(t: Inputs):
-    d = t.dense.filter("meter_id in (1, 3)").select("meter_id", "x", F.coalesce("p_a", F.lit(0.0)).alias("p"))
+    d = t.dense.select("meter_id", "x", F.coalesce("p_a", F.lit(0.0)).alias("p"))
     out = seq.running(d, ["meter_id"], {"e": F.col("p")}, block=BLOCK)
     return out.select("meter_id", "x", fixed(F.col("e") / 1000.0).alias("kwh"))
 
@@ -186,15 +184,14 @@ def mid_align(t: Inputs):
 @query(
     "chronological_split",
     with_tables(
-        """with u as (select distinct x from gridded where meter_id = 1), o as (select x, row_number() over (order by x) - 1 as ordinal, count(*) over () as n from u)
+        """with u as (select distinct x from gridded), o as (select x, row_number() over (order by x) - 1 as ordinal, count(*) over () as n from u)
         select x, ordinal, case when ordinal < floor(n * 0.8::double) then 'train' when ordinal < floor(n * 0.8::double) + floor(n * 0.1::double) then 'val' else 'test' end as split from o""",
         "gridded",
     ),
 )
 def chronological_split(t: Inputs):
-    x = t.dense.filter("meter_id = 1 and p_a is not null").select("x")
-    ranked = seq.ordinals(x, block=BLOCK)
-    return seq.chronological_split(ranked, x.distinct().agg(F.count("*").alias("n_total")))
+    instants = t.gridded.select("x").distinct()
+    return seq.chronological_split(seq.ordinals(instants, block=BLOCK), instants.agg(F.count("*").alias("n_total")))
 
 
 @query(
@@ -230,32 +227,30 @@ def frequency(t: Inputs):
 @query(
     "detrend",
     with_tables(
-        f"""with o as (select *, x - row_number() over (partition by meter_id, variable order by x) as g from samples where value is not null and variable = 'p_a'),
-        e as (select *, min(x) over q as x0, max(x) over q as x1, first_value(value) over (partition by meter_id, g order by x) as v0,
-          last_value(value) over (partition by meter_id, g order by x rows between unbounded preceding and unbounded following) as v1
-          from o window q as (partition by meter_id, g))
-        select meter_id, x, {R('case when x1 > x0 then value - (v0 + (v1 - v0) * (x - x0) / (x1 - x0)) else 0 end')} as dev from e""",
+        f"""with o as (select *, x - row_number() over (partition by meter_id, variable order by x) as g from samples where value is not null),
+        e as (select *, min(x) over q as x0, max(x) over q as x1, first_value(value) over (partition by meter_id, variable, g order by x) as v0,
+          last_value(value) over (partition by meter_id, variable, g order by x rows between unbounded preceding and unbounded following) as v1
+          from o window q as (partition by meter_id, variable, g))
+        select meter_id, variable, x, {R('case when x1 > x0 then value - (v0 + (v1 - v0) * (x - x0) / (x1 - x0)) else 0 end')} as dev from e""",
         "samples",
     ),
 )
 def detrend(t: Inputs):
-    s = t.samples.filter("variable = 'p_a'")
-    pieces = seq.runs(s, CH, F.col("value").isNotNull(), block=BLOCK)
-    return seq.detrend_runs(s, CH, "value", pieces).select("meter_id", "x", fixed("dev").alias("dev"))
+    pieces = seq.runs(t.samples, CH, F.col("value").isNotNull(), block=BLOCK)
+    return seq.detrend_runs(t.samples, CH, "value", pieces).select(*CH, "x", fixed("dev").alias("dev"))
 
 
 def theil_sen_slopes(t: Inputs):
-    s = t.samples.filter("variable = 'p_b'")
-    win = seq.windows(s.withColumn("value", F.coalesce("value", F.lit(0.0))), CH, ["value"], 24, stride=24, block=BLOCK)
-    return win.select("meter_id", "window_idx", fixed(theil_sen("window.value")).alias("slope"))
+    win = seq.windows(t.samples.withColumn("value", F.coalesce("value", F.lit(0.0))), CH, ["value"], 24, stride=24, block=BLOCK)
+    return win.select(*CH, "window_idx", fixed(theil_sen("window.value")).alias("slope"))
 
 
 @query(
     "theil_sen",
     with_tables(
-        f"""with o as (select meter_id, x, x // 24 as g, coalesce(value, 0) as value from samples where variable = 'p_b')
-        select a.meter_id, a.g * 24 as window_idx, {R('quantile_cont((b.value - a.value) / (b.x - a.x), 0.5)')} as slope
-        from o a join o b on a.meter_id = b.meter_id and a.g = b.g and a.x < b.x group by 1, 2""",
+        f"""with o as (select meter_id, variable, x, x // 24 as g, coalesce(value, 0) as value from samples)
+        select a.meter_id, a.variable, a.g * 24 as window_idx, {R('quantile_cont((b.value - a.value) / (b.x - a.x), 0.5)')} as slope
+        from o a join o b on a.meter_id = b.meter_id and a.variable = b.variable and a.g = b.g and a.x < b.x group by 1, 2, 3 having count(*) = 276""",
         "samples",
     ),
 )
@@ -283,7 +278,7 @@ def weighted_line(t: Inputs):
     with_tables(
         f"""with n as (select *, max(case when value is not null then x end) over (partition by meter_id, variable order by x) as px,
           min(case when value is not null then x end) over (partition by meter_id, variable order by x rows between current row and unbounded following) as nx
-          from samples where variable in ('p_a', 'v_bn'))
+          from samples)
         select n.meter_id, n.variable, n.x, {R('coalesce(n.value, a.value + (b.value - a.value) * (n.x - n.px) / nullif(n.nx - n.px, 0), a.value, b.value)')} as value
         from n left join samples a on a.meter_id = n.meter_id and a.variable = n.variable and a.x = n.px
         left join samples b on b.meter_id = n.meter_id and b.variable = n.variable and b.x = n.nx""",
@@ -291,27 +286,23 @@ def weighted_line(t: Inputs):
     ),
 )
 def interp_linear_hold(t: Inputs):
-    s = t.samples.filter("variable in ('p_a', 'v_bn')")
-    return seq.interpolate(s, CH, "value", "filled", block=BLOCK).select(*CH, "x", fixed("filled").alias("value"))
+    return seq.interpolate(t.samples, CH, "value", "filled", block=BLOCK).select(*CH, "x", fixed("filled").alias("value"))
 
 
 @query(
     "resample_segment",
     with_tables(
-        f"""with src as (select meter_id, x - 100 as j, coalesce(p_a, 0) as v from dense where x between 100 and 147),
-        tgt as (select meter_id, x0, x1, unnest(range(x0, x1 + 1)) as x from gaps where variable = 'p_a' and n >= 2),
-        p as (select *, (x - x0)::double / (x1 - x0) * 47 as pos from tgt)
-        select p.meter_id, p.x, {R('a.v + (b.v - a.v) * (pos - floor(pos))')} as value from p
-        join src a on a.meter_id = p.meter_id and a.j = floor(pos) join src b on b.meter_id = p.meter_id and b.j = least(floor(pos) + 1, 47)""",
-        "dense", "gaps",
+        f"""with src as (select meter_id, variable, x - 100 as j, coalesce(value, 0) as v from samples where x between 100 and 147),
+        tgt as (select meter_id, variable, x0, x1, unnest(range(x0, x1 + 1)) as x from gaps),
+        p as (select *, coalesce((x - x0)::double / nullif(x1 - x0, 0), 0) * 47 as pos from tgt)
+        select p.meter_id, p.variable, p.x, {R('a.v + (b.v - a.v) * (pos - floor(pos))')} as value from p
+        join src a on a.meter_id = p.meter_id and a.variable = p.variable and a.j = floor(pos) join src b on b.meter_id = p.meter_id and b.variable = p.variable and b.j = least(floor(pos) + 1, 47)""",
+        "samples", "gaps",
     ),
 )
 def resample_segment(t: Inputs):
-    src = t.dense.filter("x between 100 and 147").select(
-        "meter_id", (F.col("x") - 100).alias("j"), F.coalesce("p_a", F.lit(0.0)).alias("v")
-    )
-    tgt = t.gaps.filter("variable = 'p_a' and n >= 2").select("meter_id", "x0", "x1")
-    return seq.stretch(src, ["meter_id"], tgt, "v", F.lit(48)).select("meter_id", "x", fixed("stretched").alias("value"))
+    src = t.samples.filter("x between 100 and 147").select(*CH, (F.col("x") - 100).alias("j"), F.coalesce("value", F.lit(0.0)).alias("v"))
+    return seq.stretch(src, CH, t.gaps.select(*CH, "x0", "x1"), "v", F.lit(48)).select(*CH, "x", fixed("stretched").alias("value"))
 
 
 @query(
