@@ -145,3 +145,33 @@ def test_permutation_importance_of_one_join(spark):
 def test_import_needs_no_session():
     code = "import __spark_entry__ as e; q = e.queries(); s = e.oracle_sql(); assert set(s) <= set(q) and len(q) > 100"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=60)
+
+
+def test_selection_by_correlation(spark):
+    import pandas as pd
+
+    from voltloom.operators import features
+
+    rows = [("o1", float(i), float(-i), 1.0, None if i % 3 else float(i * i % 7)) for i in range(30)]
+    rows += [("o2", float(i * i % 11), float(i), 1.0, float(i * i % 11) + i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "output string, y double, a double, flat double, c double")
+    got = {(r.output, r.feature): (r.r, r["rank"]) for r in features.by_correlation(df, ["output"], ["a", "flat", "c"], "y", 1).collect()}
+    p = pd.DataFrame(rows, columns=["output", "y", "a", "flat", "c"])
+    assert set(got) == {("o1", "a"), ("o2", "c")}
+    for (o, f), (r, rank) in got.items():
+        part = p[p.output == o]
+        assert rank == 1 and abs(r - abs(part.y.corr(part[f]))) < 1e-6
+    all_of = features.by_correlation(df, ["output"], ["a", "flat", "c"], "y", 3)
+    counts = {r.feature: (r.n_selected, r.type) for r in features.selection_frequency(all_of, all_of.feature == "c").collect()}
+    assert counts == {"a": (2, "fundamental"), "c": (2, "harmonic")}
+
+
+def test_student_tail(spark):
+    from pyspark.sql import functions as F
+
+    from voltloom.operators import statistics
+
+    # known two-sided tails: t = tan(pi/4) at one degree, closed form at two, the 5 % points at 8 and 28
+    df = spark.createDataFrame([(1.0, 1.0, 0.5), (2.0, 2.0, 1 - 2 / 6**0.5), (2.306004, 8.0, 0.05), (2.048407, 28.0, 0.05)], "t double, k double, p double")
+    worst = df.select(F.max(F.abs(statistics.student_p("t", F.col("k")) - F.col("p")))).first()[0]
+    assert worst < 1e-6

@@ -53,6 +53,10 @@ def is_energy_side(c: str | Column) -> Column:
     return family_of(c).isin("i", "p", "q", "s", "cos", "thdi", "hrm_i")
 
 
+def is_harmonic(c: str | Column) -> Column:
+    return family_of(c).isin("thdi", "thdv", "hrm_i", "hrm_v")
+
+
 def is_additive(c: str | Column) -> Column:
     """Quantities that add up over parallel circuits; all others are averaged."""
     return family_of(c).isin("i", "p", "q", "s", "hrm_i")

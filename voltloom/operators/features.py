@@ -6,9 +6,11 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltloom.functions.numeric import fixed, ratio
+
 GRAM = "output string, seg int, i int, j int, n double, a double, b double, s double"
 
 
@@ -129,6 +131,27 @@ def global_importance(ranking: DataFrame) -> DataFrame:
     )
 
 
+def by_correlation(df: DataFrame, keys: Sequence[str], columns: Sequence[str], target: str, top: int) -> DataFrame:
+    """``(keys, feature, r, rank)``: the ``top`` columns of largest absolute correlation with the target, from one aggregation.
+
+    A column that does not vary has no correlation and is never selected.
+    """
+    def r(c: str) -> Column:
+        y, v = F.when(F.col(c).isNotNull(), F.col(target)), F.when(F.col(target).isNotNull(), F.col(c))
+        return ratio(F.covar_pop(y, v), F.stddev_pop(y) * F.stddev_pop(v))
+
+    wide = df.groupBy(*keys).agg(*[r(c).alias(c) for c in columns])
+    long = wide.unpivot(list(keys), list(columns), "feature", "r").withColumn("r", fixed(F.abs("r"), 6)).filter("r is not null")
+    w = Window.partitionBy(*keys).orderBy(F.desc("r"), "feature")
+    return long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+def selection_frequency(selected: DataFrame, harmonic: Column) -> DataFrame:
+    """Number of outputs that select each feature, and its type."""
+    counts = selected.groupBy("feature").agg(F.count("*").alias("n_selected"))
+    return counts.withColumn("type", F.when(harmonic, "harmonic").otherwise("fundamental"))
+
+
 def candidate_sets(importance: DataFrame, knee: DataFrame, top: int = 48) -> DataFrame:
     """``(set, rank, feature)``: knee, 95 % share, union of the selected, the first ``top``, all."""
     j = importance.crossJoin(F.broadcast(knee.filter("is_knee").select(F.col("rank").alias("_knee"))))

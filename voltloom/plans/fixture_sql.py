@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from voltloom.functions.numeric import fixed_sql
-from voltloom.sources.fixtures import FLOOR, METERS, VARIABLES
+from voltloom.sources.fixtures import EPOCHS, FLOOR, METERS, MODEL_ROWS, VARIABLES
 
 R = fixed_sql
 
@@ -58,6 +58,8 @@ _meter_rows = ", ".join(
     f"({m}, '{label}', '{role}', {g if g else 'null'})" for m, label, role, g in METERS
 )
 
+_model_rows = ", ".join(f"('{m}', {w}, '{family}', {shift}::double, {lean}::double)" for m, w, family, shift, lean in MODEL_ROWS)
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "raw": ((), _raw()),
     "readings": (
@@ -90,6 +92,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         f"select * from (values {_meter_rows}) t(meter_id, label, role, gamma_id)",
     ),
+    "models": (
+        (),
+        f"select * from (values {_model_rows}) t(model, w, family, shift, lean)",
+    ),
     "truth": (
         ("samples", "meter_dim"),
         "select 'G' || d.gamma_id || '_' || upper(substr(variable, 3, 1)) as output, d.gamma_id as gamma,"
@@ -98,11 +104,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         " where d.role = 'modeled_loads' and variable in ('p_a', 'p_b', 'p_c')",
     ),
     "predictions": (
-        ("truth", "span"),
+        ("truth", "span", "models"),
         "select model, seed, x - w // 2 as window_idx, output,"
         " y * (1.0::double + (((x * seed + gamma) % 7) - 3) / 100.0::double"
-        " + case when model = 'm36' then 0.01::double else 0.0::double end) as y_pred"
-        " from truth, (values ('m12', 12), ('m36', 36)) m(model, w), (select unnest([1, 2, 3, 4, 5]) as seed)"
+        " + shift + lean * ((gamma * w // 6 + ascii(phase)) % 5 - 2)) as y_pred"
+        " from truth, models, (select unnest([1, 2, 3, 4, 5]) as seed)"
         " where x - w // 2 between 0 and (select steps from span) - w",
     ),
     "gaps": (
@@ -121,9 +127,16 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 
 CTES.update({
     "scored": (
-        ("predictions", "truth"),
-        "select p.model, p.seed, p.output, t.gamma, t.phase, t.x, t.y, p.y_pred from predictions p join truth t"
-        " on t.output = p.output and t.x = p.window_idx + case p.model when 'm12' then 6 else 18 end",
+        ("predictions", "truth", "models"),
+        "select p.model, p.seed, p.output, t.gamma, t.phase, t.x, t.y, p.y_pred from predictions p join models m on m.model = p.model"
+        " join truth t on t.output = p.output and t.x = p.window_idx + m.w // 2",
+    ),
+    "history": (
+        ("scored", "span"),
+        "select model, seed, epoch, train * (1 + 4.0::double / epoch) ** 2 as loss, valid * (1 + 4.0::double / epoch) ** 2 as val_loss from (select model, seed,"
+        " avg((y_pred - y) * (y_pred - y)) filter (x < (select train_end from span)) as train,"
+        " avg((y_pred - y) * (y_pred - y)) filter (x >= (select train_end from span) and x < (select valid_end from span)) as valid"
+        f" from scored group by 1, 2), (select unnest(range(1, {EPOCHS + 1})) as epoch)",
     ),
     "load_metrics": (
         ("scored",),

@@ -84,14 +84,14 @@ def column_pruned_scan(t: Inputs):
 @query(
     "read_predictions",
     with_tables(
-        "select w.model, count(p.seed) as n_rows from (values ('m12'), ('m36'), ('m99')) w(model)"
+        "select w.model, count(p.seed) as n_rows from (select model from models union all select 'm99') w"
         " left join predictions p on p.model = w.model group by 1",
-        "predictions",
+        "predictions", "models",
     ),
 )
 def read_predictions(t: Inputs):
     present = t.predictions.groupBy("model").agg(F.count("*").alias("n_rows"))
-    absent = readings.require_models(t.predictions, ["m12", "m36", "m99"])
+    absent = readings.require_models(t.predictions, [*[m for m, _ in fixtures.MODELS], "m99"])
     return present.unionByName(absent.withColumn("n_rows", F.lit(0).cast("long")))
 
 

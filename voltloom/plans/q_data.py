@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voltloom.functions import names
+from voltloom.functions import names, scalars
 from voltloom.functions.numeric import fixed
-from voltloom.operators import aggregate, datasets, evaluate, gaps, grid, ranks, seq
+from voltloom.operators import aggregate, datasets, evaluate, features, gaps, grid, ranks, seq, statistics
 from voltloom.plans import q_audit, q_clean, q_eval
 from voltloom.plans.fixture_sql import R, add_cte, with_tables
 from voltloom.plans.registry import Inputs, query
 from voltloom.sources import fixtures
-from voltloom.sources.fixtures import BLOCK
+from voltloom.sources.fixtures import BLOCK, VARIABLES
 
 CH = ["meter_id", "variable"]
 
@@ -272,11 +272,22 @@ def one_se_rule(t: Inputs):
 
 @query(
     "selection_frequency",
-    with_tables("select variable as feature, count(distinct meter_id) as n_selected from audit where channel_class = 'PHYSICAL_VALID' group by 1", "audit"),
+    with_tables(
+        f"""with c as (select t.output, s.variable as feature, {R('abs(corr(t.y, s.value))', 6)} as r from truth t join samples s on s.x = t.x and s.value is not null
+          join meter_dim d on d.meter_id = s.meter_id and d.role = 'm_g_input' group by 1, 2),
+        k as (select *, row_number() over (partition by output order by r desc, feature) as rank from c where r is not null)
+        select feature, count(*) as n_selected, case when feature like 'hrm%' or feature like 'thd%' then 'harmonic' else 'fundamental' end as type from k where rank <= 10 group by 1""",
+        "truth", "samples", "meter_dim",
+    ),
 )
 def selection_frequency(t: Inputs):
-    a = q_audit.full_audit(t).filter("channel_class = 'PHYSICAL_VALID'")
-    return a.groupBy(F.col("variable").alias("feature")).agg(F.count_distinct("meter_id").alias("n_selected"))
+    """By how many outputs a quantity of the main meter is selected: each output takes the ten of largest correlation."""
+    return features.selection_frequency(selected_features(t), names.is_harmonic("feature"))
+
+
+def selected_features(t: Inputs):
+    main = t.dense.join(F.broadcast(t.meter_dim.filter("role = 'm_g_input'").select("meter_id")), "meter_id").drop("meter_id")
+    return features.by_correlation(t.truth.select("output", "x", "y").join(main, "x"), ["output"], VARIABLES, "y", 10)
 
 
 @query("energy_stage_totals", with_tables(f"select upper(substr(variable, 3, 1)) as phase, {R('sum(abs(e_pre))')} as observed, {R('sum(abs(e_total))')} as filled from preserve group by 1", "preserve"))
@@ -297,12 +308,32 @@ def extended_metrics(t: Inputs):
     return g.select("model", fixed("nae").alias("nae"), fixed("erg").alias("erg"), fixed(100 - F.col("erg")).alias("aae"))
 
 
-@query("best_model", with_tables("select arg_min(model, nae) as best_nae, arg_min(model, erg) as best_erg from (select model, avg(nae_mean) as nae, avg(erg_pct) as erg from system group by 1)", "system"))
+@query("best_model", with_tables("select arg_min(model, nae) as best_nae, arg_min(model, erg) as best_erg from (select model, avg(nae_mean) as nae, avg(erg_pct) as erg from system join models using (model) where family = 'primary' group by 1)", "system", "models"))
 def best_model(t: Inputs):
-    g = evaluate.system_error(t.load_metrics).groupBy("model").agg(F.avg("nae_mean").alias("nae"), F.avg("erg_pct").alias("erg"))
+    g = evaluate.system_error(t.load_metrics).filter(q_eval.primary()).groupBy("model").agg(F.avg("nae_mean").alias("nae"), F.avg("erg_pct").alias("erg"))
     return g.agg(F.min_by("model", F.struct("nae", "model")).alias("best_nae"), F.min_by("model", F.struct("erg", "model")).alias("best_erg"))
 
 
+@query(
+    "model_table",
+    with_tables(
+        f"""with {q_eval.AGAINST}, b as (select model_b as model, avg(diff) as m, stddev_pop(diff) as sd from d group by 1),
+        summary as (select model, any_value(family) as analysis_group, avg(nae_mean) as nae, stddev_samp(nae_mean) as nae_sd, avg(erg_pct) as erg, stddev_samp(erg_pct) as erg_sd from system join models using (model) group by 1)
+        select s.model, analysis_group, {R('nae')} as nae_mean, {R('nae_sd')} as nae_sd, {R('erg')} as erg_mean, {R('erg_sd')} as erg_sd, {R('m / (sd + 1e-12::double)')} as cohen_d, {R('p_value', 6)} as p_value,
+        case when p_value < 0.001 then '***' when p_value < 0.01 then '**' when p_value < 0.05 then '*' when p_value is not null then 'ns' end as sig from summary s left join b on b.model = s.model left join p on p.model_b = s.model""",
+        "system", "models", "load_metrics",
+    ),
+)
+def model_table(t: Inputs):
+    """Errors of every model and its paired test against the first one."""
+    s = q_eval.model_summary(t)
+    w = statistics.wilcoxon(q_eval.reference_diffs(t), ["model_a", "model_b"], "diff").select(
+        F.col("model_b").alias("model"), fixed("cohen_d").alias("cohen_d"), "p_value"
+    )
+    j = s.join(w, "model", "left").withColumn("sig", F.when(F.col("p_value").isNotNull(), scalars.sig_stars("p_value")))
+    return j.withColumn("p_value", fixed("p_value", 6))
+
+
 @query("channel_limits", with_tables(f"select meter_id, variable, {R('quantile_cont(value, 0.005)')} as lo, {R('quantile_cont(value, 0.995)')} as hi from samples where value is not null group by 1, 2", "samples"))
 def channel_limits(t: Inputs):
     q = ranks.quantiles(t.samples, CH, "value", {"lo": 0.005, "hi": 0.995})

@@ -153,23 +153,31 @@ def common_support_nae(t: Inputs):
     ),
 )
 def null_predictor(t: Inputs):
+    return shown(constant_error(t), ["output"], ["constant", "nae"])
+
+
+def constant_error(t: Inputs):
+    """Error of each output's training median on the test steps."""
     train = t.truth.filter(F.col("x") < t.train_end).join(observed(t), ["output", "x"])
     const = ranks.quantiles(train, ["output"], "y", {"y_pred": 0.5})
     test = t.truth.filter(F.col("x") >= t.valid_end).join(const, "output")
-    g = test.groupBy("output").agg(F.first("y_pred").alias("constant"), evaluate.nae().alias("nae"))
-    return shown(g, ["output"], ["constant", "nae"])
+    return test.groupBy("output").agg(F.first("y_pred").alias("constant"), evaluate.nae().alias("nae"))
 
 
 @query(
     "per_output_matrix",
     with_tables(
-        f"select output, {R('avg(nae_pct) filter (model = $$m12$$)')} as m12, {R('avg(nae_pct) filter (model = $$m36$$)')} as m36 from load_metrics group by 1",
-        "load_metrics",
+        f"""with o as ({_OBS_CTE}), c as (select t.output, quantile_cont(t.y, 0.5) as c from truth t join o on o.output = t.output and o.x = t.x where t.x < (select train_end from span) group by 1),
+        k as (select t.output, sum(abs(c - y)) / (sum(abs(y)) + 1e-9::double) * 100 as constant from truth t join c on c.output = t.output where t.x >= (select valid_end from span) group by 1)
+        select m.output, {', '.join(f"{R(f'avg(nae_pct) filter (model = $${m}$$)')} as {m}" for m, _ in fixtures.MODELS)}, {R('any_value(constant)')} as constant
+        from load_metrics m left join k on k.output = m.output group by 1""",
+        "load_metrics", "truth", "conf", "span",
     ),
 )
 def per_output_matrix(t: Inputs):
-    p = t.load_metrics.groupBy("output").pivot("model", ["m12", "m36"]).agg(F.avg("nae_pct"))
-    return shown(p, ["output"], ["m12", "m36"])
+    models = [m for m, _ in fixtures.MODELS]
+    p = t.load_metrics.groupBy("output").pivot("model", models).agg(F.avg("nae_pct"))
+    return shown(p.join(constant_error(t).select("output", F.col("nae").alias("constant")), "output", "left"), ["output"], [*models, "constant"])
 
 
 @query(
@@ -249,15 +257,21 @@ def ensemble_select(t: Inputs):
 @query(
     "config_comparison",
     with_tables(
-        f"select a.seed, {R('a.nae_mean')} as nae_a, {R('b.nae_mean')} as nae_b, {R('b.nae_mean - a.nae_mean')} as delta, {R('avg(b.nae_mean - a.nae_mean) over ()')} as mean_delta from system a join system b on a.seed = b.seed and a.model = 'm12' and b.model = 'm36'",
+        f"""with p as (select a.model, a.seed, a.nae_mean as nae_a, b.nae_mean as nae_b, b.nae_mean - a.nae_mean as delta from system a join system b on a.seed = b.seed and b.model = a.model || 't'),
+        m as (select model, avg(nae_a) as mean_a, avg(nae_b) as mean_b, stddev_samp(delta) as sd_delta, avg(delta) as mean_delta, row_number() over (order by avg(delta), model) as rank from p group by 1)
+        select p.model, seed, rank, {_cols(['nae_a', 'nae_b', 'delta', 'mean_a', 'mean_b', 'mean_delta', 'sd_delta'])} from p join m on m.model = p.model""",
         "system",
     ),
 )
 def config_comparison(t: Inputs):
-    s = evaluate.system_error(t.load_metrics)
-    p = s.groupBy("seed").pivot("model", ["m12", "m36"]).agg(F.first("nae_mean"))
-    p = p.withColumn("delta", F.col("m36") - F.col("m12")).withColumn("mean_delta", F.avg("delta").over(Window.partitionBy()))
-    return shown(p.withColumnsRenamed({"m12": "nae_a", "m36": "nae_b"}), ["seed"], ["nae_a", "nae_b", "delta", "mean_delta"])
+    """Default beside tuned configurations by seed; the one that gains most has rank 1."""
+    s = evaluate.system_error(t.load_metrics).select("model", "seed", "nae_mean")
+    tuned = s.filter(F.col("model").endswith("t")).select(F.expr("left(model, length(model) - 1)").alias("model"), "seed", F.col("nae_mean").alias("nae_b"))
+    p = s.withColumnRenamed("nae_mean", "nae_a").join(tuned, ["model", "seed"]).withColumn("delta", F.col("nae_b") - F.col("nae_a"))
+    m = p.groupBy("model").agg(
+        F.avg("nae_a").alias("mean_a"), F.avg("nae_b").alias("mean_b"), F.avg("delta").alias("mean_delta"), F.stddev_samp("delta").alias("sd_delta")
+    ).withColumn("rank", F.row_number().over(Window.orderBy("mean_delta", "model")).cast("long"))
+    return shown(p.join(m, "model"), ["model", "seed", "rank"], ["nae_a", "nae_b", "delta", "mean_a", "mean_b", "mean_delta", "sd_delta"])
 
 
 @query("mean_over_seeds", with_tables(f"select model, window_idx, output, {R('avg(y_pred)')} as y_pred from predictions group by 1, 2, 3", "predictions"))
@@ -267,19 +281,19 @@ def mean_over_seeds(t: Inputs):
 
 @query(
     "training_curves",
-    with_tables(f"select model, window_idx // 50 as epoch, {R('avg(abs(y_pred))')} as loss from predictions group by 1, 2", "predictions"),
+    with_tables(f"select model, epoch, {R('avg(loss)', 2)} as loss, {R('avg(val_loss)', 2)} as val_loss from history group by 1, 2", "history"),
 )
 def training_curves(t: Inputs):
-    g = t.predictions.groupBy("model", F.floor(F.col("window_idx") / 50).alias("epoch")).agg(F.avg(F.abs("y_pred")).alias("loss"))
-    return shown(g, ["model", "epoch"], ["loss"])
+    g = t.history.groupBy("model", "epoch").agg(F.avg("loss").alias("loss"), F.avg("val_loss").alias("val_loss"))
+    return shown(g, ["model", "epoch"], ["loss", "val_loss"], 2)
 
 
 @query(
     "tag_sensitivity",
-    with_tables("select case when model = 'm36' then model || '*' else model end as shown, case when model = 'm36' then 'sensitivity' else 'primary' end as grp, count(*) as n from predictions group by 1, 2", "predictions"),
+    with_tables("select case when family = 'primary' then model else model || '*' end as shown, family as grp, n from models join (select model, count(*) as n from predictions group by 1) using (model)", "predictions", "models"),
 )
 def tag_sensitivity(t: Inputs):
-    extra = F.col("model") == "m36"
+    extra = ~primary()
     return t.predictions.groupBy("model").agg(F.count("*").alias("n")).select(
         F.when(extra, F.concat("model", F.lit("*"))).otherwise(F.col("model")).alias("shown"),
         F.when(extra, "sensitivity").otherwise("primary").alias("grp"), "n",
@@ -444,27 +458,59 @@ def cost_uncertainty(t: Inputs):
 # ---- tests ------------------------------------------------------------------------------------
 
 
+def primary():
+    """The models of the main comparison; the others are a family of their own."""
+    return F.col("model").isin(*fixtures.PRIMARY)
+
+
+def output_errors(t: Inputs):
+    """Error per output and model; seeds are repetitions and enter by their mean."""
+    return t.load_metrics.groupBy("output", "model").agg(F.avg(fixed("nae_pct", 8)).alias("nae")).withColumn("nae", fixed("nae", 8))
+
+
 def pair_diffs(t: Inputs):
-    """Differences of models per output; seeds are repetitions and enter by their mean."""
-    lm = t.load_metrics.groupBy("output", "model").agg(F.avg(fixed("nae_pct", 8)).alias("nae")).withColumn("nae", fixed("nae", 8))
-    pairs = joins.model_pairs(lm, ["output"], "model", "nae")
+    """Differences of the primary models per output."""
+    pairs = joins.model_pairs(output_errors(t).filter(primary()), ["output"], "model", "nae")
     return pairs.withColumn("diff", F.round(F.col("nae_a") - F.col("nae_b"), 8))
 
 
-_DIFFS = f"""lm as (select output, model, {R(f"avg({R('nae_pct', 8)})", 8)} as nae from load_metrics group by 1, 2),
-  d as (select a.model as model_a, b.model as model_b, a.output, round(a.nae - b.nae, 8) as diff from lm a join lm b on a.output = b.output and a.model < b.model),
+def extra_diffs(t: Inputs):
+    """Differences of every other model to every primary one, per output."""
+    e = output_errors(t)
+    extra = e.filter(~primary()).select("output", F.col("model").alias("model_a"), F.col("nae").alias("nae_a"))
+    main = e.filter(primary()).select("output", F.col("model").alias("model_b"), F.col("nae").alias("nae_b"))
+    return extra.join(main, "output").withColumn("diff", F.round(F.col("nae_a") - F.col("nae_b"), 8))
+
+
+def reference_diffs(t: Inputs):
+    """Differences of the first model to every other one, per output."""
+    e = output_errors(t)
+    first = F.col("model") == fixtures.PRIMARY[0]
+    a = e.filter(first).select("output", F.col("model").alias("model_a"), F.col("nae").alias("nae_a"))
+    b = e.filter(~first).select("output", F.col("model").alias("model_b"), F.col("nae").alias("nae_b"))
+    return a.join(b, "output").withColumn("diff", F.round(F.col("nae_a") - F.col("nae_b"), 8))
+
+
+def _tested(pairs: str) -> str:
+    return f"""lm as (select output, model, {R(f"avg({R('nae_pct', 8)})", 8)} as nae, any_value(family) as family from load_metrics join models using (model) group by 1, 2),
+  d as (select a.model as model_a, b.model as model_b, a.output, round(a.nae - b.nae, 8) as diff from lm a join lm b on a.output = b.output and {pairs}),
   r as (select *, rank() over (partition by model_a, model_b order by abs(diff)) + (count(*) over (partition by model_a, model_b, abs(diff)) - 1) / 2.0::double as rk from d where diff <> 0),
   w as (select model_a, model_b, count(*) as n_used, coalesce(sum(rk) filter (diff > 0), 0) as wp, coalesce(sum(rk) filter (diff < 0), 0) as wm from r group by 1, 2),
   s as (select unnest(range(4096)) as k), subs as (select k, list_sum(list_transform(range(12), lambda i: ((k >> i) & 1) * (i + 1))) as total from s),
   p as (select model_a, model_b, wp, wm, n_used, least(wp, wm) as w, least(1.0::double, 2.0::double * (select count(*) from subs where k < (1::bigint << n_used) and total <= floor(least(wp, wm))) / (1::bigint << n_used)) as p_value from w)"""
 
 
+_DIFFS = _tested("a.family = 'primary' and b.family = 'primary' and a.model < b.model")
+AGAINST = _tested(f"a.model = '{fixtures.PRIMARY[0]}' and b.model <> a.model")
+_EXTRA = _tested("a.family <> 'primary' and b.family = 'primary'")
+
+
 @query(
     "wilcoxon_paired",
     with_tables(
         f"""with {_DIFFS}, b as (select model_a, model_b, count(*) as n_pairs, avg(diff) as m, stddev_pop(diff) as sd from d group by 1, 2)
         select b.model_a, b.model_b, n_pairs, {R('m')} as mean_diff, w, {R('p_value', 6)} as p_value, {R('m / (sd + 1e-12::double)')} as cohen_d from b join p on p.model_a = b.model_a and p.model_b = b.model_b""",
-        "load_metrics",
+        "load_metrics", "models",
     ),
 )
 def wilcoxon_paired(t: Inputs):
@@ -472,35 +518,49 @@ def wilcoxon_paired(t: Inputs):
     return w.select("model_a", "model_b", "n_pairs", fixed("mean_diff").alias("mean_diff"), "w", fixed("p_value", 6).alias("p_value"), fixed("cohen_d").alias("cohen_d"))
 
 
-@query("rank_biserial", with_tables(f"with {_DIFFS} select model_a, model_b, {R('(wp - wm) / (n_used * (n_used + 1) / 2.0::double)', 6)} as rank_biserial from p", "load_metrics"))
+@query("rank_biserial", with_tables(f"with {_DIFFS} select model_a, model_b, {R('(wp - wm) / (n_used * (n_used + 1) / 2.0::double)', 6)} as rank_biserial from p", "load_metrics", "models"))
 def rank_biserial(t: Inputs):
     w = statistics.wilcoxon(pair_diffs(t), ["model_a", "model_b"], "diff")
     return w.select("model_a", "model_b", fixed("rank_biserial", 6).alias("rank_biserial"))
 
 
-@query(
-    "pairwise_model_tests",
-    with_tables(
-        f"""with {_DIFFS}, o as (select *, row_number() over (order by p_value, model_a, model_b) as i, count(*) over () as n from p)
+def _adjusted(diffs: str) -> str:
+    return with_tables(
+        f"""with {diffs}, o as (select *, row_number() over (order by p_value, model_a, model_b) as i, count(*) over () as n from p)
         select model_a, model_b, {R('p_value', 6)} as p_value, {R('least(1.0::double, max((n - i + 1) * p_value) over (order by i))', 6)} as p_holm,
         {R('least(1.0::double, min(n::double / i * p_value) over (order by i rows between current row and unbounded following))', 6)} as p_bh,
         p_value < 0.05 as sig, least(1.0::double, max((n - i + 1) * p_value) over (order by i)) < 0.05 as sig_holm from o""",
-        "load_metrics",
-    ),
-)
+        "load_metrics", "models",
+    )
+
+
+@query("pairwise_model_tests", _adjusted(_DIFFS))
 def pairwise_model_tests(t: Inputs):
-    w = statistics.adjust(statistics.wilcoxon(pair_diffs(t), ["model_a", "model_b"], "diff"))
+    return adjusted(pair_diffs(t))
+
+
+@query("sensitivity_tests", _adjusted(_EXTRA))
+def sensitivity_tests(t: Inputs):
+    """The other models against the primary ones, corrected as a family of their own."""
+    return adjusted(extra_diffs(t))
+
+
+def adjusted(diffs):
+    w = statistics.adjust(statistics.wilcoxon(diffs, ["model_a", "model_b"], "diff"))
     w = w.withColumn("sig", F.col("p_value") < 0.05).withColumn("sig_holm", F.col("p_holm") < 0.05)
     return shown(w, ["model_a", "model_b", "sig", "sig_holm"], ["p_value", "p_holm", "p_bh"], 6)
 
 
-# two-sided tail of Student's t for eight degrees of freedom (ten systems): with the angle a = atan(t / sqrt(8)), sin a = r, cos^2 a = 1 - r^2
-_STUDENT_8 = "1 - abs(r) * (1 + (1 - r * r) / 2 + 3 * (1 - r * r) ** 2 / 8 + 5 * (1 - r * r) ** 3 / 16)"
+# Two-sided tail of Student's t with k degrees of freedom as a finite series. With the angle a = atan(t / sqrt(k)) of a correlation r,
+# sin a = |r| and cos^2 a = 1 - r^2; the terms' factors are ratios of gamma functions, one series for even and one for odd k.
+_STUDENT = """case when k % 2 = 0
+  then 1 - abs(r) * list_sum(list_transform(range(k // 2), lambda j: exp(lgamma(j + 0.5::double) - lgamma(j + 1)) / sqrt(pi()) * (1 - r * r) ** j))
+  else 1 - 2 / pi() * (asin(abs(r)) + abs(r) * coalesce(list_sum(list_transform(range((k - 1) // 2), lambda j: exp(lgamma(j + 1) - lgamma(j + 1.5::double)) * sqrt(pi()) / 2 * sqrt(1 - r * r) ** (2 * j + 1))), 0)) end"""
 
 
-@query("metric_correlation", with_tables(f"with c as (select count(*) as n, corr(nae_mean, erg_pct) as r from system) select n, {R('r', 6)} as r, {R('r * sqrt((n - 2) / (1 - r * r))')} as t_stat, {R(_STUDENT_8, 6)} as p_value from c", "system"))
+@query("metric_correlation", with_tables(f"with c as (select count(*) as n, count(*) - 2 as k, corr(nae_mean, erg_pct) as r from system join models using (model) where family = 'primary') select n, {R('r', 6)} as r, {R('r * sqrt((n - 2) / (1 - r * r))')} as t_stat, {R(_STUDENT, 6)} as p_value from c", "system", "models"))
 def metric_correlation(t: Inputs):
-    c = evaluate.system_error(t.load_metrics).agg(F.count("*").alias("n"), F.corr("nae_mean", "erg_pct").alias("r"))
+    c = evaluate.system_error(t.load_metrics).filter(primary()).agg(F.count("*").alias("n"), F.corr("nae_mean", "erg_pct").alias("r"))
     c = c.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
     p = statistics.student_p("t", (F.col("n") - 2).cast("double"))
     return c.select("n", fixed("r", 6).alias("r"), fixed("t").alias("t_stat"), fixed(p, 6).alias("p_value"))
@@ -508,11 +568,11 @@ def metric_correlation(t: Inputs):
 
 @query(
     "model_summary",
-    with_tables(f"select model, {R('avg(nae_mean)')} as nae_mean, {R('stddev_samp(nae_mean)')} as nae_sd, {R('avg(erg_pct)')} as erg_mean, {R('stddev_samp(erg_pct)')} as erg_sd from system group by 1", "system"),
+    with_tables(f"select model, any_value(family) as analysis_group, {R('avg(nae_mean)')} as nae_mean, {R('stddev_samp(nae_mean)')} as nae_sd, {R('avg(erg_pct)')} as erg_mean, {R('stddev_samp(erg_pct)')} as erg_sd from system join models using (model) group by 1", "system", "models"),
 )
 def model_summary(t: Inputs):
     g = evaluate.over_seeds(evaluate.system_error(t.load_metrics), ["model"], ["nae_mean", "erg_pct"])
-    return g.select("model", fixed("nae_mean_mean").alias("nae_mean"), fixed("nae_mean_sd").alias("nae_sd"), fixed("erg_pct_mean").alias("erg_mean"), fixed("erg_pct_sd").alias("erg_sd"))
+    return g.select("model", F.when(primary(), "primary").otherwise("sensitivity").alias("analysis_group"), fixed("nae_mean_mean").alias("nae_mean"), fixed("nae_mean_sd").alias("nae_sd"), fixed("erg_pct_mean").alias("erg_mean"), fixed("erg_pct_sd").alias("erg_sd"))
 
 
 @query(

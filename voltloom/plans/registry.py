@@ -100,6 +100,10 @@ class Inputs:
         aligned = joins.align_windows(self.predictions, dict(fixtures.MODELS))
         return stage(evaluate.score_rows(aligned, self.truth))
 
+    @cached_property
+    def history(self) -> DataFrame:
+        return fixtures.history(self.scored, self.train_end, self.valid_end)
+
     @cached_property
     def load_metrics(self) -> DataFrame:
         return self.kept("load_metrics", lambda: evaluate.load_metrics(self.scored, 1.0))

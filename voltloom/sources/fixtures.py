@@ -33,8 +33,22 @@ METERS = (
     (8, "DEAD8", "dead_redundant", None),
 )
 
-# fixed values: prediction models and their window length
-MODELS = (("m12", 12), ("m36", 36))
+# fixed values: prediction models with window length, family, shift, and lean (a share by load and phase)
+MODEL_ROWS = (
+    ("m12", 12, "primary", 0.0, 0.0),
+    ("m18", 18, "primary", -0.005, 0.004),
+    ("m24", 24, "primary", 0.0025, -0.006),
+    ("m30", 30, "primary", 0.005, 0.008),
+    ("m36", 36, "primary", 0.01, 0.0),
+    ("m48", 48, "primary", 0.0075, 0.01),
+    ("m24t", 24, "sensitivity", 0.0075, -0.003),
+    ("m36t", 36, "sensitivity", 0.0025, 0.005),
+)
+MODELS = tuple((m, w) for m, w, *_ in MODEL_ROWS)
+PRIMARY = tuple(m for m, _, family, *_ in MODEL_ROWS if family == "primary")
+
+# fixed values: epochs of the training histories
+EPOCHS = 12
 SEEDS = (1, 2, 3, 4, 5)
 
 # fixed values: component meters of the remaining consumption
@@ -144,18 +158,33 @@ def truth(long: DataFrame, dim: DataFrame) -> DataFrame:
 
 def predictions(target: DataFrame, steps: int) -> DataFrame:
     """Predictions ``(model, seed, window_idx, output, y_pred)`` around the truth of ``steps`` grid steps."""
-    models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(w).alias("w")) for m, w in MODELS])
+    fields = ("model", "w", "family", "shift", "lean")
+    models = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(fields, row)]) for row in MODEL_ROWS])
     seeds = F.array(*[F.lit(s) for s in SEEDS])
     wobble = F.lit(1.0) + (((F.col("x") * F.col("seed") + F.col("gamma")) % 7) - 3) / F.lit(100.0)
     grown = (
         target.withColumn("_m", F.explode(models))
         .withColumn("seed", F.explode(seeds))
-        .select("*", F.col("_m.model").alias("model"), F.col("_m.w").alias("w"))
+        .select("*", "_m.*")
         .withColumn("window_idx", F.col("x") - (F.col("w") / 2).cast("long"))
         .filter((F.col("window_idx") >= 0) & (F.col("window_idx") <= F.lit(steps) - F.col("w")))
     )
-    shift = F.when(F.col("model") == "m36", F.lit(0.01)).otherwise(F.lit(0.0))
-    return grown.select("model", "seed", "window_idx", "output", (F.col("y") * (wobble + shift)).alias("y_pred"))
+    side = (F.col("gamma") * F.col("w") / 6 + F.ascii("phase")).cast("long") % 5 - 2
+    factor = wobble + F.col("shift") + F.col("lean") * side
+    return grown.select("model", "seed", "window_idx", "output", (F.col("y") * factor).alias("y_pred"))
+
+
+def history(scored: DataFrame, train_end: int, valid_end: int) -> DataFrame:
+    """Training history ``(model, seed, epoch, loss, val_loss)``: mean squared errors of predictions that approach the final ones."""
+    square = (F.col("y_pred") - F.col("y")) * (F.col("y_pred") - F.col("y"))
+    x = F.col("x")
+    last = scored.groupBy("model", "seed").agg(
+        F.avg(F.when(x < train_end, square)).alias("_train"),
+        F.avg(F.when((x >= train_end) & (x < valid_end), square)).alias("_valid"),
+    )
+    far = F.pow(1.0 + 4.0 / F.col("epoch"), F.lit(2.0))
+    grown = last.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
+    return grown.select("model", "seed", "epoch", (F.col("_train") * far).alias("loss"), (F.col("_valid") * far).alias("val_loss"))
 
 
 def confidence(long: DataFrame) -> DataFrame:
