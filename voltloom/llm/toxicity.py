@@ -4,7 +4,8 @@ The lexicon is learnt from at most ``SAMPLE`` labelled rows: words that far more
 A stem that many such words share counts as a term with any ending. The terms form a trie; their Levenshtein automata (one edit from five letters on, two from nine) run on it together: a state is the
 set of trie nodes with the edits spent on the way, made deterministic as texts are read and tabulated. Sorted words share the states of
 their common prefix. A hit inside quotation marks that open before it and close after it, within ``WINDOW`` words, is a quotation; hits
-are summed by (exact or misspelled) x (plain or quoted), and a logistic model weighs them.
+are summed by (exact or misspelled) x (plain or quoted), and a logistic model weighs them. A form near a term that clean documents hold as
+often as toxic ones is a word of its own, no misspelling.
 
 Defined results: a null or empty text has no hits and gets the lowest score; without labels nothing is toxic; repeated rows get the
 same score; extra columns are left out.
@@ -29,8 +30,8 @@ from voltloom.session import stage
 SAMPLE = 8000
 THRESHOLD = 0.5
 WINDOW = 12
-#: A lexicon word is in so large a share of the toxic documents and that much likelier there.
-LEAST_SHARE, LEAST_ODDS, CAUTION = 0.02, 20.0, 3.0
+#: A lexicon word is that much likelier in toxic documents; the likelihood ratio has to outweigh the parts looked at by so much.
+LEAST_ODDS, CAUTION = 20.0, 3.0
 #: Letters of a stem.
 STEMS = range(3, 9)
 LETTERS = regex.compile(r"[\p{L}\p{M}\p{N}']+")
@@ -140,15 +141,34 @@ def quoted(text: str, start: int, end: int) -> bool:
     return before[opened] != '"' or before.count('"') % 2 == 1
 
 
-def figures(batch: list[str], lexicon: Lexicon) -> np.ndarray:
+@dataclass(frozen=True)
+class Forms:
+    """In how many toxic and clean documents of the sample each form within the edits of a term is met."""
+
+    met: dict[str, tuple[int, int]]
+    toxic: int = 0
+    clean: int = 0
+
+    def other(self, word: str, label: int | None = None) -> bool:
+        """Whether clean documents hold the form at least as often as toxic ones: then it is a word of its own and no misspelling.
+
+        The document that is judged does not count itself if its label is known, so that training meets forms as new texts do."""
+        if word not in self.met:
+            return False
+        t, c = self.met[word]
+        t, c = t - (label == 1), c - (label == 0)
+        return c > 0 and t * self.clean <= c * self.toxic
+
+
+def figures(batch: list[str], lexicon: Lexicon, forms: Forms, labels: list[int | None] | None = None) -> np.ndarray:
     """Per text: exact plain, misspelled plain, exact quoted, misspelled quoted hits (logarithms), different words hit, hits per word."""
     found = [[(m.group().lower(), m.start(), m.end()) for m in LETTERS.finditer(t)] for t in batch] if len(lexicon.terms) else [[] for _ in batch]
     known = lexicon.look_up({w for words in found for w, _, _ in words})
     out = np.zeros((len(batch), 6))
-    for row, text, words in zip(out, batch, found, strict=True):
+    for row, text, words, label in zip(out, batch, found, labels or [None] * len(batch), strict=True):
         terms = set()
         for w, a, b in words:
-            if hit := known[w]:
+            if (hit := known[w]) and not (hit[1] and forms.other(w, label)):
                 row[(2 if quoted(text, a, b) else 0) + (hit[1] > 0)] += 1
                 if hit[1] == 0:
                     terms.add(w)
@@ -162,13 +182,14 @@ def figures(batch: list[str], lexicon: Lexicon) -> np.ndarray:
 class Model:
     terms: list[str]
     weights: np.ndarray
+    forms: Forms = Forms({})
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
 def telling(own: DataFrame, parts: Callable[[str], list[str]], least_variety: int) -> list[Row]:
-    """``part, t`` of the word parts that mark toxic documents: frequent and likely enough there, too much so for chance (the likelihood
+    """``part, t`` of the word parts that mark toxic documents: likely enough there, too much so for chance (the likelihood
     ratio against the share of toxic documents must outweigh the number of parts looked at), in company of different words before them,
     which parts from a family of copies are not, and in enough different words."""
 
@@ -193,9 +214,9 @@ def telling(own: DataFrame, parts: Callable[[str], list[str]], least_variety: in
     base, looked = toxic / (toxic + clean), counts.count()
     clear, share = F.col("n") - F.col("t"), F.col("t") / F.lit(toxic)
     ratio = F.col("t") * F.log(F.col("t") / (F.col("n") * base)) + F.when(clear > 0, clear * F.log(clear / (F.col("n") * (1 - base)))).otherwise(0.0)
-    few = counts.filter((share >= LEAST_SHARE) & (share / ((clear + 0.5) / (clean + 1.0)) >= LEAST_ODDS) & (ratio >= math.log(max(looked, 1)) + CAUTION))
+    few = counts.filter((share / ((clear + 0.5) / (clean + 1.0)) >= LEAST_ODDS) & (ratio >= math.log(max(looked, 1)) + CAUTION))
     few = few.filter((2 * F.col("company") >= F.col("t")) & (F.col("variety") >= least_variety))
-    return few.select("part", "t").orderBy("part").collect()  # each is in a share of the sample's toxic documents
+    return few.select("part", "t").orderBy("part").collect()  # each is in several documents of the bounded sample
 
 
 def learn_terms(own: DataFrame) -> list[str]:
@@ -209,13 +230,31 @@ def learn_terms(own: DataFrame) -> list[str]:
     return sorted(words) + [p + "*" for p in sorted(stems)]
 
 
+def learn_forms(own: DataFrame, terms: list[str]) -> Forms:
+    """Counts of the forms within one or two edits of a term; they are words of the bounded sample."""
+    hold: list[Lexicon] = []
+
+    def work(batch: pa.RecordBatch) -> dict:
+        if not hold:
+            hold.append(Lexicon(terms))
+        bags = [{m.lower() for m in LETTERS.findall(t)} for t in batch.column("text").to_pylist()]
+        known = hold[0].look_up(set().union(*bags))
+        return {"label": batch.column("label"), "form": [[w for w in sorted(bag) if (hit := known[w]) and hit[1]] for bag in bags]}
+
+    near = per_batch(own, "label int, form array<string>", work).select("label", F.explode("form").alias("form"))
+    met = near.groupBy("form").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("c")).collect()
+    n = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    return Forms({r.form: (r.t, r.c) for r in met}, n.get(1, 0), n.get(0, 0))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 1500) -> Model:
-    own = labelled(docs, labels, "toxic", sample)
+    own = stage(labelled(docs, labels, "toxic", sample))
     terms = learn_terms(own)
-    rows = per_batch(own, "doc_id long, label int, x array<float>", lambda b, hold=[]: _figure_rows(b, terms, hold)).collect()  # at most ``sample``
+    forms = learn_forms(own, terms)
+    rows = per_batch(own, "doc_id long, label int, x array<float>", lambda b, hold=[]: _figure_rows(b, terms, forms, hold)).collect()  # at most ``sample``
     rows.sort(key=lambda r: (r.doc_id, r.x))
     if not rows or not any(r.label for r in rows):
-        return Model(terms, np.array([-30.0, 0, 0, 0, 0, 0, 0]))
+        return Model(terms, np.array([-30.0, 0, 0, 0, 0, 0, 0]), forms)
     x, y = np.column_stack([np.ones(len(rows)), np.array([r.x for r in rows])]), np.array([r.label for r in rows], float)
     weights, m, v = np.zeros(7), np.zeros(7), np.zeros(7)
     for step in range(1, rounds + 1):
@@ -223,13 +262,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
         gradient = (p - y) @ x / len(y) + 1e-4 * np.append(0, weights[1:])
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         weights -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(terms, weights)
+    return Model(terms, weights, forms)
 
 
-def _figure_rows(batch: pa.RecordBatch, terms: list[str], hold: list) -> dict:
+def _figure_rows(batch: pa.RecordBatch, terms: list[str], forms: Forms, hold: list) -> dict:
     if not hold:
         hold.append(Lexicon(terms))
-    return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": list(figures(batch.column("text").to_pylist(), hold[0]))}
+    return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": list(figures(batch.column("text").to_pylist(), hold[0], forms, batch.column("label").to_pylist()))}
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -239,7 +278,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def work(batch: pa.RecordBatch) -> dict:
         if not hold:
             hold.append(Lexicon(model.terms))
-        return {"doc_id": batch.column("doc_id"), "score": model.score(figures(batch.column("text").to_pylist(), hold[0]))}
+        return {"doc_id": batch.column("doc_id"), "score": model.score(figures(batch.column("text").to_pylist(), hold[0], model.forms))}
 
     scored = per_batch(texts(docs), "doc_id long, score double", work)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
