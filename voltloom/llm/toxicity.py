@@ -143,7 +143,7 @@ def quoted(text: str, start: int, end: int) -> bool:
 
 @dataclass(frozen=True)
 class Forms:
-    """In how many toxic and clean documents of the sample each form within the edits of a term is met."""
+    """In how many toxic and clean documents of the sample each term, and each form within its edits, is met."""
 
     met: dict[str, tuple[int, int]]
     toxic: int = 0
@@ -159,22 +159,34 @@ class Forms:
         t, c = t - (label == 1), c - (label == 0)
         return c > 0 and t * self.clean <= c * self.toxic
 
+    def evidence(self, word: str, label: int | None = None) -> float:
+        """Log odds of toxic to clean documents that hold the form, not below zero; of an unmet form those of half a document each."""
+        t, c = self.met.get(word, (0, 0))
+        if word in self.met:
+            t, c = t - (label == 1), c - (label == 0)
+        return max(0.0, math.log((t + 0.5) / (self.toxic + 1)) - math.log((c + 0.5) / (self.clean + 1)))
+
 
 def figures(batch: list[str], lexicon: Lexicon, forms: Forms, labels: list[int | None] | None = None) -> np.ndarray:
-    """Per text: exact plain, misspelled plain, exact quoted, misspelled quoted hits (logarithms), different words hit, hits per word."""
+    """Per text: exact plain, misspelled plain, exact quoted, misspelled quoted hits (logarithms), different words hit, hits per word, and
+    the evidence of the different plain forms."""
     found = [[(m.group().lower(), m.start(), m.end()) for m in LETTERS.finditer(t)] for t in batch] if len(lexicon.terms) else [[] for _ in batch]
     known = lexicon.look_up({w for words in found for w, _, _ in words})
-    out = np.zeros((len(batch), 6))
+    out = np.zeros((len(batch), 7))
     for row, text, words, label in zip(out, batch, found, labels or [None] * len(batch), strict=True):
-        terms = set()
+        terms, plain = set(), set()
         for w, a, b in words:
             if (hit := known[w]) and not (hit[1] and forms.other(w, label)):
-                row[(2 if quoted(text, a, b) else 0) + (hit[1] > 0)] += 1
+                inside = quoted(text, a, b)
+                row[(2 if inside else 0) + (hit[1] > 0)] += 1
+                if not inside:
+                    plain.add(w)
                 if hit[1] == 0:
                     terms.add(w)
         row[5] = 10 * row[:2].sum() / max(10, len(words))
         row[:4] = np.log1p(row[:4])
         row[4] = np.log1p(len(terms))
+        row[6] = sum(forms.evidence(w, label) for w in sorted(plain)) / 4
     return out
 
 
@@ -231,7 +243,7 @@ def learn_terms(own: DataFrame) -> list[str]:
 
 
 def learn_forms(own: DataFrame, terms: list[str]) -> Forms:
-    """Counts of the forms within one or two edits of a term; they are words of the bounded sample."""
+    """Counts of the terms and of the forms within one or two edits of one; they are words of the bounded sample."""
     hold: list[Lexicon] = []
 
     def work(batch: pa.RecordBatch) -> dict:
@@ -239,7 +251,7 @@ def learn_forms(own: DataFrame, terms: list[str]) -> Forms:
             hold.append(Lexicon(terms))
         bags = [{m.lower() for m in LETTERS.findall(t)} for t in batch.column("text").to_pylist()]
         known = hold[0].look_up(set().union(*bags))
-        return {"label": batch.column("label"), "form": [[w for w in sorted(bag) if (hit := known[w]) and hit[1]] for bag in bags]}
+        return {"label": batch.column("label"), "form": [[w for w in sorted(bag) if known[w]] for bag in bags]}
 
     near = per_batch(own, "label int, form array<string>", work).select("label", F.explode("form").alias("form"))
     met = near.groupBy("form").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("c")).collect()
@@ -254,9 +266,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     rows = per_batch(own, "doc_id long, label int, x array<float>", lambda b, hold=[]: _figure_rows(b, terms, forms, hold)).collect()  # at most ``sample``
     rows.sort(key=lambda r: (r.doc_id, r.x))
     if not rows or not any(r.label for r in rows):
-        return Model(terms, np.array([-30.0, 0, 0, 0, 0, 0, 0]), forms)
+        return Model(terms, np.array([-30.0, 0, 0, 0, 0, 0, 0, 0]), forms)
     x, y = np.column_stack([np.ones(len(rows)), np.array([r.x for r in rows])]), np.array([r.label for r in rows], float)
-    weights, m, v = np.zeros(7), np.zeros(7), np.zeros(7)
+    weights, m, v = np.zeros(8), np.zeros(8), np.zeros(8)
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         gradient = (p - y) @ x / len(y) + 1e-4 * np.append(0, weights[1:])
