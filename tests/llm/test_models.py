@@ -168,6 +168,19 @@ def test_query_toxicity(spark):
     rows = [(own[i].predicted, y) for i, y in label.items() if held(i)]
     assert len(own) == 10000 and np.mean([p == y for p, y in rows]) > 0.95
     assert sum(p for p, y in rows if not y) == 0
+    assert sum(p for p, y in rows if y) >= 0.9 * sum(y for _, y in rows)
+
+
+def test_forms_near_terms():
+    """Forms that clean documents hold as often are dismissed; in training a document does not count itself."""
+    forms = toxicity.Forms({"idiom": (1, 30), "idiott": (5, 0), "idoit": (0, 1)}, 100, 900)
+    assert forms.other("idiom") and not forms.other("idiott") and not forms.other("unseen")
+    assert forms.other("idoit") and not forms.other("idoit", 0)
+    assert forms.evidence("idiott") > forms.evidence("idiott", 1) > forms.evidence("idiom") == 0
+    assert 0 < forms.evidence("unseen") < forms.evidence("idiott")
+    lexicon = toxicity.Lexicon(["idiot"])
+    plain, near, other = toxicity.figures(["an idiot here", "an idiott here", "an idiom here"], lexicon, forms)
+    assert plain[0] > 0 and near[1] > 0 and near[6] > 0 and not other.any()
 
 
 def test_odd_toxicity(odd, nothing, odd_labels):
