@@ -85,6 +85,13 @@ def test_donors_and_cascade(spark, monkeypatch, tile):
     assert all(filled[k][0] == right[k][0] and filled[k][1] == pytest.approx(right[k][1], abs=1e-5) for k in right)
 
 
+def test_ranking_ends_without_sorts_for_its_joins(spark):
+    samples = spark.createDataFrame(long_rows(frame(seed=3)), "meter_id int, variable string, x long, value double")
+    targets = spark.createDataFrame([(9, "i_an"), (4, "i_bn")], "meter_id int, variable string")
+    plan = repair.donor_ranking(samples, targets, 48)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Sort [") == 1
+
+
 def test_duplicates_beyond_a_tile(spark, monkeypatch):
     monkeypatch.setattr(gram, "TILE", 2)
     rows = frame()

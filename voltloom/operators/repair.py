@@ -65,13 +65,15 @@ def donor_ranking(samples: DataFrame, targets: DataFrame, block: int, min_corr:
     r = RULES
     own = samples.join(targets.select("variable").distinct(), "variable", "left_semi")
     meters = samples.select("meter_id").distinct().count()
-    sums = gram.products(gram.tiled(own, block, meters), block)
-    low = own.groupBy(*CH).agg(F.min("value").alias("low"), (F.count("value") / F.count("*")).alias("known"))
+    # both are small beside the steps; written, their sizes are known and no task sorts them for one join after the other
+    sums = stage(gram.products(gram.tiled(own, block, meters), block))
+    stats = own.groupBy(*CH).agg(F.min("value").alias("low"), (F.count("value") / F.count("*")).alias("known"))
+    stats = stage(stats.join(targets.select(*CH, F.lit(True).alias("target")).distinct(), CH, "left"))
     turned = sums.select("variable", F.col("b").alias("a"), F.col("a").alias("b"), "n", F.col("sb").alias("sa"), F.col("sa").alias("sb"), F.col("sbb").alias("saa"), F.col("saa").alias("sbb"), "sab")
     both = gram.fitted(sums.select(turned.columns).unionByName(turned))
     both = both.withColumnsRenamed({"a": "meter_id", "b": "donor"}).withColumn("meter_id", F.col("meter_id").cast("int")).withColumn("donor", F.col("donor").cast("int"))
-    both = both.join(targets.select(*CH), CH, "left_semi").join(low.select(*CH, "low"), CH)
-    g = both.join(low.select(F.col("meter_id").alias("donor"), "variable", F.col("low").alias("donor_low"), "known"), ["donor", "variable"])
+    both = both.join(stats.filter("target").select(*CH, "low"), CH)
+    g = both.join(stats.select(F.col("meter_id").alias("donor"), "variable", F.col("low").alias("donor_low"), "known"), ["donor", "variable"])
     ok = (F.col("n") >= r.donor_common) & (F.col("known") >= r.donor_coverage) & (F.col("sd_a") >= 1e-9) & (F.col("sd_b") >= 1e-9) & (F.abs("r") >= min_corr)
     slope = F.col("cov") / (F.col("sd_b") * F.col("sd_b"))
     g = g.filter(ok).withColumn("a", slope)
