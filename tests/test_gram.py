@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -85,6 +86,20 @@ def test_donors_and_cascade(spark, monkeypatch, tile):
     assert all(filled[k][0] == right[k][0] and filled[k][1] == pytest.approx(right[k][1], abs=1e-5) for k in right)
 
 
+def test_ranking_keeps_pairs_below_the_gate(spark):
+    from voltloom.plans import load_all
+    from voltloom.plans.registry import ORACLES, QUERIES
+
+    load_all()
+    got = QUERIES["donor_ranking"](spark, "/root/testdata/sf0.01").collect()
+    assert any(abs(r.r) < 0.02 for r in got) and all(r.accepted == (abs(r.r) >= 0.5) for r in got if abs(abs(r.r) - 0.5) > 1e-6)
+    con = duckdb.connect()
+    con.execute("create view events as select * from '/root/testdata/sf0.01/events.parquet'")
+    sql = con.execute(ORACLES["donor_ranking"]).fetchall()
+    key = lambda r: (r[0], r[1], r[2], r[3], round(r[4], 6), r[5], r[6])
+    assert sorted(map(key, got)) == sorted(map(key, sql))
+
+
 def test_ranking_ends_without_sorts_for_its_joins(spark):
     samples = spark.createDataFrame(long_rows(frame(seed=3)), "meter_id int, variable string, x long, value double")
     targets = spark.createDataFrame([(9, "i_an"), (4, "i_bn")], "meter_id int, variable string")

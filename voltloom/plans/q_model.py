@@ -41,6 +41,8 @@ add_cte(
     join (select meter_id, variable from broken_frag where missing <= 0.45) c on c.meter_id = b.meter_id and c.variable = b.variable where a.value is not null and b.value is not null group by 1, 2, 3)
     where n >= 100 and s1 >= 1e-9 and s2 >= 1e-9 and abs(r) >= 0.5""",
 )
+# every pair with enough common readings, whether or not its correlation reaches the gate
+add_cte("donor_pairs", CTES["donors"][0], CTES["donors"][1].replace(" and abs(r) >= 0.5", ""))
 add_cte(
     "envelope",
     ("samples",),
@@ -120,13 +122,19 @@ def broken(t: Inputs):
     return t.samples.withColumn("value", F.when((F.col("meter_id") != 7) | (F.col("x") % 4 != 0), F.col("value")))
 
 
+def donor_pairs(t: Inputs):
+    frag = t.kept("broken_fragmented", lambda: repair.fragmented_series(broken(t), BLOCK).filter("fragmented").select(*CH))
+    return t.kept("donor_pairs", lambda: repair.donor_ranking(broken(t), frag, BLOCK, 0.0))
+
+
 def donors(t: Inputs):
-    return t.kept("donors", lambda: repair.donor_ranking(broken(t), repair.fragmented_series(broken(t), BLOCK).filter("fragmented"), BLOCK))
+    return donor_pairs(t).filter(F.abs("r") >= repair.RULES.donor_corr)
 
 
-@query("donor_ranking", with_tables(f"select meter_id, variable, donor, n, {R('r', 6)} as r, rank from donors", "donors"))
+@query("donor_ranking", with_tables(f"select meter_id, variable, donor, n, {R('r', 6)} as r, rank, abs(r) >= 0.5 as accepted from donor_pairs", "donor_pairs"))
 def donor_ranking(t: Inputs):
-    return donors(t).select(*CH, "donor", "n", fixed("r", 6).alias("r"), "rank")
+    """All pairs in the order of their correlation; the gate only marks those that may give values."""
+    return donor_pairs(t).select(*CH, "donor", "n", fixed("r", 6).alias("r"), "rank", (F.abs("r") >= repair.RULES.donor_corr).alias("accepted"))
 
 
 @query(
