@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voltloom import session
 from voltloom.operators import features, fill, fit, repair, seq
 from voltloom.plans.q_fill import BANDS
+from voltloom.plans.registry import inputs
 from voltloom.streaming.windows import stream_grid
 
 
@@ -280,3 +282,14 @@ def test_scores_of_a_perfect_and_a_flat_fill(spark, samples):
     assert all(r.sd_ratio == pytest.approx(0) and r.freq_ratio in (None, 0.0) and r.ks_d == 1 for r in flat.collect())
     tests = {r.metric: r for r in fill.method_tests(flat.unionByName(fill.fill_scores(samples, named, win, "same")), "flat", "same").collect()}
     assert tests.keys() == {"sd", "freq", "energy", "mae"} and all(r.mean_diff > 0 and r.p_holm >= r.p_value for r in tests.values())
+
+
+def test_rows_in_small_files_are_not_broadcast(spark):
+    inputs(spark, "/root/testdata/sf0.001")
+    many = spark.range(1_000_000).selectExpr("cast(id % 8 as int) as meter_id", "'p_a' as variable", "id as x")
+    big, other, few = session.stage(many), session.stage(many), session.stage(many.limit(20))
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    joins = [plan(big.join(t, ["meter_id", "variable", "x"])) for t in (other, few)]
+    session.prepare(spark)
+    assert "Broadcast" not in joins[0] and "Broadcast" in joins[1]
+    assert "Broadcast" in plan(session.stage(many).join(session.stage(many), ["meter_id", "variable", "x"]))  # Spark's own measure

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltloom.operators import balance, evaluate, joins, seq
-from voltloom.session import prepare, stage
+from voltloom.session import UNPACKED, prepare, stage
 from voltloom.sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +21,7 @@ class Inputs:
     """Lazy access to the tables of one folder and to the series derived from them."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = prepare(spark)
+        self.spark = spark
         self.folder = folder
         self._kept: dict[str, DataFrame] = {}
 
@@ -139,6 +139,7 @@ def files_of(spark: SparkSession, folder: str) -> tuple:
 def inputs(spark: SparkSession, folder: str) -> Inputs:
     """The derived tables of a folder, planned once per application and state of its files."""
     key = (spark.sparkContext.applicationId, folder, files_of(spark, folder))
+    prepare(spark, UNPACKED)
     if key not in _OPEN:
         _OPEN[key] = Inputs(spark, folder)
     return _OPEN[key]
