@@ -293,3 +293,20 @@ def test_rows_in_small_files_are_not_broadcast(spark):
     session.prepare(spark)
     assert "Broadcast" not in joins[0] and "Broadcast" in joins[1]
     assert "Broadcast" in plan(session.stage(many).join(session.stage(many), ["meter_id", "variable", "x"]))  # Spark's own measure
+
+
+def test_a_constant_window_has_no_spread_ratio(spark):
+    values = [0.196197, 0.1, 0.7, 1.1, 3.3, 5.7, 0.3]
+    rows = [(m, "p_a", x, v) for m, v in enumerate(values) for x in range(24)]
+    truth = spark.createDataFrame(rows, "meter_id int, variable string, x long, value double").repartition(7, "x")
+    windows = spark.createDataFrame([(24, m, "p_a", 0, 23) for m in range(len(values))], "size int, meter_id int, variable string, x0 long, x1 long")
+    filled = truth.withColumn("variable", F.lit("p_a@24")).withColumn("value", F.col("x").cast("double"))
+    apart = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in apart.items():
+        spark.conf.set(k, v)
+    try:
+        got = fill.fill_scores(truth, filled, windows, "linear").select("sd_ratio").collect()
+    finally:
+        for k in apart:
+            spark.conf.unset(k)
+    assert [r.sd_ratio for r in got] == [None] * len(values)
