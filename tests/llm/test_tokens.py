@@ -50,6 +50,26 @@ def test_pieces_are_the_library():
         assert ids.tolist() == right.ids, text
 
 
+def test_pieces_of_a_batch_are_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    own = repair.Pieces(WORD)
+    own.number = Counted()
+    texts = ["the cat, the CAT\tand \x0bthe dog ", "", " \n "] * 500
+    ids = own.tokenize(texts)
+    assert own.number.asked <= 8
+    assert [x.tolist() for x in ids] == [e.ids for e in library(WORD).encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("ids", [[], [3], [5, 5, 5, 5, 5, 5, 5], [1, 2] * 50, list(range(40))])
 def test_grammar_round_trip(ids):
     ids = np.array(ids, np.int64)

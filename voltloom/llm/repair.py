@@ -17,15 +17,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from voltloom.llm.bpe import byte_letters
 from voltloom.llm.frame import arrow_schema, texts
@@ -36,13 +36,11 @@ MIN_PAIRS = 8
 LEAST_GAIN = 0.01
 #: Pieces a worker remembers before it starts anew; this bounds memory only.
 REMEMBERED = 400_000
-#: Words that go to the model in one text.
+#: Words whose tokens are held as objects of the library at once.
 AT_ONCE = 4096
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: ASCII punctuation.
 BEHIND = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
-#: What Python takes for white space and the splitter does not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
 NO_ID = np.iinfo(np.int64).min
 FILE = (
     "shard int, block int, start long, n_ids long, terminals int, rules binary, lengths binary, body binary, docs binary, sizes binary"
@@ -55,11 +53,12 @@ def compress(ids: np.ndarray, terminals: int, least: int = MIN_PAIRS) -> tuple[n
     rules, lengths = np.zeros((0, 2), np.int64), np.ones(0, np.int64)
     while len(body) > 1:
         pair = body[:-1] << 32 | body[1:]
-        slot = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
         often = np.bincount(slot, minlength=1 << 20)[slot]
-        weight = np.where(often >= least, often << 20 | slot, -1)  # alike for alike pairs
-        ahead, behind = np.append(weight[1:], -1), np.append(-1, weight[:-1])
-        at = np.flatnonzero((weight >= 0) & (weight > behind) & (weight >= ahead))
+        weight = np.full(len(pair) + 2, -1)
+        weight[1:-1] = often << 20 | slot  # alike for alike pairs
+        at = np.flatnonzero((weight[1:-1] > weight[:-2]) & (weight[1:-1] >= weight[2:]))
+        at = at[often[at] >= least]
         chosen = np.sort(pair[at])
         first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1])[: len(chosen)])
         made = chosen[first][np.diff(np.append(first, len(chosen))) >= least]
@@ -127,7 +126,8 @@ class Pieces:
     """Ids of the pieces between white space met so far.
 
     The file's splitter drops white space and never joins across it. A piece of Latin letters with ASCII punctuation behind is two words to
-    it; such words go, many at a time, to the library's model without normalizer and splitter; all other pieces go through everything.
+    it; such words go to the library's model without normalizer and splitter; all other pieces go through everything. Pieces are split and
+    told apart by Arrow, at ASCII white space; only those that differ within a batch are looked up.
     """
 
     def __init__(self, path: str):
@@ -135,8 +135,7 @@ class Pieces:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.terminals = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = WhitespaceSplit()
+        self.model = self.tokenizer.model
         self.letters = {b: c for c, b in byte_letters().items()}
         self.forget()
 
@@ -146,28 +145,24 @@ class Pieces:
         self.pieces, self.parts = Rows(), Rows()
         self.parts.add(np.zeros(0, np.int64), np.zeros(1, np.int64))
 
-    def learn(self, new: list[str]) -> None:
-        words, fresh, pairs, odd = self.words, [], [], []
-
-        def numbered(word: str) -> int:
-            k = words.get(word)
-            if k is None:
-                k = words[word] = len(words)
-                fresh.append(word)
-            return k
-
+    def learn(self, new: list[str]) -> np.ndarray:
+        """Numbers of pieces not met so far."""
+        words, before, pairs, odd = self.words, len(self.words), [], []
+        number = words.setdefault
         for piece in new:
-            word = piece.rstrip(BEHIND)
+            word = piece if piece.isalpha() else piece.rstrip(BEHIND)
             if word.isalpha() and (word.isascii() or LATIN.fullmatch(word)):
-                pairs += numbered(word.lower()), numbered(piece[len(word) :])
+                pairs += number(word.lower(), len(words)), number(piece[len(word) :], len(words))
             else:
                 pairs += 0, 0
                 odd.append(len(pairs) // 2 - 1)
+        fresh, ids, size = list(islice(words, before, None)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(0, len(fresh), AT_ONCE):
             own = fresh[k : k + AT_ONCE]
-            shown = " ".join([w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())) for w in own])
-            e = self.bare.encode(shown, add_special_tokens=False)
-            self.parts.add(np.array(e.ids, np.int64), np.bincount(np.array(e.word_ids, np.int64), minlength=len(own)))
+            tokens = [self.model.tokenize(w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode()))) for w in own]
+            ids.append(np.array([t.id for parts in tokens for t in parts], np.int64))
+            size.append(np.fromiter(map(len, tokens), np.int64, len(own)))
+        self.parts.add(np.concatenate(ids), np.concatenate(size))
         ids, size = self.parts.take(np.array(pairs, np.int64))
         size = size.reshape(-1, 2).sum(1)
         whole = np.ones(len(new), bool)
@@ -175,15 +170,23 @@ class Pieces:
         self.pieces.add(ids, size[whole])
         encoded = self.tokenizer.encode_batch_fast([new[k] for k in odd], add_special_tokens=False)
         self.pieces.add(np.fromiter(chain.from_iterable(e.ids for e in encoded), np.int64), np.array([len(e.ids) for e in encoded], np.int64))
-        order = [*np.flatnonzero(whole).tolist(), *odd]
-        self.number.update((new[k], n) for n, k in enumerate(order, len(self.number)))
+        numbers = np.empty(len(new), np.int64)
+        numbers[[*np.flatnonzero(whole).tolist(), *odd]] = len(self.number) + np.arange(len(new))
+        self.number.update(zip(new, numbers.tolist(), strict=True))
+        return numbers
 
-    def tokenize(self, texts: list[str]) -> list[np.ndarray]:
+    def tokenize(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         if len(self.number) > REMEMBERED:
             self.forget()
-        pieces = [t.split() if not SEPARATORS.search(t) else re.split("[ \t\r\n]+", t) for t in texts]
-        self.learn(list(set().union(*pieces).difference(self.number)))
-        return [self.pieces.take(np.fromiter(map(self.number.__getitem__, own), np.int64, len(own)))[0] for own in pieces]
+        split = pc.ascii_split_whitespace(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        coded = pc.dictionary_encode(split.flatten())
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+        own = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(own < 0)
+        own[new] = self.learn([pieces[k] for k in new.tolist()])
+        ids, size = self.pieces.take(own[coded.indices.to_numpy()])
+        borders = np.append(0, np.cumsum(size))[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [ids[a:b] for a, b in zip(borders, borders[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -213,7 +216,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            ids = load(vocabulary).tokenize(batch.column("text").to_pylist())
+            ids = load(vocabulary).tokenize(batch.column("text"))
             for name, own in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                 held.append(np.append(own, end_id))
                 names.append(NO_ID if name is None else name)
