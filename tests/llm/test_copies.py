@@ -267,6 +267,25 @@ def test_star_of_similar_documents(spark):
     assert np.mean([own[k] == own[1500] for k in range(1500)]) >= 0.97
 
 
+def test_most_of_a_crowd_meets_the_rest_once(spark, monkeypatch):
+    draw, words, rows, old = random.Random(6), prose(78, 250).split(), [], simhash.crowd_pairs
+
+    def counted(members, *rest):
+        rows.append(members.count())
+        return old(members, *rest)
+
+    monkeypatch.setattr(simhash, "crowd_pairs", counted)
+    texts = []
+    for changes in [1] * 40 + [7] * 6:
+        at = set(draw.sample(range(250), changes))
+        texts.append(" ".join(prose(draw.randrange(10**6), 1) if k in at else w for k, w in enumerate(words)))
+    own = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    near = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    assert [own[k] for k in range(40)] == [0] * 40 and all((own[k] == 0) == any(near(sets[k], x) for x in sets[:40]) for k in range(40, 46))
+    assert max(rows) <= 2 * len(texts)  # and not a row for each of 40 classes under each of their keys
+
+
 def test_similar_only_if_the_shingles_are(spark):
     """On either side of the threshold."""
     texts, right = [], []

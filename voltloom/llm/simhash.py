@@ -13,6 +13,7 @@ repeat a ``doc_id`` are one document with, possibly, several fingerprints; extra
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -228,6 +229,63 @@ def crowd_pairs(members: DataFrame, wide: DataFrame, limit: int, nearest: bool)
     return met.mapInArrow(run, ddl)
 
 
+def led(members: DataFrame) -> DataFrame:
+    """``members`` under keys of several components, with ``main``: the component that more than half of a key's classes belong to, or NULL."""
+    key, own = Window.partitionBy("block", "key"), Window.partitionBy("block", "key", "root")
+    out = members.withColumn("same", F.count("*").over(own)).withColumns({
+        "n": F.count("*").over(key), "low": F.min("root").over(key), "high": F.max("root").over(key), "most": F.max(F.struct("same", "root")).over(key),
+    })
+    return out.filter("low <> high").select("id", "root", "block", "key", F.when(2 * F.col("most.same") > F.col("n"), F.col("most.root")).alias("main"))
+
+
+def main_pairs(asked: DataFrame, found: DataFrame, wide: DataFrame, limit: int, nearest: bool) -> DataFrame:
+    """``(a, b)``: candidates between the classes ``(id, main)`` and those of component ``main``: all, or the nearest of each ``id`` in a tile.
+
+    However many keys two classes share, they meet once: a component is cut into tiles of about ``TILE`` classes, and so are those that ask.
+    """
+    own = found.select("id", F.col("root").alias("main")).join(asked.select("main").distinct(), "main", "left_semi").join(wide, "id")
+    asks = asked.distinct().join(wide, "id")
+    count = lambda df, name: df.groupBy("main").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+    sizes = count(own, "tiles").join(count(asked.distinct(), "heaps"), "main")
+    place = lambda n: F.expr(f"cast(pmod(xxhash64(id), {n}) as int)")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    row = ("main", "id", "wide", "asks")
+    own = own.withColumn("asks", F.lit(False)).join(sizes, "main").select(*row, place("tiles").alias("t"), every("heaps").alias("u"))
+    asks = asks.withColumn("asks", F.lit(True)).join(sizes, "main").select(*row, place("heaps").alias("u"), every("tiles").alias("t"))
+    met = own.unionByName(asks).groupBy("main", "t", "u").agg(F.collect_list(F.struct("id", "asks", "wide")).alias("m"))
+    met = met.select(F.col("m.id").alias("id"), F.col("m.asks").alias("asks"), F.flatten("m.wide").alias("wide"))
+    ddl = "a long, b long"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, asks, prints = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("id", "asks", "wide"))
+                asks, prints = asks.astype(bool), prints.view(np.uint64).reshape(len(ids), -1)
+                for i, j in between(prints[asks], prints[~asks], limit, nearest):
+                    x, y = ids[asks][i], ids[~asks][j]
+                    yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)}, schema=schema)
+
+    return met.mapInArrow(run, ddl)
+
+
+def between(some: np.ndarray, others: np.ndarray, limit: int, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs within ``limit`` bits, for 128 of ``some`` at a time: all, or the nearest of each."""
+    for first in range(0, len(some), 128):
+        own = some[first : first + 128]
+        apart = np.zeros((len(own), len(others)), np.int16)
+        for k in range(own.shape[1]):
+            apart += np.bitwise_count(own[:, k, None] ^ others[None, :, k])
+        if nearest and len(others):
+            best = apart.argmin(axis=1)
+            i = np.flatnonzero(apart[np.arange(len(own)), best] <= limit)
+            j = best[i]
+        else:
+            i, j = np.nonzero(apart <= limit)
+        if len(i):
+            yield first + i, j
+
+
 def alike(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Of the different pairs ``(a, b)`` of ids, those whose texts have shingle sets of that Jaccard similarity or more."""
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -259,7 +317,8 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: flo
     the wished recall. Fingerprints only propose: a pair within three standard deviations becomes a link if the shingle sets themselves are
     similar. All classes under a block's value meet. Up to ``FEW`` do so pair by pair on their first 64 bits. In a larger crowd each first
     meets the one before it in the order of these bits, then its nearest in another component, and at last all that other components
-    still hold, so that a crowd of like documents costs about a row each and one of unlike documents its close pairs.
+    still hold, so that a crowd of like documents costs about a row each and one of unlike documents its close pairs. What belongs to a
+    component that holds most of a crowd meets the rest of all such crowds once, however many keys they share.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** BLOCK))
@@ -295,12 +354,16 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: flo
     linked = stage(alike(tried, docs, size, similarity).unionByName(copies))
     found, crowd = components(linked), met.filter(F.col("n") > FEW).select("id", "block", "key")
     for nearest in (True, False):
-        members = rooted(crowd, found)
-        close = stage(crowd_pairs(members, wide, limit, nearest))
+        members = stage(led(rooted(crowd, found)))
+        besides = members.filter("main is null or root <> main")  # a main component meets the others once, not under each key
+        close = crowd_pairs(besides.drop("main"), wide, limit, nearest)
+        asked = besides.filter("main is not null").select("id", "main")
+        close = stage(close.unionByName(main_pairs(asked, found, wide, limit, nearest), allowMissingColumns=True))
         fresh = stage(close.filter("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         linked = stage(linked.unionByName(alike(fresh, docs, size, similarity)))
         tried, found = tried.unionByName(fresh), components(linked)
-        crowd = crowd.join(close.filter("a is null").select("block", "key").distinct(), ["block", "key"], "left_semi")
+        again = close.filter("a is null").select("block", "key").union(members.filter("main is not null").select("block", "key")).distinct()
+        crowd = members.select("id", "block", "key").join(again, ["block", "key"], "left_semi")
     ids = prints.select("doc_id").distinct()
     return ids.join(found, ids.doc_id == found.id, "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 
