@@ -286,6 +286,27 @@ def test_most_of_a_crowd_meets_the_rest_once(spark, monkeypatch):
     assert max(rows) <= 2 * len(texts)  # and not a row for each of 40 classes under each of their keys
 
 
+@pytest.mark.parametrize("tile", [2048, 64])
+def test_group_below_the_threshold_makes_no_rows_of_pairs(spark, monkeypatch, tile):
+    """All 400 are candidates for one another and none is a link; the few true copies are found all the same, in one tile or over several."""
+    words, rows, old = prose(79, 250).split(), [], simhash.alike
+
+    def counted(pairs, *rest):
+        rows.append(pairs.count())
+        return old(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "alike", counted)
+    monkeypatch.setattr(simhash, "TILE", tile)
+    texts = [edited(words, k, 0.83) for k in range(400)]
+    texts += [edited(texts[k].split(), 1000 + k, 0.93) for k in range(20)]
+    sets = [set(simhash.spans(t, 5)) for t in texts]
+    right = roots([(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], range(len(texts)))
+    ids = [k - 1 for k in range(len(texts))]  # -1 is an id like any other
+    own = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()}
+    assert own == {k - 1: r - 1 for k, r in right.items()} and len(set(right.values())) >= 380
+    assert sum(rows) <= 60 * len(texts)  # of 88,000; keys of few classes make some for each, however many classes there are
+
+
 def test_similar_only_if_the_shingles_are(spark):
     """On either side of the threshold."""
     texts, right = [], []

@@ -30,8 +30,10 @@ NEAR = 3
 CROWD = 512
 #: Classes under a block's value that meet pair by pair at once.
 FEW = 8
-#: Classes of a larger crowd that one row holds.
-TILE = 2048
+#: Keys of larger crowds, the largest first, under which a class meets the one before it.
+TURNS = 4
+#: Classes of a larger crowd, and hashes of their shingles, that one row holds of each of two tiles.
+TILE, TILE_HASHES = 2048, 1 << 20
 #: Bits of the fingerprints that tell a share of similar shingles, and of a block of theirs.
 WIDE, BLOCK = 1024, 20
 STRETCH = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -169,64 +171,62 @@ def differing(bits: int, similarity: float, deviations: float) -> int:
     return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
-def across(roots: np.ndarray, tiles: np.ndarray, prints: np.ndarray, limit: int, nearest: bool) -> tuple[list[tuple[int, int]], bool]:
-    """Places of pairs within ``limit`` bits whose components differ: all, or each member's nearest and whether there are more.
+def close_rows(at: np.ndarray, tiles: np.ndarray, prints: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For 128 rows at a time, the first and which later rows are within ``limit`` bits of each and in another component.
 
-    Where there are two tiles, pairs within one are left to the row of that tile alone.
+    Where there are two tiles, pairs within one are left to the row of that tile alone. What the last row's component holds at the end has no
+    later rows in others.
     """
-    values, at, counts = np.unique(roots, return_inverse=True, return_counts=True)
-    rows, two = np.flatnonzero(at != counts.argmax()), tiles.min() < tiles.max()
-    out, more = [], False
-    for some in np.array_split(rows, -(-len(rows) // 128)) if len(rows) else ():
-        apart = np.zeros((len(some), len(roots)), np.int16)
+    n, two, others = len(at), tiles.min() < tiles.max(), np.flatnonzero(at != at[-1])
+    last = int(others[-1]) + 1 if len(others) else 0
+    for first in range(0, last, 128):
+        some = np.arange(first, min(first + 128, last))
+        apart = np.zeros((len(some), n), np.int16)
         for k in range(prints.shape[1]):
             apart += np.bitwise_count(prints[some, k, None] ^ prints[None, :, k])
-        good = (apart <= limit) & (at[some, None] != at)
+        good = (apart <= limit) & (at[some, None] != at) & (np.arange(n) > some[:, None])
         if two:
             good &= tiles[some, None] != tiles
-        if nearest:
-            hit = good.any(axis=1)
-            best = np.where(good, apart, 32767).argmin(axis=1)
-            out += zip(some[hit].tolist(), best[hit].tolist())
-            more |= bool((good.sum(axis=1) > 1).any())
-        else:
-            i, j = np.nonzero(good)
-            out += zip(some[i].tolist(), j.tolist())
-    return out, more
+        yield first, good
 
 
-def rooted(crowd: DataFrame, found: DataFrame) -> DataFrame:
-    """``crowd`` (id, block, key) with each class's component: its many rows and the one of its root meet under the id, once."""
-    marks = found.select("id", F.lit(None).cast("int").alias("block"), F.lit(None).cast("int").alias("key"), "root")
-    both = crowd.withColumn("root", F.lit(None).cast("long")).unionByName(marks)
-    return both.withColumn("root", F.coalesce(F.max("root").over(Window.partitionBy("id")), "id")).filter("block is not null")
+def largest_last(roots: np.ndarray) -> np.ndarray:
+    """Places in an order that has the largest component at the end."""
+    _, at, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    return np.argsort(at == counts.argmax(), kind="stable")
 
 
-def crowd_pairs(members: DataFrame, wide: DataFrame, limit: int, nearest: bool) -> DataFrame:
-    """``(a, b, block, key)``: candidates between components of ``(id, root, block, key)``; where more are left, a row of the key without ids.
+def bridges(roots: np.ndarray, tiles: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], limit: int, similarity: float) -> list[tuple[int, int]]:
+    """Places of pairs that join all components between which there is a pair within ``limit`` bits with sets of that similarity.
 
-    A key of one component has none. A larger one is cut into tiles of about ``TILE`` classes, and every two tiles meet in a row.
+    Two that are joined are not compared again, so there are fewer pairs than components.
     """
-    several = members.groupBy("block", "key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    tiled = members.join(several, ["block", "key"]).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    tiled = tiled.withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) as int)")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    tiled = tiled.join(wide, "id").groupBy("block", "key", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"))
-    met = tiled.agg(F.collect_list(F.struct("id", "root", "tile", "wide")).alias("m"))
-    met = met.select("block", "key", *[F.col(f"m.{c}").alias(c) for c in ("id", "root", "tile")], F.flatten("m.wide").alias("wide"))
-    ddl = "a long, b long, block int, key int"
-    schema = arrow_schema(ddl)
+    out, order = [], largest_last(roots)
+    at, size = roots[order], np.array([len(sets[k]) for k in order])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum([len(x) for x in sets])
+    own = [codes[ends[k] - len(sets[k]) : ends[k]] for k in order]
+    marked = np.zeros(len(codes), bool)
+    joined = at.copy()
+    for first, good in close_rows(at, tiles[order], prints[order], limit):
+        for i in np.flatnonzero(good.any(axis=1)):
+            x = first + i
+            marked[own[x]] = True
+            for y in np.flatnonzero(good[i]):
+                if joined[x] != joined[y]:
+                    same = np.count_nonzero(marked[own[y]])
+                    if same >= similarity * (size[x] + size[y] - same):
+                        out.append((int(order[x]), int(order[y])))
+                        joined[joined == joined[y]] = joined[x]
+            marked[own[x]] = False
+    return out
 
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids, roots, tiles, prints = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("id", "root", "tile", "wide"))
-                found, more = across(roots, tiles, prints.view(np.uint64).reshape(len(ids), -1), limit, nearest)
-                a = [min(ids[i], ids[j]) for i, j in found] + [None] * more
-                b = [max(ids[i], ids[j]) for i, j in found] + [None] * more
-                at = {c: [batch.column(c)[k].as_py()] * len(a) for c in ("block", "key")}
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b, **at}, schema=schema)
 
-    return met.mapInArrow(run, ddl)
+def rooted(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    """``crowd`` (id, size, block, key) with each class's component: its many rows and the one of its root meet under the id, once."""
+    marks = found.select("id", F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("block"), F.lit(None).cast("int").alias("key"), "root")
+    both = crowd.withColumn("root", F.lit(None).cast("long")).unionByName(marks)
+    return both.withColumn("root", F.coalesce(F.max("root").over(Window.partitionBy("id")), "id")).filter("block is not null")
 
 
 def led(members: DataFrame) -> DataFrame:
@@ -235,55 +235,94 @@ def led(members: DataFrame) -> DataFrame:
     out = members.withColumn("same", F.count("*").over(own)).withColumns({
         "n": F.count("*").over(key), "low": F.min("root").over(key), "high": F.max("root").over(key), "most": F.max(F.struct("same", "root")).over(key),
     })
-    return out.filter("low <> high").select("id", "root", "block", "key", F.when(2 * F.col("most.same") > F.col("n"), F.col("most.root")).alias("main"))
+    return out.filter("low <> high").select("id", "size", "root", "block", "key", F.when(2 * F.col("most.same") > F.col("n"), F.col("most.root")).alias("main"))
+
+
+def tiles_of(name: str):
+    """Tiles of about ``TILE`` classes, and of no more than about ``TILE_HASHES`` hashes of shingles."""
+    return F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_HASHES, F.lit(1.0))).cast("int").alias(name)
+
+
+def crowd_pairs(members: DataFrame) -> DataFrame:
+    """``block, key, t, u, id, root, tile``: who meets whom of ``(id, size, root, block, key)``.
+
+    A key of one component has no rows. A larger one is cut into tiles, and every two of them meet.
+    """
+    several = members.groupBy("block", "key").agg(tiles_of("tiles"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    tiled = members.join(several, ["block", "key"]).withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) as int)"))
+    tiled = tiled.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    return tiled.select("block", F.col("key").cast("long").alias("key"), F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "id", "root", "tile").distinct()
 
 
-def main_pairs(asked: DataFrame, found: DataFrame, wide: DataFrame, limit: int, nearest: bool) -> DataFrame:
-    """``(a, b)``: candidates between the classes ``(id, main)`` and those of component ``main``: all, or the nearest of each ``id`` in a tile.
+def main_pairs(asked: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """As ``crowd_pairs``, for classes ``(id, size, root, main)`` and those of component ``main``, which ``key`` names.
 
-    However many keys two classes share, they meet once: a component is cut into tiles of about ``TILE`` classes, and so are those that ask.
+    However many keys two classes share, they meet once: a component is cut into tiles, and so are those that ask.
     """
-    own = found.select("id", F.col("root").alias("main")).join(asked.select("main").distinct(), "main", "left_semi").join(wide, "id")
-    asks = asked.distinct().join(wide, "id")
-    count = lambda df, name: df.groupBy("main").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
-    sizes = count(own, "tiles").join(count(asked.distinct(), "heaps"), "main")
+    asks = asked.distinct()
+    own = found.withColumn("main", F.col("root")).join(asks.select("main").distinct(), "main", "left_semi").join(sizes, "id")
+    counts = own.groupBy("main").agg(tiles_of("tiles")).join(asks.groupBy("main").agg(tiles_of("heaps")), "main")
     place = lambda n: F.expr(f"cast(pmod(xxhash64(id), {n}) as int)")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    row = ("main", "id", "wide", "asks")
-    own = own.withColumn("asks", F.lit(False)).join(sizes, "main").select(*row, place("tiles").alias("t"), every("heaps").alias("u"))
-    asks = asks.withColumn("asks", F.lit(True)).join(sizes, "main").select(*row, place("heaps").alias("u"), every("tiles").alias("t"))
-    met = own.unionByName(asks).groupBy("main", "t", "u").agg(F.collect_list(F.struct("id", "asks", "wide")).alias("m"))
-    met = met.select(F.col("m.id").alias("id"), F.col("m.asks").alias("asks"), F.flatten("m.wide").alias("wide"))
-    ddl = "a long, b long"
-    schema = arrow_schema(ddl)
+    row = (F.lit(-1).alias("block"), F.col("main").alias("key"))
+    own = own.join(counts, "main").select(*row, place("tiles").alias("t"), every("heaps").alias("u"), "id", "root", F.lit(0).alias("tile"))
+    asks = asks.join(counts, "main").select(*row, every("tiles").alias("t"), place("heaps").alias("u"), "id", "root", F.lit(1).alias("tile"))
+    return own.unionByName(asks).distinct()
 
-    def run(batches):
+
+def gathered(met: DataFrame, *columns: str) -> DataFrame:
+    """A row for those that meet, with arrays; ``wide`` in one array."""
+    both = met.groupBy("block", "key", "t", "u").agg(F.collect_list(F.struct("id", "root", "tile", "wide", *columns)).alias("m"))
+    return both.select("block", "key", "t", "u", *[F.col(f"m.{c}").alias(c) for c in ("id", "root", "tile", *columns)], F.flatten("m.wide").alias("wide"))
+
+
+def shingled(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``id, shingles``: the set of each different text of these ids."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column("doc_id"), "shingles": [shingle_set(t, size).tobytes() for t in batch.column("text").to_pylist()]}
+
+    known = texts(docs).join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return per_batch(known, "id long, shingles binary", work).distinct()
+
+
+def bridged(met: DataFrame, wide: DataFrame, docs: DataFrame, size: int, limit: int, similarity: float) -> DataFrame:
+    """``(a, b)``: links that join all components of which two classes that meet are similar.
+
+    The pairs stay inside the tasks. Fingerprints first say who of a meeting has a candidate at all; only these meet again with their shingles.
+    """
+    ddl = "block int, key long, t int, u int, id long, root long, tile int"
+    schema, link = arrow_schema(ddl), arrow_schema("a long, b long")
+
+    def read(batch, k):
+        ids, roots, tiles, prints = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("id", "root", "tile", "wide"))
+        return ids, roots, tiles, prints.view(np.uint64).reshape(len(ids), -1)
+
+    def ask(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, roots, tiles, prints = read(batch, k)
+                order = largest_last(roots)
+                hit = np.zeros(len(ids), bool)
+                for first, good in close_rows(roots[order], tiles[order], prints[order], limit):
+                    hit[first : first + len(good)] |= good.any(axis=1)
+                    hit |= good.any(axis=0)
+                at = order[hit]
+                at = at[np.unique(ids[at], return_index=True)[1]]
+                same = {c: [batch.column(c)[k].as_py()] * len(at) for c in ("block", "key", "t", "u")}
+                yield pa.RecordBatch.from_pydict({**same, "id": ids[at], "root": roots[at], "tile": tiles[at]}, schema=schema)
+
+    def compare(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, asks, prints = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("id", "asks", "wide"))
-                asks, prints = asks.astype(bool), prints.view(np.uint64).reshape(len(ids), -1)
-                for i, j in between(prints[asks], prints[~asks], limit, nearest):
-                    x, y = ids[asks][i], ids[~asks][j]
-                    yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)}, schema=schema)
-
-    return met.mapInArrow(run, ddl)
-
-
-def between(some: np.ndarray, others: np.ndarray, limit: int, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs within ``limit`` bits, for 128 of ``some`` at a time: all, or the nearest of each."""
-    for first in range(0, len(some), 128):
-        own = some[first : first + 128]
-        apart = np.zeros((len(own), len(others)), np.int16)
-        for k in range(own.shape[1]):
-            apart += np.bitwise_count(own[:, k, None] ^ others[None, :, k])
-        if nearest and len(others):
-            best = apart.argmin(axis=1)
-            i = np.flatnonzero(apart[np.arange(len(own)), best] <= limit)
-            j = best[i]
-        else:
-            i, j = np.nonzero(apart <= limit)
-        if len(i):
-            yield first + i, j
+                ids, roots, tiles, prints = read(batch, k)
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")[k].values]
+                a, b = np.array(bridges(roots, tiles, prints, sets, limit, similarity), np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_pydict({"a": ids[a], "b": ids[b]}, schema=link)
+
+    asked = stage(gathered(met.join(wide, "id")).mapInArrow(ask, ddl))
+    again = asked.join(shingled(docs, asked, size), "id").join(wide, "id")
+    return gathered(again, "shingles").mapInArrow(compare, "a long, b long")
 
 
 def alike(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -315,10 +354,11 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: flo
 
     Fingerprints have ``WIDE`` bits. A block is ``BLOCK`` sampled bits; there are so many blocks that a pair at the threshold shares one with
     the wished recall. Fingerprints only propose: a pair within three standard deviations becomes a link if the shingle sets themselves are
-    similar. All classes under a block's value meet. Up to ``FEW`` do so pair by pair on their first 64 bits. In a larger crowd each first
-    meets the one before it in the order of these bits, then its nearest in another component, and at last all that other components
-    still hold, so that a crowd of like documents costs about a row each and one of unlike documents its close pairs. What belongs to a
-    component that holds most of a crowd meets the rest of all such crowds once, however many keys they share.
+    similar. All classes under a block's value meet. Up to ``FEW`` do so pair by pair on their first 64 bits. Of larger crowds, a class first
+    meets the one before it in the order of these bits, in ``TURNS`` of its crowds. Then all that other components still hold meet in tiles;
+    there pairs are compared inside the tasks, and only links between components that are still apart come out, so that a crowd never
+    becomes rows of pairs. What belongs to a component that holds most of a crowd meets the rest of all such crowds once, however many keys
+    they share.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** BLOCK))
@@ -331,39 +371,36 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: flo
         keys = bits[:, places] @ (1 << np.arange(BLOCK))
         words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
         same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-        return {"doc_id": batch.column("doc_id"), "same": same, "wide": list(words), "keys": list(keys)}
+        return {"doc_id": batch.column("doc_id"), "same": same, "size": [len(x) for x in sets], "wide": list(words), "keys": list(keys)}
 
-    prints = stage(per_batch(texts(docs).filter("doc_id is not null"), "doc_id long, same binary, wide array<long>, keys array<int>", work))
-    classes = stage(prints.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("wide").alias("wide"), F.first("keys").alias("keys")))
+    prints = stage(per_batch(texts(docs).filter("doc_id is not null"), "doc_id long, same binary, size int, wide array<long>, keys array<int>", work))
+    classes = stage(prints.groupBy("same").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("size", "wide", "keys")]))
     wide = classes.select("id", "wide")
-    keyed = classes.select("id", F.col("wide")[0].alias("lead"), F.posexplode("keys").alias("block", "key"))
+    keyed = classes.select("id", "size", F.col("wide")[0].alias("lead"), F.posexplode("keys").alias("block", "key"))
     group = Window.partitionBy("block", "key")
     beside = keyed.select(
-        "id", "lead", "block", "key", F.count("*").over(group).alias("n"),
+        "id", "size", "lead", "block", "key", F.count("*").over(group).alias("n"),
         F.collect_list(F.struct("id", "lead")).over(group.orderBy("lead", "id").rowsBetween(1 - FEW, -1)).alias("before"),
     ).filter("n > 1")
     beside = beside.withColumn("before", F.when(F.col("n") > FEW, F.slice("before", F.greatest(F.size("before"), F.lit(1)), 1)).otherwise(F.col("before")))
     beside = beside.withColumn("before", F.filter("before", lambda x: F.bit_count(x["lead"].bitwiseXOR(F.col("lead"))) <= first_limit)["id"])
     met = stage(beside.drop("lead").filter((F.col("n") > FEW) | (F.size("before") > 0)))
-    pairs = met.select("id", F.explode("before").alias("other")).filter("id <> other")
+    crowd = met.filter(F.col("n") > FEW)
+    turn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "block"))
+    some = met.filter(F.col("n") <= FEW).select("id", "before").union(crowd.withColumn("turn", turn).filter(F.col("turn") <= TURNS).select("id", "before"))
+    pairs = some.select("id", F.explode("before").alias("other")).filter("id <> other")
     pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     both = pairs.join(wide.toDF("a", "wide_a"), "a").join(wide.toDF("b", "wide_b"), "b")
     apart = sum((F.bit_count(F.col("wide_a")[k].bitwiseXOR(F.col("wide_b")[k])) for k in range(WIDE // 64)), F.lit(0))
     tried = stage(both.filter(apart <= limit).select("a", "b").distinct())
     copies = prints.join(classes.select("same", "id"), "same").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     linked = stage(alike(tried, docs, size, similarity).unionByName(copies))
-    found, crowd = components(linked), met.filter(F.col("n") > FEW).select("id", "block", "key")
-    for nearest in (True, False):
-        members = stage(led(rooted(crowd, found)))
-        besides = members.filter("main is null or root <> main")  # a main component meets the others once, not under each key
-        close = crowd_pairs(besides.drop("main"), wide, limit, nearest)
-        asked = besides.filter("main is not null").select("id", "main")
-        close = stage(close.unionByName(main_pairs(asked, found, wide, limit, nearest), allowMissingColumns=True))
-        fresh = stage(close.filter("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        linked = stage(linked.unionByName(alike(fresh, docs, size, similarity)))
-        tried, found = tried.unionByName(fresh), components(linked)
-        again = close.filter("a is null").select("block", "key").union(members.filter("main is not null").select("block", "key")).distinct()
-        crowd = members.select("id", "block", "key").join(again, ["block", "key"], "left_semi")
+    found = components(linked)
+    members = stage(led(rooted(crowd.select("id", "size", "block", "key"), found)))
+    besides = members.filter("main is null or root <> main")  # a main component meets the others once, not under each key
+    asked = besides.filter("main is not null").select("id", "size", "root", "main")
+    meetings = crowd_pairs(besides.drop("main")).unionByName(main_pairs(asked, found, classes.select("id", "size")))
+    found = components(linked.unionByName(bridged(meetings, wide, docs, size, limit, similarity)))
     ids = prints.select("doc_id").distinct()
     return ids.join(found, ids.doc_id == found.id, "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 
